@@ -120,6 +120,13 @@ def next_in_order(dates: DataFrame, date: str = "date", out: str = "next_date")
     return dates.select(date).distinct().withColumn(out, F.lead(date).over(w))
 
 
+def eligible(signals: DataFrame, membership: DataFrame, date: str = "signal_date") -> DataFrame:
+    """Signals whose ticker belongs to the latest membership snapshot on or before the signal."""
+    m = membership.filter(F.col("ticker").isNotNull()).select(F.col("date").alias("snapshot"), "ticker").distinct()
+    at = asof_join(signals.select(date).distinct(), m.select("snapshot").distinct(), [], date, "snapshot", [], tiebreak=["snapshot"], probe_unique=True)
+    return signals.join(at, date).join(m, ["snapshot", "ticker"], "left_semi")
+
+
 # --- filings --------------------------------------------------------------------------------------
 
 def filing_intervals(filings: DataFrame, by: str = "cik", filed: str = "filing_date", max_age: int = 200,

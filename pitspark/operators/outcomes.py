@@ -91,6 +91,12 @@ def with_path(grid: DataFrame, hold: int, out: str = "path") -> DataFrame:
     return grid.withColumn(out, F.collect_list(bar).over(by_pos().rowsBetween(1, hold)))
 
 
+def once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns behind a one-row generator, so an array expression is evaluated once per row and not
+    copied into every later expression that reads it."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def _index_of(path: Column, test) -> Column:
     """0-based index of the first bar passing ``test``, null if none."""
     at = F.array_position(F.transform(path, lambda x, i: F.coalesce(test(x, i), F.lit(False))), True)
@@ -105,36 +111,32 @@ def walk_barriers(df: DataFrame, stop: str, target: str, hold: int, cost: float
     close before it.
     """
     p, s, t = F.col(path), F.col(stop), F.col(target)
-    df = (df.withColumn("_entry", F.get(p, F.lit(0))["o"])
-          .withColumn("_stop_at", _index_of(p, lambda x, i: ((i > 0) & (x["o"] <= s)) | (x["l"] <= s)))
-          .withColumn("_target_at", _index_of(p, lambda x, i: ((i > 0) & (x["o"] >= t)) | (x["h"] >= t)))
-          .withColumn("_gone_at", F.coalesce(_index_of(p, lambda x, i: x["c"].isNull()), F.size(p))))
-    stop_first = F.col("_stop_at").isNotNull() & (F.col("_target_at").isNull() | (F.col("_stop_at") <= F.col("_target_at")))
-    touch = F.when(stop_first, F.col("_stop_at")).otherwise(F.col("_target_at"))
-    df = df.withColumn("_touch", F.when(touch < F.col("_gone_at"), touch)).withColumn("_is_stop", stop_first)
-    valid = (s > 0) & (F.col("_entry") > s) & (F.col("_entry") < t)
-    outcome = (F.when(~F.coalesce(valid, F.lit(False)), "skipped")
-               .when(F.col("_touch").isNotNull() & F.col("_is_stop"), "stop").when(F.col("_touch").isNotNull(), "target")
-               .when(F.col("_gone_at") < hold, "data_end").otherwise("time"))
-    last = (F.when(F.col("outcome").isin("stop", "target"), F.col("_touch"))
-            .when(F.col("outcome") == "data_end", F.greatest(F.col("_gone_at") - 1, F.lit(0))).otherwise(F.lit(hold - 1)))
+    df = once(df, _entry=F.get(p, F.lit(0))["o"],
+              _stop_at=_index_of(p, lambda x, i: ((i > 0) & (x["o"] <= s)) | (x["l"] <= s)),
+              _target_at=_index_of(p, lambda x, i: ((i > 0) & (x["o"] >= t)) | (x["h"] >= t)),
+              _gone_at=F.coalesce(_index_of(p, lambda x, i: x["c"].isNull()), F.size(p)))
+    stop_at, target_at, gone_at = F.col("_stop_at"), F.col("_target_at"), F.col("_gone_at")
+    valid = F.coalesce((s > 0) & (F.col("_entry") > s) & (F.col("_entry") < t), F.lit(False))
+    outcome = (F.when(~valid, "skipped")
+               .when((stop_at < gone_at) & (target_at.isNull() | (stop_at <= target_at)), "stop")
+               .when((target_at < gone_at) & (stop_at.isNull() | (target_at < stop_at)), "target")
+               .when(gone_at < hold, "data_end").otherwise("time"))
+    last = (F.when(F.col("outcome") == "stop", stop_at).when(F.col("outcome") == "target", target_at)
+            .when(F.col("outcome") == "data_end", F.greatest(gone_at - 1, F.lit(0))).otherwise(F.lit(hold - 1)))
     df = df.withColumn("outcome", outcome).withColumn("_k", last.cast("int"))
     bar = F.get(p, F.col("_k"))
     price = (F.when(F.col("outcome") == "stop", F.when((F.col("_k") > 0) & (bar["o"] <= s), bar["o"]).otherwise(s))
              .when(F.col("outcome") == "target", t).when(F.col("outcome") != "skipped", bar["c"]))
-    return _trade_columns(df, price, s, F.when(F.col("outcome") == "target", 1.0).otherwise(0.0), cost) \
-        .drop("_stop_at", "_target_at", "_gone_at", "_touch", "_is_stop")
+    return _trade_columns(df, price, s, F.when(F.col("outcome") == "target", 1.0).otherwise(0.0), cost, ["_stop_at", "_target_at", "_gone_at"])
 
 
-def _trade_columns(df: DataFrame, price: Column, stop: Column, y: Column, cost: float) -> DataFrame:
-    live = F.col("outcome") != "skipped"
-    df = (df.withColumn("entry_price", F.col("_entry")).withColumn("exit_price", price)
-          .withColumn("ret", F.when(live, net_return(F.col("_entry"), F.col("exit_price"), cost))))
-    return (df.withColumn("entry_pos", F.col("pos") + 1)
-            .withColumn("exit_pos", F.when(live, F.col("pos") + 1 + F.col("_k")))
-            .withColumn("days_held", F.when(live, F.col("_k") + 1))
-            .withColumn("r_multiple", F.when(live, F.col("ret") / ((F.col("_entry") - stop) / F.col("_entry"))))
-            .withColumn("y", F.when(live, y)).drop("_entry", "_k"))
+def _trade_columns(df: DataFrame, price: Column, stop: Column, y: Column, cost: float, drop: Sequence[str]) -> DataFrame:
+    live, entry, k = F.col("outcome") != "skipped", F.col("_entry"), F.col("_k")
+    df = df.withColumns({"entry_price": entry, "exit_price": price, "entry_pos": F.col("pos") + 1,
+                         "exit_pos": F.when(live, F.col("pos") + 1 + k), "days_held": F.when(live, k + 1)})
+    df = df.withColumn("ret", F.when(live, net_return(entry, F.col("exit_price"), cost)))
+    return df.withColumns({"r_multiple": F.when(live, F.col("ret") / ((entry - stop) / entry)), "y": F.when(live, y)}) \
+             .drop("_entry", "_k", *drop)
 
 
 def walk_trailing_stop(df: DataFrame, atr: str, stop_atr: float | Column, hold: int, cost: float = SIDE_COST,
@@ -143,28 +145,28 @@ def walk_trailing_stop(df: DataFrame, atr: str, stop_atr: float | Column, hold:
     completed bars minus k ATR. Same entry, gap and missing-close rules as ``walk_barriers``."""
     k = stop_atr if isinstance(stop_atr, Column) else F.lit(float(stop_atr))
     p, width = F.col(path), k * F.col(atr)
-    df = df.withColumn("_stop0", F.col(close) - width).withColumn("_entry", F.get(p, F.lit(0))["o"])
+    df = df.withColumns({"_stop0": F.col(close) - width, "_entry": F.get(p, F.lit(0))["o"]})
     # Highest high before bar i, carried by a fold that appends one level per bar.
     levels = F.aggregate(p, F.struct(F.lit(None).cast("double").alias("top"), F.array().cast("array<double>").alias("stops")),
                          lambda acc, x: F.struct(F.greatest(acc["top"], x["h"]).alias("top"),
                                                  F.concat(acc["stops"], F.array(F.greatest(F.col("_stop0"), acc["top"] - width))).alias("stops")),
                          lambda acc: acc["stops"])
-    df = df.withColumn("_stops", levels)
+    df = once(df, _stops=levels)
     hit = _index_of(p, lambda x, i: ((i > 0) & (x["o"] <= F.get("_stops", i))) | (x["l"] <= F.get("_stops", i)))
-    df = (df.withColumn("_hit", hit)
-          .withColumn("_gone_at", F.coalesce(_index_of(p, lambda x, i: x["c"].isNull()), F.size(p))))
+    df = once(df, _hit=hit, _gone_at=F.coalesce(_index_of(p, lambda x, i: x["c"].isNull()), F.size(p)))
+    gone_at = F.col("_gone_at")
     valid = F.coalesce((F.col("_stop0") > 0) & (F.col("_entry") > F.col("_stop0")), F.lit(False))
-    df = df.withColumn("outcome", F.when(~valid, "skipped").when(F.col("_hit") < F.col("_gone_at"), "stop")
-                       .when(F.col("_gone_at") < hold, "data_end").otherwise("time"))
+    df = df.withColumn("outcome", F.when(~valid, "skipped").when(F.col("_hit") < gone_at, "stop")
+                       .when(gone_at < hold, "data_end").otherwise("time"))
     df = df.withColumn("_k", F.when(F.col("outcome") == "stop", F.col("_hit"))
-                       .when(F.col("outcome") == "data_end", F.greatest(F.col("_gone_at") - 1, F.lit(0)))
+                       .when(F.col("outcome") == "data_end", F.greatest(gone_at - 1, F.lit(0)))
                        .otherwise(F.lit(hold - 1)).cast("int"))
     bar, level = F.get(p, F.col("_k")), F.get("_stops", F.col("_k"))
     price = (F.when(F.col("outcome") == "stop", F.when((F.col("_k") > 0) & (bar["o"] <= level), bar["o"]).otherwise(level))
-             .when((F.col("outcome") == "data_end") & (F.col("_gone_at") == 0), F.col("_entry"))
+             .when((F.col("outcome") == "data_end") & (gone_at == 0), F.col("_entry"))
              .when(F.col("outcome") != "skipped", bar["c"]))
-    out = _trade_columns(df, price, F.col("_stop0"), F.when(F.col("ret") > 0, 1.0).otherwise(0.0), cost)
-    return out.withColumnRenamed("_stop0", "stop").drop("_stops", "_hit", "_gone_at")
+    out = _trade_columns(df, price, F.col("_stop0"), F.when(F.col("ret") > 0, 1.0).otherwise(0.0), cost, ["_stops", "_hit", "_gone_at"])
+    return out.withColumnRenamed("_stop0", "stop")
 
 
 # --- levels and geometries ---------------------------------------------------------------------------

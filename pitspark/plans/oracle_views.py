@@ -95,7 +95,7 @@ SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS ticker, s_suppkey AS i
 VIEWS["facts_q"] = """
 SELECT *, date_trunc('quarter', "end")::DATE AS q0, date_trunc('year', "end")::DATE AS y0, "end" + CAST(30 + cik % 20 AS INTEGER) AS filed,
        CASE WHEN month("end") = 12 THEN '10-K' ELSE '10-Q' END AS form,
-       round(sum(ocf) OVER ytd, 2) AS ocf_ytd, round(sum(qty * 1000.0::DOUBLE) OVER ytd, 2) AS capex_ytd
+       sum(ocf) OVER ytd AS ocf_ytd, sum(qty * 1000.0::DOUBLE) OVER ytd AS capex_ytd
 FROM (SELECT *, rev * (8 - disc / n) / 100 AS ni, rev * (10 - disc / n - tax / n) / 100 AS ocf
       FROM (SELECT l_suppkey AS cik, last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + INTERVAL 2 MONTH) AS "end",
                    CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) AS rev, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) AS disc,
@@ -103,7 +103,7 @@ FROM (SELECT *, rev * (8 - disc / n) / 100 AS ni, rev * (10 - disc / n - tax / n
             FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2))
 WINDOW ytd AS (PARTITION BY cik, year("end") ORDER BY "end" ROWS UNBOUNDED PRECEDING)"""
 VIEWS["raw_facts"] = """
-SELECT cik, ns, tag, start, "end", round(val, 2) AS val, filed, form FROM (
+SELECT cik, ns, tag, start, "end", floor(val * 100) / 100 AS val, filed, form FROM (
   SELECT cik, form, "end", 'us-gaap' AS ns, 'Revenues' AS tag, q0 AS start, rev / 100 AS val, filed FROM facts_q
   UNION ALL SELECT cik, form, "end", 'us-gaap', 'SalesRevenueNet', q0, rev / 100 * 1.01::DOUBLE, filed + 365 FROM facts_q
   UNION ALL SELECT cik, form, "end", 'us-gaap', 'NetIncomeLoss', q0, ni / 100, filed FROM facts_q
@@ -129,7 +129,7 @@ VIEWS["signals"] = """
 SELECT 'U' || user_id AS ticker, event_id, CAST(ts AS DATE) AS filing_date,
        CASE event_type WHEN 'error' THEN 'risk' WHEN 'purchase' THEN 'earnings' WHEN 'signup' THEN 'demand' WHEN 'view' THEN 'guidance' ELSE 'margins' END AS signal_type,
        CASE WHEN value > 60 THEN 'positive' WHEN value < 25 THEN 'negative' ELSE 'neutral' END AS direction,
-       least(1.0::DOUBLE, round(value / 100, 2)) AS strength, 'chunk ' || (event_id // 20) AS chunk_id, 'e' || event_id AS evidence FROM events"""
+       least(1.0::DOUBLE, floor(value) / 100) AS strength, 'chunk ' || (event_id // 20) AS chunk_id, 'e' || event_id AS evidence FROM events"""
 VIEWS["sections"] = """
 SELECT CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT) AS cik, 'A' || doc_id AS accession,
        CASE WHEN (doc_id // 20) % 4 = 3 THEN '10-K' ELSE '10-Q' END AS form,
@@ -156,6 +156,8 @@ def with_views(sql: str) -> str:
         return sql.strip()
     ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in order)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -103,8 +103,8 @@ SELECT k.ticker, k.date, round(t.close, 6) + 0.0 AS adj_close, {', '.join(f'roun
 FROM k ASOF JOIN t ON k.ticker = t.ticker AND k.date >= t.date ASOF JOIN b ON k.date >= b.date WHERE k.date - t.date <= 7""")
 def f11(spark, sf):
     b = bv.bars(spark, sf)
-    at = asof.rebalance_dates(bv.calendar(b), 4, 60).select("pos")
-    keys = bv.grid(b).join(at, "pos").select("ticker", F.date_add("date", 3).alias("date"))
+    at = asof.rebalance_dates(bv.calendar(spark, sf), 4, 60).select("pos")
+    keys = bv.grid(spark, sf).join(at, "pos").select("ticker", F.date_add("date", 3).alias("date"))
     return tidy(ft.pit_technicals(keys, b, bv.benchmark_bars(b)))
 
 
@@ -311,30 +311,30 @@ WITH e AS (SELECT event_id, CAST(o.o_orderdate AS DATE) AS signal_date FROM (SEL
 SELECT e.event_id, e.signal_date, c.pos FROM e ASOF JOIN cal c ON e.signal_date >= c.date""")
 def t7(spark, sf):
     e = bv.table(spark, sf, "orders").select(F.col("o_orderkey").alias("event_id"), F.to_date("o_orderdate").alias("signal_date"))
-    return asof.signal_positions(e, bv.calendar(bv.bars(spark, sf)))
+    return asof.signal_positions(e, bv.calendar(spark, sf))
 
 
 @query("t8_aligned_ohlc", "SELECT ticker, date, pos, open, high, low, close FROM grid")
 def t8(spark, sf):
-    return bv.grid(bv.bars(spark, sf))
+    return bv.grid(spark, sf)
 
 
 @query("t9_t10_filled_closes", """
 SELECT ticker, date, last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY pos ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS filled5,
   last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY pos ROWS UNBOUNDED PRECEDING) AS filled FROM grid""")
 def t9(spark, sf):
-    g = bv.grid(bv.bars(spark, sf))
+    g = bv.grid(spark, sf)
     return asof.filled_closes(asof.filled_closes(g, 5, "filled5"), None, "filled").select("ticker", "date", "filled5", "filled")
 
 
 @query("t11_rebalance_dates", "SELECT date, pos FROM cal WHERE pos >= 52 AND (pos - 52) % 4 = 0 AND date >= DATE '1997-01-01' AND date <= DATE '2001-01-01'")
 def t11(spark, sf):
-    return asof.rebalance_dates(bv.calendar(bv.bars(spark, sf)), 4, 52, "1997-01-01", "2001-01-01")
+    return asof.rebalance_dates(bv.calendar(spark, sf), 4, 52, "1997-01-01", "2001-01-01")
 
 
 @query("t12_month_ends", "SELECT CAST(date_trunc('month', date) AS DATE) AS month, max(date) AS date, max(pos) AS pos FROM cal WHERE date >= DATE '1996-01-01' GROUP BY 1")
 def t12(spark, sf):
-    return asof.month_ends(bv.calendar(bv.bars(spark, sf)), "1996-01-01")
+    return asof.month_ends(bv.calendar(spark, sf), "1996-01-01")
 
 
 @query("t15_month_changes", """
@@ -359,7 +359,7 @@ def t16(spark, sf):
 @query("l1_forward_returns", f"SELECT ticker, date, {rounded('fwd_return fwd_excess')} FROM fwd8")
 def l1(spark, sf):
     b = bv.bars(spark, sf)
-    return tidy(oc.forward_returns(asof.filled_closes(bv.grid(b), 5), bv.bench_grid(b), 8), "ticker", "date", "fwd_return", "fwd_excess")
+    return tidy(oc.forward_returns(asof.filled_closes(bv.grid(spark, sf), 5), bv.bench_grid(spark, sf), 8), "ticker", "date", "fwd_return", "fwd_excess")
 
 
 @query("l2_next_open_returns", """
@@ -372,8 +372,8 @@ SELECT x.ticker, x.date, round(CASE WHEN b <= (SELECT max(pos) FROM cal) AND o0
 FROM x LEFT JOIN l ON x.ticker = l.ticker AND x.date = l.date""")
 def l2(spark, sf):
     b = bv.bars(spark, sf)
-    at = asof.rebalance_dates(bv.calendar(b), 4, 52)
-    g = bv.grid(b)
+    at = asof.rebalance_dates(bv.calendar(spark, sf), 4, 52)
+    g = bv.grid(spark, sf)
     keys = g.select("ticker", "date", "pos").join(at.select("date"), "date")
     return tidy(oc.next_open_returns(keys, g), "ticker", "date", "next_return")
 
@@ -385,8 +385,8 @@ a AS (SELECT k.*, b.open AS o0 FROM k ASOF LEFT JOIN bars b ON k.ticker = b.tick
 SELECT a.ticker, a.date, z.date AS exit_date, round(z.open / o0 - 1, 6) + 0.0 AS next_return FROM a ASOF LEFT JOIN bars z ON a.ticker = z.ticker AND a.nd < z.date""")
 def l3(spark, sf):
     b = bv.bars(spark, sf)
-    at = asof.rebalance_dates(bv.calendar(b), 4, 52).select("date")
-    keys = bv.grid(b).select("ticker", "date").join(at, "date")
+    at = asof.rebalance_dates(bv.calendar(spark, sf), 4, 52).select("date")
+    keys = bv.grid(spark, sf).select("ticker", "date").join(at, "date")
     return tidy(oc.next_month_returns(keys, b), "ticker", "date", "exit_date", "next_return")
 
 
@@ -395,7 +395,7 @@ WITH o AS (SELECT date, pos, lead(open) OVER (ORDER BY pos) AS o FROM bench),
 s AS (SELECT * FROM o WHERE pos >= 52 AND (pos - 52) % 4 = 0) SELECT date, round(lead(o) OVER (ORDER BY pos) / o - 1, 6) + 0.0 AS bench_return FROM s""")
 def l4(spark, sf):
     b = bv.bars(spark, sf)
-    return tidy(oc.benchmark_period_returns(bv.bench_grid(b), asof.rebalance_dates(bv.calendar(b), 4, 52)))
+    return tidy(oc.benchmark_period_returns(bv.bench_grid(spark, sf), asof.rebalance_dates(bv.calendar(spark, sf), 4, 52)))
 
 
 # Every fourth bar is a signal; levels are rounded so that both engines test the same price.
@@ -423,7 +423,7 @@ tr AS (SELECT *, CASE WHEN outcome <> 'skipped' THEN exit_price * (1 - 0.0015) /
 def _candidates(spark, sf, b=None):
     b = bv.bars(spark, sf) if b is None else b
     lv = ft.level_inputs(b).select("ticker", "date", "close", F.round("atr_14d", 6).alias("atr_14d"))
-    return lv.join(bv.calendar(b), "date").filter((F.col("pos") % 4 == 0) & F.col("atr_14d").isNotNull())
+    return lv.join(bv.calendar(spark, sf), "date").filter((F.col("pos") % 4 == 0) & F.col("atr_14d").isNotNull())
 
 
 @query("l5_net_return", "SELECT ticker, date, round(close * (1 - 0.0015) / (open * (1 + 0.0015)) - 1, 6) + 0.0 AS net FROM bars")
@@ -439,7 +439,7 @@ SELECT ticker, pos, outcome, CASE WHEN outcome <> 'skipped' THEN CAST(pos + 1 +
   CASE WHEN outcome <> 'skipped' THEN CASE WHEN outcome = 'target' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS y FROM tr""")
 def l6(spark, sf):
     b = bv.bars(spark, sf)
-    paths = oc.with_path(bv.grid(b), 10).select("ticker", "pos", "path")
+    paths = oc.with_path(bv.grid(spark, sf), 10).select("ticker", "pos", "path")
     lv = _candidates(spark, sf, b).withColumn("stop", F.round(F.col("close") - 2 * F.col("atr_14d"), 6)) \
                                   .withColumn("target", F.round(F.col("close") + 4 * F.col("atr_14d"), 6))
     walked = oc.walk_barriers(lv.join(paths, ["ticker", "pos"]), "stop", "target", 10)
@@ -462,7 +462,7 @@ SELECT ticker, pos, outcome, CAST(kk + 1 AS INTEGER) AS days_held, round(exit_pr
   round(exit_price * (1 - 0.0015) / (entry * (1 + 0.0015)) - 1, 6) + 0.0 AS ret FROM px""")
 def l7(spark, sf):
     b = bv.bars(spark, sf)
-    paths = oc.with_path(bv.grid(b), 12).select("ticker", "pos", "path")
+    paths = oc.with_path(bv.grid(spark, sf), 12).select("ticker", "pos", "path")
     walked = oc.walk_trailing_stop(_candidates(spark, sf, b).join(paths, ["ticker", "pos"]), "atr_14d", 2.0, 12)
     return tidy(walked, "ticker", "pos", "outcome", "days_held", "exit_price", "ret")
 
@@ -474,7 +474,7 @@ SELECT s AS stop_atr, t AS target_r, outcome, count(*) AS n, round(avg(ret), 6)
 def l9(spark, sf):
     """Nine stop x target cells at one holding period, summarised per outcome."""
     b = bv.bars(spark, sf)
-    paths = oc.with_path(bv.grid(b), 10).select("ticker", "pos", "path")
+    paths = oc.with_path(bv.grid(spark, sf), 10).select("ticker", "pos", "path")
     base = _candidates(spark, sf, b).join(paths, ["ticker", "pos"])
     cells = base.withColumn("_g", F.explode(oc.geometry_grid(holds=(10,)))).select(*base.columns, "_g.*")
     lv = oc.grid_levels(cells, F.col("stop_atr"), F.col("target_r")).withColumn("stop", F.round("stop", 6)).withColumn("target", F.round("target", 6))
@@ -486,7 +486,7 @@ def l9(spark, sf):
 def l9_full(spark, sf):
     """The whole 27-cell grid (stop x target x hold), pivoted by holding period."""
     b = bv.bars(spark, sf)
-    walked = oc.grid_outcomes(_candidates(spark, sf, b), bv.grid(b))
+    walked = oc.grid_outcomes(_candidates(spark, sf, b), bv.grid(spark, sf))
     return tidy(walked.groupBy("stop_atr", "target_r").pivot("hold", [5, 10, 20]).agg(F.avg("r_multiple").alias("r"))
                 .toDF("stop_atr", "target_r", "hold_5", "hold_10", "hold_20"))
 
@@ -511,7 +511,7 @@ y AS (SELECT x.*, CASE reason WHEN 'target' THEN lvl WHEN 'thesis_break' THEN g.
 
 def _target_outcomes(spark, sf, targets=(0.05, 0.1, 0.2), cap=40):
     b = bv.bars(spark, sf)
-    g, cal = bv.grid(b), bv.calendar(b)
+    g, cal = bv.grid(spark, sf), bv.calendar(spark, sf)
     sig = _candidates(spark, sf, b).select("ticker", F.col("date").alias("signal_date"), "pos")
     brk = b.withColumn("ret", ft.daily_return()).filter(F.col("ret") < -0.06).select("ticker", F.col("date").alias("break_date"))
     return oc.target_outcomes(sig, g, cal, brk, targets, cap=cap, block=16), cal
@@ -542,7 +542,7 @@ brkout AS (SELECT ticker, date, pos, close, atr, round((close / ph - 1), 6) AS s
 
 def _breakouts(spark, sf, b):
     x = ft.level_inputs(b.withColumn("ph", ft.prior_high(20))).select("ticker", "date", "close", "ph", F.round("atr_14d", 6).alias("atr_14d"))
-    return (x.filter((F.col("close") > F.col("ph")) & F.col("atr_14d").isNotNull()).join(bv.calendar(b), "date")
+    return (x.filter((F.col("close") > F.col("ph")) & F.col("atr_14d").isNotNull()).join(bv.calendar(spark, sf), "date")
             .select("ticker", F.col("date").alias("signal_date"), "pos", F.round(F.col("close") / F.col("ph") - 1, 6).alias("strength"), "close", "atr_14d"))
 
 
@@ -553,11 +553,11 @@ SELECT CAST(year(date) AS INTEGER) AS year, outcome, count(*) AS trades, round(a
 def a0(spark, sf):
     """Breakout trades: two-ATR stop, two-R target, ten bars; outcome, net return and excess by year."""
     b = bv.bars(spark, sf)
-    paths = oc.with_path(bv.grid(b), 10).select("ticker", "pos", "path")
+    paths = oc.with_path(bv.grid(spark, sf), 10).select("ticker", "pos", "path")
     lv = _breakouts(spark, sf, b).withColumn("stop", F.round(F.col("close") - 2 * F.col("atr_14d"), 6)) \
                                  .withColumn("target", F.round(F.col("close") + 4 * F.col("atr_14d"), 6))
     walked = oc.walk_barriers(lv.join(paths, ["ticker", "pos"]), "stop", "target", 10)
-    bg = bv.bench_grid(b)
+    bg = bv.bench_grid(spark, sf)
     x = (walked.join(bg.select(F.col("pos").alias("entry_pos"), F.col("open").alias("bo")), "entry_pos", "left")
          .join(bg.select(F.col("pos").alias("exit_pos"), F.col("close").alias("bc")), "exit_pos", "left")
          .withColumn("excess", F.col("ret") - (F.col("bc") / F.col("bo") - 1)))
@@ -575,7 +575,7 @@ trades AS (SELECT t.ticker, t.date AS signal_date, t.strength, t.pos, t.pos + 1
 
 def breakout_trades(spark, sf, b=None, hold=8):
     b = bv.bars(spark, sf) if b is None else b
-    table = oc.barrier_outcome_table(bv.grid(b), bv.bench_grid(b), hold)
+    table = oc.barrier_outcome_table(bv.grid(spark, sf), bv.bench_grid(spark, sf), hold)
     return oc.build_trades(_breakouts(spark, sf, b).select("ticker", "signal_date", "pos", "strength"), table)
 
 
@@ -593,6 +593,6 @@ def l14(spark, sf):
     b = bv.bars(spark, sf)
     t = breakout_trades(spark, sf, b)
     split = [oc.period_trades(t, "1996-01-01", "1999-12-31", "2000-01-01", p).withColumn("period", F.lit(p)) for p in ("development", "holdout")]
-    last = bv.calendar(b).agg(F.max("date").alias("last_date"))
+    last = bv.calendar(spark, sf).agg(F.max("date").alias("last_date"))
     x = oc.open_or_delisted(split[0].unionByName(split[1]).join(F.broadcast(last)), F.col("last_date"))   # one row
     return tidy(x.groupBy("period", "end_state").agg(F.count(F.lit(1)).alias("trades"), F.avg("excess").alias("mean_excess")))

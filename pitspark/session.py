@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+_STAGED: dict = {}
+
+
+def stage(df_of, spark: SparkSession, key: str, rebuild: bool = False) -> DataFrame:
+    """Compute ``df_of()`` once per application, keep it as Parquet in the shared folder, read it back.
+
+    A table several steps of a study share (bars, a panel, a book history) is otherwise recomputed by
+    every branch that reads it. The written copy survives lost executors and gives the planner real
+    sizes.
+    """
+    slot = (spark.sparkContext.applicationId, key)
+    if rebuild or slot not in _STAGED:
+        ensure_checkpoint_dir(spark)
+        root = spark.sparkContext.getCheckpointDir().rstrip("/")
+        path = f"{root}/staged/{uuid.uuid4().hex}"
+        df = df_of()
+        df.write.mode("errorifexists").parquet(path)
+        _STAGED[slot] = (path, df.schema)
+    path, schema = _STAGED[slot]
+    return spark.read.schema(schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back from there."""
     ensure_checkpoint_dir(df.sparkSession)

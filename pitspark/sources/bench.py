@@ -8,10 +8,21 @@ makes every sum independent of the order rows arrive in.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import asof, outcomes
+from ..session import stage
+
+
+def staged(fn):
+    """Materialise a view once per application and benchmark directory."""
+    @functools.wraps(fn)
+    def view(spark: SparkSession, sf: str) -> DataFrame:
+        return stage(lambda: fn(spark, sf), spark, f"{fn.__name__}:{sf.rstrip('/')}")
+    return view
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -28,6 +39,7 @@ def cents(col: str):
 
 # --- prices -------------------------------------------------------------------------------------------
 
+@staged
 def bars(spark: SparkSession, sf: str) -> DataFrame:
     """Weekly OHLCV per supplier: a price path driven by the weekly mean unit price against the supplier's mean."""
     unit = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100).cast("long")
@@ -57,16 +69,19 @@ def benchmark_bars(b: DataFrame) -> DataFrame:
     return b.groupBy("date").agg(mean("open"), mean("high"), mean("low"), mean("close"), F.sum("volume").alias("volume"))
 
 
-def calendar(b: DataFrame) -> DataFrame:
-    return asof.calendar(b)
+@staged
+def calendar(spark: SparkSession, sf: str) -> DataFrame:
+    return asof.calendar(bars(spark, sf))
 
 
-def bench_grid(b: DataFrame) -> DataFrame:
-    return benchmark_bars(b).join(calendar(b), "date").select("date", "pos", "open", "high", "low", "close")
+@staged
+def bench_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return benchmark_bars(bars(spark, sf)).join(calendar(spark, sf), "date").select("date", "pos", "open", "high", "low", "close")
 
 
-def grid(b: DataFrame) -> DataFrame:
-    return asof.aligned_ohlc(b, calendar(b))
+@staged
+def grid(spark: SparkSession, sf: str) -> DataFrame:
+    return asof.aligned_ohlc(bars(spark, sf), calendar(spark, sf))
 
 
 def daily_bars(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,17 +97,17 @@ def daily_bars(spark: SparkSession, sf: str) -> DataFrame:
 WARMUP, EVERY, LABEL = 60, 4, 8
 
 
-def panel(spark: SparkSession, sf: str, b: DataFrame | None = None) -> DataFrame:
+@staged
+def panel(spark: SparkSession, sf: str) -> DataFrame:
     """(date, ticker) cross-sections every four weeks: technical features, score, labels; rounded to 8 digits."""
     from ..operators import features as ft
 
-    b = bars(spark, sf) if b is None else b
-    cal, g = calendar(b), grid(b)
+    b, cal, g = bars(spark, sf), calendar(spark, sf), grid(spark, sf)
     cols = {"return_4w": ft.trailing_return(4), "return_12w": ft.trailing_return(12), "return_52w": ft.trailing_return(52),
             "volatility_12w": ft.volatility(12), "volume_ratio": ft.volume_ratio(12), "price_vs_ma20": ft.price_vs_ma(20),
             "momentum": ft.momentum(4, 52)}
     hist = ft.with_bar_inputs(b).withColumns(cols).select("ticker", "date", "close", "volume", *cols)
-    labels = outcomes.forward_returns(asof.filled_closes(g, 5), bench_grid(b), LABEL).select("ticker", "date", "pos", "fwd_return", "fwd_excess")
+    labels = outcomes.forward_returns(asof.filled_closes(g, 5), bench_grid(spark, sf), LABEL).select("ticker", "date", "pos", "fwd_return", "fwd_excess")
     at = asof.rebalance_dates(cal, EVERY, WARMUP).select("date")
     out = hist.join(at, "date").join(labels, ["ticker", "date"], "left")
     out = out.withColumn("score", 0.5 * F.col("momentum") - F.col("return_4w"))
@@ -107,6 +122,7 @@ def quarter_end(d):
     return F.last_day(F.add_months(F.trunc(d, "quarter"), 2))
 
 
+@staged
 def holdings(spark: SparkSession, sf: str) -> DataFrame:
     """Quarterly books: filer = nation of the customer, cusip = supplier."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice")
@@ -164,6 +180,7 @@ def issuer_map(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- XBRL-like facts ----------------------------------------------------------------------------------
 
+@staged
 def raw_facts(spark: SparkSession, sf: str) -> DataFrame:
     """(cik, tag, start, end, val, filed, form): explicit quarters, year-to-date cash flows, restatements, instants."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -175,13 +192,13 @@ def raw_facts(spark: SparkSession, sf: str) -> DataFrame:
     ytd = Window.partitionBy("cik", F.year("end")).orderBy("end").rowsBetween(Window.unboundedPreceding, 0)
     q = (q.withColumn("ni", F.col("rev") * (8 - F.col("disc") / F.col("n")) / 100)
          .withColumn("ocf", F.col("rev") * (10 - F.col("disc") / F.col("n") - F.col("tax") / F.col("n")) / 100)
-         .withColumn("ocf_ytd", F.round(F.sum("ocf").over(ytd), 2))
-         .withColumn("capex_ytd", F.round(F.sum(F.col("qty") * 1000.0).over(ytd), 2))
+         .withColumn("ocf_ytd", F.sum("ocf").over(ytd))
+         .withColumn("capex_ytd", F.sum(F.col("qty") * 1000.0).over(ytd))
          .withColumn("q0", F.trunc("end", "quarter")).withColumn("y0", F.trunc("end", "year"))
          .withColumn("filed", F.date_add("end", (30 + F.col("cik") % 20).cast("int")))
          .withColumn("form", F.when(F.month("end") == 12, "10-K").otherwise("10-Q")))
     fact = lambda ns, tag, start, val, filed=F.col("filed"): F.struct(
-        F.lit(ns).alias("ns"), F.lit(tag).alias("tag"), start.cast("date").alias("start"), F.round(val.cast("double"), 2).alias("val"), filed.alias("filed"))
+        F.lit(ns).alias("ns"), F.lit(tag).alias("tag"), start.cast("date").alias("start"), (F.floor(val.cast("double") * 100) / 100).alias("val"), filed.alias("filed"))
     none = F.lit(None)
     rows = F.array(
         fact("us-gaap", "Revenues", F.col("q0"), F.col("rev") / 100),
@@ -228,7 +245,7 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), F.col("event_id"), F.to_date("ts").alias("filing_date"),
         kind.alias("signal_type"), F.when(v > 60, "positive").when(v < 25, "negative").otherwise("neutral").alias("direction"),
-        F.least(F.lit(1.0), F.round(v / 100, 2)).alias("strength"),
+        F.least(F.lit(1.0), F.floor(v) / 100).alias("strength"),
         F.concat(F.lit("chunk "), F.floor(F.col("event_id") / 20).cast("string")).alias("chunk_id"),
         F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("evidence"))
 
@@ -246,3 +263,34 @@ def sections(spark: SparkSession, sf: str) -> DataFrame:
         F.when(step % 4 == 3, "10-K").otherwise("10-Q").alias("form"), filed.alias("filing_date"),
         F.when(i % 9 != 0, F.date_sub(filed, 40)).alias("report_date"),
         F.col("text").alias("risk_factors"), F.when(i % 6 != 0, F.reverse("text")).alias("mdna"))
+
+
+@staged
+def company_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """The per-company point-in-time table of ``facts.company_table``."""
+    from ..operators import facts
+
+    return facts.company_table(raw_facts(spark, sf))
+
+
+@staged
+def book_changes(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import holdings as hd
+
+    h = holdings(spark, sf)
+    return hd.compare_quarters(h, filings(h))
+
+
+@staged
+def universe_history(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as f
+
+    from ..operators import holdings as hd
+
+    sel = hd.resolve(hd.select_positions(book_changes(spark, sf)), cusip_map(spark, sf))
+    return sel.select(*hd.HISTORY, f.col("name_of_issuer").alias("company_name"), hd.status_view(f.col("status"), 0).alias("view_direction"),
+                      hd.status_view(f.col("status"), 1).alias("confidence"))
+
+
+def month_end_dates(spark: SparkSession, sf: str) -> DataFrame:
+    return asof.month_ends(calendar(spark, sf), "1996-01-01").select("date")
