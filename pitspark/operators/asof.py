@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scalars import with_scalars
 
 def latest_per_key(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], keep: str = "last") -> DataFrame:
     """One whole row per key, the last (or first) under ``order``; partial aggregation, no window."""
@@ -86,7 +87,7 @@ def aligned_ohlc(bars: DataFrame, cal: DataFrame, tiebreak: Sequence[str] = ())
     one = latest_per_key(bars.select("ticker", "date", *cols, *[c for c in tiebreak if c not in cols]),
                          ["ticker", "date"], [*tiebreak] or cols)
     days = cal.agg(F.array_sort(F.collect_list(F.struct("pos", "date"))).alias("_days"))
-    grid = (bars.select("ticker").distinct().join(F.broadcast(days))      # one row: the calendar itself
+    grid = (bars.select("ticker").distinct().transform(with_scalars, days)      # one row: the calendar itself
             .select("ticker", F.explode("_days").alias("_d")).select("ticker", "_d.pos", "_d.date"))
     return grid.join(one, ["ticker", "date"], "left").select("ticker", "date", "pos", *cols)
 
@@ -151,7 +152,7 @@ def latest_filings(filings: DataFrame, dates: DataFrame, by: str = "cik", filed:
     """
     live = filing_intervals(filings, by, filed, max_age, tiebreak)
     days = dates.select("date").distinct().agg(F.array_sort(F.collect_list("date")).alias("_days"))
-    return (live.join(F.broadcast(days))                                   # one row: the rebalance dates
+    return (live.transform(with_scalars, days)                                   # one row: the rebalance dates
             .withColumn("date", F.explode(F.filter("_days", lambda d: d.between(F.col("live_from"), F.col("live_to")))))
             .drop("_days"))
 

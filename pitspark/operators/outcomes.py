@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scalars import with_scalars
 from .asof import asof_join
 
 COST_PER_SIDE = 0.0010
@@ -282,7 +283,7 @@ def censor_at(outcomes: DataFrame, cal: DataFrame, cutoff) -> DataFrame:
     cut = F.to_date(F.lit(cutoff))
     last = cal.filter(F.col("date") <= cut).agg(F.max("pos").alias("_cut_pos"))
     late = F.col("exit_date") > cut
-    out = outcomes.filter(F.col("entry_date") <= cut).join(F.broadcast(last))        # one row
+    out = outcomes.filter(F.col("entry_date") <= cut).transform(with_scalars, last)     
     return (out.withColumn("duration", F.when(late, F.greatest(F.col("_cut_pos") - F.col("entry_pos") + 1, F.lit(1))).otherwise(F.col("duration")))
             .withColumn("event", F.when(late, 0).otherwise(F.col("event")))
             .withColumn("reason", F.when(late, "open_at_cutoff").otherwise(F.col("reason"))).drop("_cut_pos"))

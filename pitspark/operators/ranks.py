@@ -73,11 +73,11 @@ def row_position(df: DataFrame, by: Sequence[str], order: Sequence[str], out: st
 
 def unit_rank(df: DataFrame, by: Sequence[str], value: str, out: str, **kw) -> DataFrame:
     """(average rank - 1) / (n - 1); a lone value gets 0.5 and null stays null."""
-    ranked = average_rank(df, by, value, "_r", **kw)
+    ranked = average_rank(df, by, value, "_unit", **kw)
     return (ranked.withColumn(out, F.when(F.col(value).isNull(), None)
-                              .when(F.col("_r_n") == 1, 0.5)
-                              .otherwise((F.col("_r") - 1) / (F.col("_r_n") - 1)))
-            .drop("_r", "_r_n"))
+                              .when(F.col("_unit_n") == 1, 0.5)
+                              .otherwise((F.col("_unit") - 1) / (F.col("_unit_n") - 1)))
+            .drop("_unit", "_unit_n"))
 
 
 def percent_rank_average(df: DataFrame, by: Sequence[str], value: str, out: str, **kw) -> DataFrame:

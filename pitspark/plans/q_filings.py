@@ -169,7 +169,7 @@ def x8m(spark, sf):
     return tidy(fx.monthly_fundamentals(bv.company_facts(spark, sf), keys), "cik", "date", "state_date", *_SNAP.split(), digits=2)
 
 
-VIEWS["brk"] = """
+VIEWS["thesis_breaks"] = """
 WITH q AS (SELECT r.cik, r."end", r.val AS rev, f.val AS fcf, greatest(r.filed, f.filed) AS filed FROM quarters r JOIN fcfq f ON r.cik = f.cik AND r."end" = f."end" WHERE r.field = 'revenue'),
 p AS (SELECT q.*, (SELECT arg_max(z.rev, z."end") FROM q z WHERE z.cik = q.cik AND q."end" - z."end" BETWEEN 350 AND 380) AS prior FROM q),
 b AS (SELECT *, coalesce(fcf < 0 AND rev < prior, false) AS bad FROM p),
@@ -183,7 +183,7 @@ s AS (SELECT *, count(*) OVER w AS k, stddev_samp(ch) OVER w AS sd FROM c WINDOW
 SELECT cik, "end", filed, ch / sd AS sue FROM s WHERE k = 8 AND sd > 0"""
 
 
-@query("x9_thesis_breaks", "SELECT * FROM brk")
+@query("x9_thesis_breaks", "SELECT * FROM thesis_breaks")
 def x9(spark, sf):
     return fx.thesis_break_dates(bv.company_facts(spark, sf))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as cl
 from ..operators import asof, features as ft, outcomes as oc
+from ..operators.scalars import with_scalars
 from ..sources import bench as bv
 from .catalog import query, rounded, tidy
 
@@ -594,5 +595,5 @@ def l14(spark, sf):
     t = breakout_trades(spark, sf, b)
     split = [oc.period_trades(t, "1996-01-01", "1999-12-31", "2000-01-01", p).withColumn("period", F.lit(p)) for p in ("development", "holdout")]
     last = bv.calendar(spark, sf).agg(F.max("date").alias("last_date"))
-    x = oc.open_or_delisted(split[0].unionByName(split[1]).join(F.broadcast(last)), F.col("last_date"))   # one row
+    x = oc.open_or_delisted(split[0].unionByName(split[1]).transform(with_scalars, last), F.col("last_date"))   # one row
     return tidy(x.groupBy("period", "end_state").agg(F.count(F.lit(1)).alias("trades"), F.avg("excess").alias("mean_excess")))
