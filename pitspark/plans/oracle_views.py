@@ -138,6 +138,37 @@ SELECT CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT) AS cik, 'A' || doc_
        text AS risk_factors, CASE WHEN doc_id % 6 <> 0 THEN reverse(text) END AS mdna
 FROM documents"""
 
+VIEWS["stm_q"] = """
+SELECT 'S' || lpad(CAST(k AS VARCHAR), 9, '0') AS ticker, k, y, make_date(y, 12, 31) AS period_end, rev / 100 AS rev, disc / n AS dn, tax / n AS tn, qty, rev / 100 * (8 - disc / n) / 100 AS ni
+FROM (SELECT l_suppkey AS k, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) AS rev, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) AS disc,
+  CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) AS tax, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS qty, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
+# Fields as the first-present rule resolves them.
+VIEWS["fund_items"] = """
+SELECT ticker, k, period_end, rev AS revenue, rev * 0.4 - qty AS gross_profit, rev * 0.2 - qty * 2 AS operating_income, CASE WHEN (k + y) % 13 <> 0 THEN ni END AS net_income, ni / (1000 + k) AS eps,
+  -qty * 3 AS interest_expense, qty * 5 AS tax_provision, rev * 0.15 AS pretax_income, rev * (10 - tn) / 100 AS ocf, -qty * 100 AS capex, CASE WHEN k % 3 = 0 AND y > 1996 THEN rev * 0.05 END AS own_fcf,
+  qty * 500 AS cash, rev * 0.5 AS equity, CASE WHEN k % 7 <> 0 THEN rev * 0.1 END AS debt FROM stm_q"""
+VIEWS["fund_m"] = """
+SELECT *, (revenue - lag(revenue) OVER w) / abs(lag(revenue) OVER w) AS revenue_growth, (eps - lag(eps) OVER w) / abs(lag(eps) OVER w) AS eps_growth,
+  (operating_income - lag(operating_income) OVER w) / abs(lag(operating_income) OVER w) AS operating_income_growth,
+  CASE WHEN own THEN (own_fcf - last_value(own_fcf IGNORE NULLS) OVER wp) / abs(last_value(own_fcf IGNORE NULLS) OVER wp) ELSE (fsum - lag(fsum) OVER w) / abs(lag(fsum) OVER w) END AS fcf_growth,
+  gross_profit / revenue AS gross_margin, operating_income / revenue AS operating_margin, net_income / revenue AS net_margin, fcf / revenue AS fcf_margin, net_income / equity AS roe,
+  operating_income / abs(interest_expense) AS interest_coverage, tax_provision / pretax_income AS tax_rate
+FROM (SELECT *, ocf + capex AS fsum, CASE WHEN own THEN own_fcf ELSE ocf + capex END AS fcf FROM
+  (SELECT *, count(own_fcf) OVER (PARTITION BY ticker ORDER BY period_end ROWS UNBOUNDED PRECEDING) > 0 AS own FROM fund_items))
+WINDOW w AS (PARTITION BY ticker ORDER BY period_end), wp AS (PARTITION BY ticker ORDER BY period_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+VIEWS["company_info"] = """
+SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS ticker, CASE WHEN s_suppkey % 6 <> 5 THEN (s_suppkey + 1) * 1e6 END AS market_cap, CASE WHEN s_suppkey % 8 <> 7 THEN (s_suppkey + 1) * 1e4 END AS total_debt,
+  CASE WHEN s_suppkey % 5 <> 4 THEN s_acctbal / 300 END AS pe, CASE WHEN s_suppkey % 4 <> 3 THEN s_acctbal / 310 END AS forward_pe FROM supplier"""
+VIEWS["filing_texts"] = """
+SELECT doc_id, upper(source) AS ticker, CASE WHEN doc_id % 4 = 0 THEN '10-K' ELSE '10-Q' END AS filing_type, 'doc_' || doc_id || '.txt' AS source_file, 'A' || doc_id AS accession_number,
+  CASE WHEN doc_id % 3 = 0 THEN text ELSE 'CONTENTS' || chr(10) || 'Item 1. Business' || chr(10) || '3' || chr(10) || 'Risk Factors' || chr(10) || chr(10) || '17' || chr(10) || 'Business' || chr(10) || text
+    || chr(10) || 'Item 1A. Risk Factors' || chr(10) || text || chr(10) || 'Item 7. Management''s Discussion and Analysis' || chr(10) || text || chr(10) || 'Item 8. Financial Statements' || chr(10) || text END AS text
+FROM documents"""
+VIEWS["chunks"] = """
+SELECT source AS ticker, '10-K' AS filing_type, DATE '2015-01-01' + CAST(doc_id % 400 AS INTEGER) AS filing_date,
+  ['Risk Factors', 'Business', 'MD&A', 'Properties', 'News', 'Market Risk', ' Financial Statements '][doc_id % 7 + 1] AS section, 'c' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS chunk_id, 0 AS chunk_index, text,
+  'doc_' || doc_id || '.txt' AS source_file FROM documents"""
+
 _NAME = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
 
 

@@ -609,10 +609,10 @@ def p9(spark, sf):
 
 
 @query("v17_evaluate_period", f"""WITH {_CTP}, st AS (SELECT round(avg(excess), 9) AS mean_excess FROM trades),
-bx AS (SELECT pow(arg_max(close, date) / arg_min(close, date), 365.25 / (max(date) - min(date))) - 1 AS bc FROM bench WHERE pos BETWEEN (SELECT min(pos) FROM ctp) AND (SELECT max(pos) FROM ctp)),
-px AS (SELECT pow(arg_max(equity, date) / arg_min(equity, date), 365.25 / (max(date) - min(date))) - 1 AS pc FROM ctp),
+bnx AS (SELECT pow(arg_max(close, date) / arg_min(close, date), 365.25 / (max(date) - min(date))) - 1 AS bc FROM bench WHERE pos BETWEEN (SELECT min(pos) FROM ctp) AND (SELECT max(pos) FROM ctp)),
+pfx AS (SELECT pow(arg_max(equity, date) / arg_min(equity, date), 365.25 / (max(date) - min(date))) - 1 AS pc FROM ctp),
 t AS (SELECT t FROM ({nw_sql('(SELECT date_trunc(chr(109) || chr(111) || chr(110) || chr(116) || chr(104), entry_date) AS month, avg(excess) AS excess FROM trades GROUP BY 1)', '', 'month', 'excess', 1)}))
-SELECT mean_excess > 0 AS mean_excess_positive, coalesce(t >= 2.4, false) AS t_at_least_bar, pc > bc AS portfolio_beats_benchmark FROM st, bx, px, t""")
+SELECT mean_excess > 0 AS mean_excess_positive, coalesce(t >= 2.4, false) AS t_at_least_bar, pc > bc AS portfolio_beats_benchmark FROM st, bnx, pfx, t""")
 def v17(spark, sf):
     tr = trades_table(spark, sf)
     eq = pf.calendar_time_portfolio(tr.withColumn("scenario", F.lit("x")), bv.grid(spark, sf), bv.calendar(spark, sf), 3, 10)

@@ -294,3 +294,61 @@ def universe_history(spark: SparkSession, sf: str) -> DataFrame:
 
 def month_end_dates(spark: SparkSession, sf: str) -> DataFrame:
     return asof.month_ends(calendar(spark, sf), "1996-01-01").select("date")
+
+
+# --- statements ---------------------------------------------------------------------------------------
+
+@staged
+def statements(spark: SparkSession, sf: str) -> DataFrame:
+    """Annual statement rows per supplier from its yearly revenue, quantity, discount and tax."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    o = table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"))
+    q = (li.join(o, li.l_orderkey == o.o_orderkey).groupBy(F.col("l_suppkey").alias("k"), "y")
+         .agg(F.sum(cents("l_extendedprice")).alias("rev"), F.sum(cents("l_discount")).alias("disc"), F.sum(cents("l_tax")).alias("tax"),
+              F.sum(F.col("l_quantity").cast("long")).alias("qty"), F.count(F.lit(1)).alias("n")))
+    rev, qty, n, k = F.col("rev") / 100, F.col("qty"), F.col("n"), F.col("k")
+    ni = rev * (8 - F.col("disc") / n) / 100
+    item = lambda stmt, name, v: F.struct(F.lit(stmt).alias("statement"), name.alias("line_item"), v.cast("double").alias("value"))
+    lit = F.lit
+    rows = F.array(
+        item("income_stmt", F.when(k % 4 == 3, "TotalRevenue").otherwise("Total Revenue"), rev),
+        F.when(k % 9 == 0, item("income_stmt", lit("TotalRevenue"), rev * 2)),
+        item("income_stmt", lit("Gross Profit"), rev * 0.4 - qty), item("income_stmt", lit("Operating Income"), rev * 0.2 - qty * 2),
+        item("income_stmt", lit("Net Income"), F.when((k + F.col("y")) % 13 != 0, ni)),
+        item("income_stmt", F.when(k % 5 == 0, "Basic EPS").otherwise("Diluted EPS"), ni / (1000 + k)),
+        item("income_stmt", lit("Interest Expense"), -qty * 3), item("income_stmt", lit("Tax Provision"), qty * 5), item("income_stmt", lit("Pretax Income"), rev * 0.15),
+        item("cashflow", lit("Operating Cash Flow"), rev * (10 - F.col("tax") / n) / 100), item("cashflow", lit("Capital Expenditure"), -qty * 100),
+        F.when((k % 3 == 0) & (F.col("y") > 1996), item("cashflow", lit("Free Cash Flow"), rev * 0.05)),
+        item("balance_sheet", lit("Cash And Cash Equivalents"), qty * 500), item("balance_sheet", lit("Stockholders Equity"), rev * 0.5),
+        F.when(k % 7 != 0, item("balance_sheet", lit("Total Debt"), rev * 0.1)))
+    return q.select(ticker_of("k").alias("ticker"), F.make_date("y", lit(12), lit(31)).alias("period_end"), F.explode(F.array_compact(rows)).alias("r")) \
+            .select("ticker", "r.statement", "r.line_item", "period_end", "r.value")
+
+
+def company_info(spark: SparkSession, sf: str) -> DataFrame:
+    k, a = F.col("s_suppkey"), F.col("s_acctbal")
+    return table(spark, sf, "supplier").select(
+        ticker_of("s_suppkey").alias("ticker"), F.when(k % 6 != 5, (k + 1) * 1e6).alias("market_cap"), F.when(k % 8 != 7, (k + 1) * 1e4).alias("total_debt"),
+        F.when(k % 5 != 4, a / 300).alias("pe"), F.when(k % 4 != 3, a / 310).alias("forward_pe"))
+
+
+# --- filing texts -------------------------------------------------------------------------------------
+
+def filing_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents dressed as filings: a table of contents and four headed sections in two of three."""
+    i, t = F.col("doc_id"), F.col("text")
+    headed = F.concat(F.lit("CONTENTS\nItem 1. Business\n3\nRisk Factors\n\n17\nBusiness\n"), t, F.lit("\nItem 1A. Risk Factors\n"), t,
+                      F.lit("\nItem 7. Management's Discussion and Analysis\n"), t, F.lit("\nItem 8. Financial Statements\n"), t)
+    return table(spark, sf, "documents").select(
+        "doc_id", F.upper("source").alias("ticker"), F.when(i % 4 == 0, "10-K").otherwise("10-Q").alias("filing_type"), F.lit("2020-01-31").alias("filing_date"),
+        F.format_string("doc_%d.txt", i).alias("source_file"), F.format_string("A%d", i).alias("accession_number"), F.when(i % 3 == 0, t).otherwise(headed).alias("text"))
+
+
+def chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunk-shaped rows straight from the documents (one chunk each)."""
+    i = F.col("doc_id")
+    sec = F.array(*[F.lit(s) for s in ["Risk Factors", "Business", "MD&A", "Properties", "News", "Market Risk", " Financial Statements "]])
+    return table(spark, sf, "documents").select(
+        F.col("source").alias("ticker"), F.lit("10-K").alias("filing_type"), F.date_add(F.lit("2015-01-01").cast("date"), (i % 400).cast("int")).alias("filing_date"),
+        F.get(sec, (i % 7).cast("int")).alias("section"), F.format_string("c%06d", i).alias("chunk_id"), F.lit(0).alias("chunk_index"), "text",
+        F.format_string("doc_%d.txt", i).alias("source_file"))
