@@ -113,13 +113,13 @@ _FIELDS = {"return_20d": "return_4w", "return_60d": "return_12w", "return_252d":
            "price_vs_ma50": "price_vs_ma20"}
 VIEWS["score_in"] = f"""
 SELECT p.ticker, p.date, p.close, {', '.join(f'p.{v} AS {k}' for k, v in _FIELDS.items())}, p.fwd_return, p.fwd_excess, {', '.join(f'round(f.{c}, 8) AS {c}' for c in 'revenue_growth eps_growth net_margin roe fcf_margin fcf_growth fcf_yield'.split())},
-  round(f.net_debt, 2) AS net_debt, round(f.market_cap, 2) AS market_cap FROM panel p LEFT JOIN pit_fund f ON f.ticker = p.ticker AND f.date = p.date"""
+  round(f.net_debt, 4) AS net_debt, round(f.market_cap, 2) AS market_cap FROM panel p LEFT JOIN pit_fund f ON f.ticker = p.ticker AND f.date = p.date"""
 
 
 @bv.staged
 def score_input(spark, sf):
     f = pit_fund(spark, sf).select("ticker", "date", *[F.round(c, 8).alias(c) for c in "revenue_growth eps_growth net_margin roe fcf_margin fcf_growth fcf_yield".split()],
-                                   F.round("net_debt", 2).alias("net_debt"), F.round("market_cap", 2).alias("market_cap"))
+                                   F.round("net_debt", 4).alias("net_debt"), F.round("market_cap", 2).alias("market_cap"))
     p = bv.panel(spark, sf).select("ticker", "date", "close", *[F.col(v).alias(k) for k, v in _FIELDS.items()], "fwd_return", "fwd_excess")
     return p.join(f, ["ticker", "date"], "left")
 
@@ -165,12 +165,12 @@ def _part(profile: str, kind: str) -> str:
     return "round(" + " + ".join(f"coalesce({_r(f'{g} * {w[g]}')}, 0)" for g in sc.GROUPS if g.startswith(kind)) + ", 4) + 0.0"
 
 
-@query("r1_r2_normalised_fields", "SELECT ticker, date, " + ", ".join(f"round(n_{n}, 9) + 0.0 AS {n}" for n in _NORM) + " FROM normed")
+@query("r1_r2_normalised_fields", "SELECT ticker, date, " + ", ".join(f"round(n_{n}, 8) + 0.0 AS {n}" for n in _NORM) + " FROM normed")
 def r1(spark, sf):
     x = score_input(spark, sf)
     cols = {n: (sc.normalize_market(n, F.col(n)) if n in _FIELDS else sc.normalize_fundamental(n, F.col(n))) for n in _NORM if n != "ndm"}
     cols["ndm"] = sc.normalize_fundamental("net_debt_to_market_cap", F.col("net_debt") / F.expr("nullif(market_cap, 0)"))
-    return tidy(x.select("ticker", "date", *[c.alias(n) for n, c in cols.items()]), digits=9)
+    return tidy(x.select("ticker", "date", *[c.alias(n) for n, c in cols.items()]), digits=8)
 
 
 def _fit_sql(days: int) -> str:
