@@ -161,12 +161,11 @@ def walk_forward_rank(x: DataFrame, folds: DataFrame, features: Sequence[str], m
 
 
 def rank_average(preds: DataFrame, scores: Sequence[str], out: str = "score_ensemble") -> DataFrame:
-    """Mean of the per-date ranks of several scores."""
-    x = preds
-    for s in scores:
-        x = percent_rank_average(x, ["date"], s, f"_q_{s}")
-    total = sum((F.col(f"_q_{s}") for s in scores[1:]), F.col(f"_q_{scores[0]}"))
-    return x.withColumn(out, total / len(scores)).drop(*[f"_q_{s}" for s in scores])
+    """Mean of the per-date ranks of several scores, ranked together in one pass; null if any score is."""
+    long = preds.select("date", "ticker", *[F.col(s).cast("double").alias(s) for s in scores]).unpivot(["date", "ticker"], list(scores), "_s", "_v")
+    wide = percent_rank_average(long, ["date", "_s"], "_v", "_q").groupBy("date", "ticker").pivot("_s", list(scores)).agg(F.max("_q"))
+    total = sum((F.col(s) for s in scores[1:]), F.col(scores[0]))
+    return preds.join(wide.select("date", "ticker", (total / len(scores)).alias(out)), ["date", "ticker"])
 
 
 # --- meta-labels -----------------------------------------------------------------------------------------------

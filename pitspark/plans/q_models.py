@@ -17,7 +17,7 @@ from .q_prices import _candidates
 from .q_stats import _AS_MODEL, avg_rank, model_panel, unit_rank_sql
 
 FEATS = list(_AS_MODEL)
-MIN_TRAIN, TEST, EVERY = 20, 8, bv.EVERY
+MIN_TRAIN, TEST, EVERY = 20, 12, bv.EVERY
 
 # --- M ------------------------------------------------------------------------------------------------------
 
@@ -157,13 +157,21 @@ def m11(spark, sf):
     return tidy(mo.expected_annualized_return(rows, 0.3, -0.1), "s_suppkey", "p_hit_12m", "median_months", "expected_return", "expected_annualized_return")
 
 
+@bv.staged
+def variant_scores(spark, sf):
+    """Every model's out-of-fold score on the rows all of them cover."""
+    p = bv.panel(spark, sf).select("date", "ticker", "fwd_excess", "fwd_return", "momentum")
+    x = p.join(predictions(spark, sf).select("date", "ticker", "score_ml", "score_linear"), ["date", "ticker"]).join(rank_predictions(spark, sf).select("date", "ticker", "score_rank_model"), ["date", "ticker"])
+    return mo.rank_average(x, ["score_ml", "score_linear", "score_rank_model"])
+
+
+VARIANTS = ["score_ml", "score_linear", "score_rank_model", "score_ensemble", "momentum"]
+
+
 @query("m12_variant_grid")
 def m12(spark, sf):
     """Models x scores on the same out-of-fold rows: IC statistics per variant."""
-    p = bv.panel(spark, sf).select("date", "ticker", "fwd_excess", "momentum")
-    x = p.join(predictions(spark, sf).select("date", "ticker", "score_ml", "score_linear"), ["date", "ticker"]).join(rank_predictions(spark, sf).select("date", "ticker", "score_rank_model"), ["date", "ticker"])
-    x = mo.rank_average(x, ["score_ml", "score_linear", "score_rank_model"])
-    return tidy(st.evaluate_signals(x, ["score_ml", "score_linear", "score_rank_model", "score_ensemble", "momentum"], bv.LABEL, EVERY))
+    return tidy(st.evaluate_signals(variant_scores(spark, sf), VARIANTS, bv.LABEL, EVERY))
 
 
 @query("m13_feature_check", "SELECT column_name AS feature, column_name IN ('fwd_return', 'fwd_excess', 'label', 'date', 'ticker', 'target') OR starts_with(column_name, 'fwd_') OR starts_with(column_name, 'score_') AS forbidden, n AS known_rows "
