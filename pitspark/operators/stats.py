@@ -11,9 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scalars import with_scalars
 from ..functions.classify import normal_cdf, normal_ppf, score_label
+from ..session import cut_lineage
 from .ranks import average_rank, equal_count_bucket, exact_quantiles, positions, row_position
+from .scalars import with_scalars
 
 
 def ranked_pairs(df: DataFrame, by: Sequence[str], x: str, y: str, ident: str) -> DataFrame:
@@ -90,7 +91,8 @@ def embargo_dates(hold: int, every: int) -> int:
 
 
 def evaluate_signals(panel: DataFrame, signals: Sequence[str], label_days: int, every: int, label: str = "fwd_excess") -> DataFrame:
-    return summarize(per_date_metrics(panel, [s for s in signals if s in panel.columns], label), overlap_lags(label_days, every))
+    per_date = cut_lineage(per_date_metrics(panel, [s for s in signals if s in panel.columns], label))     # one row per signal and date
+    return summarize(per_date, overlap_lags(label_days, every))
 
 
 def _spread_of_values(df: DataFrame, by: str, label: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import classify as cl
 from ..operators import asof, facts as fx, features as ft, holdings as hd, insider as ins, universe as un
 from ..sources import bench as bv
 from .catalog import query, rounded, tidy

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
-from ..functions import score as sc
-from ..operators import asof, facts as fx, features as ft, insider as ins, models as mo, outcomes as oc, protocol as pr, resample as rs, rules as ru, sinks as sk, stats as st, xsection as xs
+from ..operators import facts as fx, features as ft, insider as ins, models as mo, outcomes as oc, protocol as pr, rules as ru, sinks as sk, stats as st, xsection as xs
 from ..session import stage
 from ..sources import bench as bv, scans as sn
 from .catalog import query, rounded, tidy

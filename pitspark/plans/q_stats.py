@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import asof, outcomes as oc, portfolio as pf, resample as rs, stats as st, xsection as xs
-from ..operators.ranks import average_rank, equal_count_bucket, percent_rank_average
+from ..operators.ranks import equal_count_bucket, percent_rank_average
 from ..sources import bench as bv
 from .catalog import query, rounded, tidy
 from .oracle_views import VIEWS
@@ -624,7 +624,6 @@ def _period_stats(spark, sf, tr, eq):
 
     span = eq.agg(F.min("pos").alias("_a"), F.max("pos").alias("_z"))
     bench = bv.bench_grid(spark, sf).transform(with_scalars, span).filter(F.col("pos").between(F.col("_a"), F.col("_z")))
-    one = lambda df: df.groupBy()
     parts = tr.agg(F.round(F.avg("excess"), 9).alias("mean_excess"))
     parts = parts.transform(with_scalars, st.trade_tstat(tr, 8).select(F.col("t").alias("nw_t")))
     parts = parts.transform(with_scalars, rs.bootstrap_ratio(tr.withColumn("m", F.trunc("entry_date", "month")), "m", "excess", 500).select("ci_low", "ci_high"))

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, facts as fx, features as ft, insider as ins, portfolio as pf, protocol as pr, ranking as rk, stats as st
+from ..operators import asof, facts as fx, insider as ins, portfolio as pf, protocol as pr, ranking as rk
 from ..sources import bench as bv
 from . import studies as sd
-from .catalog import query, rounded, tidy
+from .catalog import query, tidy
 from .oracle_views import VIEWS
-from .q_app import _FIX, pit_fund, score_input, view_sql
+from .q_app import _FIX
 from .q_filings import _screen
-from .q_models import EVERY, VARIANTS, variant_scores
+from .q_models import VARIANTS, variant_scores
 from .q_prices import _TECH_SQL, W, _candidates
-from .q_stats import SIGNALS, _port_sql, outcome_table, registry_returns, trades_table
+from .q_stats import SIGNALS, _port_sql, outcome_table
 
 PERIODS = ("1996-01-01", "1999-12-31", "2000-01-01")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import text as tx
+from ..session import cut_lineage
 from ..sources import bench as bv
 from .catalog import query, tidy
 from .oracle_views import VIEWS
@@ -14,7 +15,7 @@ from .oracle_views import VIEWS
 
 @query("d1_html_to_text")
 def d1(spark, sf):
-    return tx.html_to_text(bv.table(spark, sf, "pages").select("page_id", "html"), "html").select("page_id", "text")
+    return tx.html_to_text(bv.spread(bv.table(spark, sf, "pages")).select("page_id", "html"), "html").select("page_id", "text")
 
 
 def _class_sql(line: str) -> str:
@@ -84,7 +85,7 @@ def d5(spark, sf):
 
 @query("d6_split_into_chunks")
 def d6(spark, sf):
-    d = tx.split_into_chunks(bv.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    d = tx.split_into_chunks(bv.spread(bv.table(spark, sf, "documents")).select("doc_id", "text"), "text")
     return d.select("doc_id", "chunk_index", F.length("chunk_text").alias("chars"), F.md5("chunk_text").alias("digest"))
 
 
@@ -130,9 +131,14 @@ VIEWS["tfidf"] = """
 SELECT accession, term, w / sqrt(sum(w * w) OVER (PARTITION BY accession)) AS weight FROM (SELECT accession, term, (1 + ln(tf)) * idf AS w FROM tok JOIN idf USING (term))"""
 
 
+@bv.staged
+def token_counts(spark, sf):
+    """Word counts per filing, tokenised once for every query that reads them."""
+    return tx.term_counts(bv.sections(spark, sf), "accession", "risk_factors", STOP_WORDS)
+
+
 def _counts(spark, sf):
-    s = bv.sections(spark, sf)
-    return s, tx.term_counts(s, "accession", "risk_factors", STOP_WORDS)
+    return bv.sections(spark, sf).drop("risk_factors", "mdna"), token_counts(spark, sf)
 
 
 @query("d11_tfidf_fit", "SELECT term, round(idf, 6) + 0.0 AS idf FROM idf")
@@ -160,7 +166,8 @@ def d12(spark, sf):
     ref = s.filter(F.col("filing_date") < "2014-01-01").select("accession")
     idf = tx.fit_idf(counts.join(ref, "accession", "left_semi"), ref, "accession")
     pairs = tx.year_ago_filing(s.select("cik", "accession", "form", "filing_date", "report_date")).filter(F.col("prior_accession").isNotNull()).select("accession", "prior_accession")
-    return tidy(tx.cosine_pairs(pairs, tx.tfidf_weights(counts, idf, "accession"), "accession", "prior_accession", "accession", "sim"))
+    weights = cut_lineage(tx.tfidf_weights(counts, idf, "accession"))
+    return tidy(tx.cosine_pairs(pairs, weights, "accession", "prior_accession", "accession", "sim"))
 
 
 @bv.staged

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import score as sc
-from ..operators import asof, facts as fx, features as ft, fundamentals as fu, holdings as hd, insider as ins, models as mo, outcomes as oc, portfolio as pf, resample as rs, rules as ru, stats as st, text as tx, xsection as xs
+from ..operators import asof, facts as fx, features as ft, fundamentals as fu, holdings as hd, insider as ins, models as mo, outcomes as oc, portfolio as pf, resample as rs, stats as st, text as tx, xsection as xs
 from ..operators.scalars import with_scalars
 from ..session import cut_lineage
 
@@ -103,8 +103,6 @@ def event_study(events: DataFrame, membership: DataFrame, outcome_table: DataFra
     port = st.portfolio_metrics(eq, ["scenario"]).select(F.col("scenario").alias("period"), "cagr", "sharpe", "max_drawdown")
     spans = eq.groupBy("scenario").agg(F.avg("exposure").alias("_x"), F.min("pos").alias("_a"), F.max("pos").alias("_z"))
     b = spans.select("*", F.explode(F.sequence("_a", "_z")).alias("pos")).join(bench_grid.select("pos", "date", "close"), "pos")
-    from pyspark.sql import Window
-
     w = Window.partitionBy("scenario").orderBy("pos")
     b = b.withColumn("_r", F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0))) \
          .withColumn("equity", F.product(1 + F.col("_x") * F.col("_r")).over(w.rowsBetween(Window.unboundedPreceding, 0)))

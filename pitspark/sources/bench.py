@@ -29,6 +29,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give work that is heavy per row every core: a scan of fewer splits than cores is redistributed.
+
+    A large table has more splits than that and passes through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ticker_of(key: str):
     return F.concat(F.lit("S"), F.lpad(F.col(key).cast("string"), 9, "0"))
 
@@ -258,7 +267,7 @@ def sections(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("doc_id")
     step = (i / 20).cast("int")
     filed = F.date_add(F.lit("2008-01-15").cast("date"), (step % 40 * 91 + i % 20 % 3).cast("int"))
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         src.alias("cik"), F.concat(F.lit("A"), i.cast("string")).alias("accession"),
         F.when(step % 4 == 3, "10-K").otherwise("10-Q").alias("form"), filed.alias("filing_date"),
         F.when(i % 9 != 0, F.date_sub(filed, 40)).alias("report_date"),
@@ -283,13 +292,11 @@ def book_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 @staged
 def universe_history(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import functions as f
-
     from ..operators import holdings as hd
 
     sel = hd.resolve(hd.select_positions(book_changes(spark, sf)), cusip_map(spark, sf))
-    return sel.select(*hd.HISTORY, f.col("name_of_issuer").alias("company_name"), hd.status_view(f.col("status"), 0).alias("view_direction"),
-                      hd.status_view(f.col("status"), 1).alias("confidence"))
+    return sel.select(*hd.HISTORY, F.col("name_of_issuer").alias("company_name"), hd.status_view(F.col("status"), 0).alias("view_direction"),
+                      hd.status_view(F.col("status"), 1).alias("confidence"))
 
 
 def month_end_dates(spark: SparkSession, sf: str) -> DataFrame:
@@ -339,7 +346,7 @@ def filing_texts(spark: SparkSession, sf: str) -> DataFrame:
     i, t = F.col("doc_id"), F.col("text")
     headed = F.concat(F.lit("CONTENTS\nItem 1. Business\n3\nRisk Factors\n\n17\nBusiness\n"), t, F.lit("\nItem 1A. Risk Factors\n"), t,
                       F.lit("\nItem 7. Management's Discussion and Analysis\n"), t, F.lit("\nItem 8. Financial Statements\n"), t)
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", F.upper("source").alias("ticker"), F.when(i % 4 == 0, "10-K").otherwise("10-Q").alias("filing_type"), F.lit("2020-01-31").alias("filing_date"),
         F.format_string("doc_%d.txt", i).alias("source_file"), F.format_string("A%d", i).alias("accession_number"), F.when(i % 3 == 0, t).otherwise(headed).alias("text"))
 
@@ -348,7 +355,7 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Chunk-shaped rows straight from the documents (one chunk each)."""
     i = F.col("doc_id")
     sec = F.array(*[F.lit(s) for s in ["Risk Factors", "Business", "MD&A", "Properties", "News", "Market Risk", " Financial Statements "]])
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         F.col("source").alias("ticker"), F.lit("10-K").alias("filing_type"), F.date_add(F.lit("2015-01-01").cast("date"), (i % 400).cast("int")).alias("filing_date"),
         F.get(sec, (i % 7).cast("int")).alias("section"), F.format_string("c%06d", i).alias("chunk_id"), F.lit(0).alias("chunk_index"), "text",
         F.format_string("doc_%d.txt", i).alias("source_file"))

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pitspark.operators import asof, features as ft, outcomes as oc
+from pitspark.operators import features as ft, outcomes as oc
 
 D0 = dt.date(2024, 1, 1)
 

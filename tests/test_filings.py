@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from pitspark.operators import facts as fx, holdings as hd, insider as ins, rules as ru, sinks as sk, universe as un
 

@@ -6,7 +6,6 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from pitspark.functions import classify as cl, score as sc
 from pitspark.operators import portfolio as pf, resample as rs, stats as st
