@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import score as sc
+from ..functions import classify as cl, score as sc
 from ..operators import asof, facts as fx, features as ft, fundamentals as fu, holdings as hd, insider as ins, models as mo, outcomes as oc, portfolio as pf, resample as rs, stats as st, text as tx, xsection as xs
 from ..operators.scalars import with_scalars
 from ..session import cut_lineage
@@ -43,7 +43,7 @@ def build_panel(membership: DataFrame, bars: DataFrame, benchmark: DataFrame, gr
     rank = sc.rank_score(F.col("score_full"), inst, None)
     cap = F.log(F.when(F.col("market_cap") > 0, F.col("market_cap"))) if "market_cap" in x.columns else F.lit(None).cast("double")
     return out.withColumns({"has_fundamentals": known, "log_market_cap": cap, "low_volatility": -F.col("volatility_60d"), "institutional_direction_score": inst, "score_rank": rank,
-                            "label": sc.score_label(rank)})
+                            "label": cl.score_label(rank)})
 
 
 _TECHNICAL = {f for g, fs in sc.GROUP_FIELDS.items() if g.startswith("technical_") for f in fs}
