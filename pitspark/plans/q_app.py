@@ -108,7 +108,7 @@ def u7(spark, sf):
 
 # --- the scored panel -----------------------------------------------------------------------------------------
 
-# Weekly bars stand in for days: the field names keep the reference horizons.
+# Weekly bars stand in for days: the field names keep the daily horizons.
 _FIELDS = {"return_20d": "return_4w", "return_60d": "return_12w", "return_252d": "return_52w", "volatility_60d": "volatility_12w", "volume_ratio": "volume_ratio",
            "price_vs_ma50": "price_vs_ma20"}
 VIEWS["score_in"] = f"""

@@ -233,6 +233,15 @@ def i2(spark, sf):
     return hd.active_manager_features(x, _positions(spark, sf)).select("ticker", "date", "insider_buyers_90d", "active_new_or_add")
 
 
+@query("i3_transaction_source", """
+SELECT trans_code, count(*) AS rows, count(DISTINCT issuer_cik) AS issuers, round(sum(value), 2) + 0.0 AS value FROM tx WHERE issuer_cik % 2 = 0 GROUP BY 1""")
+def i3(spark, sf):
+    """The per-issuer table chosen over the bulk one; same columns either way."""
+    tx = bv.transactions(spark, sf)
+    return tidy(sn.load_transactions(spark, "issuer", bulk=tx, per_issuer=tx.filter("issuer_cik % 2 = 0")).groupBy("trans_code").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("issuer_cik").alias("issuers"), F.sum("value").alias("value")), digits=2)
+
+
 # --- S: scans over files Spark writes from the tables -------------------------------------------------------------
 
 def _written(spark, sf, name, write):

@@ -84,3 +84,8 @@ def test_threshold_takes_all_unless_a_cut_is_better(spark):
     df = spark.createDataFrame(rows, "p_target double, r_multiple double")
     assert mo.choose_threshold(df, min_trades=30) >= 0.7
     assert mo.choose_threshold(df.withColumn("r_multiple", F.lit(0.5)), min_trades=30) == 0.0
+
+
+def test_overlap_lags_and_embargo():
+    assert [st.overlap_lags(63, 21), st.overlap_lags(20, 21), st.overlap_lags(64, 21)] == [2, 0, 3]
+    assert [st.embargo_dates(10, 5), st.embargo_dates(11, 5)] == [3, 4]
