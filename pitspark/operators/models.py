@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import stats as st
-from .ranks import percent_rank_average
+from .ranks import exact_quantiles, percent_rank_average
 from .scalars import with_scalars
 from .xsection import check_features, feature_matrix, relevance_grade, target_rank
 
@@ -187,10 +187,11 @@ def _probability(model, df: DataFrame, features: Sequence[str], out: str = "p_ta
 
 def choose_threshold(scored: DataFrame, r: str = "r_multiple", p: str = "p_target", min_trades: int = 50) -> float:
     """The probability cut-off with the best mean R among fixed quantiles; 0 (take all) unless one beats it."""
-    cuts = scored.agg(*[F.percentile(p, F.lit(q)).alias(f"q{i}") for i, q in enumerate(THRESHOLD_QUANTILES)], F.avg(r).alias("all")).first()
+    cuts = exact_quantiles(scored, [], p, {f"q{i}": q for i, q in enumerate(THRESHOLD_QUANTILES)}).first()
+    overall = scored.agg(F.avg(r).alias("all")).first()["all"]
     rows = scored.agg(*[F.avg(F.when(F.col(p) >= cuts[f"q{i}"], F.col(r))).alias(f"m{i}") for i in range(len(THRESHOLD_QUANTILES))],
                       *[F.count_if(F.col(p) >= cuts[f"q{i}"]).alias(f"n{i}") for i in range(len(THRESHOLD_QUANTILES))]).first()
-    best, level = cuts["all"], 0.0
+    best, level = overall, 0.0
     for i in range(len(THRESHOLD_QUANTILES)):
         if rows[f"n{i}"] >= min_trades and rows[f"m{i}"] is not None and rows[f"m{i}"] > best:
             best, level = rows[f"m{i}"], float(cuts[f"q{i}"])
