@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, lm_scoring, mixing, near_dedup, quality, suffix_dedup, token_counts, vector_dedup
-from .shared import table
+from . import extraction, lm_scoring, mixing, near_dedup, quality, suffix_dedup, token_counts, toxicity, vector_dedup
+from .shared import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +46,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, model)
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score(documents, model).select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", "predicted", "flagged")
+
+
 @query("op6_html_extraction")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
