@@ -110,7 +110,9 @@ def laid_out(docs: DataFrame) -> DataFrame:
 
 
 def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row ``doc_id, size, source, source_size, target, taken, times_low, times_high``: what the mix takes of it.
+    """Per row ``doc_id, tie, size, source, source_size, target, taken, times_low, times_high``: what the mix takes of it.
+
+    ``tie`` is xxhash64 of the text, which tells rows of one id apart.
 
     ``taken`` are the words taken, repeats counted; ``times_low`` and ``times_high`` the least and most
     often that a part of the document is taken. A null text has size 0 and nothing is taken of it; null
@@ -120,18 +122,33 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
                                     n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie")))
     p = written(plan(docs))
     times = schedule(p).groupBy("key", "block").agg(F.count("*").alias("times"))
-    lines = written(laid_out(docs).drop("tie").join(p.select("key", "source_size", "target", "length"), "key"))
+    lines = written(laid_out(docs).join(p.select("key", "source_size", "target", "length"), "key"))
     end, b, length = F.col("start") + F.col("size"), F.col("block"), F.col("length")
     pieces = lines.where("size > 0").select("*", F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((end - 1) / length))).alias("block"))
     words = F.least(end, (b + 1) * length) - F.greatest(F.col("start"), b * length)
     got = pieces.withColumn("words", words).join(times, ["key", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
-    each = ["doc_id", "size", "source", "source_size", "target"]
+    each = ["doc_id", "tie", "size", "source", "source_size", "target"]
     taken = got.groupBy(*each, "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.min("times").alias("times_low"), F.max("times").alias("times_high"))
     zero = F.lit(0).cast("long")
     none = lines.where("size = 0").select(*each, zero.alias("taken"), zero.alias("times_low"), zero.alias("times_high"))
     return taken.drop("start").unionByName(none)
 
 
+def mixed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: the rows of ``documents``, each as many times as the mix takes it, 0 to 3 times.
+
+    Blocks are taken in order, so a document is taken equally often throughout, but for the one at the end of
+    a source's last round; that one goes by the nearest whole number. Rows without a word are in no block.
+    Rows equal in id, source and text share what is taken of all of them evenly.
+    """
+    took = mix(documents, id_col, text_col, source_col).where("size > 0")
+    key = F.struct(F.col("doc_id").alias("i"), F.col("tie").alias("t"), F.col("source").alias("s"))
+    took = took.groupBy(key.alias("_key")).agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_n")).where("_n > 0")
+    keyed = documents.withColumn("_key", F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("t"), F.col(source_col).alias("s")))
+    times = keyed.join(took, "_key").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return times.select(*documents.columns)
+
+
 #: The query on these tables: the same schedule, point by point, as one statement.
 MIX_SQL = f"""
 WITH docs AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),

@@ -176,14 +176,15 @@ def score(df: DataFrame, model: QualityModel, threshold: float = THRESHOLD, keep
     names = [n for n in keep if n not in dict(results)]
     schema = T.StructType([df.schema[n] for n in names] + [T.StructField(n, t) for n, t in results])
     shared = df.sparkSession.sparkContext.broadcast(model)
+    at = names.index(text_col) if text_col in names else len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(batch.column(len(names))):
+            for s in slices(batch.column(at)):
                 counts = rule_counts(s)
                 failed, p = base_failed(counts), shared.value.probability(s)
                 columns = [*(pa.array(counts[n].astype(np.int64)) for n in COUNTS), pa.array(failed), pa.array(~failed & (p >= threshold)), pa.array(p)]
                 rows = [batch.column(i).slice(s.first, s.count) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*rows, *columns], names=schema.names)
 
-    return df.select(*names, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return df.select(*names, *([] if text_col in names else [F.col(text_col).alias("_text")])).mapInArrow(run, schema)

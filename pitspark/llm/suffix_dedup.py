@@ -220,14 +220,24 @@ def repeated(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY) -> DataF
     return whole.union(small).union(large)
 
 
-def remove_repeats(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, heavy: int = HEAVY) -> DataFrame:
+def _character(data: bytes, at: int, forward: bool) -> int:
+    """The nearest place between two characters, after ``at`` or before it."""
+    while at < len(data) and data[at] & 0xC0 == 0x80:
+        at += 1 if forward else -1
+    return at
+
+
+def remove_repeats(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, heavy: int = HEAVY, as_text: bool = False) -> DataFrame:
     """The columns ``keep`` with ``n_bytes, n_removed`` (long), ``spans`` (removed stretches ``start, end``, maximal, in order) and ``kept`` (the remaining bytes).
 
+    With ``as_text`` the last column is ``text`` instead: the text without the characters whose bytes are all
+    removed; a character that a stretch cuts through stays whole.
+
     Strings are judged on the input as it is, within and across documents; matches never cross documents.
     A null text is empty. Rows that repeat an id, or are equal throughout, are separate documents, and so
     repeat each other. Other columns are left out; a kept column with the name of a result is replaced by it.
     """
-    results = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "spans": T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])), "kept": T.BinaryType()}
+    results = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "spans": T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])), "text" if as_text else "kept": T.StringType() if as_text else T.BinaryType()}
     names = [n for n in keep if n not in results]
     schema = T.StructType([df.schema[n] for n in names] + [T.StructField(n, t) for n, t in results.items()])
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -248,11 +258,14 @@ def remove_repeats(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: s
                     else:
                         merged.append(one)
                 edges = [0, *(e for m in merged for e in (m["start"], m["end"])), len(data)]
+                removed = sum(m["end"] - m["start"] for m in merged)
+                if as_text:
+                    edges[1:-1] = [_character(data, e, i % 2 == 0) for i, e in enumerate(edges[1:-1])]
                 rest = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                for column, x in zip((n_bytes, n_removed, spans, kept), (len(data), len(data) - len(rest), merged, rest), strict=True):
+                for column, x in zip((n_bytes, n_removed, spans, kept), (len(data), removed, merged, rest.decode() if as_text else rest), strict=True):
                     column.append(x)
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(at)), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(at)), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string() if as_text else pa.binary())], names=schema.names)
 
     rows = df.select(*[F.col(n).alias(f"c{i}") for i, n in enumerate(names)], text.alias("_text"), *key).join(lists, ["k1", "k2"], "left")
     return rows.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], "_text", "_cut").mapInArrow(run, schema)
