@@ -164,11 +164,11 @@ def statement_lag_gate(rows: DataFrame, as_of: Column, lag_days: int = 90, perio
 
 
 def year_ago_filing(filings: DataFrame, by: Sequence[str] = ("cik", "form")) -> DataFrame:
-    """``prior_accession``: the comparable filing of a year earlier.
+    """``prior_accession``: the comparable filing of a year earlier, as known when the filing was made.
 
     Annual reports look 300-430 days back by filing date. Quarterly reports look 350-380 days back
-    by period end, else 330-400 days back by filing date. "Latest match in a band" is an as-of match
-    at the band's near edge that must not be older than its far edge, so a hot filer costs no pairs.
+    by period end, else 330-400 days back by filing date. Of the matches filed on an earlier day, the last one
+    filed counts (of equal days the larger accession); a filing made on the same day or later is never taken.
     """
     by = list(by)
     base = filings.withColumn("_id", F.col("accession"))
@@ -179,10 +179,24 @@ def year_ago_filing(filings: DataFrame, by: Sequence[str] = ("cik", "form")) ->
         hit = asof_join(probe, build, by, "_at", "_when", ["_filed", out], tiebreak=["_filed", out], max_age=far - near)
         return hit.select("_id", out)
 
+    def by_period(near: int, far: int, out: str) -> DataFrame:
+        """Two bounds: the period end in its band, the filing date before the asking one.
+
+        Blocks of as many days as the band is wide make the join an equality; a block holds one row per
+        filer, period end and filing date, which the calendar bounds.
+        """
+        width = far - near + 1
+        block = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / width)
+        known = base.filter("report_date IS NOT NULL")
+        asked = known.select(*by, "_id", "filing_date", F.date_sub("report_date", far).alias("_lo"), F.date_sub("report_date", near).alias("_hi"))
+        asked = asked.withColumn("_block", F.explode(F.array_distinct(F.array(block(F.col("_lo")), block(F.col("_hi"))))))
+        build = known.groupBy(*by, F.col("report_date").alias("_when"), F.col("filing_date").alias("_filed")).agg(F.max("accession").alias(out)).withColumn("_block", block(F.col("_when")))
+        met = asked.join(build, [*by, "_block"]).filter(F.col("_when").between(F.col("_lo"), F.col("_hi")) & (F.col("_filed") < F.col("filing_date")))
+        return met.groupBy("_id").agg(F.max_by(out, F.struct("_filed", out)).alias(out))
+
     annual = band("filing_date", 300, 430, "_annual")
-    by_period = band("report_date", 350, 380, "_by_period")
     by_filed = band("filing_date", 330, 400, "_by_filed")
-    return (base.join(annual, "_id", "left").join(by_period, "_id", "left").join(by_filed, "_id", "left")
+    return (base.join(annual, "_id", "left").join(by_period(350, 380, "_by_period"), "_id", "left").join(by_filed, "_id", "left")
             .withColumn("prior_accession", F.when(F.col("form") == "10-K", F.col("_annual"))
                         .otherwise(F.coalesce("_by_period", "_by_filed")))
             .drop("_id", "_annual", "_by_period", "_by_filed"))

@@ -100,21 +100,23 @@ def _top(df: DataFrame, by: list[str], order: list[Column], k: int, out: str = "
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(out) <= k)
 
 
-def select_positions(changes: DataFrame, top: int = 30, movers: int = 10, pool: int = 300) -> DataFrame:
-    """Largest positions, biggest adds (new first) and biggest cuts (exits first) of every filing."""
+def select_positions(changes: DataFrame, top: int = 30, movers: int = 10, pool: int | None = None) -> DataFrame:
+    """Largest positions, biggest adds (new first) and biggest cuts (exits first) of every filing.
+
+    ``pool`` limits adds and cuts to positions among so many largest of a filing, by their value or, for
+    exits, their previous one: smaller ones are then taken for noise. Without it every position counts.
+    """
     by_value = [F.col("value").desc(), F.col("cusip")]
-    held = changes.filter(F.col("status") != "EXITED")
-    pooled = _top(held, BOOK, by_value, pool, "value_rank")
-    largest = pooled.filter(F.col("value_rank") <= top).drop("value_rank")
-    adds = _top(pooled.filter(F.col("status").isin("NEW", "ADDED")), BOOK,
-                [F.col("adjusted_change").desc_nulls_first(), *by_value], movers).drop("_rn", "value_rank")
-    # A position counted among last quarter's largest is judged by its previous value.
-    prev_pool = _top(changes.filter(F.col("prev_value").isNotNull()), BOOK, [F.col("prev_value").desc(), F.col("cusip")], pool, "_prev_rank")
-    exits = prev_pool.filter(F.col("status") == "EXITED").drop("_prev_rank")
-    cuts = _top(exits.unionByName(pooled.filter(F.col("status") == "REDUCED").drop("value_rank")), BOOK,
+    held, known = changes.filter(F.col("status") != "EXITED"), changes.filter(F.col("prev_value").isNotNull())
+    pooled, prev_pool = held, known
+    if pool is not None:
+        pooled = _top(held, BOOK, by_value, pool).drop("_rn")
+        prev_pool = _top(known, BOOK, [F.col("prev_value").desc(), F.col("cusip")], pool).drop("_rn")
+    largest = _top(held, BOOK, by_value, top if pool is None else min(top, pool)).drop("_rn")
+    adds = _top(pooled.filter(F.col("status").isin("NEW", "ADDED")), BOOK, [F.col("adjusted_change").desc_nulls_first(), *by_value], movers).drop("_rn")
+    cuts = _top(prev_pool.filter(F.col("status") == "EXITED").unionByName(pooled.filter(F.col("status") == "REDUCED")), BOOK,
                 [F.col("adjusted_change").asc_nulls_first(), F.col("prev_value").desc(), F.col("cusip")], movers).drop("_rn")
-    rows = largest.unionByName(adds).unionByName(cuts)
-    return latest_per_key(rows, [*BOOK, "cusip"], ["status"])
+    return latest_per_key(largest.unionByName(adds).unionByName(cuts), [*BOOK, "cusip"], ["status"])
 
 
 def status_view(status: Column, slot: int) -> Column:
@@ -151,9 +153,9 @@ def describe(status: Column, rank: Column) -> Column:
 
 
 def build_mentions(changes: DataFrame, selected: DataFrame, cusips: DataFrame, institutions: DataFrame) -> DataFrame:
-    """Mention rows of the selected positions: view, confidence, description, evidence."""
-    ranked = _top(changes.filter(F.col("status") != "EXITED"), BOOK, [F.col("value").desc(), F.col("cusip")], 300, "value_rank") \
-        .select(*BOOK, "cusip", "value_rank")
+    """Mention rows of the selected positions: view, confidence, description with the rank by value, evidence."""
+    by_value = Window.partitionBy(*BOOK).orderBy(F.col("value").desc(), F.col("cusip"))      # one filing's book
+    ranked = changes.filter(F.col("status") != "EXITED").select(*BOOK, "cusip", F.row_number().over(by_value).alias("value_rank"))
     s = F.col("status")
     rows = resolve(selected, cusips).join(ranked, [*BOOK, "cusip"], "left").join(institutions, "cik", "left")
     return rows.select(
@@ -237,11 +239,10 @@ def book_values(holdings: DataFrame, filings: DataFrame, dates: DataFrame, max_a
 
 
 def pit_broad_universe(holdings: DataFrame, history: DataFrame, filings: DataFrame, dates: DataFrame, cusips: DataFrame, top_n: int = 500,
-                       pool: int = 800, max_age: int = 200) -> DataFrame:
+                       max_age: int = 200) -> DataFrame:
     """The largest ``top_n`` stocks per date by summed 13F value, funds removed, cusips merged to tickers."""
     books = book_values(holdings, filings, dates, max_age)
-    cand = _top(books, ["date"], [F.col("total_13f_value").desc(), F.col("cusip")], pool).drop("_rn")
-    named = resolve(cand, cusips).withColumn("_key", F.coalesce("ticker", F.concat(F.lit("CUSIP:"), "cusip")))
+    named = resolve(books, cusips).withColumn("_key", F.coalesce("ticker", F.concat(F.lit("CUSIP:"), "cusip")))
     best = F.struct(-F.col("total_13f_value"), F.col("cusip"))
     members = named.groupBy("date", "_key").agg(
         F.first("ticker").alias("ticker"), F.min_by("cusip", best).alias("cusip"), F.sum("total_13f_value").alias("total_13f_value"),

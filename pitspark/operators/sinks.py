@@ -54,11 +54,9 @@ def save_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").parquet(path)
 
 
-def export_json(df: DataFrame, path: str, max_rows: int = 20_000) -> None:
-    """One JSON file of a report table with sorted columns; a table beyond report size is refused, not cut."""
-    if df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"more than {max_rows} rows is not a report table")
-    df.select(*sorted(df.columns)).coalesce(1).write.mode("overwrite").json(path)
+def export_json(df: DataFrame, path: str) -> None:
+    """A table as JSON lines with sorted columns, in as many files as it has partitions."""
+    df.select(*sorted(df.columns)).write.mode("overwrite").json(path)
 
 
 def save_ranking(ranking: DataFrame, path: str, horizon_days: int, day, universe_version: str) -> None:

@@ -133,7 +133,7 @@ SELECT 'U' || user_id AS ticker, event_id, CAST(ts AS DATE) AS filing_date,
 VIEWS["sections"] = """
 SELECT CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT) AS cik, 'A' || doc_id AS accession,
        CASE WHEN (doc_id // 20) % 4 = 3 THEN '10-K' ELSE '10-Q' END AS form,
-       DATE '2008-01-15' + CAST((doc_id // 20) % 40 * 91 + doc_id % 20 % 3 AS INTEGER) AS filing_date,
+       DATE '2008-01-15' + CAST((doc_id // 20) % 40 * 91 + doc_id % 20 % 3 + CASE WHEN doc_id % 23 = 7 THEN 130 ELSE 0 END AS INTEGER) AS filing_date,
        CASE WHEN doc_id % 9 <> 0 THEN DATE '2008-01-15' + CAST((doc_id // 20) % 40 * 91 + doc_id % 20 % 3 AS INTEGER) - 40 END AS report_date,
        text AS risk_factors, CASE WHEN doc_id % 6 <> 0 THEN reverse(text) END AS mdna
 FROM documents"""

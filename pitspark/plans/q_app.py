@@ -152,17 +152,27 @@ def _mean_sql(fields: list[str]) -> str:
 VIEWS["groups"] = "SELECT ticker, date, close, fwd_excess, " + ", ".join(f"{_mean_sql(f)} AS {g}" for g, f in _GROUP_SQL.items()) + " FROM normed"
 
 
+# The weights as the SQL has them, written out in the order of the groups above.
+_SQL_WEIGHTS = {"VERY_SHORT": [0.2, 0.25, 0.15, 0.15, 0.1, 0.03, 0.03, 0.03, 0.03, 0.03], "SHORT": [0.18, 0.2, 0.12, 0.1, 0.1, 0.08, 0.07, 0.03, 0.02, 0.1],
+                "MEDIUM": [0.13, 0.14, 0.06, 0.04, 0.13, 0.14, 0.12, 0.08, 0.04, 0.12], "LONG": [0.08, 0.07, 0.02, 0.01, 0.07, 0.18, 0.16, 0.16, 0.1, 0.15],
+                "VERY_LONG": [0.03, 0.03, 0.01, 0.01, 0.02, 0.22, 0.2, 0.2, 0.12, 0.16]}
+
+
+def _weights(profile: str) -> dict[str, float]:
+    return dict(zip(_GROUP_SQL, _SQL_WEIGHTS[profile]))
+
+
 def view_sql(profile: str, kind: str = "") -> str:
-    w = dict(zip(sc.GROUPS, sc.PROFILE_WEIGHTS[profile]))
-    gs = [g for g in sc.GROUPS if g.startswith(kind)]
+    w = _weights(profile)
+    gs = [g for g in _GROUP_SQL if g.startswith(kind)]
     num = " + ".join(f"coalesce({_r(f'{g} * {w[g]}')}, 0)" for g in gs)
     den = " + ".join(f"CASE WHEN {g} IS NOT NULL THEN {w[g]}::DOUBLE ELSE 0 END" for g in gs)
     return f"CASE WHEN {den} > 0 THEN {_r(f'({num}) / ({den})')} END"
 
 
 def _part(profile: str, kind: str) -> str:
-    w = dict(zip(sc.GROUPS, sc.PROFILE_WEIGHTS[profile]))
-    return "round(" + " + ".join(f"coalesce({_r(f'{g} * {w[g]}')}, 0)" for g in sc.GROUPS if g.startswith(kind)) + ", 4) + 0.0"
+    w = _weights(profile)
+    return "round(" + " + ".join(f"coalesce({_r(f'{g} * {w[g]}')}, 0)" for g in _GROUP_SQL if g.startswith(kind)) + ", 4) + 0.0"
 
 
 @query("r1_r2_normalised_fields", "SELECT ticker, date, " + ", ".join(f"round(n_{n}, 8) + 0.0 AS {n}" for n in _NORM) + " FROM normed")
@@ -173,12 +183,18 @@ def r1(spark, sf):
     return tidy(x.select("ticker", "date", *[c.alias(n) for n, c in cols.items()]), digits=8)
 
 
+# Anchor weights of the fields the table has, at 1, 30, 365 and 3650 days, written out.
+_SQL_ANCHORS = {"volume_ratio": (0.7, 0.4, 0, 0), "return_20d": (0, 0.6, 0, 0), "price_vs_ma50": (0, 0, 0.3, 0), "revenue_growth": (0, 0, 0.6, 0.8), "net_margin": (0, 0, 0.3, 0),
+                "fcf_growth": (0, 0, 0, 0.7), "roe": (0, 0, 0, 0.6), "fcf_margin": (0, 0, 0, 0.6), "ndm": (0, 0, 0, -0.4), "fcf_yield": (0, 0, 0, 0.5)}
+
+
 def _fit_sql(days: int) -> str:
-    w = sc.weight_profile(days)
-    terms = [(f"n_{n}", x) for n, x in w["market_features"].items() if n in _NORM and x] + \
-            [("n_ndm" if n == "net_debt_to_market_cap" else f"n_{n}", x) for n, x in w["fundamentals"].items() if (n in _NORM or n == "net_debt_to_market_cap") and x]
-    den = " + ".join(f"CASE WHEN {v} IS NOT NULL THEN {abs(x)!r}::DOUBLE ELSE 0 END" for v, x in terms)
-    num = " + ".join(f"coalesce({v} * {x!r}::DOUBLE, 0)" for v, x in terms)
+    marks = (1, 30, 365, 3650)
+    i = max(k for k, m in enumerate(marks[:-1]) if m <= days)
+    share = f"(ln({days}) - ln({marks[i]})) / (ln({marks[i + 1]}) - ln({marks[i]}))"
+    terms = [(f"n_{n}", f"({a[i]}::DOUBLE + ({a[i + 1]}::DOUBLE - {a[i]}::DOUBLE) * {share})") for n, a in _SQL_ANCHORS.items() if a[i] or a[i + 1]]
+    den = " + ".join(f"CASE WHEN {v} IS NOT NULL AND abs({x}) > 1e-15 THEN abs({x}) ELSE 0 END" for v, x in terms)
+    num = " + ".join(f"coalesce({v} * {x}, 0)" for v, x in terms)
     return f"CASE WHEN {den} > 0 THEN {_r(f'({num}) / ({den})')} END"
 
 
@@ -197,7 +213,7 @@ def r5(spark, sf):
 
 @query("r6_weighted_view", f"""
 WITH v AS (SELECT *, {view_sql('MEDIUM')} + 0.0 AS score, {_part('MEDIUM', 'technical_')} AS technical_contribution, {_part('MEDIUM', 'fundamental_')} AS fundamental_contribution FROM groups),
-u AS ({' UNION ALL '.join(f"SELECT ticker, date, '{g}' AS g, {i} AS i, {_r(f'{g} * {dict(zip(sc.GROUPS, sc.PROFILE_WEIGHTS['MEDIUM']))[g]}')} AS c FROM groups" for i, g in enumerate(sc.GROUPS))}),
+u AS ({' UNION ALL '.join(f"SELECT ticker, date, '{g}' AS g, {i} AS i, {_r(f'{g} * {_weights('MEDIUM')[g]}')} AS c FROM groups" for i, g in enumerate(_GROUP_SQL))}),
 t AS (SELECT ticker, date, string_agg(g, ',' ORDER BY abs(c) DESC, i) AS dominant FROM (SELECT * FROM u WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY abs(c) DESC, i) <= 3) GROUP BY 1, 2)
 SELECT v.ticker, v.date, score, technical_contribution, fundamental_contribution, coalesce(dominant, '') AS dominant FROM v LEFT JOIN t ON t.ticker = v.ticker AND t.date = v.date""")
 def r6(spark, sf):
@@ -205,12 +221,17 @@ def r6(spark, sf):
     return tidy(v.select("ticker", "date", "score", "technical_contribution", "fundamental_contribution", F.array_join("dominant_factors", ",").alias("dominant")))
 
 
-@query("r18_profile_weights", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{p}', {round(sum(w[:5]), 4)}::DOUBLE, {round(sum(w[5:]), 4)}::DOUBLE)" for p, w in sc.PROFILE_WEIGHTS.items()) + ") v(profile, technical, fundamental) WHERE (SELECT count(*) FROM bars) > 0")
+@query("r18_profile_weights", """
+WITH d AS (SELECT l_shipdate::DATE - DATE '1995-06-01' AS days FROM lineitem),
+p AS (SELECT CASE WHEN days <= 3 THEN 'VERY_SHORT' WHEN days <= 14 THEN 'SHORT' WHEN days <= 182 THEN 'MEDIUM' WHEN days <= 730 THEN 'LONG' ELSE 'VERY_LONG' END AS profile FROM d)
+SELECT p.profile, count(*) AS horizons, round(any_value(technical), 4) + 0.0 AS technical, round(any_value(fundamental), 4) + 0.0 AS fundamental, round(sum(technical), 4) + 0.0 AS technical_total, round(sum(fundamental), 4) + 0.0 AS fundamental_total
+FROM p JOIN (VALUES ('VERY_SHORT', 0.85::DOUBLE, 0.15::DOUBLE), ('SHORT', 0.7, 0.3), ('MEDIUM', 0.5, 0.5), ('LONG', 0.25, 0.75), ('VERY_LONG', 0.1, 0.9)) w(profile, technical, fundamental) ON w.profile = p.profile GROUP BY 1""")
 def r18(spark, sf):
-    """The nominal weights, attached to the profiles that the table's horizons fall into."""
-    used = bv.bars(spark, sf).select(F.explode(F.array(*[F.lit(d) for d in (1, 10, 100, 500, 2000)])).alias("d")).select(cl.horizon_profile("d").alias("profile")).distinct()
-    return tidy(sc.profile_weight_totals(spark).join(used, "profile", "left_semi"))
+    """Technical and fundamental weight of every horizon of the line items (days from a fixed date to shipping), per profile."""
+    days = F.datediff("l_shipdate", F.lit("1995-06-01").cast("date"))
+    x = sc.with_profile_weights(bv.table(spark, sf, "lineitem").select(days.alias("days")), "days")
+    return tidy(x.groupBy("profile").agg(F.count(F.lit(1)).alias("horizons"), F.round(F.max("technical"), 4).alias("technical"), F.round(F.max("fundamental"), 4).alias("fundamental"),
+                                         F.sum("technical").alias("technical_total"), F.sum("fundamental").alias("fundamental_total")), digits=4)
 
 
 VIEWS["levels"] = f"""
@@ -243,19 +264,21 @@ u AS (SELECT ticker, count(DISTINCT institution) AS institutions, round(coalesce
     WHEN bool_or(view_direction IN ('POSITIVE', 'NEGATIVE')) THEN 'NEUTRAL' ELSE 'MENTIONED' END AS iview, max(publication_date) AS idate FROM mentions WHERE ticker IS NOT NULL GROUP BY 1),
 lv AS (SELECT * FROM ({_rr_sql('medium_term')}) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1),
 a AS (SELECT u.ticker, u.institutions, u.inst, u.iview, l.date, {view_sql('MEDIUM')} AS hs, lv.close AS current_price, lv.stop_loss, lv.take_profit,
-  CASE WHEN lv.close - stop_loss > 0 AND take_profit - lv.close <> 0 THEN {_r('(take_profit - lv.close) / (lv.close - stop_loss)', 2)} END AS rr, u.idate, lv.date AS pdate FROM u LEFT JOIN latest l ON l.ticker = u.ticker LEFT JOIN lv ON lv.ticker = u.ticker),
+  CASE WHEN lv.close - stop_loss > 0 AND take_profit - lv.close <> 0 THEN {_r('(take_profit - lv.close) / (lv.close - stop_loss)', 2)} END AS rr, u.idate, lv.date AS pdate, pf.fundamentals_period_end AS fdate, coalesce(sg.n, 0) AS sigs
+  FROM u LEFT JOIN latest l ON l.ticker = u.ticker LEFT JOIN lv ON lv.ticker = u.ticker LEFT JOIN pit_fund pf ON pf.ticker = l.ticker AND pf.date = l.date
+  LEFT JOIN (SELECT 'S' || lpad(substr(ticker, 2), 9, '0') AS ticker, count(*) AS n FROM signals GROUP BY 1) sg ON sg.ticker = u.ticker),
 m AS (SELECT a.*, CASE WHEN hs IS NOT NULL THEN {_r('hs + 0.1 * inst')} END AS rank_score, (coalesce(n.n_price_vs_ma50, 0) + coalesce(n.n_return_60d, 0)) / nullif((n.n_price_vs_ma50 IS NOT NULL)::INT + (n.n_return_60d IS NOT NULL)::INT, 0) AS tv,
   (coalesce(n.n_revenue_growth, 0) + coalesce(n.n_net_margin, 0) + coalesce(n.n_fcf_margin, 0)) / nullif((n.n_revenue_growth IS NOT NULL)::INT + (n.n_net_margin IS NOT NULL)::INT + (n.n_fcf_margin IS NOT NULL)::INT, 0) AS fv FROM a LEFT JOIN n ON n.ticker = a.ticker),
 v AS (SELECT *, CASE WHEN tv IS NULL THEN 'INSUFFICIENT_EVIDENCE' WHEN tv > 0.15 THEN 'POSITIVE' WHEN tv < -0.15 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS technical_view,
   CASE WHEN fv IS NULL THEN 'INSUFFICIENT_EVIDENCE' WHEN fv > 0.15 THEN 'POSITIVE' WHEN fv < -0.15 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS fundamental_view,
   CASE WHEN rank_score IS NULL THEN 'Insufficient data' WHEN rank_score >= 0.3 THEN 'Strong' WHEN rank_score >= 0.1 THEN 'Favorable' WHEN rank_score <= -0.1 THEN 'Unfavorable' ELSE 'Neutral' END AS label,
-  CASE WHEN DATE '2001-11-10' - idate > 400 THEN 'STALE' ELSE 'OK' END AS data_status FROM m),
+  CASE WHEN DATE '2001-07-10' - fdate > 200 OR DATE '2001-07-10' - idate > 400 THEN 'STALE' ELSE 'OK' END AS data_status FROM m),
 c AS (SELECT *, (fundamental_view <> 'INSUFFICIENT_EVIDENCE')::INT + (technical_view <> 'INSUFFICIENT_EVIDENCE')::INT + 1 AS known,
-  len(list_distinct(list_filter([fundamental_view, technical_view, iview], lambda x: x IN ('POSITIVE', 'NEGATIVE')))) <= 1 AS agrees, institutions AS sigs FROM v),
+  len(list_distinct(list_filter([fundamental_view, technical_view, iview], lambda x: x IN ('POSITIVE', 'NEGATIVE')))) <= 1 AS agrees FROM v),
 f AS (SELECT *, CASE WHEN known >= 2 AND agrees AND sigs >= 5 THEN 'High' WHEN known = 1 THEN 'Low' ELSE 'Medium' END AS confidence FROM c)
 SELECT *, label IN ('Strong', 'Favorable') AND data_status = 'OK' AND confidence <> 'Insufficient evidence' AS shortlisted,
   CAST(row_number() OVER (ORDER BY rank_score DESC NULLS LAST, institutions DESC, ticker) AS INTEGER) AS rank FROM f"""
-_RANK_COLS = "rank ticker label technical_view fundamental_view institutional_view institutions confidence data_status shortlisted"
+_RANK_COLS = "rank ticker label technical_view fundamental_view institutional_view institutions signal_count confidence data_status shortlisted"
 
 
 def ranking(spark, sf):
@@ -264,13 +287,20 @@ def ranking(spark, sf):
 
     uni = un.build_universe(bv.mentions(spark, sf))
     x = score_input(spark, sf)
-    latest = asof.latest_per_key(x, ["ticker"], ["date"])
+    known = pit_fund(spark, sf).select("ticker", "date", F.col("fundamentals_period_end").alias("fundamentals_date"))
+    latest = asof.latest_per_key(x, ["ticker"], ["date"]).join(known, ["ticker", "date"], "left")
+    read = _signals(spark, sf).groupBy("ticker").agg(F.count(F.lit(1)).alias("signal_count"))
     lv = asof.latest_per_key(ft.level_inputs(bv.bars(spark, sf)).withColumn("atr_14d", F.round("atr_14d", 6)).select(
         "ticker", F.col("date").alias("price_date"), F.col("close").alias("current_price"), "atr_14d", "support_60d", "resistance_60d"), ["ticker"], ["price_date"])
-    return rk.rank_universe(uni, latest, lv, horizon_days=91, now=F.to_date(F.lit("2001-11-10")))
+    return rk.rank_universe(uni, latest, lv, read, horizon_days=91, now=F.to_date(F.lit("2001-07-10")))
+
+
+def _signals(spark, sf):
+    """Text signals under the tickers of the price tables."""
+    return bv.signals(spark, sf).withColumn("ticker", F.concat(F.lit("S"), F.lpad(F.expr("substring(ticker, 2)"), 9, "0")))
 
 
-@query("r7_r12_rank_universe", "SELECT rank, ticker, label, technical_view, fundamental_view, iview AS institutional_view, institutions, confidence, data_status, shortlisted, round(hs, 4) + 0.0 AS horizon_score, "
+@query("r7_r12_rank_universe", "SELECT rank, ticker, label, technical_view, fundamental_view, iview AS institutional_view, institutions, sigs AS signal_count, confidence, data_status, shortlisted, round(hs, 4) + 0.0 AS horizon_score, "
        "round(rank_score, 4) + 0.0 AS rank_score, current_price, stop_loss + 0.0 AS stop_loss, take_profit + 0.0 AS take_profit, rr + 0.0 AS risk_reward_ratio FROM ranked")
 def r12(spark, sf):
     return tidy(ranking(spark, sf), *_RANK_COLS.split(), "horizon_score", "rank_score", "current_price", "stop_loss", "take_profit", "risk_reward_ratio")
@@ -325,7 +355,7 @@ def r11(spark, sf):
     """One row per ticker with views, levels, score structure, research score and top evidence."""
     from ..operators import universe as un
 
-    by_type, per = un.company_research(bv.signals(spark, sf).withColumn("ticker", F.concat(F.lit("S"), F.lpad(F.expr("substring(ticker, 2)"), 9, "0"))))
+    by_type, per = un.company_research(_signals(spark, sf))
     return rk.extended_research(ranking(spark, sf), by_type, per)
 
 

@@ -124,9 +124,9 @@ def t13(spark, sf):
 @query("t14_year_ago_filing", """
 WITH c AS (SELECT a.accession, b.accession AS p, b.filing_date AS pf, CASE WHEN a.form = '10-K' THEN a.filing_date - b.filing_date BETWEEN 300 AND 430 END AS ann,
   CASE WHEN a.form <> '10-K' THEN a.report_date - b.report_date BETWEEN 350 AND 380 END AS per,
-  CASE WHEN a.form <> '10-K' THEN a.filing_date - b.filing_date BETWEEN 330 AND 400 END AS fil, b.report_date AS pr
+  CASE WHEN a.form <> '10-K' THEN a.filing_date - b.filing_date BETWEEN 330 AND 400 END AS fil
   FROM sections a JOIN sections b ON a.cik = b.cik AND a.form = b.form AND b.filing_date < a.filing_date),
-x AS (SELECT accession, arg_max(p, (pf, p)) FILTER (ann) AS a, arg_max(p, (pr, pf, p)) FILTER (per) AS q, arg_max(p, (pf, p)) FILTER (fil) AS f FROM c GROUP BY 1)
+x AS (SELECT accession, arg_max(p, (pf, p)) FILTER (ann) AS a, arg_max(p, (pf, p)) FILTER (per) AS q, arg_max(p, (pf, p)) FILTER (fil) AS f FROM c GROUP BY 1)
 SELECT s.accession, s.form, CASE WHEN s.form = '10-K' THEN a ELSE coalesce(q, f) END AS prior_accession FROM sections s LEFT JOIN x USING (accession)""")
 def t14(spark, sf):
     s = bv.sections(spark, sf).select("cik", "accession", "form", "filing_date", "report_date")
@@ -269,15 +269,18 @@ t AS (SELECT *, CASE WHEN pa IS NULL THEN 'NO_PRIOR' WHEN coalesce(shares, 0) =
 SELECT cik, accession, filing_date, report_date, cusip, name_of_issuer, title_of_class, coalesce(shares, 0) AS shares, coalesce(value, 0) AS value, prev_shares, prev_value,
   coalesce(value / tot, 0) AS weight, CASE WHEN pa IS NOT NULL THEN sr - 1 END AS share_change, CASE WHEN status IN ('ADDED', 'REDUCED', 'UNCHANGED') THEN adj END AS adjusted_change,
   split_factor, status FROM t"""
-VIEWS["selected"] = """
-WITH held AS (SELECT *, row_number() OVER (PARTITION BY cik, accession ORDER BY value DESC, cusip) AS vr FROM changes WHERE status <> 'EXITED'),
-pl AS (SELECT * FROM held WHERE vr <= 300),
-adds AS (SELECT cik, accession, cusip FROM pl WHERE status IN ('NEW', 'ADDED') QUALIFY row_number() OVER (PARTITION BY cik, accession ORDER BY adjusted_change DESC NULLS FIRST, value DESC, cusip) <= 10),
-pp AS (SELECT * FROM changes WHERE prev_value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cik, accession ORDER BY prev_value DESC, cusip) <= 300),
-cutp AS (SELECT cik, accession, cusip, adjusted_change, prev_value FROM pp WHERE status = 'EXITED' UNION ALL SELECT cik, accession, cusip, adjusted_change, prev_value FROM pl WHERE status = 'REDUCED'),
-cuts AS (SELECT cik, accession, cusip FROM cutp QUALIFY row_number() OVER (PARTITION BY cik, accession ORDER BY adjusted_change ASC NULLS FIRST, prev_value DESC, cusip) <= 10),
-u AS (SELECT cik, accession, cusip FROM pl WHERE vr <= 30 UNION SELECT * FROM adds UNION SELECT * FROM cuts)
-SELECT c.* FROM changes c JOIN u ON c.cik = u.cik AND c.accession = u.accession AND c.cusip = u.cusip"""
+def _selected(held: str, add: str, cut: str) -> str:
+    """Positions picked in one pass over the changes: ranks among the rows that count for each kind."""
+    rank = lambda which, order: f"row_number() OVER (PARTITION BY cik, accession, {which} ORDER BY {order})"
+    return f"""
+WITH p AS (SELECT *, {rank("status <> 'EXITED'", "value DESC, cusip")} AS vr, {rank("prev_value IS NOT NULL", "prev_value DESC, cusip")} AS pr FROM changes),
+f AS (SELECT *, status <> 'EXITED' {held} AS h, status IN ('NEW', 'ADDED') {add} AS a, (status = 'EXITED' AND prev_value IS NOT NULL {cut}) OR (status = 'REDUCED' {add}) AS c FROM p),
+r AS (SELECT *, {rank("a", "adjusted_change DESC NULLS FIRST, value DESC, cusip")} AS ar, {rank("c", "adjusted_change ASC NULLS FIRST, prev_value DESC, cusip")} AS cr FROM f)
+SELECT * EXCLUDE (vr, pr, h, a, c, ar, cr) FROM r WHERE h AND vr <= 30 OR a AND ar <= 10 OR c AND cr <= 10"""
+
+
+VIEWS["selected"] = _selected("", "", "")
+VIEWS["selected_among_300"] = _selected("AND vr <= 300", "AND vr <= 300", "AND pr <= 300")
 _FUNDS = ", ".join(f"'{t}'" for t in hd.FUND_TYPES)
 _DIR = "CASE status WHEN 'NEW' THEN 'POSITIVE' WHEN 'ADDED' THEN 'POSITIVE' WHEN 'REDUCED' THEN 'NEGATIVE' WHEN 'EXITED' THEN 'NEGATIVE' ELSE 'MENTIONED' END"
 _CONF = "CASE status WHEN 'NEW' THEN 'High' WHEN 'EXITED' THEN 'High' WHEN 'ADDED' THEN 'Medium' WHEN 'REDUCED' THEN 'Medium' ELSE 'Low' END"
@@ -323,6 +326,12 @@ def h4(spark, sf):
     return tidy(hd.select_positions(bv.book_changes(spark, sf)), "cik", "accession", "cusip", "status", "value", digits=2)
 
 
+@query("h4_select_among_300", "SELECT cik, accession, cusip, status, round(value, 2) + 0.0 AS value FROM selected_among_300")
+def h4_pool(spark, sf):
+    """The variant that takes positions beyond the 300 largest of a filing for noise."""
+    return tidy(hd.select_positions(bv.book_changes(spark, sf), pool=300), "cik", "accession", "cusip", "status", "value", digits=2)
+
+
 @query("h5_build_mentions", f"""
 SELECT 'Filer ' || s.cik AS institution, s.filing_date AS publication_date, '13F-HR holdings as of ' || s.report_date || ' (filed ' || s.filing_date || ')' AS report_title, m.ticker,
   s.name_of_issuer AS company_name, {_DIR} AS view_direction, {_CONF} AS confidence, '13F information table, CUSIP ' || s.cusip || ' (COM), status ' || status AS evidence,
@@ -374,7 +383,7 @@ def h8(spark, sf):
 VIEWS["books"] = """
 SELECT l.date, h.cusip, sum(h.value * 1000) AS total_13f_value, count(DISTINCT h.cik) AS holders FROM holdings h JOIN live l ON l.cik = h.cik AND l.accession = h.accession GROUP BY 1, 2"""
 VIEWS["broad"] = f"""
-WITH c AS (SELECT *, round(total_13f_value, 2) AS v FROM books QUALIFY row_number() OVER (PARTITION BY date ORDER BY round(total_13f_value, 2) DESC, cusip) <= 60),
+WITH c AS (SELECT *, round(total_13f_value, 2) AS v FROM books),
 n AS (SELECT c.*, m.ticker, coalesce(m.ticker, 'CUSIP:' || c.cusip) AS key FROM c LEFT JOIN cusip_map m USING (cusip) WHERE coalesce(m.security_type NOT IN ({_FUNDS}), true)),
 g AS (SELECT date, key, any_value(ticker) AS ticker, arg_max(cusip, v) AS cusip, round(sum(v), 2) AS total_13f_value, max(holders) AS institution_count FROM n GROUP BY 1, 2),
 t AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY date ORDER BY total_13f_value DESC, key) <= 40),
@@ -386,7 +395,7 @@ FROM t LEFT JOIN d ON d.date = t.date AND d.ticker = t.ticker"""
 @query("h9_pit_broad_universe", "SELECT date, ticker, cusip, institution_count, institutional_direction_score + 0.0 AS institutional_direction_score, round(total_13f_value, 0) + 0.0 AS total_13f_value FROM broad")
 def h9(spark, sf):
     h = bv.holdings(spark, sf)
-    return tidy(hd.pit_broad_universe(h, bv.universe_history(spark, sf), bv.filings(h), bv.month_end_dates(spark, sf), bv.cusip_map(spark, sf), 40, 60)
+    return tidy(hd.pit_broad_universe(h, bv.universe_history(spark, sf), bv.filings(h), bv.month_end_dates(spark, sf), bv.cusip_map(spark, sf), 40)
                 .withColumn("total_13f_value", F.round("total_13f_value", 0)))
 
 

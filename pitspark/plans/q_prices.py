@@ -368,7 +368,7 @@ WITH r AS (SELECT date, pos, lead(pos) OVER (ORDER BY pos) AS npos FROM cal WHER
 k AS (SELECT g.ticker, r.date, r.pos + 1 AS a, r.npos + 1 AS b FROM grid g JOIN r ON g.pos = r.pos),
 x AS (SELECT k.ticker, k.date, e.open AS o0, z.open AS o1, k.a, k.b FROM k LEFT JOIN grid e ON e.ticker = k.ticker AND e.pos = k.a
   LEFT JOIN grid z ON z.ticker = k.ticker AND z.pos = k.b),
-l AS (SELECT x.ticker, x.date, arg_max(g.close, g.pos) AS lastc FROM x JOIN grid g ON g.ticker = x.ticker AND g.pos BETWEEN x.a AND x.b AND g.close IS NOT NULL GROUP BY 1, 2)
+l AS (SELECT x.ticker, x.date, CASE WHEN g.pos >= x.a THEN g.close END AS lastc FROM x ASOF JOIN (SELECT ticker, pos, close FROM grid WHERE close IS NOT NULL) g ON g.ticker = x.ticker AND x.b >= g.pos)
 SELECT x.ticker, x.date, round(CASE WHEN b <= (SELECT max(pos) FROM cal) AND o0 > 0 THEN coalesce(o1, lastc) / o0 - 1 END, 6) + 0.0 AS next_return
 FROM x LEFT JOIN l ON x.ticker = l.ticker AND x.date = l.date""")
 def l2(spark, sf):
@@ -451,7 +451,7 @@ def l6(spark, sf):
 WITH {_SIG}, ent AS (SELECT s.*, s.close - 2 * atr AS stop0, g.open AS entry FROM cand s LEFT JOIN grid g ON g.ticker = s.ticker AND g.pos = s.pos + 1),
 bx AS (SELECT s.ticker, s.pos, b.pos - s.pos - 1 AS k, b.open AS o, b.low AS l, b.close AS c,
   greatest(s.stop0, max(b.high) OVER (PARTITION BY s.ticker, s.pos ORDER BY b.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 2 * s.atr) AS st
-  FROM ent s JOIN grid b ON b.ticker = s.ticker AND b.pos BETWEEN s.pos + 1 AND s.pos + 12),
+  FROM (SELECT *, pos + unnest(range(1, 13)) AS at_pos FROM ent) s JOIN grid b ON b.ticker = s.ticker AND b.pos = s.at_pos),
 ev AS (SELECT ticker, pos, min(k) FILTER ((k > 0 AND o <= st) OR l <= st) AS ks, coalesce(min(k) FILTER (c IS NULL), count(*)) AS km FROM bx GROUP BY 1, 2),
 dec AS (SELECT a.*, ks, km, CASE WHEN NOT coalesce(stop0 > 0 AND entry > stop0, false) THEN 'skipped' WHEN ks < km THEN 'stop' WHEN km < 12 THEN 'data_end' ELSE 'time' END AS outcome
   FROM ent a LEFT JOIN ev b ON a.ticker = b.ticker AND a.pos = b.pos),

@@ -13,13 +13,40 @@ from .oracle_views import VIEWS
 # --- D1-D9: parsing ---------------------------------------------------------------------------------------------
 
 
-@query("d1_html_to_text")
+_TAG = r"""(?:[^>"'']|"[^"]*"|''[^'']*'')*"""
+_D1 = rf"""
+WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script\b{_TAG}>.*?(?:</script\s*>|\z)|<style\b{_TAG}>.*?(?:</style\s*>|\z)|<noscript\b{_TAG}>.*?(?:</noscript\s*>|\z)', '', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(t, '(?is)</?(?:p|div|br|tr|li|section|article|h1|h2|h3|h4|h5|h6)\b{_TAG}>', chr(10), 'g') AS t FROM a),
+c AS (SELECT page_id, regexp_replace(t, '(?is)</?[a-z]{_TAG}>|<[!?][^>]*>', '', 'g') AS t FROM b),
+d AS (SELECT page_id, replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(replace(t, '&middot;', chr(183)), '&copy;?', chr(169), 'g'), '&quot;?', '"', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '&nbsp;', chr(160)) AS t FROM c)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n[\s]*\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM d"""
+
+
+@query("d1_html_to_text", _D1)
 def d1(spark, sf):
-    return tx.html_to_text(bv.spread(bv.table(spark, sf, "pages")).select("page_id", "html"), "html").select("page_id", "text")
+    return tx.html_to_text(bv.spread(bv.table(spark, sf, "pages"), "page_id").select("page_id", "html"), "html").select("page_id", "text")
+
+
+# The headings as SQL, written out: the query must not read the tables it is held against.
+_HEADINGS = [
+    ("Business", r"^\s*(item\s*1\.?\s*)?business\s*$"),
+    ("Risk Factors", r"^\s*(item\s*1a\.?\s*)?risk\s*factors\s*$"),
+    ("Unresolved Staff Comments", r"^\s*(item\s*1b\.?\s*)?unresolved\s*staff\s*comments\s*$"),
+    ("Properties", r"^\s*(item\s*2\.?\s*)?properties\s*$"),
+    ("Legal Proceedings", r"^\s*(item\s*3\.?\s*)?legal\s*proceedings\s*$"),
+    ("Market for Registrant''s Common Equity", r"^\s*(item\s*5\.?\s*)?market\s*for\s*registrant[''’]s\s*common\s*equity\s*$"),
+    ("Selected Financial Data", r"^\s*(item\s*6\.?\s*)?selected\s*financial\s*data\s*$"),
+    ("Management''s Discussion and Analysis", r"^\s*md&a\s*$|^\s*item\s*7\.?\s*management[''’]s\s*discussion\s*and\s*analysis(\s*of\s*financial\s*condition\s*and\s*results\s*of\s*operations)?\s*$"
+                                              r"|^\s*management[''’]s\s+discussion\s+and\s+analysis(\s*of\s*financial\s*condition\s*and\s*results\s*of\s*operations)?\s*$"),
+    ("Quantitative and Qualitative Disclosures About Market Risk", r"^\s*(item\s*7a\.?\s*)?quantitative\s*and\s*qualitative\s*disclosures\s*about\s*market\s*risk\s*$"),
+    ("Financial Statements", r"^\s*(item\s*8\.?\s*|consolidated\s*)?financial\s*statements\s*$"),
+    ("Notes to Financial Statements", r"^\s*notes\s*to\s*(consolidated\s*)?financial\s*statements\s*$"),
+    ("Market Risk", r"^\s*(item\s*7a\.?\s*)?market\s*risk\s*$"),
+]
 
 
 def _class_sql(line: str) -> str:
-    cases = " ".join(f"WHEN regexp_full_match(lower({line}), '{'|'.join(ps).replace(chr(39), chr(39) * 2)}') THEN '{n.replace(chr(39), chr(39) * 2)}'" for n, ps in tx.SECTION_PATTERNS.items())
+    cases = " ".join(f"WHEN regexp_matches(lower({line}), '{pattern}') THEN '{name}'" for name, pattern in _HEADINGS)
     return f"CASE WHEN length({line}) = 0 OR length({line}) > 180 THEN NULL {cases} END"
 
 
@@ -71,25 +98,52 @@ h AS (SELECT * FROM h0 WHERE NOT coalesce(regexp_full_match((SELECT arg_min(l.li
 e AS (SELECT h.*, (SELECT min(l.i) FROM item_lines l WHERE l.doc_id = h.doc_id AND l.i > h.i AND l.item IS NOT NULL AND l.item <> h.want) AS nx FROM h),
 b AS (SELECT e.doc_id, e.i, regexp_replace(string_agg(r.line, chr(10) ORDER BY r.i), '^\\s+|\\s+$', '', 'g') AS body FROM e JOIN doc_lines r ON r.doc_id = e.doc_id AND r.i > e.i AND (nx IS NULL OR r.i < nx) GROUP BY 1, 2),
 m AS (SELECT doc_id, arg_max(body, (length(body), -i)) AS body FROM b GROUP BY 1)
-SELECT doc_id, CASE WHEN length(body) BETWEEN 1500 AND 400000 THEN body END AS body FROM m)"""
+SELECT doc_id, body FROM m)"""
 
 
 @query("d5_extract_sections", f"""
-SELECT f.doc_id, length(a.body) AS risk_chars, md5(a.body) AS risk_digest, length(b.body) AS mdna_chars FROM filing_texts f LEFT JOIN {_section_sql('risk_factors')} a ON a.doc_id = f.doc_id
-LEFT JOIN {_section_sql('mdna')} b ON b.doc_id = f.doc_id""")
+SELECT f.doc_id, length(a.body) AS risk_chars, md5(a.body) AS risk_digest, coalesce(length(a.body) BETWEEN 1500 AND 400000, false) AS risk_usable, length(b.body) AS mdna_chars, md5(b.body) AS mdna_digest,
+  coalesce(length(b.body) BETWEEN 1500 AND 400000, false) AS mdna_usable
+FROM filing_texts f LEFT JOIN {_section_sql('risk_factors')} a ON a.doc_id = f.doc_id LEFT JOIN {_section_sql('mdna')} b ON b.doc_id = f.doc_id""")
 def d5(spark, sf):
     d = bv.filing_texts(spark, sf).select("doc_id", F.col("filing_type").alias("form"), "text")
     x = tx.extract_sections(d)
-    return x.select("doc_id", F.length("risk_factors").cast("long").alias("risk_chars"), F.md5("risk_factors").alias("risk_digest"), F.length("mdna").cast("long").alias("mdna_chars"))
+    return x.select("doc_id", F.length("risk_factors").cast("long").alias("risk_chars"), F.md5("risk_factors").alias("risk_digest"), F.col("risk_factors_usable").alias("risk_usable"),
+                    F.length("mdna").cast("long").alias("mdna_chars"), F.md5("mdna").alias("mdna_digest"), "mdna_usable")
+
+
+def _cut_sql(source: str, keys: str) -> str:
+    """Chunks of ``source`` (``keys``, body) as ``keys``, k, start, stop, chunk: the cuts one after the other."""
+    part = "length(regexp_extract(substr(body, start + 1, 4500), '(?s)^.*(?:\\n|[.;:] )'))"
+    ends = f"CASE WHEN start + 4500 >= length(body) THEN length(body) WHEN {part} > 2250 THEN start + {part} ELSE start + 4500 END"
+    return f"""WITH RECURSIVE src AS (SELECT {keys}, 0 AS k, 0 AS start, regexp_replace(regexp_replace(body, '\\r\\n?', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS body FROM ({source})),
+step AS (SELECT {keys}, body, k, start, {ends} AS stop FROM src WHERE length(body) > 0
+  UNION ALL SELECT {keys}, body, k, start, {ends} AS stop FROM (SELECT {keys}, body, k + 1 AS k, stop - 200 AS start FROM step WHERE stop < length(body)) n)
+SELECT {keys}, k, start, stop, regexp_replace(substr(body, start + 1, stop - start), '^\\s+|\\s+$', '', 'g') AS chunk FROM step"""
 
 
-@query("d6_split_into_chunks")
+@query("d6_split_into_chunks", f"SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, CAST(start AS INTEGER) AS chunk_start, CAST(length(chunk) AS INTEGER) AS chars, md5(chunk) AS digest FROM ({_cut_sql('SELECT doc_id, text AS body FROM documents', 'doc_id')})")
 def d6(spark, sf):
     d = tx.split_into_chunks(bv.spread(bv.table(spark, sf, "documents")).select("doc_id", "text"), "text")
-    return d.select("doc_id", "chunk_index", F.length("chunk_text").alias("chars"), F.md5("chunk_text").alias("digest"))
+    return d.select("doc_id", "chunk_index", "chunk_start", F.length("chunk_text").alias("chars"), F.md5("chunk_text").alias("digest"))
 
 
-@query("d7_process_documents")
+@query("d6_chunks_cover_the_text", r"""
+SELECT doc_id, length(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '^\s+|\s+$', '', 'g'))::BIGINT AS chars, 0::BIGINT AS missing, true AS short FROM documents WHERE regexp_matches(text, '\S')""")
+def d6_cover(spark, sf):
+    """Characters of the trimmed text that no chunk holds, and whether every chunk is at most 4,500 long: 0 and true."""
+    c = tx.split_into_chunks(bv.spread(bv.table(spark, sf, "documents")).select("doc_id", "text"), "text")
+    cuts = c.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_start", "chunk_stop"))).alias("s"), F.max(F.col("chunk_stop") - F.col("chunk_start")).alias("longest"))
+    zero = F.struct(F.lit(0).alias("to"), F.lit(0).alias("gap"))
+    held = F.aggregate("s", zero, lambda s, x: F.struct(F.greatest(s["to"], x["chunk_stop"]).alias("to"), (s["gap"] + F.greatest(x["chunk_start"] - s["to"], F.lit(0))).cast("int").alias("gap")))
+    whole = bv.table(spark, sf, "documents").select("doc_id", F.length(tx.strip(F.regexp_replace("text", r"\r\n?", "\n"))).cast("long").alias("chars"))
+    return cuts.withColumn("held", held).join(whole, "doc_id").select("doc_id", "chars", (F.col("held.gap") + F.col("chars") - F.col("held.to")).cast("long").alias("missing"), (F.col("longest") <= 4500).alias("short"))
+
+
+@query("d7_process_documents", f"""
+SELECT f.ticker, f.filing_type, '2020-01-31' AS filing_date, c.section, f.ticker || '_' || replace(coalesce(f.filing_type, 'DOC'), '-', '') || '_' || upper(regexp_replace(regexp_replace(c.section, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) || '_' || lpad(CAST(k AS VARCHAR), 3, '0') AS chunk_id,
+  CAST(k AS INTEGER) AS chunk_index, sha256(trim(regexp_replace(chunk, '\\s+', ' ', 'g'))) AS content_hash, f.source_file, f.accession_number, CAST(length(f.text) AS INTEGER) AS document_length
+FROM ({_cut_sql('SELECT doc_id, section, body FROM doc_sections', 'doc_id, section')}) c JOIN filing_texts f USING (doc_id)""")
 def d7(spark, sf):
     return tx.process_documents(bv.filing_texts(spark, sf).drop("doc_id")).drop("text")
 
@@ -110,7 +164,10 @@ def d9(spark, sf):
                                        tx.cache_key(lit("extract"), F.col("text"), lit("m"), lit("p1"), lit("s1")).alias("cache_key"))
 
 
-@query("d10_chunk_reports")
+@query("d10_chunk_reports", f"""
+SELECT 'House ' || d.source AS institution, 'Outlook' AS report_title, '2020-01-01' AS publication_date, 'reports/' || doc_id || '.txt' AS source_path,
+  substr(replace('House ' || d.source, ' ', '_'), 1, 40) || '_' || substr(sha256('reports/' || doc_id || '.txt'), 1, 10) || '_' || lpad(CAST(k AS VARCHAR), 3, '0') AS chunk_id, CAST(k AS INTEGER) AS chunk_index, CAST(start AS INTEGER) AS chunk_start
+FROM ({_cut_sql('SELECT doc_id, text AS body FROM documents', 'doc_id')}) JOIN documents d USING (doc_id)""")
 def d10(spark, sf):
     r = bv.table(spark, sf, "documents").select(F.concat(F.lit("House "), "source").alias("institution"), F.lit("Outlook").alias("report_title"), F.lit("2020-01-01").alias("publication_date"),
                                                 F.format_string("reports/%d.txt", "doc_id").alias("source_path"), "text")
@@ -150,9 +207,9 @@ def d11(spark, sf):
 
 VIEWS["paired"] = """
 WITH c AS (SELECT a.accession, b.accession AS p, b.filing_date AS pf, CASE WHEN a.form = '10-K' THEN a.filing_date - b.filing_date BETWEEN 300 AND 430 END AS ann,
-  CASE WHEN a.form <> '10-K' THEN a.report_date - b.report_date BETWEEN 350 AND 380 END AS per, CASE WHEN a.form <> '10-K' THEN a.filing_date - b.filing_date BETWEEN 330 AND 400 END AS fil, b.report_date AS pr
+  CASE WHEN a.form <> '10-K' THEN a.report_date - b.report_date BETWEEN 350 AND 380 END AS per, CASE WHEN a.form <> '10-K' THEN a.filing_date - b.filing_date BETWEEN 330 AND 400 END AS fil
   FROM sections a JOIN sections b ON a.cik = b.cik AND a.form = b.form AND b.filing_date < a.filing_date),
-x AS (SELECT accession, arg_max(p, (pf, p)) FILTER (ann) AS a, arg_max(p, (pr, pf, p)) FILTER (per) AS q, arg_max(p, (pf, p)) FILTER (fil) AS f FROM c GROUP BY 1)
+x AS (SELECT accession, arg_max(p, (pf, p)) FILTER (ann) AS a, arg_max(p, (pf, p)) FILTER (per) AS q, arg_max(p, (pf, p)) FILTER (fil) AS f FROM c GROUP BY 1)
 SELECT s.cik, s.accession, s.form, s.filing_date, CASE WHEN s.form = '10-K' THEN a ELSE coalesce(q, f) END AS prior_accession FROM sections s JOIN x USING (accession) WHERE CASE WHEN s.form = '10-K' THEN a ELSE coalesce(q, f) END IS NOT NULL"""
 VIEWS["sims"] = """
 SELECT p.cik, p.accession, p.form, p.filing_date, p.prior_accession, CASE WHEN p.accession IN (SELECT accession FROM tfidf) AND p.prior_accession IN (SELECT accession FROM tfidf) THEN coalesce(d.s, 0) END AS sim,
@@ -187,16 +244,27 @@ def d13(spark, sf):
     return tidy(tx.filing_features(bv.sections(spark, sf), "2014-01-01", STOP_WORDS), "cik", "accession", "form", "filing_date", "prior_accession", "sim_tfidf_rf", "len_chg_rf", "dsim_tfidf_rf")
 
 
-@query("d14_spaced_chunks", """
+_SPACED = """
 WITH n AS (SELECT doc_id, text, CAST(ceil(length(text) / 1000) AS INTEGER) AS n FROM documents),
-i AS (SELECT doc_id, text, unnest(range(0, least(n, 8))) AS k, n FROM n WHERE n > 0),
-p AS (SELECT doc_id, k, CASE WHEN n <= 8 THEN k ELSE CAST(round_even(k * (n - 1) / 7, 0) AS INTEGER) END AS spot, text FROM i)
-SELECT doc_id, CAST(k AS INTEGER) AS k, md5(substr(text, spot * 1000 + 1, 1000)) AS digest FROM p""")
+i AS (SELECT doc_id, text, unnest(range(0, {parts})) AS k, n FROM n WHERE n > 0),
+p AS (SELECT doc_id, k, {spot} AS spot, text FROM i)
+SELECT doc_id, CAST(k AS INTEGER) AS k, md5(substr(text, spot * 1000 + 1, 1000)) AS digest FROM p"""
+
+
+@query("d14_spaced_chunks", _SPACED.format(parts="n", spot="k"))
 def d14(spark, sf):
+    """All parts of every text."""
     d = bv.table(spark, sf, "documents").select("doc_id", F.posexplode(tx.spaced_chunks(F.col("text"))).alias("k", "chunk"))
     return d.select("doc_id", "k", F.md5("chunk").alias("digest"))
 
 
+@query("d14_eight_spaced_chunks", _SPACED.format(parts="least(n, 8)", spot="CASE WHEN n <= 8 THEN k ELSE CAST(round_even(k * (n - 1) / 7, 0) AS INTEGER) END"))
+def d14_eight(spark, sf):
+    """Eight parts spread over every text: the number is the feature asked for."""
+    d = bv.table(spark, sf, "documents").select("doc_id", F.posexplode(tx.spaced_chunks(F.col("text"), limit=8)).alias("k", "chunk"))
+    return d.select("doc_id", "k", F.md5("chunk").alias("digest"))
+
+
 def _pooled(spark, sf):
     return tx.pool_vectors(bv.table(spark, sf, "embeddings").select((F.col("vec_id") % 50).alias("key"), "embedding"), "key", "embedding")
 
@@ -221,14 +289,11 @@ def t2m(spark, sf):
 
 # --- D16-D18: extraction inputs -------------------------------------------------------------------------------------
 
-_PRI = ", ".join(f"'{s.replace(chr(39), chr(39) * 2)}'" for s in tx.PRIORITY_SECTIONS)
-
-
-@query("d16_prioritised_chunks", f"""
-SELECT ticker, section, filing_date, chunk_id, CAST(coalesce(list_position([{_PRI}], trim(section)) - 1, 8) AS INTEGER) AS priority FROM chunks ORDER BY ticker, priority, filing_date, chunk_id LIMIT 300""")
+@query("d16_prioritised_chunks", """
+SELECT ticker, section, filing_date, chunk_id, CAST(coalesce(list_position(['MD&A', 'Management''s Discussion and Analysis', 'Risk Factors', 'Business', 'Financial Statements', 'Notes to Financial Statements',
+  'Market Risk', 'Quantitative and Qualitative Disclosures About Market Risk', 'Legal Proceedings', 'News'], trim(section)) - 1, 10) AS INTEGER) AS priority FROM chunks ORDER BY ticker, priority, filing_date, chunk_id""")
 def d16(spark, sf):
-    """The first 300 chunks to read: the limit is the operator's own."""
-    return tx.prioritised(bv.chunks(spark, sf), first=300).select("ticker", "section", "filing_date", "chunk_id", "priority")
+    return tx.prioritised(bv.chunks(spark, sf)).select("ticker", "section", "filing_date", "chunk_id", "priority")
 
 
 _KEY = f"sha256('x|' || sha256({_NORM}) || '|m|v1|v1')"
@@ -250,7 +315,7 @@ WITH r AS (SELECT event_id AS seq, 'c' || (event_id // 40) AS chunk_id, CASE WHE
   CASE WHEN value > 50 THEN 'positive' ELSE 'negative' END AS direction, CASE WHEN event_id % 11 = 0 THEN '1.5' WHEN event_id % 13 = 0 THEN 'high' ELSE CAST(event_id % 100 / 100 AS VARCHAR) END AS strength,
   CASE WHEN event_id % 3 = 0 THEN ' 12.5 ' WHEN event_id % 3 = 1 THEN '' ELSE 'n/a' END AS metric_value FROM events),
 c AS (SELECT *, try_cast(strength AS DOUBLE) AS s, try_cast(trim(metric_value) AS DOUBLE) AS m FROM r WHERE signal_type <> 'nonsense' AND try_cast(strength AS DOUBLE) BETWEEN 0 AND 1)
-SELECT seq, chunk_id, signal_type, direction, s AS strength, m AS metric_value FROM c QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY seq) <= 15""")
+SELECT seq, chunk_id, signal_type, direction, s AS strength, m AS metric_value FROM c""")
 def d18(spark, sf):
     i, e = F.col("event_id"), F.col("event_type")
     r = bv.table(spark, sf, "events").select(

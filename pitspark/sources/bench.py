@@ -29,13 +29,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give work that is heavy per row every core: a scan of fewer splits than cores is redistributed.
+#: Parts that documents are dealt out to when the work on each is heavy.
+TEXT_PARTS = 64
 
-    A large table has more splits than that and passes through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Deal rows that are heavy to work on out by their key."""
+    return df.repartition(TEXT_PARTS, key)
 
 
 def ticker_of(key: str):
@@ -262,15 +262,17 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
 # --- filings text -------------------------------------------------------------------------------------
 
 def sections(spark: SparkSession, sf: str) -> DataFrame:
-    """Filings from documents: issuer = source, three quarterlies then one annual every four documents, 91 days apart."""
+    """Filings from documents: issuer = source, three quarterlies then one annual every four documents, 91 days
+    apart; one in 23 is filed 130 days late for the same period."""
     src = F.regexp_extract("source", r"(\d+)", 1).cast("long")
     i = F.col("doc_id")
     step = (i / 20).cast("int")
-    filed = F.date_add(F.lit("2008-01-15").cast("date"), (step % 40 * 91 + i % 20 % 3).cast("int"))
+    due = F.date_add(F.lit("2008-01-15").cast("date"), (step % 40 * 91 + i % 20 % 3).cast("int"))
+    filed = F.when(i % 23 == 7, F.date_add(due, 130)).otherwise(due)
     return spread(table(spark, sf, "documents")).select(
         src.alias("cik"), F.concat(F.lit("A"), i.cast("string")).alias("accession"),
         F.when(step % 4 == 3, "10-K").otherwise("10-Q").alias("form"), filed.alias("filing_date"),
-        F.when(i % 9 != 0, F.date_sub(filed, 40)).alias("report_date"),
+        F.when(i % 9 != 0, F.date_sub(due, 40)).alias("report_date"),
         F.col("text").alias("risk_factors"), F.when(i % 6 != 0, F.reverse("text")).alias("mdna"))
 
 

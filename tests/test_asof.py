@@ -78,3 +78,13 @@ def test_filled_closes_stop_after_the_limit(spark):
 def test_raw_close_undoes_only_later_splits(spark):
     b = spark.createDataFrame([("A", day(0), 10.0, 0.0), ("A", day(1), 11.0, 4.0), ("A", day(2), 12.0, 0.0)], "ticker string, date date, close_split_adj double, split double")
     assert [r["raw_close"] for r in asof.raw_close(b).orderBy("date").collect()] == [40.0, 11.0, 12.0]
+
+
+def test_year_ago_filing_sees_earlier_filings_only(spark):
+    d = dt.date
+    rows = [("late", d(2019, 3, 31), d(2020, 9, 1)), ("now", d(2020, 3, 31), d(2020, 5, 10)), ("old", d(2019, 3, 31), d(2019, 5, 12)), ("amended", d(2019, 3, 30), d(2019, 7, 1)), ("same_day", d(2019, 3, 31), d(2020, 5, 10))]
+    f = spark.createDataFrame([(1, "10-Q", a, r, x) for a, r, x in rows], "cik long, form string, accession string, report_date date, filing_date date")
+    got = {r["accession"]: r["prior_accession"] for r in asof.year_ago_filing(f).collect()}
+    assert got["now"] == "amended"           # filed last among those filed before, though its period ends earlier
+    only = {r["accession"]: r["prior_accession"] for r in asof.year_ago_filing(f.filter("accession IN ('late', 'now')")).collect()}
+    assert only["now"] is None
