@@ -514,8 +514,12 @@ def v14(spark, sf):
 
 
 @query("b5_random_picks", """
-SELECT CAST(r.range AS INTEGER) AS seed, date, ticker, CAST(row_number() OVER (PARTITION BY r.range, date ORDER BY md5(r.range || '|' || date || '|' || ticker), ticker) AS INTEGER) AS pick
-FROM panel CROSS JOIN range(20) r QUALIFY pick <= 5""")
+WITH RECURSIVE pool AS (SELECT date, ticker, row_number() OVER (PARTITION BY date ORDER BY ticker) - 1 AS i FROM (SELECT DISTINCT date, ticker FROM panel)),
+d AS (SELECT date, count(*) AS n, unnest(range(20)) AS seed FROM pool GROUP BY 1),
+s AS (SELECT date, seed, n, greatest(n - 5, 0) AS j, CAST([] AS BIGINT[]) AS taken FROM d
+  UNION ALL SELECT date, seed, n, j + 1, list_append(taken, CASE WHEN list_contains(taken, h) THEN j ELSE h END) FROM (SELECT *, ('0x' || substr(md5(seed || '|' || date || '|' || j), 1, 8))::BIGINT % (j + 1) AS h FROM s WHERE j < n) q),
+p AS (SELECT date, seed, unnest(taken) AS i, generate_subscripts(taken, 1) AS pick FROM s WHERE j = n)
+SELECT CAST(p.seed AS INTEGER) AS seed, p.date, CAST(pick AS INTEGER) AS pick, ticker FROM p JOIN pool ON pool.date = p.date AND pool.i = p.i""")
 def b5(spark, sf):
     return rs.random_picks(bv.panel(spark, sf), 5, 20)
 
