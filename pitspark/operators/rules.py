@@ -41,9 +41,12 @@ def trailing_percentile(values: DataFrame, date: str, value: str, q: float, look
     h = (F.col("total") - 1) * F.lit(float(q))
     wants = F.array_distinct(F.array(F.floor(h), F.ceil(h)))
     hits = cum.withColumn("k", F.explode(wants)).filter((F.col("k") >= F.col("before")) & (F.col("k") < F.col("before") + F.col("n")))
-    # Open only the ranges that were hit, and walk them to the wanted position.
-    need = hits.select("t", "b", "k", "before", "total")
-    inside = need.join(counts.select("b", F.unix_date("d").alias("vd"), "v", F.col("n").alias("c")), "b").filter((F.col("vd") < F.col("t")) & (F.col("vd") >= F.col("t") - lookback_days))
+    # Open only the ranges that were hit, and walk them to the wanted position. Dates and values meet by range
+    # and by block of days as long as the lookback, so a range that every date asks for is split over time.
+    block = lambda t: F.floor(t / lookback_days)
+    need = hits.select("t", "b", "k", "before", "total", F.explode(F.array_distinct(F.array(block(F.col("t") - lookback_days), block(F.col("t") - 1)))).alias("block"))
+    opened = counts.select("b", F.unix_date("d").alias("vd"), block(F.unix_date("d")).alias("block"), "v", F.col("n").alias("c"))
+    inside = need.join(opened, ["b", "block"]).filter((F.col("vd") < F.col("t")) & (F.col("vd") >= F.col("t") - lookback_days))
     per = inside.groupBy("t", "k", "before", "total", "v").agg(F.sum("c").alias("c"))
     w = Window.partitionBy("t", "k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     at = per.withColumn("upto", F.col("before") + F.sum("c").over(w)).filter(F.col("upto") > F.col("k")) \
