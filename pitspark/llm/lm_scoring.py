@@ -30,9 +30,9 @@ from pyspark.sql import types as T
 
 from . import lattice
 from .pieces import DEFAULT_MODEL, load
-from .shared import held_out, written
+from .shared import commonest, held_out, written
 
-#: Commonest words whose scores are broadcast.
+#: Commonest words whose scores are broadcast, at most.
 FREQUENT = 200_000
 #: Classes with a model of their own, the ones with most training documents; all others share one more.
 CLASSES = 6
@@ -180,7 +180,7 @@ def score(df: DataFrame, train: Column | None = None, id_col: str = "doc_id", te
     def base(c):
         return np.log10((c + ADD) / (tokens + ADD * (distinct + 1)))
 
-    common = scores.orderBy(F.desc("n"), "word").limit(frequent).toPandas()
+    common = scores.where(F.col("n") >= commonest(scores, frequent)).toPandas()
     place = {w.encode(): i for i, w in enumerate(common["word"])}
     values = np.column_stack([(common["c"] > 0).to_numpy(float), base(common["c"].to_numpy()), *(common[n].to_numpy() for n in names)]).reshape(len(common), len(names) + 2)
     shared = df.sparkSession.sparkContext.broadcast((place, values))

@@ -71,7 +71,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_sentencepiece")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece.round_trip(table(spark, sf_dir, "documents"))
+    return sentencepiece.encode(table(spark, sf_dir, "documents"))
 
 
 @query("op10_vector_near_duplicates")

@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pieces import DEFAULT_MODEL, MARK, Vocabulary, load
-from .shared import written
-from .textbytes import Slice, slices
+from .shared import commonest, written
+from .textbytes import RangeHash, Slice, slices
 
 #: Commonest words whose ids are broadcast (a few tens of bytes each).
 FREQUENT = 500_000
+#: Texts of a batch that are worked on together.
+PART = 3_000
 #: What a character without a piece scores below the lowest piece.
 PENALTY = 10.0
 
@@ -75,11 +77,21 @@ def word_table(texts: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(spaced(batch.column(0))):
-                start, end, _ = words(s, pairs)
-                _, first, times = np.unique(s.hash.of(start, end), return_index=True, return_counts=True)
-                raw = s.data.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([raw[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)], pa.string()), pa.array(times)], names=["word", "n"])
+            for f in range(0, len(batch), PART):
+                raw, base, found = [], 0, []
+                for s in slices(spaced(batch.column(0).slice(f, PART))):
+                    start, end, _ = words(s, pairs)
+                    name, first, times = np.unique(s.hash.of(start, end), return_index=True, return_counts=True)
+                    found.append((name, start[first] + base, end[first] + base, times))
+                    raw.append(s.data.tobytes())
+                    base += len(s.data)
+                if not found:
+                    continue
+                name, start, end, times = (np.concatenate(x) for x in zip(*found, strict=True))
+                _, first, back = np.unique(name, return_index=True, return_inverse=True)
+                whole = b"".join(raw)
+                yield pa.RecordBatch.from_arrays([pa.array([whole[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)], pa.string()),
+                                                  pa.array(np.bincount(back, times, len(first)).astype(np.int64))], names=["word", "n"])
 
     return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -100,7 +112,7 @@ def encode_words(table: DataFrame, model: str = DEFAULT_MODEL, penalty: float =
     edges = parts.join(pieces, "piece", "left").where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
     # a character without a piece has the number below zero of its place in the word
     edges = edges.select("word", "n", F.struct("end", "start", F.coalesce("score", F.lit(lowest)).alias("score"), F.coalesce("id", -1 - F.col("start")).alias("id")).alias("edge"))
-    grouped = edges.groupBy("word").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("edge")).alias("edges"))
+    grouped = edges.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("edge")).alias("edges"))
     none = "CAST(array() AS array<struct<score: double, start: int, id: int>>)"
     folded = F.expr(f"""aggregate(edges,
         named_struct('done', {none}, 'at', 0, 'now', named_struct('score', 0D, 'start', -1, 'id', 0)),
@@ -119,20 +131,8 @@ def encode_words(table: DataFrame, model: str = DEFAULT_MODEL, penalty: float =
     return found.select("word", "n", F.when(bare, in_bytes).otherwise(F.col("ids")).alias("ids"))
 
 
-def commonest(table: DataFrame, most: int) -> int:
-    """The least power of two such that at most ``most`` words occur at least so often."""
-    rows = table.groupBy(F.floor(F.log2("n") + 1e-9).cast("int").alias("k")).agg(F.count("*").alias("words")).orderBy(F.desc("k")).collect()
-    so_far, least = 0, None
-    for r in rows:
-        so_far += r["words"]
-        if so_far > most:
-            break
-        least = 1 << r["k"]
-    return least if least is not None else (2 << rows[0]["k"] if rows else 1)
-
-
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, frequent: int = FREQUENT, penalty: float = PENALTY) -> DataFrame:
-    """``id_col, text_hash, n_pieces, ids`` of every row; ``text_hash`` is xxhash64 of the text.
+    """``id_col, n_pieces, ids, exact`` of every row; ``exact`` tells whether the ids, decoded where they are put together, spell the text again.
 
     A null text is empty; an empty text has no pieces. Repeated rows and null ids stay; other columns are left out.
     """
@@ -165,41 +165,45 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
     def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(spaced(batch.column(2))):
+            for f, s in ((f, s) for f in range(0, len(batch), PART) for s in slices(spaced(batch.column(2).slice(f, PART)))):
                 start, end, of, place = known(s)
                 nth = np.arange(len(start)) - np.searchsorted(of, of)
                 rare = np.flatnonzero(place < 0)
                 raw = s.data.tobytes()
-                rows = pa.array(s.first + of[rare])
+                rows = pa.array(f + s.first + of[rare])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(nth[rare].astype(np.int32)),
                                                   pa.array([raw[a:b].decode() for a, b in zip(start[rare].tolist(), end[rare].tolist(), strict=True)], pa.string())], names=["k", "h", "nth", "word"])
 
     def templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(spaced(batch.column(2))):
+            for f, s in ((f, s) for f in range(0, len(batch), PART) for s in slices(spaced(batch.column(2).slice(f, PART)))):
                 _, _, of, place = known(s)
                 code, size = _pack(place + 1)
+                whole = s.hash.of(s.start, s.end).view(np.int64)
                 ends = np.cumsum(np.bincount(of, size, minlength=s.count).astype(np.int64))
                 raw = code.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.count), batch.column(1).slice(s.first, s.count), pa.array([raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], pa.binary())], names=["k", "h", "code"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(f + s.first, s.count), batch.column(1).slice(f + s.first, s.count), pa.array(whole), pa.array([raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], pa.binary())], names=["k", "h", "whole", "code"])
 
     kind = docs.schema["k"].dataType
     keys = [T.StructField("k", kind), T.StructField("h", T.LongType())]
     rare = docs.mapInArrow(rare_words, T.StructType([*keys, T.StructField("nth", T.IntegerType()), T.StructField("word", T.StringType())]))
     filled = rare.join(table.where(F.col("n") < least).select("word", "ids"), "word").select(F.struct("k", "h").alias("key"), F.struct("nth", "ids").alias("part"))
     filled = filled.groupBy("key").agg(F.collect_list("part").alias("parts"))
-    whole = docs.mapInArrow(templates, T.StructType([*keys, T.StructField("code", T.BinaryType())])).withColumn("key", F.struct("k", "h")).join(filled, "key", "left").select("k", "h", "code", "parts")
-    schema = T.StructType([T.StructField(id_col, kind), T.StructField("text_hash", T.LongType()), T.StructField("n_pieces", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    whole = docs.mapInArrow(templates, T.StructType([*keys, T.StructField("whole", T.LongType()), T.StructField("code", T.BinaryType())])).withColumn("key", F.struct("k", "h")).join(filled, "key", "left").select("k", "whole", "code", "parts")
+    schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_pieces", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())])
+    spelling = spark.sparkContext.broadcast(spellings(vocabulary))
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, starts, sizes, flat = shared.value
+        spelt = spelling.value
         for batch in batches:
-            for first in range(0, len(batch), 200):
-                part = batch.slice(first, 200)
+            for first in range(0, len(batch), 100):
+                part = batch.slice(first, 100)
                 rows = [_ids(code.as_py(), parts.as_py(), starts, sizes, flat) for code, parts in zip(part.column(2), part.column(3), strict=True)]
                 n = np.array([len(r) for r in rows], np.int64)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows).astype(np.int32)))], names=schema.names)
+                again = [RangeHash(np.frombuffer(data := spell(r, spelt), np.uint8)).of(np.array([0]), np.array([len(data)])).view(np.int64)[0] for r in rows]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows).astype(np.int32))), pa.array(np.array(again) == part.column(1).to_numpy())], names=schema.names)
 
     return whole.mapInArrow(put_together, schema)
 
@@ -245,27 +249,32 @@ def _ids(code: bytes, parts: list[dict] | None, starts: np.ndarray, sizes: np.nd
     return out
 
 
+def spellings(vocabulary: Vocabulary) -> list[bytes]:
+    """The bytes of every id; ids of no piece spell nothing."""
+    out = [b""] * (max(int(vocabulary.ids.max()), *vocabulary.byte_ids) + 1)
+    for i, piece in zip(vocabulary.ids.tolist(), source_pieces(vocabulary), strict=True):
+        out[i] = piece.encode()
+    for b, i in enumerate(vocabulary.byte_ids):
+        out[i] = bytes([b])
+    return out
+
+
+def spell(ids: np.ndarray, spelt: list[bytes]) -> bytes:
+    """The bytes that ids stand for, with the space before the text."""
+    return b"".join(map(spelt.__getitem__, ids.tolist()))
+
+
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "text", model: str = DEFAULT_MODEL) -> DataFrame:
     """``df`` without ``ids_col`` and with the text the ids spell. Bytes that make no character, which no encoded text has, become U+FFFD. Null ids spell an empty text."""
-    vocabulary = load(model)
-    table = {int(i): p.encode() for i, p in zip(vocabulary.ids, source_pieces(vocabulary), strict=True)} | {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
     names = [c for c in df.columns if c not in (ids_col, out_col)]
     schema = T.StructType([*(df.schema[n] for n in names), T.StructField(out_col, T.StringType())])
-    shared = df.sparkSession.sparkContext.broadcast(table)
+    shared = df.sparkSession.sparkContext.broadcast(spellings(load(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelt = shared.value.__getitem__
         for batch in batches:
             for first in range(0, len(batch), 500):
                 part = batch.slice(first, 500)
-                texts = [b"".join(map(spelt, ids.values.to_numpy(zero_copy_only=False).tolist() if ids.values is not None else ()))[1:].decode("utf-8", "replace") for ids in part.column(len(names))]
+                texts = [spell(np.array(ids or [], np.int64), shared.value)[1:].decode("utf-8", "replace") for ids in part.column(len(names)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(texts, pa.string())], names=schema.names)
 
     return df.select(*names, ids_col).mapInArrow(run, schema)
-
-
-def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, frequent: int = FREQUENT) -> DataFrame:
-    """``id_col, n_pieces, ids, exact``: the encoding of every row, and whether decoding it gives the text again."""
-    encoded = encode(df, id_col, text_col, model, frequent)
-    back = decode(encoded.withColumn("spelt", F.col("ids")), "spelt", "decoded", model)
-    return back.select(id_col, "n_pieces", "ids", (F.xxhash64("decoded") == F.col("text_hash")).alias("exact"))

@@ -37,3 +37,15 @@ def held_out(doc_id: Column, parts: int) -> Column:
 def fields(df: DataFrame, *names: str) -> T.StructType:
     """The named columns of ``df`` as a schema, for functions that take these columns alone."""
     return T.StructType([T.StructField(n, df.schema[n].dataType) for n in names])
+
+
+def commonest(table: DataFrame, most: int) -> int:
+    """The least power of two such that at most ``most`` words occur at least so often."""
+    rows = table.groupBy(F.floor(F.log2("n") + 1e-9).cast("int").alias("k")).agg(F.count("*").alias("words")).orderBy(F.desc("k")).collect()
+    so_far, least = 0, None
+    for r in rows:
+        so_far += r["words"]
+        if so_far > most:
+            break
+        least = 1 << r["k"]
+    return least if least is not None else (2 << rows[0]["k"] if rows else 1)

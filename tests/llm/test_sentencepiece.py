@@ -40,8 +40,10 @@ def test_ids_are_the_best_path_of_the_whole_text(spark, frequent):
     words = [p.strip("▁") for p in load().pieces if p.isascii()][300:900]
     texts = TEXTS + [" ".join(rng.choice(words) + rng.choice(["", ",", ".", "-", "\n"]) for _ in range(rng.randint(1, 80))) for _ in range(40)]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
-    rows = sp.round_trip(df, frequent=frequent).orderBy("doc_id").collect()
+    rows = sp.encode(df, frequent=frequent).orderBy("doc_id").collect()
     assert all(r["exact"] for r in rows) and len(rows) == len(texts)
+    back = sp.decode(sp.encode(df, frequent=frequent).select("doc_id", "ids")).orderBy("doc_id").collect()
+    assert [r["text"] for r in back] == [t or "" for t in texts]
     for r, t in zip(rows, texts):
         assert r["ids"] == best_path(t or "", load()) and r["n_pieces"] == len(r["ids"])
 
@@ -67,9 +69,14 @@ def test_agrees_with_the_library_on_the_same_scores(spark):
 
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "one two"), (1, "one two"), (None, "one two"), (1, "other")], "doc_id long, text string")
-    rows = sp.round_trip(df, frequent=1).collect()
+    rows = sp.encode(df, frequent=1).collect()
     assert sorted((r["doc_id"] or 0, r["n_pieces"]) for r in rows) == sorted([(0, len(best_path("one two", load()))), *[(1, len(best_path("one two", load())))] * 2, (1, len(best_path("other", load())))]) and all(r["exact"] for r in rows)
-    assert sp.round_trip(df.limit(0)).count() == 0
+    assert sp.encode(df.limit(0)).count() == 0
+
+
+def test_decoding_of_no_ids(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, [], "y")], "doc_id long, ids array<int>, text string")
+    assert [tuple(r) for r in sp.decode(df).orderBy("doc_id").collect()] == [(1, ""), (2, "")]
 
 
 def test_packing():
