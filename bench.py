@@ -21,7 +21,7 @@ QUERIES = [
     "a0_breakout_study", "f9_feature_bundle", "f11_f13_pit_technicals", "t1_asof_join", "t14_year_ago_filing", "l1_forward_returns", "l6_walk_barriers", "l7_walk_trailing_stop",
     "l9_geometry_grid", "l10_target_outcomes", "l13_build_trades", "x3_x4_company_table", "x6_x8_snapshots", "x10_sue_series",
     "x13_cheap_quality_screen", "h3_compare_quarters", "h4_select_positions", "h8_pit_universe", "h9_pit_broad_universe", "i1_insider_features", "e1_insider_cluster_events",
-    "e2_earnings_surprise_events", "g1_build_universe", "q1_cross_sectional_rank", "v1_per_date_metrics", "v3_evaluate_signals", "v19_pbo_cscv", "v22_concordance", "b1_bootstrap_ci",
+    "e2_earnings_surprise_events", "e2_trailing_percentile", "b5_random_picks", "g1_build_universe", "q1_cross_sectional_rank", "v1_per_date_metrics", "v3_evaluate_signals", "v19_pbo_cscv", "v22_concordance", "b1_bootstrap_ci",
     "b4_random_baseline", "p1_monthly_portfolio", "p9_calendar_time_portfolio", "r6_weighted_view", "r7_r12_rank_universe", "u5_compute_fundamentals", "d1_html_to_text", "d2_detect_sections",
     "d6_split_into_chunks", "d11_tfidf_fit", "d12_cosine_pairs", "d13_filing_features", "s1_bars_scan", "s4_insider_bulk_tsv", "s7_s8_information_tables", "a7_event_study",
 ]
