@@ -4,8 +4,11 @@ A page is read once into text runs, each under the path of block tags from the r
 the runs' length, punctuation and count give a ratio (text and punctuation per run); ratios are smoothed
 over neighbouring paths in page order and fused with the ratio of the path's container, the subtree it
 stands in, so that a short heading or list item of an article shares the article's weight. Paths whose fused
-ratio passes the threshold are content. Paths through elements that are never part of an article (fixed
-values below) count for nothing. A page is one row; pages need no shuffle.
+ratio passes the threshold are content. Elements whose tag or whole class, id or role token names what stands
+around an article (fixed values below) have their paths' ratio lowered; it does not count for the threshold.
+An element that holds an article, the main part or the heaviest container is not such a one, whatever its
+name. Where the heaviest container is an article, ratios outside articles are lowered too. A page is one
+row; pages need no shuffle.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,12 +36,19 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code"
           "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: Elements around an article.
 AROUND = {"nav", "footer", "aside", "form", "menu", "button", "select", "option", "textarea", "dialog", "fieldset", "input", "datalist"}
-#: Words of class, id and role that name what stands around an article.
+#: Words of class, id and role tokens that name what stands around an article.
 AROUND_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "form",
                 "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "pager", "popup", "promo", "promotion", "related", "replies",
                 "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget", "widgets", "complementary", "contentinfo", "search", "alert", "overlay"}
 #: Such words on an article, which may be a reader's comment or a teaser.
 NO_ARTICLE = {"ad", "advert", "comment", "comments", "promo", "related", "replies", "reply", "sponsored", "teaser"}
+#: Words that may stand beside such a word in one token without changing what it names.
+NEUTRAL = {"area", "bar", "block", "body", "bottom", "box", "card", "container", "global", "icons", "inner", "item", "left", "link", "links", "list", "main", "page", "primary", "right", "secondary", "section",
+           "site", "slot", "top", "unit", "wrap", "wrapper"}
+#: Elements around an article that may hold teasers written as articles.
+TEASERS = {"nav", "footer", "aside", "menu", "dialog"}
+#: Elements whose id is a link target named after their text.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that end an open paragraph.
 ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header",
           "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -51,10 +62,15 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[
 NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I | re.S)
 HIDE = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 SPACES = re.compile(r"\s+")
+WORD_ENDS = re.compile(r"[^a-z0-9]+")
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、…]")
 
 #: Share of the best path's fused ratio from which a path is content.
 THRESHOLD = 0.1
+#: What the weight of a container counts in the choice of the heaviest if it is named as around an article, if it is so named and holds most of the page, and if it is in an article.
+DOUBTED, MOST, RAISED = 0.01, 0.1, 4.0
+#: What the fused ratio of a path counts if it is around an article, and if it is outside the articles of a page whose heaviest container is one.
+LOWERED, OUTSIDE = 0.002, 0.05
 
 
 @dataclass
@@ -62,7 +78,6 @@ class Path:
     """What the runs under one tag path add up to."""
 
     container: int
-    around: bool
     runs: int = 0
     chars: int = 0
     marks: int = 0
@@ -72,7 +87,7 @@ class Path:
 class Element:
     tag: str
     path: int
-    around: bool
+    doubted: bool
     hidden: bool
     container: int
     in_article: bool
@@ -80,16 +95,26 @@ class Element:
 
 @dataclass
 class Page:
-    """Blocks of text in page order (path number, text), the paths, and the parent of every container."""
+    """Blocks of text in page order (path number, text), the paths, and of every container its parent, its tag, whether it is named as around an article, and whether it is in one."""
 
     blocks: list[tuple[int, str]] = field(default_factory=list)
     paths: list[Path] = field(default_factory=list)
     parents: list[int] = field(default_factory=lambda: [-1])
     kinds: list[str] = field(default_factory=lambda: [""])
+    doubted: list[bool] = field(default_factory=lambda: [False])
+    in_article: list[bool] = field(default_factory=lambda: [False])
 
 
-def _named(attributes: str, names: set[str]) -> bool:
-    return any(word in names for _, *value in NAMES.findall(attributes) for word in re.split(r"[^a-z0-9]+", "".join(value).lower()))
+@lru_cache(100_000)
+def _names(token: str, article: bool) -> bool:
+    """Whether a token as a whole names what stands around an article: it has such a word, and no word that may mean something else."""
+    names = NO_ARTICLE if article else AROUND_NAMES
+    words = [w for w in WORD_ENDS.split(token.lower()) if w]
+    return any(w in names for w in words) and all(w in names or w in NEUTRAL or w.isdigit() for w in words)
+
+
+def _named(tag: str, attributes: str) -> bool:
+    return any(_names(token, tag == "article") for name, *value in NAMES.findall(attributes) if tag not in HEADINGS or name.lower() != "id" for token in "".join(value).split())
 
 
 def read(source: str) -> Page:
@@ -107,10 +132,10 @@ def read(source: str) -> Page:
         top = stack[-1]
         if not run or top.hidden:
             return
-        key = (top.path, top.container, top.around)
+        key = (top.path, top.container)
         if key not in numbers:
             numbers[key] = len(page.paths)
-            page.paths.append(Path(top.container, top.around))
+            page.paths.append(Path(top.container))
         path = page.paths[numbers[key]]
         path.runs += 1
         path.chars += len(run)
@@ -162,14 +187,17 @@ def read(source: str) -> Page:
         if tag in VOID or m[3].endswith("/") and tag not in ENDS_P:
             continue
         top, attributes = stack[-1], m[3]
-        around = tag in AROUND or tag == "header" and not top.in_article or tag not in ("html", "body", "main") and _named(attributes, NO_ARTICLE if tag == "article" else AROUND_NAMES)
+        doubted = tag in AROUND or tag == "header" and not top.in_article or tag not in ("html", "body", "main") and _named(tag, attributes)
+        in_article = top.in_article or tag == "main" or tag == "article" and not doubted and not any(opened[t] for t in TEASERS)
         container = top.container
-        if tag in CONTAINERS or around and not top.around:
+        if tag in CONTAINERS or doubted:
             container = len(page.parents)
             page.parents.append(top.container)
             page.kinds.append(tag)
+            page.doubted.append(doubted)
+            page.in_article.append(in_article)
         hidden = top.hidden or tag in HIDDEN or bool(HIDE.search(attributes))
-        stack.append(Element(tag, steps.setdefault((top.path, tag), len(steps) + 1), top.around or around, hidden, container, top.in_article or tag in ("article", "main")))
+        stack.append(Element(tag, steps.setdefault((top.path, tag), len(steps) + 1), doubted, hidden, container, in_article))
         opened[tag] += 1
     if not stack[-1].hidden:
         text.append(source[at:])
@@ -185,41 +213,83 @@ def _inside(stack: list[Element]) -> list[Element]:
     return stack
 
 
-def ratios(page: Page) -> list[float]:
-    """The fused ratio of every path: its own, smoothed over its neighbours, times that of its container."""
-    own = [0.0 if p.around else p.chars / p.runs * (1 + p.marks / p.runs) for p in page.paths]
+def around(page: Page) -> tuple[list[bool], int]:
+    """Which containers are around an article or in one that is, and the heaviest container."""
+    n = len(page.parents)
+    doubted, cleared = list(page.doubted), [False] * n
+    # whatever holds an article or the main part is not around it
+    for c in range(1, n):
+        above = page.parents[c]
+        if page.in_article[c] and not page.in_article[above] and not page.doubted[c]:
+            while above > 0 and not cleared[above]:
+                doubted[above], cleared[above] = False, True
+                above = page.parents[above]
+
+    def inherited() -> list[bool]:
+        out = list(doubted)
+        for c in range(1, n):
+            out[c] = out[c] or out[page.parents[c]]
+        return out
+
+    out = inherited()
+    own = [0.0] * n
+    for p in page.paths:
+        own[p.container] += p.chars * (1 + p.marks / p.runs)
+    inside = list(own)
+    for c in range(n - 1, 0, -1):
+        inside[page.parents[c]] += inside[c]
+    most = [False] * n
+    for c in range(1, n):
+        most[c] = most[page.parents[c]] or out[c] and 2 * inside[c] > inside[0]
+    weight = [w * (1.0 if not out[c] else MOST if most[c] else DOUBTED) for c, w in enumerate(own)]
+    for c in range(n - 1, 0, -1):
+        if page.kinds[page.parents[c]] not in ("", "html", "body"):
+            weight[page.parents[c]] += 0.5 * weight[c]
+    heaviest = max(range(n), key=lambda c: weight[c] * (RAISED if page.in_article[c] and not out[c] else 1.0))
+    if out[heaviest]:
+        # nor is what holds most of the text of a page without any other content
+        c = heaviest
+        while c > 0:
+            if 2 * inside[c] > inside[0]:
+                doubted[c] = False
+            c = page.parents[c]
+        out = inherited()
+    return out, heaviest
+
+
+def ratios(page: Page) -> list[tuple[float, bool]]:
+    """The fused ratio of every path: its own, smoothed over its neighbours, times that of its container; and whether the path is around the content."""
+    beside, heaviest = around(page)
+    in_article = [page.in_article[c] and not beside[c] for c in range(len(beside))]
+    factor = [(LOWERED if b else 1.0) * (OUTSIDE if in_article[heaviest] and not page.in_article[c] else 1.0) for c, b in enumerate(beside)]
+    own = [p.chars / p.runs * (1 + p.marks / p.runs) * factor[p.container] for p in page.paths]
     n = len(page.parents)
     weight = [0.0] * n
     for p in page.paths:
-        if not p.around:
-            weight[p.container] += p.chars * (1 + p.marks / p.runs)
+        weight[p.container] += p.chars * (1 + p.marks / p.runs) * factor[p.container]
     total = sum(weight) or 1.0
     # half of a container's weight counts for the one around it, so that an article cut into boxes stays one
     for c in range(n - 1, 0, -1):
         if page.kinds[page.parents[c]] not in ("", "html", "body"):
             weight[page.parents[c]] += 0.5 * weight[c]
-    in_article = [False] * n
-    for c in range(1, n):
-        in_article[c] = page.kinds[c] in ("article", "main") or in_article[page.parents[c]]
-    marked = any(in_article[p.container] and not p.around for p in page.paths)
     for c in range(1, n):
         above = page.parents[c]
-        if page.kinds[above] not in ("", "html", "body"):
+        if page.kinds[above] not in ("", "html", "body") and factor[c] >= factor[above]:
             weight[c] = max(weight[c], weight[above] * (1.0 if in_article[above] else 0.5))
     smooth = []
     for i, p in enumerate(page.paths):
         near = [(own[j], 2 if j == i else 1) for j in (i - 1, i, i + 1) if 0 <= j < len(own) and page.paths[j].container == p.container]
         smooth.append(sum(v * w for v, w in near) / sum(w for _, w in near))
     best = max(smooth, default=0.0) or 1.0
-    return [0.0 if p.around or marked and not in_article[p.container] else (0.5 + 0.5 * s / best) * weight[p.container] / total for p, s in zip(page.paths, smooth, strict=True)]
+    return [((0.5 + 0.5 * s / best) * weight[p.container] / total, beside[p.container]) for p, s in zip(page.paths, smooth, strict=True)]
 
 
 def main_text(source: str | None, threshold: float = THRESHOLD) -> str:
     """The content blocks of a page, one per line."""
     page = read(source or "")
     fused = ratios(page)
-    least = threshold * max(fused, default=0.0)
-    return "\n".join(run for path, run in page.blocks if fused[path] > 0 and fused[path] >= least)
+    best = max((ratio for ratio, beside in fused if not beside), default=0.0)
+    return "\n".join(run for path, run in page.blocks if best > 0 and fused[path][0] >= threshold * best)
 
 
 def extract(df: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:

@@ -25,6 +25,27 @@ def test_blocks(body, want):
     assert main_text(page) == want
 
 
+LONG = "<p>" + "A long sentence of the text, with marks, and more. And another one, for weight. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize("body", [
+    f"<div class='content has-sidebar'><article>{LONG}</article></div>",
+    f"<div class='content has-sidebar'><div>{LONG}</div></div>",
+    f"<div class='sidebar'><article>{LONG}</article></div>",
+    f"<form id=form1><main>{LONG}</main></form>",
+    f"<form id=form1><div class=widget>{LONG}</div></form>",
+    f"<div id=content>{LONG}</div><article class=card><h3>Other</h3><p>A teaser, short.</p></article>",
+    f"<div class='content widget'>{LONG}</div><article class=card><h3>Other</h3><p>A teaser, short.</p></article>",
+])
+def test_names_and_teasers_do_not_hide_the_text(body):
+    assert main_text(PAGE.replace("{}", body, 1)) == main_text(LONG)
+
+
+def test_parts_of_an_article_named_like_its_surroundings_stay():
+    body = f"<article>{LONG}<section id='related-work'><h2 id='social-impact'>Social impact</h2><p>Earlier work, in short.</p></section><h2 id=comments>Comments on it</h2><div class='share-links'>Share me</div></article>"
+    assert main_text(PAGE.replace("{}", body, 1)).split("\n")[1:] == ["Social impact", "Earlier work, in short.", "Comments on it"]
+
+
 @pytest.mark.parametrize("source", [None, "", "plain", "<", "<p", "</p></p>", "<a href=\"x>y", "<!-- open", "<script>x", "<" * 50_000, "<p>" * 20_000 + "deep", "<div>" * 50_000 + "x", "\x00<p>\x00", "<p a='" + "b" * 100_000])
 def test_broken_sources_end(source):
     assert isinstance(main_text(source), str)
