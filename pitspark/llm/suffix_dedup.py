@@ -65,7 +65,7 @@ def samples(s: Slice, length: int) -> tuple[np.ndarray, np.ndarray]:
     return found[fresh], text[fresh]
 
 
-SAMPLE_FIELDS = [("k1", T.LongType()), ("k2", T.IntegerType()), ("pos", T.IntegerType()), ("left", T.ShortType()), ("right", T.ShortType()), ("rank", T.LongType()), ("around", T.LongType())]
+SAMPLE_FIELDS = [("k1", T.LongType()), ("k2", T.LongType()), ("pos", T.IntegerType()), ("left", T.ShortType()), ("right", T.ShortType()), ("rank", T.LongType()), ("around", T.LongType())]
 
 
 def _sampled(docs: DataFrame, length: int) -> DataFrame:
@@ -91,7 +91,7 @@ def _contexts(docs: DataFrame, members: DataFrame, length: int) -> DataFrame:
     """The bytes left and right of each member: ``rank, k1, k2, pos, before, after``."""
     half = length // 2
     lists = members.groupBy("k1", "k2").agg(F.collect_list(F.struct("rank", "pos", "left", "right")).alias("at"))
-    schema = T.StructType([T.StructField("rank", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.IntegerType()), T.StructField("pos", T.IntegerType()),
+    schema = T.StructType([T.StructField("rank", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("pos", T.IntegerType()),
                            T.StructField("before", T.BinaryType()), T.StructField("after", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +105,7 @@ def _contexts(docs: DataFrame, members: DataFrame, length: int) -> DataFrame:
                     for column, value in zip(columns, (m["rank"], k1[i].as_py(), k2[i].as_py(), p, data[p - m["left"]: p], data[p + half: p + half + m["right"]]), strict=True):
                         column.append(value)
             for first in range(0, len(columns[0]), 5_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[first: first + 5_000], t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(c[first: first + 5_000], t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=schema.names)
 
     return docs.select("k1", "k2", "text").join(lists, ["k1", "k2"]).mapInArrow(run, schema)
 
@@ -141,7 +141,7 @@ def suffix_keys(before: pa.Array, after: pa.Array, length: int) -> tuple[np.ndar
 def _sorted_buckets(contexts: DataFrame, length: int) -> DataFrame:
     """Repeated stretches ``k1, k2, start, end`` of the members of buckets that a task can sort."""
     half = length // 2
-    schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
     def stretches(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
@@ -187,7 +187,7 @@ def _sorted_buckets(contexts: DataFrame, length: int) -> DataFrame:
 
 def _shuffled_buckets(contexts: DataFrame, length: int) -> DataFrame:
     """The same for larger buckets: their suffixes are shuffled by key and counted."""
-    schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("rank", T.LongType()), T.StructField("key", T.LongType())])
+    schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("rank", T.LongType()), T.StructField("key", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,8 +241,9 @@ def remove_repeats(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: s
     names = [n for n in keep if n not in results]
     schema = T.StructType([df.schema[n] for n in names] + [T.StructField(n, t) for n, t in results.items()])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = [F.coalesce(F.xxhash64(id_col) if not isinstance(df.schema[id_col].dataType, (T.LongType, T.IntegerType)) else F.col(id_col).cast("long"), F.lit(-1)).alias("k1"),
-           F.hash(F.col(id_col).isNull(), text).alias("k2")]
+    # a row without an id is known by 128 bits of its text, any other by its id and 64 bits
+    own = F.col(id_col).cast("long") if isinstance(df.schema[id_col].dataType, (T.LongType, T.IntegerType)) else F.xxhash64(id_col)
+    key = [F.when(F.col(id_col).isNull(), F.xxhash64(F.lit("no id"), text)).otherwise(own).alias("k1"), F.xxhash64(F.col(id_col).isNull(), text).alias("k2")]
     docs = df.select(*key, text.alias("text"))
     lists = repeated(docs, length, heavy).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cut"))
 

@@ -75,3 +75,13 @@ def test_one_id_with_two_texts_is_two_documents(spark):
     a, b = "x".join(str(i) for i in range(200)), "y".join(str(i) for i in range(200))
     rows = sd.remove_repeats(spark.createDataFrame([(1, a), (1, b), (2, a)], "doc_id long, text string")).collect()
     assert sorted(r["n_removed"] for r in rows) == [0, len(a), len(a)]
+
+
+def test_null_ids_whose_texts_share_32_bits_are_two_documents(spark):
+    shared = "".join(f"{i}," for i in range(200))
+    plain = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"/{j}")), 512) for j in range(5)])
+    texts = spark.range(400_000).select(F.when(F.col("id") % 2 == 0, F.concat(F.col("id").cast("string"), F.lit(shared))).otherwise(plain).alias("text"), (F.col("id") % 2).alias("odd"))
+    alike = texts.groupBy(F.hash(F.lit(True), "text")).agg(F.max(F.when(F.col("odd") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("odd") == 1, F.col("text"))).alias("b"))
+    a, b = alike.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").first()
+    rows = sd.remove_repeats(spark.createDataFrame([(None, a), (None, b), (1, shared)], "doc_id long, text string")).collect()
+    assert sorted((r["n_bytes"], r["n_removed"]) for r in rows) == sorted([(len(a), len(shared)), (len(b), 0), (len(shared), len(shared))])
