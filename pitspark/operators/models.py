@@ -74,6 +74,11 @@ def _parts(x: DataFrame, folds: DataFrame, fold: int, label: str) -> tuple[DataF
     return pick("train").filter(F.col(label).isNotNull()), pick("test")
 
 
+def _unscored(test: DataFrame, fold: int, scores: Sequence[str], reason: str) -> DataFrame:
+    """The test rows of a fold that cannot be fitted, with null scores and the reason."""
+    return test.select("date", "ticker", F.lit(fold).alias("fold"), *[F.lit(None).cast("double").alias(s) for s in scores], F.lit(reason).alias("reason"))
+
+
 # --- regression and ridge -----------------------------------------------------------------------------------
 
 def ridge_fit(train: DataFrame, features: Sequence[str], target: str, alpha: float = 1.0) -> np.ndarray:
@@ -104,7 +109,7 @@ def ridge_predict(df: DataFrame, features: Sequence[str], beta: np.ndarray, out:
 def walk_forward_predict(x: DataFrame, folds: DataFrame, features: Sequence[str], min_rows: int = 200, params: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold ``score_ml`` (boosted trees) and ``score_linear`` (ridge); mean importance per feature.
 
-    ``x``: ``design`` output. A fold with too few labelled training rows gives no predictions.
+    ``x``: ``design`` output. The test rows of a fold with too few labelled training rows have null scores and a ``reason``.
     """
     check_features(features)
     spark = x.sparkSession
@@ -113,13 +118,15 @@ def walk_forward_predict(x: DataFrame, folds: DataFrame, features: Sequence[str]
     for fold in fold_numbers(folds):
         train, test = _parts(x, folds, fold, "target_rank")
         if train.limit(min_rows).count() < min_rows:
+            got = _unscored(test, fold, ["score_ml", "score_linear"], f"fewer than {min_rows} training rows")
+            out = got if out is None else out.unionByName(got)
             continue
         model = GBTRegressor(featuresCol="features", labelCol="target_rank", predictionCol="score_ml", **{**TREES, **(params or {})}).fit(_assembled(train, features))
         gains += [(fold, f, float(g)) for f, g in zip(features, model.featureImportances.toArray())]
         beta = ridge_fit(train, features, "target_rank")
-        got = ridge_predict(model.transform(_assembled(test, features)), features, beta, "score_linear").select("date", "ticker", F.lit(fold).alias("fold"), "score_ml", "score_linear")
+        got = ridge_predict(model.transform(_assembled(test, features)), features, beta, "score_linear").select("date", "ticker", F.lit(fold).alias("fold"), "score_ml", "score_linear", F.lit(None).cast("string").alias("reason"))
         out = got if out is None else out.unionByName(got)
-    schema = "date date, ticker string, fold int, score_ml double, score_linear double"
+    schema = "date date, ticker string, fold int, score_ml double, score_linear double, reason string"
     preds = spark.createDataFrame([], schema) if out is None else out
     importance = spark.createDataFrame(gains, "fold int, feature string, gain double")
     return preds, top_features(importance)
@@ -145,19 +152,21 @@ def grade_contrasts(train: DataFrame, features: Sequence[str], levels: int = 10)
 
 
 def walk_forward_rank(x: DataFrame, folds: DataFrame, features: Sequence[str], min_rows: int = 200) -> DataFrame:
-    """Out-of-fold ranking score: a linear scorer trained to order names of one date by grade."""
+    """Out-of-fold ranking score: a linear scorer trained to order names of one date by grade; null with a ``reason`` where a fold has too few training rows."""
     check_features(features)
     folds = cut_lineage(folds)
     out = None
     for fold in fold_numbers(folds):
         train, test = _parts(x, folds, fold, "target_rank")
         if train.limit(min_rows).count() < min_rows:
+            got = _unscored(test, fold, ["score_rank_model"], f"fewer than {min_rows} training rows")
+            out = got if out is None else out.unionByName(got)
             continue
         fit = LogisticRegression(fitIntercept=False, regParam=1e-3, weightCol="weight", maxIter=30).fit(_assembled(grade_contrasts(train, features), features))
         beta = np.concatenate([[0.0], fit.coefficients.toArray()])
-        got = ridge_predict(test, features, beta, "score_rank_model").select("date", "ticker", F.lit(fold).alias("fold"), "score_rank_model")
+        got = ridge_predict(test, features, beta, "score_rank_model").select("date", "ticker", F.lit(fold).alias("fold"), "score_rank_model", F.lit(None).cast("string").alias("reason"))
         out = got if out is None else out.unionByName(got)
-    return x.sparkSession.createDataFrame([], "date date, ticker string, fold int, score_rank_model double") if out is None else out
+    return x.sparkSession.createDataFrame([], "date date, ticker string, fold int, score_rank_model double, reason string") if out is None else out
 
 
 def rank_average(preds: DataFrame, scores: Sequence[str], out: str = "score_ensemble") -> DataFrame:
@@ -203,7 +212,8 @@ def walk_forward_probabilities(candidates: DataFrame, folds: DataFrame, features
 
     ``candidates``: date, ticker, signal_pos, outcome, exit_pos, y, r_multiple and the features. Training
     rows are entered trades that exited before the first test signal; every test candidate is scored,
-    because whether its entry gaps is next-day information.
+    because whether its entry gaps is next-day information. Without enough rows of both classes for a fold's model the
+    probabilities are null, and without enough for the inner fit or its check the cut-off is null; ``reason`` says so.
     """
     folds, c = cut_lineage(folds), cut_lineage(candidates)
     out = None
@@ -211,18 +221,28 @@ def walk_forward_probabilities(candidates: DataFrame, folds: DataFrame, features
         train, test = _parts(c.withColumn("_one", F.lit(1)), folds, fold, "_one")
         first = test.agg(F.min("signal_pos").alias("m")).first()["m"]
         train = train.filter((F.col("outcome") != "skipped") & (F.col("exit_pos") < first) & F.col("y").isNotNull())
-        if first is None or train.limit(min_rows).count() < min_rows:
+        if first is None:
+            continue  # a fold without a test row
+        enough = train.limit(min_rows).count() >= min_rows
+        model = _classifier(train, features, "y") if enough else None
+        if model is None:
+            got = _unscored(test, fold, ["p_target", "threshold"], "training rows of one class" if enough else f"fewer than {min_rows} training rows")
+            out = got if out is None else out.unionByName(got)
             continue
         cut = train.agg(F.percentile(F.col("signal_pos").cast("double"), F.lit(1 - inner_share)).alias("q")).first()["q"]
         inner_fit, inner_val = train.filter(F.col("exit_pos") < cut), train.filter(F.col("signal_pos") >= cut)
-        inner = _classifier(inner_fit, features, "y") if inner_fit.limit(min_rows).count() >= min_rows else None
-        level = choose_threshold(_probability(inner, inner_val, features)) if inner is not None and inner_val.limit(50).count() >= 50 else 0.0
-        model = _classifier(train, features, "y")
-        if model is None:
-            continue
-        got = _probability(model, test, features).select("date", "ticker", F.lit(fold).alias("fold"), "p_target", F.lit(level).alias("threshold"))
+        level, reason = None, None
+        if inner_fit.limit(min_rows).count() < min_rows:
+            reason = f"no threshold: fewer than {min_rows} rows of the inner fit"
+        elif inner_val.limit(50).count() < 50:
+            reason = "no threshold: fewer than 50 rows to choose it on"
+        elif (inner := _classifier(inner_fit, features, "y")) is None:
+            reason = "no threshold: rows of the inner fit of one class"
+        else:
+            level = choose_threshold(_probability(inner, inner_val, features))
+        got = _probability(model, test, features).select("date", "ticker", F.lit(fold).alias("fold"), "p_target", F.lit(level).cast("double").alias("threshold"), F.lit(reason).cast("string").alias("reason"))
         out = got if out is None else out.unionByName(got)
-    return c.sparkSession.createDataFrame([], "date date, ticker string, fold int, p_target double, threshold double") if out is None else out
+    return c.sparkSession.createDataFrame([], "date date, ticker string, fold int, p_target double, threshold double, reason string") if out is None else out
 
 
 # --- survival ------------------------------------------------------------------------------------------------------

@@ -89,3 +89,22 @@ def test_threshold_takes_all_unless_a_cut_is_better(spark):
 def test_overlap_lags_and_embargo():
     assert [st.overlap_lags(63, 21), st.overlap_lags(20, 21), st.overlap_lags(64, 21)] == [2, 0, 3]
     assert [st.embargo_dates(10, 5), st.embargo_dates(11, 5)] == [3, 4]
+
+
+def test_folds_with_too_few_rows_keep_their_test_rows(spark):
+    p = planted(spark, 1.0, dates=16)
+    folds = mo.walk_forward_splits(p, 10, 6, 0)
+    x = mo.design(p, ["roe"])
+    for got, score in ((mo.walk_forward_predict(x, folds, ["roe"], min_rows=10_000)[0], "score_ml"), (mo.walk_forward_rank(x, folds, ["roe"], min_rows=10_000), "score_rank_model")):
+        rows = got.collect()
+        assert len(rows) == 360 and all(r[score] is None and r["reason"] == "fewer than 10000 training rows" for r in rows)
+
+
+def test_probabilities_without_enough_rows_are_null_with_a_reason(spark):
+    c = planted(spark, 1.0, dates=16).withColumn("signal_pos", F.datediff("date", F.lit(day(0)))).select(
+        "date", "ticker", "signal_pos", F.lit("time").alias("outcome"), (F.col("signal_pos") + 1).alias("exit_pos"), (F.col("fwd_excess") > 0).cast("int").alias("y"), F.col("fwd_excess").alias("r_multiple"), "roe")
+    folds = mo.walk_forward_splits(c, 10, 6, 0)
+    none = mo.walk_forward_probabilities(c, folds, ["roe"], min_rows=10_000).collect()
+    assert len(none) == 360 and all(r["p_target"] is None and r["threshold"] is None and r["reason"] == "fewer than 10000 training rows" for r in none)
+    part = mo.walk_forward_probabilities(c, folds, ["roe"], min_rows=590).collect()
+    assert len(part) == 360 and all(r["p_target"] is not None and r["threshold"] is None and r["reason"].startswith("no threshold") for r in part)
