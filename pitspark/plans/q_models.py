@@ -159,6 +159,7 @@ def variant_scores(spark, sf):
     """Every model's out-of-fold score on the rows all of them cover."""
     p = bv.panel(spark, sf).select("date", "ticker", "fwd_excess", "fwd_return", "momentum")
     x = p.join(predictions(spark, sf).select("date", "ticker", "score_ml", "score_linear"), ["date", "ticker"]).join(rank_predictions(spark, sf).select("date", "ticker", "score_rank_model"), ["date", "ticker"])
+    x = x.dropna(subset=["score_ml", "score_linear", "score_rank_model"])
     return mo.rank_average(x, ["score_ml", "score_linear", "score_rank_model"])
 
 
