@@ -40,9 +40,14 @@ def design_table(spark, sf):
 
 
 @bv.staged
+def tree_fits(spark, sf):
+    """Predictions and mean importances of one walk-forward fit; rows of importances have a feature."""
+    preds, importance = mo.walk_forward_predict(design_table(spark, sf), _folds(spark, sf), FEATS)
+    return preds.unionByName(importance, allowMissingColumns=True)
+
+
 def predictions(spark, sf):
-    preds, _ = mo.walk_forward_predict(design_table(spark, sf), _folds(spark, sf), FEATS)
-    return preds
+    return tree_fits(spark, sf).filter("feature IS NULL").drop("feature", "mean_gain")
 
 
 @query("m2_walk_forward_trees")
@@ -52,8 +57,8 @@ def m2(spark, sf):
 
 @query("m14_top_features")
 def m14(spark, sf):
-    """Importance of a single expanding fit: the same averaging over fewer trees."""
-    return tidy(mo.walk_forward_predict(design_table(spark, sf), _folds(spark, sf), FEATS, params={"maxIter": 5})[1])
+    """Importances of the fits that ``m2_walk_forward_trees`` predicts with."""
+    return tidy(mo.top_features(tree_fits(spark, sf).filter("feature IS NOT NULL").withColumnRenamed("mean_gain", "gain")))
 
 
 @query("m3_ridge_normal_equations", f"""

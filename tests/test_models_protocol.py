@@ -108,3 +108,22 @@ def test_probabilities_without_enough_rows_are_null_with_a_reason(spark):
     assert len(none) == 360 and all(r["p_target"] is None and r["threshold"] is None and r["reason"] == "fewer than 10000 training rows" for r in none)
     part = mo.walk_forward_probabilities(c, folds, ["roe"], min_rows=590).collect()
     assert len(part) == 360 and all(r["p_target"] is not None and r["threshold"] is None and r["reason"].startswith("no threshold") for r in part)
+
+
+def test_importances_are_those_of_the_registered_model(spark, sf, monkeypatch):
+    from pitspark.plans import q_models as qm
+
+    fits = []
+
+    def fit(x, folds, features, **kw):
+        fits.append(kw)
+        preds = spark.createDataFrame([(day(1), "t", 0, 0.5, 0.4, None)], "date date, ticker string, fold int, score_ml double, score_linear double, reason string")
+        return preds, spark.createDataFrame([("a", 0.25), ("b", 0.75)], "feature string, mean_gain double")
+
+    monkeypatch.setattr(qm.mo, "walk_forward_predict", fit)
+    monkeypatch.setattr(qm, "design_table", lambda *_: None)
+    monkeypatch.setattr(qm, "_folds", lambda *_: None)
+    where = sf + "/importances_of_one_fit"
+    assert [tuple(r) for r in qm.m14(spark, where).collect()] == [("b", 0.75), ("a", 0.25)]
+    assert [r["score_ml"] for r in qm.m2(spark, where).collect()] == [0.5]
+    assert fits == [{}]
