@@ -128,7 +128,7 @@ def test_weight_profiles_and_groups():
     mid = sc.weight_profile(104)["market_features"]
     assert 0 < mid["return_1m"] < 1 and 0 < mid["return_3m"] < 0.5
     for w in sc.PROFILE_WEIGHTS.values():
-        assert sum(w) == pytest.approx(1.0)
+        assert sum(w.values()) == pytest.approx(1.0)
 
 
 def test_missing_groups_do_not_lower_the_score(spark):
