@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textbytes import SPACE, Slice, mix, slices
+from .textbytes import BASES, SPACE, Slice, mix, slices
 
 #: Probability of label 1 from which a document is kept.
 THRESHOLD = 0.5
@@ -47,12 +47,12 @@ def rule_counts(s: Slice) -> dict[str, np.ndarray]:
 
     repeated = np.zeros(len(start), bool)
     if len(start) >= 3:
-        h, inside = s.word_hash, of[:-2] == of[2:]
-        window = mix(mix(h[:-2] * np.uint64(3) + h[1:-1]) * np.uint64(3) + h[2:]) ^ mix(of[:-2].astype(np.uint64))
+        h, inside = s.word_hash, np.flatnonzero(of[:-2] == of[2:])  # a window never reaches into the next text
+        window = (mix(mix(h[:-2] * np.uint64(3) + h[1:-1]) * np.uint64(3) + h[2:]) ^ mix(of[:-2].astype(np.uint64)))[inside]
         _, back, times = np.unique(window, return_inverse=True, return_counts=True)
-        again = inside & (times[back] > 1)
+        again = inside[times[back] > 1]
         for shift in range(3):
-            repeated[shift: len(start) - 2 + shift] |= again
+            repeated[again + shift] = True
     counts["n_repeat_words"] = np.bincount(of[repeated], minlength=s.count)
     return counts
 
@@ -62,19 +62,26 @@ def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def grams(s: Slice) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per family of n-grams (words, word pairs, four bytes): hash buckets and the text of each occurrence."""
+    """Per family of n-grams (words, word pairs, four characters): hash buckets and the text of each occurrence."""
     _, _, of = s.words
     h = s.word_hash
     mask = np.uint64(BUCKETS - 1)
     out = [((h & mask).astype(np.int64), of)]
     pair = of[:-1] == of[1:]
     out.append(((mix(h[:-1] * np.uint64(3) + h[1:])[pair] & mask).astype(np.int64) + BUCKETS, of[:-1][pair]))
-    if len(s.data) >= 4:
-        d = s.data.astype(np.uint32)
-        four = d[:-3] | d[1:-2] << 8 | d[2:-1] << 16 | d[3:] << 24
-        text = np.repeat(np.arange(s.count), s.end - s.start + 1)[: len(four)]
-        inside = np.arange(len(four)) + 4 <= s.end[text]
-        out.append((((four * np.uint32(2654435761)) >> np.uint32(16))[inside].astype(np.int64) + 2 * BUCKETS, text[inside]))
+    place = np.flatnonzero(s.data & 0xC0 != 0x80)  # where the characters begin
+    if len(place) >= 4:
+        width = np.diff(place, append=len(s.data))
+        char = s.data[place].astype(np.uint64)
+        for k in range(1, 4):
+            more = width > k
+            char[more] |= s.data[place[more] + k].astype(np.uint64) << np.uint64(8 * k)
+        four = char[:-3]
+        for k in range(1, 4):
+            four = four * np.uint64(BASES[0]) + char[k: len(char) - 3 + k]
+        text = np.searchsorted(s.end, place[:-3], side="left")
+        inside = place[3:] < s.end[text]
+        out.append(((mix(four) & mask).astype(np.int64)[inside] + 2 * BUCKETS, text[inside]))
     return out
 
 

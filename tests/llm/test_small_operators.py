@@ -96,6 +96,26 @@ def test_slices_of_any_size_agree():
     assert [w[0] for w in whole] == [len(WORDS.findall(t.as_py() or "")) for t in column]
 
 
+def test_counts_do_not_depend_on_neighbours():
+    """Tails and heads of few words that meet in every order, in slices of any size."""
+    rng = random.Random(9)
+    column = ["b c a q b c", "a z z", *(" ".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(400)), *ODD]
+    for _ in range(3):
+        rng.shuffle(column)
+        want = [plain_counts(t) for t in column]
+        for size in (1, 7, 100, 1 << 20):
+            assert [tuple(quality.rule_counts(s)[n][i] for n in quality.COUNTS) for s in slices(pa.array(column), size=size) for i in range(s.count)] == want
+
+
+def test_character_grams_count_code_points():
+    column = ["", "abc", "abcd", "éßñü", "日本語文字🙂🙂", "aé日🙂b", None]
+    for s in slices(pa.array(column)):
+        bucket, of = quality.grams(s)[2]
+        assert np.bincount(of, minlength=len(column)).tolist() == [max(0, len(t or "") - 3) for t in column]
+    (bucket, of), = [quality.grams(s)[2] for s in slices(pa.array(["日本語文", "x", "日本語文", "日本語女"]))]
+    assert bucket[0] == bucket[1] != bucket[2]
+
+
 def labelled(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
 
