@@ -1,4 +1,4 @@
-"""The ten registered queries and their SQL."""
+"""The registered queries and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, lm_scoring, mixing, near_dedup, quality, sentencepiece, suffix_dedup, token_counts, toxicity, vector_dedup
+from . import extraction, language_id, lexical_search, lm_scoring, mixing, near_dedup, quality, resampling, sentencepiece, suffix_dedup, token_counts, toxicity, vector_dedup
 from .shared import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_vector_near_duplicates")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_lexical_search", lexical_search.SEARCH_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_language_id")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    names, log_p = language_id.learn(documents.where(~held).select(F.col("doc_id").alias("id"), "lang", "text"))
+    return language_id.predict(documents, names, log_p).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("op13_resampling", resampling.RESAMPLING_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -115,3 +115,10 @@ def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = False, size: int = S
         last = min(last, first + 20_000, len(texts))
         yield Slice(data[offsets[first]: offsets[last]], offsets[first: last + 1], first, lower)
         first = last
+
+
+def runs(s: Slice, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of every maximal run of the bytes marked in ``inside``, which may not mark the newline."""
+    edge = np.diff(np.concatenate(([False], inside[s.data], [False])).view(np.int8))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return start, end, np.searchsorted(s.end, start, side="right")
