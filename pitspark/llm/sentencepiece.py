@@ -6,9 +6,17 @@ no piece can cross such a place, so the best segmentation of a text is that of i
 
 * its substrings of at most the longest piece's length are exploded and equi-joined with the piece table;
 * a character that is no piece is an edge of its byte pieces, ten below the lowest score;
-* edges are grouped by word, and a fold over them in the order of their ends (``aggregate``) keeps the best
-  score and last edge of every place, from which a second fold reads the best path. Of equal scores
-  the one whose last piece is longer wins.
+* edges know their word by 128 bits; they are grouped by word, and a fold over them in the order of their ends
+  (``aggregate``) keeps the best score and last edge of every place, from which a second fold reads the best path.
+  Of equal scores the one whose last piece is longer wins.
+
+A run of more than ``BLOCK`` characters without a cut (spaces of a table, a rule, letters without blanks) is one word
+and is folded block by block. A piece may cross a border, so what passes from block to block are the scores of
+the first places of the next one. Equal blocks are one: their edges are joined and folded once for every place
+they can be entered at, which gives a small matrix from entries to exits; a fold over a word's matrices gives the
+scores that every block is entered with. With these each block is folded again, keeping the path of every exit,
+and a fold over the blocks from the last one picks the exits that the best path goes through. No row holds more
+than a block's edges, or some numbers per block of a word.
 
 Texts are encoded where they are read with the ids of the commonest words, a broadcast of at most ``frequent``
 words; the other words of a text are joined with the table of words and put into their places.
@@ -17,24 +25,31 @@ words; the other words of a text are joined with the table of words and put into
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pieces import DEFAULT_MODEL, MARK, Vocabulary, load
 from .shared import commonest, written
-from .textbytes import RangeHash, Slice, slices
+from .textbytes import BASES, RangeHash, Slice, slices
 
 #: Commonest words whose ids are broadcast (a few tens of bytes each).
 FREQUENT = 500_000
-#: Texts of a batch that are worked on together.
-PART = 3_000
 #: What a character without a piece scores below the lowest piece.
 PENALTY = 10.0
+#: Characters of a word that are folded at once.
+BLOCK = 256
+#: Bytes from which words are known by a cryptographic hash: those of shorter ranges cannot be made to agree.
+PLAIN = 512
+#: Rows of word counts that a task holds before it hands them on.
+HELD = 400_000
+#: Ids of a word that may be broadcast.
+SHORT = 64
 
 
 def source_pieces(vocabulary: Vocabulary) -> list[str]:
@@ -71,29 +86,51 @@ def words(s: Slice, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return start[inside], end[inside], of[inside]
 
 
+def keys(s: Slice, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name the words of a slice."""
+    first, second = s.hash.of(start, end), RangeHash(s.data, BASES[1]).of(start, end)
+    for i in np.flatnonzero(end - start > PLAIN):
+        first[i], second[i] = np.frombuffer(blake2b(s.data[start[i]: end[i]].tobytes(), digest_size=16).digest(), np.uint64)
+    return first, second
+
+
 def word_table(texts: DataFrame, model: str) -> DataFrame:
-    """``word, n``: the distinct words of the column ``text`` and how often they occur."""
+    """``h1, h2, word, n``: the distinct words of the column ``text``, their keys and how often they occur.
+
+    A task adds up the words of its batches before they are shuffled.
+    """
     pairs = inseparable(load(model))
+    names = ["h1", "h2", "word", "n"]
+
+    def together(held: list[pa.Table]) -> pa.Table:
+        rows = pa.concat_tables(held).combine_chunks()
+        h1 = rows["h1"].to_numpy()
+        _, first, back = np.unique(h1, return_index=True, return_inverse=True)
+        times = np.zeros(len(first), np.int64)
+        np.add.at(times, back, rows["n"].to_numpy())
+        return rows.take(pa.array(first)).set_column(3, "n", pa.array(times))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for batch in batches:
-            for f in range(0, len(batch), PART):
-                raw, base, found = [], 0, []
-                for s in slices(spaced(batch.column(0).slice(f, PART))):
-                    start, end, _ = words(s, pairs)
-                    name, first, times = np.unique(s.hash.of(start, end), return_index=True, return_counts=True)
-                    found.append((name, start[first] + base, end[first] + base, times))
-                    raw.append(s.data.tobytes())
-                    base += len(s.data)
-                if not found:
-                    continue
-                name, start, end, times = (np.concatenate(x) for x in zip(*found, strict=True))
-                _, first, back = np.unique(name, return_index=True, return_inverse=True)
-                whole = b"".join(raw)
-                yield pa.RecordBatch.from_arrays([pa.array([whole[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)], pa.string()),
-                                                  pa.array(np.bincount(back, times, len(first)).astype(np.int64))], names=["word", "n"])
-
-    return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            for s in slices(spaced(batch.column(0))):
+                start, end, _ = words(s, pairs)
+                h1, h2 = keys(s, start, end)
+                _, first, times = np.unique(h1, return_index=True, return_counts=True)
+                raw = s.data.tobytes()
+                found = [raw[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+                held.append(pa.table([pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int64)), pa.array(found, pa.string()), pa.array(times.astype(np.int64))], names=names))
+                if sum(map(len, held)) > HELD:
+                    held = [together(held)]
+                    if len(held[0]) > HELD // 2:
+                        yield from held[0].to_batches(20_000)
+                        held = []
+        if held:
+            yield from together(held).to_batches(20_000)
+
+    found = texts.select("text").mapInArrow(run, "h1 long, h2 long, word string, n long")
+    # dealt out by the key alone, so that the edges of a word need no shuffle of their own
+    return found.repartition("h1", "h2").groupBy("h1", "h2", "word").agg(F.sum("n").alias("n"))
 
 
 def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
@@ -101,37 +138,140 @@ def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
     return spark.createDataFrame(rows)
 
 
-def encode_words(table: DataFrame, model: str = DEFAULT_MODEL, penalty: float = PENALTY) -> DataFrame:
-    """``word, n, ids`` of a table of distinct words."""
-    vocabulary = load(model)
-    longest, lowest = vocabulary.longest, float(vocabulary.scores.min() - penalty)
-    pieces = F.broadcast(piece_table(table.sparkSession, vocabulary))
-    starts = table.select("word", "n", F.length("word").alias("size"), F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    parts = starts.select("word", "n", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + longest, F.col("size")))).alias("end"))
-    parts = parts.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start")))
-    edges = parts.join(pieces, "piece", "left").where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
-    # a character without a piece has the number below zero of its place in the word
-    edges = edges.select("word", "n", F.struct("end", "start", F.coalesce("score", F.lit(lowest)).alias("score"), F.coalesce("id", -1 - F.col("start")).alias("id")).alias("edge"))
-    grouped = edges.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("edge")).alias("edges"))
-    none = "CAST(array() AS array<struct<score: double, start: int, id: int>>)"
+NODE = "struct<score: double, start: int, id: int>"
+NEVER = "-double('infinity')"
+EDGE = "named_struct('score', {score}, 'start', {start}, 'id', {id})"
+
+
+def _edges(parts: DataFrame, names: list[str], text: str, width: Column, vocabulary: Vocabulary, penalty: float) -> DataFrame:
+    """``names, edges``: the lattice over the first ``width`` characters of ``text``, ordered by end and start; edges may end behind them.
+
+    ``names`` are unique and ``parts`` is dealt out by the first two of them. A character without a piece has the
+    number -1 less its code point.
+    """
+    lowest, longest = float(vocabulary.scores.min() - penalty), vocabulary.longest
+    pieces = F.broadcast(piece_table(parts.sparkSession, vocabulary))
+    starts = parts.select(*names, F.col(text).alias("_text"), F.length(text).alias("_size"), F.explode(F.sequence(F.lit(0), width - 1)).alias("start"))
+    ends = F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + longest, F.col("_size"))))
+    cut = starts.select(*names, "_text", "start", ends.alias("end")).select(*names, "start", "end", F.substring("_text", F.col("start") + 1, F.col("end") - F.col("start")).alias("piece"))
+    edges = cut.join(pieces, "piece", "left").where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
+    edge = F.struct("end", "start", F.coalesce("score", F.lit(lowest)).alias("score"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"))
+    return edges.select(*names, edge.alias("edge")).groupBy(*names).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+
+
+def _in_bytes(ids: Column, vocabulary: Vocabulary) -> Column:
+    """Numbers below zero as the byte pieces of their character."""
+    bytes_ = F.array(*[F.lit(i) for i in vocabulary.byte_ids])
+    rest = lambda c, shift: 128 + F.shiftright(c, shift).bitwiseAND(63)
+
+    def spelt(x: Column) -> Column:
+        c = -1 - x
+        numbers = (F.when(c < 0x80, F.array(c)).when(c < 0x800, F.array(192 + F.shiftright(c, 6), rest(c, 0)))
+                   .when(c < 0x10000, F.array(224 + F.shiftright(c, 12), rest(c, 6), rest(c, 0)))
+                   .otherwise(F.array(240 + F.shiftright(c, 18), rest(c, 12), rest(c, 6), rest(c, 0))))
+        return F.transform(numbers, lambda b: F.get(bytes_, b))
+
+    in_bytes = F.flatten(F.transform(ids, lambda x: F.when(x >= 0, F.array(x)).otherwise(spelt(x))))
+    return F.when(F.exists(ids, lambda x: x < 0), in_bytes).otherwise(ids)
+
+
+def _short(parts: DataFrame, vocabulary: Vocabulary, penalty: float) -> DataFrame:
+    """``h1, h2, n, ids`` of words of at most a block."""
+    grouped = _edges(parts, ["h1", "h2", "n"], "word", F.length("word"), vocabulary, penalty)
+    better = "e.score + get(s.done, e.start).score"
     folded = F.expr(f"""aggregate(edges,
-        named_struct('done', {none}, 'at', 0, 'now', named_struct('score', 0D, 'start', -1, 'id', 0)),
+        named_struct('done', CAST(array() AS array<{NODE}>), 'at', 0, 'now', {EDGE.format(score='0D', start='-1', id='0')}),
         (s, e) -> IF(e.end > s.at,
-            named_struct('done', array_append(s.done, s.now), 'at', e.end, 'now', named_struct('score', e.score + IF(e.start = s.at, s.now.score, get(s.done, e.start).score), 'start', e.start, 'id', e.id)),
-            IF(e.score + get(s.done, e.start).score > s.now.score,
-                named_struct('done', s.done, 'at', s.at, 'now', named_struct('score', e.score + get(s.done, e.start).score, 'start', e.start, 'id', e.id)), s)),
+            named_struct('done', array_append(s.done, s.now), 'at', e.end, 'now', {EDGE.format(score='e.score + IF(e.start = s.at, s.now.score, get(s.done, e.start).score)', start='e.start', id='e.id')}),
+            IF({better} > s.now.score,
+                named_struct('done', s.done, 'at', s.at, 'now', {EDGE.format(score=better, start='e.start', id='e.id')}), s)),
         s -> array_append(s.done, s.now))""")
     path = F.expr("""aggregate(sequence(1, size(best)), named_struct('at', size(best) - 1, 'ids', CAST(array() AS array<int>)),
         (p, _) -> IF(p.at <= 0, p, named_struct('at', get(best, p.at).start, 'ids', array_append(p.ids, get(best, p.at).id))), p -> reverse(p.ids))""")
-    found = grouped.select("word", "n", folded.alias("best")).select("word", "n", path.alias("ids"))
-    bytes_ = F.array(*[F.lit(i) for i in vocabulary.byte_ids])
-    bare = F.exists("ids", lambda x: x < 0)
-    in_bytes = F.flatten(F.transform("ids", lambda x: F.when(x >= 0, F.array(x)).otherwise(
-        F.transform(F.split(F.regexp_replace(F.hex(F.encode(F.substring(F.col("word"), -x, F.lit(1)), "UTF-8")), "(..)(?=.)", "$1,"), ","), lambda h: F.get(bytes_, F.conv(h, 16, 10).cast("int"))))))
-    return found.select("word", "n", F.when(bare, in_bytes).otherwise(F.col("ids")).alias("ids"))
+    return grouped.select("h1", "h2", "n", folded.alias("best")).select("h1", "h2", "n", _in_bytes(path, vocabulary).alias("ids"))
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, frequent: int = FREQUENT, penalty: float = PENALTY) -> DataFrame:
+def _block_fold(init: str) -> str:
+    """SQL for the best score and last edge of every place of a block that is entered with the scores ``init`` at its first places."""
+    entered = f"coalesce(get({init}, e.end), {NEVER})"
+    into = "e.score + IF(e.start = s.at, s.now.score, get(s.done, e.start).score)"
+    return f"""aggregate(filter(edges, e -> e.end <= width),
+        named_struct('done', CAST(array() AS array<{NODE}>), 'at', 0, 'now', {EDGE.format(score=f'coalesce(get({init}, 0), {NEVER})', start='-1', id='0')}),
+        (s, e) -> IF(e.end > s.at,
+            named_struct('done', array_append(s.done, s.now), 'at', e.end, 'now',
+                IF({entered} >= {into}, {EDGE.format(score=entered, start='-1', id='0')}, {EDGE.format(score=into, start='e.start', id='e.id')})),
+            IF(e.score + get(s.done, e.start).score > s.now.score,
+                named_struct('done', s.done, 'at', s.at, 'now', {EDGE.format(score='e.score + get(s.done, e.start).score', start='e.start', id='e.id')}), s)),
+        s -> array_append(s.done, s.now))"""
+
+
+#: The score of an exit ``x`` places behind a block whose places have ``best``, and the edge that leads there: the longest of the best.
+_LAST = f"""aggregate(filter(edges, e -> e.end = width + x), named_struct('score', {NEVER}, 'start', -1, 'id', 0),
+    (m, e) -> IF(e.score + get(best, e.start).score > m.score, named_struct('score', e.score + get(best, e.start).score, 'start', e.start, 'id', e.id), m))"""
+
+
+def _long(longs: DataFrame, vocabulary: Vocabulary, penalty: float, block: int) -> DataFrame:
+    """``h1, h2, n, ids`` of words of more than a block."""
+    reach = vocabulary.longest - 1
+    chunks = F.regexp_extract_all("word", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    cut = longs.select("h1", "h2", "n", chunks.alias("chunks"))
+    part = F.transform("chunks", lambda c, i: F.struct(F.length(c).alias("width"), F.concat(c, F.substring(F.coalesce(F.get("chunks", i + 1), F.lit("")), 1, reach)).alias("text")))
+    parts = cut.select("h1", "h2", "n", F.posexplode(part).alias("blk", "part")).select("h1", "h2", "n", "blk", "part.*")
+    parts = written(parts.withColumns({"b1": F.xxhash64("width", "text"), "b2": F.xxhash64("text", F.lit(1), "width")}))
+    # equal blocks are one
+    kinds = parts.groupBy("b1", "b2", "width", "text").agg(F.count("*").alias("_")).drop("_")
+    lattices = _edges(kinds.repartition("b1", "b2"), ["b1", "b2", "width"], "text", F.col("width"), vocabulary, penalty)
+    lattices = written(lattices.join(kinds.select("b1", "b2", (F.length("text") - F.col("width")).alias("ahead")), ["b1", "b2"]))
+
+    exits = f"transform(sequence(0, ahead), x -> IF(x = 0, get(best, width).score, {_LAST}.score))"
+    entries = f"transform(sequence(0, least({reach}, width)), en -> transform(sequence(0, en), p -> IF(p = en, 0D, {NEVER})))"
+    matrix = lattices.select("b1", "b2", "width", "ahead", "edges", F.expr(f"transform({entries}, init -> {_block_fold('init')})").alias("folds"))
+    matrix = matrix.select("b1", "b2", F.expr(f"transform(folds, best -> {exits})").alias("matrix"))
+    chain = parts.join(matrix, ["b1", "b2"]).groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("blk", "matrix"))).alias("all"))
+    # the scores that each block is entered with, from those of the block before and its matrix
+    entered = F.expr(f"""aggregate(all, named_struct('seen', CAST(array() AS array<array<double>>), 'now', array(0D)),
+        (s, b) -> named_struct('seen', array_append(s.seen, s.now), 'now', transform(sequence(0, size(get(b.matrix, 0)) - 1), x ->
+            aggregate(sequence(0, size(b.matrix) - 1), {NEVER}, (m, en) -> greatest(m, coalesce(get(s.now, en), {NEVER}) + get(get(b.matrix, en), x))))), s -> s.seen)""")
+    init = chain.select("h1", "h2", F.posexplode(entered).alias("blk", "init"))
+    opened = parts.select("h1", "h2", "blk", "b1", "b2").join(init, ["h1", "h2", "blk"]).join(lattices, ["b1", "b2"])
+    opened = opened.select("h1", "h2", "blk", "width", "ahead", "edges", F.expr(_block_fold("init")).alias("best"))
+    # back from every exit to the place where its path entered
+    none = "CAST(array() AS array<int>)"
+    step = "(p, _) -> IF(get(best, p.at).start < 0, p, named_struct('at', get(best, p.at).start, 'ids', array_append(p.ids, get(best, p.at).id)))"
+    inside = f"aggregate(sequence(0, width), named_struct('at', width, 'ids', {none}), {step})"
+    across = f"transform(array({_LAST}), last -> aggregate(sequence(0, width), named_struct('at', last.start, 'ids', array(last.id)), {step}))[0]"
+    traced = opened.select("h1", "h2", "blk", F.posexplode(F.expr(f"transform(sequence(0, ahead), x -> IF(x = 0, {inside}, {across}))")).alias("x", "path"))
+    traced = written(traced.select("h1", "h2", "blk", "x", F.col("path.at").alias("entry"), F.reverse("path.ids").alias("ids")))
+    maps = traced.groupBy("h1", "h2", "blk").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "entry"))), lambda e: e["entry"]).alias("entries"))
+    maps = maps.groupBy("h1", "h2").agg(F.reverse(F.sort_array(F.collect_list(F.struct("blk", "entries")))).alias("all"))
+    taken = F.expr(f"aggregate(all, named_struct('taken', {none}, 'x', 0), (s, b) -> named_struct('taken', array_append(s.taken, s.x), 'x', get(b.entries, s.x)), s -> reverse(s.taken))")
+    on = maps.select("h1", "h2", F.posexplode(taken).alias("blk", "x")).join(traced, ["h1", "h2", "blk", "x"])
+    ids = on.groupBy("h1", "h2").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("blk", "ids"))), lambda p: p["ids"])).alias("ids"))
+    return longs.select("h1", "h2", "n").join(ids, ["h1", "h2"]).select("h1", "h2", "n", _in_bytes(F.col("ids"), vocabulary).alias("ids"))
+
+
+def encode_words(table: DataFrame, model: str = DEFAULT_MODEL, penalty: float = PENALTY, block: int = BLOCK) -> DataFrame:
+    """``h1, h2, n, ids`` of a table of distinct words (``h1, h2, word, n``, dealt out by its key), written."""
+    vocabulary = load(model)
+    spark = table.sparkSession
+    fits = F.length("word") <= block
+    longs = table.where(~fits).select("h1", "h2", "n", F.lit(None).cast("array<int>").alias("ids"), "word")
+    # grouped by sorting: edges of a word stand together, and a hash table of lists would be sorted and spilled twice
+    name = "spark.sql.execution.useObjectHashAggregateExec"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        found = written(_short(table.where(fits), vocabulary, penalty).withColumn("word", F.lit(None).cast("string")).union(longs))
+    finally:
+        spark.conf.set(name, before)
+    short = found.where("word IS NULL").drop("word")
+    longs = found.where("word IS NOT NULL").drop("ids")
+    if not longs.limit(1).count():
+        return short
+    return short.union(written(_long(longs, vocabulary, penalty, block)))
+
+
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, frequent: int = FREQUENT, penalty: float = PENALTY, block: int = BLOCK) -> DataFrame:
     """``id_col, n_pieces, ids, exact`` of every row; ``exact`` tells whether the ids, decoded where they are put together, spell the text again.
 
     A null text is empty; an empty text has no pieces. Repeated rows and null ids stay; other columns are left out.
@@ -140,74 +280,90 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     vocabulary = load(model)
     pairs = inseparable(vocabulary)
     docs = df.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("k", F.xxhash64("text").alias("h"), "text")
-    table = written(encode_words(word_table(docs, model), model, penalty))
+    table = encode_words(word_table(docs, model), model, penalty, block)
     least = commonest(table, frequent)
-    common = table.where(F.col("n") >= least).select(F.encode("word", "UTF-8").alias("word"), "ids").toArrow()
-    # the commonest words as sorted hashes with their ids side by side
-    names = [s.hash.of(s.start, s.end) for s in slices(common.column("word").cast(pa.large_binary()).cast(pa.large_string()))] if common.num_rows else []
-    hashes = np.concatenate(names) if names else np.zeros(0, np.uint64)
+    often = (F.col("n") >= least) & (F.size("ids") <= SHORT)
+    common = table.where(often).select("h1", "h2", "ids").toArrow()
+    # the commonest words by their sorted keys, with their ids side by side
+    h1, h2 = (common.column(i).to_numpy().view(np.uint64) for i in (0, 1))
     ids = common.column("ids").combine_chunks()
     ids = ids if isinstance(ids, pa.ListArray) else pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.list_(pa.int32()))
     sizes, flat = pc.list_value_length(ids).to_numpy(zero_copy_only=False), ids.flatten().to_numpy(zero_copy_only=False)
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(h1, kind="stable")
     starts = np.concatenate(([0], np.cumsum(sizes)))
-    shared = spark.sparkContext.broadcast((hashes[order], starts[:-1][order], sizes[order].astype(np.int32), flat.astype(np.int32)))
-    del common, ids, names
+    shared = spark.sparkContext.broadcast((h1[order], h2[order], starts[:-1][order], sizes[order].astype(np.int32), flat.astype(np.int32)))
+    del common, ids
 
     def known(s: Slice) -> tuple[np.ndarray, ...]:
-        """Start, end, text and place among the commonest (-1: not one) of every word of a slice."""
+        """Start, end and text of every word of a slice, place among the commonest (-1: not one), and its key."""
         start, end, of = words(s, pairs)
-        unique, back = np.unique(s.hash.of(start, end), return_inverse=True)
-        hashes = shared.value[0]
-        at = np.minimum(np.searchsorted(hashes, unique), max(len(hashes) - 1, 0))
-        place = np.where(hashes[at] == unique, at, -1) if len(hashes) else np.full(len(unique), -1)
-        return start, end, of, place[back] if len(back) else np.zeros(0, np.int64)
+        h1, h2 = keys(s, start, end)
+        first, second = shared.value[:2]
+        at = np.minimum(np.searchsorted(first, h1), max(len(first) - 1, 0))
+        place = np.where((first[at] == h1) & (second[at] == h2), at, -1) if len(first) else np.full(len(h1), -1)
+        return start, end, of, place, h1, h2
 
     def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for f, s in ((f, s) for f in range(0, len(batch), PART) for s in slices(spaced(batch.column(2).slice(f, PART)))):
-                start, end, of, place = known(s)
-                nth = np.arange(len(start)) - np.searchsorted(of, of)
+            for s in slices(spaced(batch.column(2))):
+                _, _, of, place, h1, h2 = known(s)
+                nth = np.arange(len(of)) - np.searchsorted(of, of)
                 rare = np.flatnonzero(place < 0)
-                raw = s.data.tobytes()
-                rows = pa.array(f + s.first + of[rare])
+                rows = pa.array(s.first + of[rare])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(nth[rare].astype(np.int32)),
-                                                  pa.array([raw[a:b].decode() for a, b in zip(start[rare].tolist(), end[rare].tolist(), strict=True)], pa.string())], names=["k", "h", "nth", "word"])
+                                                  pa.array(h1[rare].view(np.int64)), pa.array(h2[rare].view(np.int64))], names=["k", "h", "nth", "h1", "h2"])
 
     def templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for f, s in ((f, s) for f in range(0, len(batch), PART) for s in slices(spaced(batch.column(2).slice(f, PART)))):
-                _, _, of, place = known(s)
+            for s in slices(spaced(batch.column(2))):
+                _, _, of, place, _, _ = known(s)
                 code, size = _pack(place + 1)
-                whole = s.hash.of(s.start, s.end).view(np.int64)
+                text = s.data.tobytes()
+                whole = np.array([_digest(text[a:b]) for a, b in zip(s.start.tolist(), s.end.tolist(), strict=True)], np.int64)
                 ends = np.cumsum(np.bincount(of, size, minlength=s.count).astype(np.int64))
                 raw = code.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(f + s.first, s.count), batch.column(1).slice(f + s.first, s.count), pa.array(whole), pa.array([raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], pa.binary())], names=["k", "h", "whole", "code"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.count), batch.column(1).slice(s.first, s.count), pa.array(whole), pa.array([raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], pa.binary())], names=["k", "h", "whole", "code"])
 
     kind = docs.schema["k"].dataType
-    keys = [T.StructField("k", kind), T.StructField("h", T.LongType())]
-    rare = docs.mapInArrow(rare_words, T.StructType([*keys, T.StructField("nth", T.IntegerType()), T.StructField("word", T.StringType())]))
-    filled = rare.join(table.where(F.col("n") < least).select("word", "ids"), "word").select(F.struct("k", "h").alias("key"), F.struct("nth", "ids").alias("part"))
+    names = [T.StructField("k", kind), T.StructField("h", T.LongType())]
+    rare = docs.mapInArrow(rare_words, T.StructType([*names, T.StructField("nth", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]))
+    filled = rare.join(table.where(~often).select("h1", "h2", "ids"), ["h1", "h2"]).select(F.struct("k", "h").alias("key"), F.struct("nth", "ids").alias("part"))
     filled = filled.groupBy("key").agg(F.collect_list("part").alias("parts"))
-    whole = docs.mapInArrow(templates, T.StructType([*keys, T.StructField("whole", T.LongType()), T.StructField("code", T.BinaryType())])).withColumn("key", F.struct("k", "h")).join(filled, "key", "left").select("k", "whole", "code", "parts")
+    whole = docs.mapInArrow(templates, T.StructType([*names, T.StructField("whole", T.LongType()), T.StructField("code", T.BinaryType())])).withColumn("key", F.struct("k", "h")).join(filled, "key", "left").select("k", "whole", "code", "parts")
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_pieces", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())])
     spelling = spark.sparkContext.broadcast(spellings(vocabulary))
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, starts, sizes, flat = shared.value
+        _, _, starts, sizes, flat = shared.value
         spelt = spelling.value
         for batch in batches:
             for first in range(0, len(batch), 100):
                 part = batch.slice(first, 100)
-                rows = [_ids(code.as_py(), parts.as_py(), starts, sizes, flat) for code, parts in zip(part.column(2), part.column(3), strict=True)]
+                rows = [_ids(code.as_py(), *rare, starts, sizes, flat) for code, rare in zip(part.column(2), _rare_parts(part.column(3)), strict=True)]
                 n = np.array([len(r) for r in rows], np.int64)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
-                again = [RangeHash(np.frombuffer(data := spell(r, spelt), np.uint8)).of(np.array([0]), np.array([len(data)])).view(np.int64)[0] for r in rows]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows).astype(np.int32))), pa.array(np.array(again) == part.column(1).to_numpy())], names=schema.names)
+                again = np.array([_digest(spell(r, spelt)) for r in rows], np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows).astype(np.int32))), pa.array(again == part.column(1).to_numpy())], names=schema.names)
 
     return whole.mapInArrow(put_together, schema)
 
 
+def _digest(data: bytes) -> int:
+    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def _rare_parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of every text, the places of its rare words, how many ids each has, and all their ids."""
+    flat = column.flatten()
+    nth, lists = flat.field("nth").to_numpy(zero_copy_only=False), flat.field("ids")
+    size, ids = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(size)))
+    count = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    at = np.concatenate(([0], np.cumsum(count)))
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield nth[a:b], size[a:b], ids[ends[a]: ends[b]]
+
+
 def _pack(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers below 2**28 as bytes, seven bits each, the last byte of a number marked; and the bytes each takes."""
     size = 1 + (numbers >= 1 << 7).astype(np.int64) + (numbers >= 1 << 14) + (numbers >= 1 << 21)
@@ -231,21 +387,23 @@ def _unpack(code: bytes) -> np.ndarray:
     return out
 
 
-def _ids(code: bytes, parts: list[dict] | None, starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
+def _ids(code: bytes, nth: np.ndarray, size: np.ndarray, rare: np.ndarray, starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """The ids of a text from its template and its rare words."""
     place = _unpack(code) - 1
     n = np.where(place >= 0, sizes[np.maximum(place, 0)], 0) if len(sizes) else np.zeros(len(place), np.int64)
-    for p in parts or ():
-        n[p["nth"]] = len(p["ids"])
+    n[nth] = size
     begin = np.cumsum(n) - n
     out = np.empty(int(n.sum()), np.int32)
+
+    def fill(to: np.ndarray, m: np.ndarray, source: np.ndarray, at: np.ndarray) -> None:
+        step = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+        out[np.repeat(to, m) + step] = source[np.repeat(at, m) + step]
+
     here = np.flatnonzero(place >= 0)
     if len(here):
-        m = n[here]
-        step = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-        out[np.repeat(begin[here], m) + step] = flat[np.repeat(starts[place[here]], m) + step]
-    for p in parts or ():
-        out[begin[p["nth"]]: begin[p["nth"]] + len(p["ids"])] = p["ids"]
+        fill(begin[here], n[here], flat, starts[place[here]])
+    if len(nth):
+        fill(begin[nth], size, rare, np.cumsum(size) - size)
     return out
 
 

@@ -48,6 +48,42 @@ def test_ids_are_the_best_path_of_the_whole_text(spark, frequent):
         assert r["ids"] == best_path(t or "", load()) and r["n_pieces"] == len(r["ids"])
 
 
+@pytest.mark.parametrize("block", [16, 37])
+def test_words_of_many_blocks_are_the_best_path(spark, block):
+    rng = random.Random(3)
+    texts = [" " * 500, "=" * 333, "-" * 64, "x" * 65, "".join(rng.choice("eai nrt") for _ in range(700)), "".join(rng.choice("the ") for _ in range(200)), "日" * 90 + "ing" * 60, "ab" * 200, "\n" * 128, "é" * 100 + "a" * 100, "short one", "🙂" * 40 + "  " * 60]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, texts[0]), (99, texts[0])], "doc_id long, text string")
+    rows = sp.encode(df, block=block).orderBy("doc_id").collect()
+    assert all(r["exact"] for r in rows) and len(rows) == len(texts) + 2
+    for r, t in zip(rows, [*texts, texts[0], texts[0]]):
+        assert r["ids"] == best_path(t, load())
+
+
+def test_a_run_of_a_million_characters(spark):
+    n = 1_000_000
+    df = spark.createDataFrame([(1, " " * n), (2, "=" * n + " end"), (3, "a b")], "doc_id long, text string")
+    rows = sp.encode(df).orderBy("doc_id").collect()
+    assert all(r["exact"] for r in rows)
+    # what takes 5,000 characters takes a million, but for the ends
+    small = [best_path(" " * 5_000, load()), best_path("=" * 5_000 + " end", load())]
+    for r, want in zip(rows, small):
+        assert sum(i == want[150] for i in r["ids"]) > 0.9 * len(r["ids"]) and abs(r["n_pieces"] / n - len(want) / 5_000) < 0.001
+
+
+def test_keys_of_long_words_cannot_be_made_to_agree():
+    """The Thue-Morse word and its complement agree under every polynomial hash modulo 2**64."""
+    word = "a"
+    while len(word) < 2_048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    import numpy as np
+    import pyarrow as pa
+
+    from pitspark.llm.textbytes import slices
+    (s,) = slices(pa.array([word, word.translate(str.maketrans("ab", "ba"))]))
+    first, second = sp.keys(s, s.start, s.end)
+    assert first[0] != first[1] and second[0] != second[1] and len(np.unique(s.hash.of(s.start, s.end))) == 1
+
+
 def test_agrees_with_the_library_on_the_same_scores(spark):
     proto = sentencepiece_model_pb2.ModelProto()
     with open(DEFAULT_MODEL, "rb") as f:
