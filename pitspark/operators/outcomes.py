@@ -1,8 +1,7 @@
 """Labels and trade outcomes: forward returns, first-touch exits, targets, trades.
 
-First touch is evaluated on a forward *path*: the next ``hold`` bars of the ticker's calendar grid,
-collected by a row window. One shuffle (by ticker) serves every entry and every stop/target
-geometry, and nothing is regrouped afterwards. ``hold`` bounds the path length.
+First touch never ships the bars of a trade: extremes of blocks of 1, 4, 16, ... bars are laid over the ticker's
+calendar grid by ``lead`` windows, and a trade descends to the bar that ends it, a level per equi-join of flat rows.
 """
 
 from __future__ import annotations
@@ -84,13 +83,7 @@ def benchmark_period_returns(bench: DataFrame, dates: DataFrame) -> DataFrame:
     return at.withColumn("bench_return", F.lead("_o").over(w) / F.col("_o") - 1).select("date", "bench_return")
 
 
-# --- forward paths and first touch --------------------------------------------------------------------
-
-def with_path(grid: DataFrame, hold: int, out: str = "path") -> DataFrame:
-    """Attach the next ``hold`` grid bars (structs o, h, l, c; null where not traded) to every row."""
-    bar = F.struct(F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"))
-    return grid.withColumn(out, F.collect_list(bar).over(by_pos().rowsBetween(1, hold)))
-
+# --- first touch ---------------------------------------------------------------------------------------
 
 def once(df: DataFrame, **cols: Column) -> DataFrame:
     """Add columns behind a one-row generator, so an array expression is evaluated once per row and not
@@ -98,37 +91,128 @@ def once(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
-def _index_of(path: Column, test) -> Column:
-    """0-based index of the first bar passing ``test``, null if none."""
-    at = F.array_position(F.transform(path, lambda x, i: F.coalesce(test(x, i), F.lit(False))), True)
-    return F.when(at > 0, at - 1)
+#: Blocks of one level that make a block of the next.
+RADIX = 4
+#: How near a price counts as at a trailing level; both sides of the comparison are sums of rounded prices.
+HAIR = 1e-9
+GONE = float("-inf")
+
 
+def _levels(hold: int) -> int:
+    n = 1
+    while RADIX ** n < hold:
+        n += 1
+    return n
 
-def walk_barriers(df: DataFrame, stop: str, target: str, hold: int, cost: float = SIDE_COST, path: str = "path") -> DataFrame:
-    """Stop, target or time exit, whichever the path touches first; the stop wins inside one bar.
+
+def touch_blocks(grid: DataFrame, level: int, trailing: bool = False) -> DataFrame:
+    """Per grid row the extremes of the next ``m * RADIX ** level`` bars, the row's own first, for m = 1..RADIX.
+
+    ``lo{m}`` is the lowest price that can touch a stop, ``hi{m}`` the highest that can touch a target (with
+    ``trailing`` the highest high, and ``dd{m}`` the deepest fall from a high to a later low). A bar without a close,
+    and every bar past the end, has the low ``-inf``: it ends every trade. Each level is made of the one below by
+    ``lead`` over the ticker's calendar, so all levels take one shuffle by ticker.
+    """
+    high = F.col("high") if trailing else F.greatest("open", "high")
+    x = grid.select("ticker", "pos", "open", F.when(F.col("close").isNull(), GONE).otherwise(F.least("open", "low")).alias("lo1"), high.alias("hi1"))
+    if trailing:
+        x = x.withColumn("dd1", F.lit(None).cast("double"))
+    names = ["lo", "hi", "dd"] if trailing else ["lo", "hi"]
+    for j in range(level + 1):
+        if j:
+            x = x.select("ticker", "pos", "open", *[F.col(f"{n}{RADIX}").alias(f"{n}1") for n in names])
+        nth = {f"_{n}{m}": F.lead(f"{n}1", m * RADIX ** j, *([GONE] if n == "lo" else [])).over(by_pos()) for n in names for m in range(1, RADIX)}
+        x = x.withColumns(nth)
+        for m in range(1, RADIX):
+            if trailing:
+                x = x.withColumn(f"dd{m + 1}", F.greatest(f"dd{m}", f"_dd{m}", F.col(f"hi{m}") - F.col(f"_lo{m}")))
+            x = x.withColumns({f"lo{m + 1}": F.least(f"lo{m}", f"_lo{m}"), f"hi{m + 1}": F.greatest(f"hi{m}", f"_hi{m}")})
+        x = x.drop(*nth)
+    return x
+
+
+def _entries(df: DataFrame, grid: DataFrame, hold: int, trailing: bool) -> DataFrame:
+    """``df`` with the open of the bar after ``pos`` as ``_entry`` and the extremes of the top level from that bar on."""
+    top = touch_blocks(grid, _levels(hold) - 1, trailing)
+    extremes = [c for c in top.columns if c not in ("ticker", "pos", "open")]
+    top = top.select("ticker", (F.col("pos") - 1).alias("pos"), F.col("open").alias("_entry"), *[F.col(c).alias(f"_{c}") for c in extremes])
+    return df.join(top, ["ticker", "pos"], "left")
+
+
+def _descend(df: DataFrame, grid: DataFrame, hold: int, valid: Column, touched, trailing: bool = False) -> DataFrame:
+    """Add ``_k``, the bars from the entry to the first one that ends the trade (null if none does within ``hold``), and ``_gone``, whether that one has no close.
+
+    ``df`` comes from ``_entries``; ``touched(lo, hi or top, dd)`` says whether a run of bars ends the trade. The first
+    of the blocks of a level that does is opened on the level below, found by an equi-join on its first bar. Only
+    trades that end by a touch within reach go down at all. With ``trailing``, ``_top`` is the highest high before that bar.
+    """
+    parts = ["lo", "hi", "dd"] if trailing else ["lo", "hi"]
+
+    def step(x: DataFrame, width: int, opened: Column) -> DataFrame:
+        hit = [F.coalesce(touched(*[F.col(f"_{n}{m}") for n in parts]), F.lit(False)) for m in range(1, RADIX + 1)]
+        digit = F.when(~opened, None)
+        low = F.when(~opened, None)
+        for m, h in enumerate(hit, 1):
+            digit, low = digit.when(h, m - 1), low.when(h, F.col(f"_lo{m}") == GONE)
+        x = x.withColumns({"_d": digit, "_g": low})
+        if trailing:
+            x = x.withColumn("_top", F.greatest("_top", F.when(F.col("_d") == 1, F.col("_hi1")).when(F.col("_d") == 2, F.col("_hi2")).when(F.col("_d") == 3, F.col("_hi3"))))
+        return x.withColumns({"_cur": F.col("_cur") + F.col("_d") * width, "_gone": F.col("_g")}).drop("_d", "_g", *[f"_{n}{m}" for n in parts for m in range(1, RADIX + 1)])
+
+    x = df.withColumn("_cur", F.col("pos") + 1)
+    if trailing:
+        x = x.withColumn("_top", F.lit(None).cast("double"))
+    level = _levels(hold) - 1
+    x = step(x, RADIX ** level, valid)
+    for j in reversed(range(level)):
+        below = touch_blocks(grid, j, trailing).drop("open")
+        below = below.select("ticker", F.col("pos").alias("_cur"), *[F.col(c).alias(f"_{c}") for c in below.columns if c not in ("ticker", "pos")])
+        x = x.join(below, ["ticker", "_cur"], "left")
+        # past the last bar there is no row; the trade ends there
+        x = x.withColumn("_lo1", F.when(F.col("_cur").isNotNull(), F.coalesce("_lo1", F.lit(GONE))))
+        x = step(x, RADIX ** j, F.col("_cur").isNotNull())
+    k = F.col("_cur") - F.col("pos") - 1
+    return x.withColumn("_k", F.when(k < hold, k)).withColumn("_gone", F.when(k < hold, F.col("_gone"))).drop("_cur")
+
+
+def _at_exit(df: DataFrame, grid: DataFrame) -> DataFrame:
+    """Join the open, low and close of the exit bar, ``_k`` bars after the entry."""
+    bar = grid.select("ticker", F.col("pos").alias("_x"), F.col("open").alias("_xo"), F.col("low").alias("_xl"), F.col("close").alias("_xc"))
+    return df.withColumn("_x", F.when(F.col("outcome") != "skipped", F.col("pos") + 1 + F.col("_k"))).join(bar, ["ticker", "_x"], "left").drop("_x")
+
+
+def walk_barriers(df: DataFrame, grid: DataFrame, stop: str, target: str, hold: int | str, cost: float = SIDE_COST, most: int | None = None) -> DataFrame:
+    """Stop, target or time exit, whichever the bars after ``pos`` touch first; the stop wins inside one bar.
 
     Adds outcome, entry/exit position and price, days_held, ret (net), r_multiple, y. A gap through
     the stop fills at the open; the entry bar cannot gap. A missing close ends the trade at the last
-    close before it.
+    close before it. ``hold`` may be a column of holding periods of at most ``most`` bars.
+
+    The first bar that touches either level is searched for at once, by a descent over block extremes
+    (``touch_blocks``): the work is a few equi-joins of flat rows, one more for every fourfold of the holding period.
     """
-    p, s, t = F.col(path), F.col(stop), F.col(target)
-    df = once(df, _entry=F.get(p, F.lit(0))["o"],
-              _stop_at=_index_of(p, lambda x, i: ((i > 0) & (x["o"] <= s)) | (x["l"] <= s)),
-              _target_at=_index_of(p, lambda x, i: ((i > 0) & (x["o"] >= t)) | (x["h"] >= t)),
-              _gone_at=F.coalesce(_index_of(p, lambda x, i: x["c"].isNull()), F.size(p)))
-    stop_at, target_at, gone_at = F.col("_stop_at"), F.col("_target_at"), F.col("_gone_at")
+    most = most or hold
+    held = F.lit(hold) if isinstance(hold, int) else F.col(hold)
+    return _walked(_entries(df, grid, most, False), grid, stop, target, held, most, cost)
+
+
+def _walked(entered: DataFrame, grid: DataFrame, stop: str, target: str, held: Column, most: int, cost: float) -> DataFrame:
+    s, t = F.col(stop), F.col(target)
     valid = F.coalesce((s > 0) & (F.col("_entry") > s) & (F.col("_entry") < t), F.lit(False))
-    outcome = (F.when(~valid, "skipped")
-               .when((stop_at < gone_at) & (target_at.isNull() | (stop_at <= target_at)), "stop")
-               .when((target_at < gone_at) & (stop_at.isNull() | (target_at < stop_at)), "target")
-               .when(gone_at < hold, "data_end").otherwise("time"))
-    last = (F.when(F.col("outcome") == "stop", stop_at).when(F.col("outcome") == "target", target_at)
-            .when(F.col("outcome") == "data_end", F.greatest(gone_at - 1, F.lit(0))).otherwise(F.lit(hold - 1)))
-    df = df.withColumn("outcome", outcome).withColumn("_k", last.cast("int"))
-    bar = F.get(p, F.col("_k"))
-    price = (F.when(F.col("outcome") == "stop", F.when((F.col("_k") > 0) & (bar["o"] <= s), bar["o"]).otherwise(s))
-             .when(F.col("outcome") == "target", t).when(F.col("outcome") != "skipped", bar["c"]))
-    return _trade_columns(df, price, s, F.when(F.col("outcome") == "target", 1.0).otherwise(0.0), cost, ["_stop_at", "_target_at", "_gone_at"])
+    x = _descend(entered, grid, most, valid, lambda lo, hi: (lo <= s) | (hi >= t))
+    return _barrier_exit(x, grid, s, t, valid, held, cost)
+
+
+def _barrier_exit(x: DataFrame, grid: DataFrame, s: Column, t: Column, valid: Column, held: Column, cost: float) -> DataFrame:
+    x = x.withColumn("_hit", F.when(F.col("_k") < held, F.col("_k")))
+    state = F.when(~valid, "skipped").when(F.col("_hit").isNull(), "time").when(F.col("_gone"), "data_end").otherwise("touch")
+    last = F.when(state == "time", held - 1).when(state == "data_end", F.greatest(F.col("_hit") - 1, F.lit(0))).otherwise(F.col("_hit"))
+    x = _at_exit(x.withColumn("outcome", state).withColumn("_k", last.cast("int")), grid)
+    stopped = F.coalesce(F.least("_xo", "_xl") <= s, F.lit(False))
+    x = x.withColumn("outcome", F.when(F.col("outcome") != "touch", F.col("outcome")).when(stopped, "stop").otherwise("target"))
+    price = (F.when(F.col("outcome") == "stop", F.when(F.col("_xo") <= s, F.col("_xo")).otherwise(s))
+             .when(F.col("outcome") == "target", t).when(F.col("outcome") != "skipped", F.col("_xc")))
+    return _trade_columns(x, price, s, F.when(F.col("outcome") == "target", 1.0).otherwise(0.0), cost, ["_hit", "_gone", "_xo", "_xl", "_xc"])
 
 
 def _trade_columns(df: DataFrame, price: Column, stop: Column, y: Column, cost: float, drop: Sequence[str]) -> DataFrame:
@@ -140,33 +224,30 @@ def _trade_columns(df: DataFrame, price: Column, stop: Column, y: Column, cost:
              .drop("_entry", "_k", *drop)
 
 
-def walk_trailing_stop(df: DataFrame, atr: str, stop_atr: float | Column, hold: int, cost: float = SIDE_COST,
-                       path: str = "path", close: str = "close") -> DataFrame:
+def walk_trailing_stop(df: DataFrame, grid: DataFrame, atr: str, stop_atr: float | Column, hold: int, cost: float = SIDE_COST, close: str = "close") -> DataFrame:
     """Chandelier exit: the stop on a bar is the larger of the initial stop and the highest high of the
-    completed bars minus k ATR. Same entry, gap and missing-close rules as ``walk_barriers``."""
+    completed bars minus k ATR. Same entry, gap and missing-close rules as ``walk_barriers``.
+
+    A run of bars touches the stop if its low reaches the initial stop, lies k ATR below the highest high
+    before the run, or below an earlier high inside it; the highest high is carried down the levels. Prices within
+    ``HAIR`` of the stop touch it.
+    """
     k = stop_atr if isinstance(stop_atr, Column) else F.lit(float(stop_atr))
-    p, width = F.col(path), k * F.col(atr)
-    df = df.withColumns({"_stop0": F.col(close) - width, "_entry": F.get(p, F.lit(0))["o"]})
-    # Highest high before bar i, carried by a fold that appends one level per bar.
-    levels = F.aggregate(p, F.struct(F.lit(None).cast("double").alias("top"), F.array().cast("array<double>").alias("stops")),
-                         lambda acc, x: F.struct(F.greatest(acc["top"], x["h"]).alias("top"),
-                                                 F.concat(acc["stops"], F.array(F.greatest(F.col("_stop0"), acc["top"] - width))).alias("stops")),
-                         lambda acc: acc["stops"])
-    df = once(df, _stops=levels)
-    hit = _index_of(p, lambda x, i: ((i > 0) & (x["o"] <= F.get("_stops", i))) | (x["l"] <= F.get("_stops", i)))
-    df = once(df, _hit=hit, _gone_at=F.coalesce(_index_of(p, lambda x, i: x["c"].isNull()), F.size(p)))
-    gone_at = F.col("_gone_at")
+    x = _entries(df, grid, hold, True).withColumn("_width", k * F.col(atr)).withColumn("_stop0", F.col(close) - F.col("_width"))
     valid = F.coalesce((F.col("_stop0") > 0) & (F.col("_entry") > F.col("_stop0")), F.lit(False))
-    df = df.withColumn("outcome", F.when(~valid, "skipped").when(F.col("_hit") < gone_at, "stop")
-                       .when(gone_at < hold, "data_end").otherwise("time"))
-    df = df.withColumn("_k", F.when(F.col("outcome") == "stop", F.col("_hit"))
-                       .when(F.col("outcome") == "data_end", F.greatest(gone_at - 1, F.lit(0)))
-                       .otherwise(F.lit(hold - 1)).cast("int"))
-    bar, level = F.get(p, F.col("_k")), F.get("_stops", F.col("_k"))
-    price = (F.when(F.col("outcome") == "stop", F.when((F.col("_k") > 0) & (bar["o"] <= level), bar["o"]).otherwise(level))
-             .when((F.col("outcome") == "data_end") & (gone_at == 0), F.col("_entry"))
-             .when(F.col("outcome") != "skipped", bar["c"]))
-    out = _trade_columns(df, price, F.col("_stop0"), F.when(F.col("ret") > 0, 1.0).otherwise(0.0), cost, ["_stops", "_hit", "_gone_at"])
+    far, s = F.col("_width") - HAIR, F.col("_stop0") + HAIR
+    no = F.lit(False)
+    touched = lambda lo, hi, dd: (lo <= s) | F.coalesce(F.col("_top") - lo >= far, no) | F.coalesce(dd >= far, no)
+    x = _descend(x, grid, hold, valid, touched, trailing=True).withColumn("_hit", F.col("_k"))
+    x = x.withColumn("outcome", F.when(~valid, "skipped").when(F.col("_hit").isNull(), "time").when(F.col("_gone"), "data_end").otherwise("stop"))
+    x = x.withColumn("_k", F.when(F.col("outcome") == "time", hold - 1).when(F.col("outcome") == "data_end", F.greatest(F.col("_hit") - 1, F.lit(0)))
+                     .otherwise(F.col("_hit")).cast("int"))
+    x = _at_exit(x, grid)
+    level = F.greatest("_stop0", F.col("_top") - F.col("_width"))
+    price = (F.when(F.col("outcome") == "stop", F.when(F.col("_xo") <= level, F.col("_xo")).otherwise(level))
+             .when((F.col("outcome") == "data_end") & (F.col("_hit") == 0), F.col("_entry"))
+             .when(F.col("outcome") != "skipped", F.col("_xc")))
+    out = _trade_columns(x, price, F.col("_stop0"), F.when(F.col("ret") > 0, 1.0).otherwise(0.0), cost, ["_hit", "_gone", "_top", "_width", "_xo", "_xl", "_xc"])
     return out.withColumnRenamed("_stop0", "stop")
 
 
@@ -187,20 +268,26 @@ def geometry_grid(stops: Sequence[float] = (1.5, 2.0, 3.0), targets: Sequence[fl
 
 def grid_outcomes(candidates: DataFrame, grid: DataFrame, stops=(1.5, 2.0, 3.0), targets=(1.5, 2.0, 3.0), holds=(5, 10, 20),
                   atr: str = "atr_14d", cost: float = SIDE_COST) -> DataFrame:
-    """Every candidate under every stop x target x hold cell, from one path per candidate.
+    """Every candidate under every stop x target x hold cell.
 
-    The path is collected once at the longest hold; each cell walks its own prefix, so 27 cells cost
-    27 row evaluations and no extra shuffle.
+    The first bar that ends a trade does not depend on how long it may be held, so each stop x target pair is
+    searched once, over the longest hold; the holds only choose between that bar and the time exit.
     """
-    paths = with_path(grid, max(holds)).select("ticker", "pos", "path")
-    base = candidates.join(paths, ["ticker", "pos"])
-    out = None
-    for hold in holds:
-        cells = base.withColumn("_g", F.explode(geometry_grid(stops, targets, (hold,)))).select(*base.columns, "_g.*")
-        cells = cells.withColumn("path", F.slice("path", 1, hold))
-        walked = walk_barriers(grid_levels(cells, F.col("stop_atr"), F.col("target_r"), atr), "stop", "target", hold, cost).drop("path")
-        out = walked if out is None else out.unionByName(walked)
-    return out
+    most = max(holds)
+    entered = _entries(candidates, grid, most, False)
+    pairs = F.array(*[F.struct(F.lit(float(s)).alias("stop_atr"), F.lit(float(t)).alias("target_r")) for s in stops for t in targets])
+    cells = grid_levels(entered.withColumn("_g", F.explode(pairs)).select(*entered.columns, "_g.*"), F.col("stop_atr"), F.col("target_r"), atr)
+    s, t = F.col("stop"), F.col("target")
+    valid = F.coalesce((s > 0) & (F.col("_entry") > s) & (F.col("_entry") < t), F.lit(False))
+    found = _descend(cells, grid, most, valid, lambda lo, hi: (lo <= s) | (hi >= t))
+    found = found.withColumn("hold", F.explode(F.array(*[F.lit(h) for h in holds])))
+    name = F.format_string("atr%s_r%s_hold%d", _short("stop_atr"), _short("target_r"), F.col("hold"))
+    return _barrier_exit(found.withColumn("geometry", name), grid, s, t, valid, F.col("hold"), cost)
+
+
+def _short(c: str) -> Column:
+    """A number without a trailing ``.0``, as in the names of the cells."""
+    return F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
 
 
 # --- target / thesis break / cap / data end -----------------------------------------------------------
@@ -301,19 +388,20 @@ def add_excess(trades: DataFrame, bench_grid: DataFrame) -> DataFrame:
 
 
 def barrier_outcome_table(grid: DataFrame, bench_grid: DataFrame, hold: int, stop_atr: float | None = None, levels: DataFrame | None = None,
-                          cost: float = SIDE_COST) -> DataFrame:
-    """The trade every (ticker, pos) would give under one exit rule.
+                          cost: float = SIDE_COST, entries: DataFrame | None = None) -> DataFrame:
+    """The trade every (ticker, pos), or those of ``entries``, would give under one exit rule.
 
     Real events and all random draws then need only an equi-join on (ticker, pos).
     """
-    rows = with_path(grid, hold)
+    rows = grid.select("ticker", "date", "pos")
+    if entries is not None:
+        rows = rows.join(entries.select("ticker", "pos").distinct(), ["ticker", "pos"], "left_semi")
     if stop_atr is None:
         rows = rows.withColumn("stop", F.lit(NO_STOP))
     else:
         lv = levels.select("ticker", "date", F.col("close").alias("_lc"), F.col("atr_14d").alias("_la"))
         rows = rows.join(lv, ["ticker", "date"], "left").withColumn("stop", F.col("_lc") - stop_atr * F.col("_la")).drop("_lc", "_la")
-    rows = rows.withColumn("target", F.lit(FAR_TARGET))
-    walked = walk_barriers(rows, "stop", "target", hold, cost)
+    walked = walk_barriers(rows.withColumn("target", F.lit(FAR_TARGET)), grid, "stop", "target", hold, cost)
     keep = walked.filter((F.col("outcome") != "skipped") & F.col("ret").isNotNull())
     return add_excess(keep.select("ticker", "pos", "entry_pos", "exit_pos", "entry_price", "exit_price", "outcome", "ret"), bench_grid)
 

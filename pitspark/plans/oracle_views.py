@@ -142,9 +142,9 @@ VIEWS["stm_q"] = """
 SELECT 'S' || lpad(CAST(k AS VARCHAR), 9, '0') AS ticker, k, y, make_date(y, 12, 31) AS period_end, rev / 100 AS rev, disc / n AS dn, tax / n AS tn, qty, rev / 100 * (8 - disc / n) / 100 AS ni
 FROM (SELECT l_suppkey AS k, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) AS rev, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) AS disc,
   CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) AS tax, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS qty, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
-# Fields as the first-present rule resolves them.
+# Fields as the first-present rule resolves them; a name reported twice for a period counts with the larger value.
 VIEWS["fund_items"] = """
-SELECT ticker, k, period_end, rev AS revenue, rev * 0.4 - qty AS gross_profit, rev * 0.2 - qty * 2 AS operating_income, CASE WHEN (k + y) % 13 <> 0 THEN ni END AS net_income, ni / (1000 + k) AS eps,
+SELECT ticker, k, period_end, CASE WHEN k % 9 = 0 AND k % 4 = 3 THEN greatest(rev, rev * 2) ELSE rev END AS revenue, rev * 0.4 - qty AS gross_profit, rev * 0.2 - qty * 2 AS operating_income, CASE WHEN (k + y) % 13 <> 0 THEN ni END AS net_income, ni / (1000 + k) AS eps,
   -qty * 3 AS interest_expense, qty * 5 AS tax_provision, rev * 0.15 AS pretax_income, rev * (10 - tn) / 100 AS ocf, -qty * 100 AS capex, CASE WHEN k % 3 = 0 AND y > 1996 THEN rev * 0.05 END AS own_fcf,
   qty * 500 AS cash, rev * 0.5 AS equity, CASE WHEN k % 7 <> 0 THEN rev * 0.1 END AS debt FROM stm_q"""
 VIEWS["fund_m"] = """

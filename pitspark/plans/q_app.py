@@ -16,21 +16,18 @@ from .q_prices import ATR14, PVMA, RET, RSI14, VOL, VRATIO, W, pk, roll, wk
 _ITEMS = "revenue gross_profit operating_income net_income eps interest_expense cash equity debt"
 
 
-@query("u1_line_items", f"SELECT ticker, period_end, {rounded(_ITEMS)} FROM (SELECT * REPLACE (CASE WHEN k % 9 = 0 AND k % 4 = 3 THEN greatest(revenue, revenue * 2) ELSE revenue END AS revenue) FROM fund_items)")
+@query("u1_line_items", f"SELECT ticker, period_end, {rounded(_ITEMS)} FROM fund_items")
 def u1(spark, sf):
     """The first line-item name a ticker reports is used for all its periods."""
     return tidy(fu.line_items(bv.statements(spark, sf)), "ticker", "period_end", *_ITEMS.split())
 
 
 _METRICS = "revenue_growth eps_growth operating_income_growth fcf_growth gross_margin operating_margin net_margin fcf_margin roe interest_coverage tax_rate"
-# Suppliers that report both revenue names under the second one carry the larger of the two rows.
-_FIX = "k % 9 = 0 AND k % 4 = 3"
 
 
-@query("u2_u4_ratios_and_growth", f"SELECT ticker, period_end, {rounded(_METRICS)} FROM fund_m WHERE NOT ({_FIX})")
+@query("u2_u4_ratios_and_growth", f"SELECT ticker, period_end, {rounded(_METRICS)} FROM fund_m")
 def u2(spark, sf):
-    k = F.expr("cast(substring(ticker, 2) as bigint)")
-    return tidy(fu.with_metrics(fu.line_items(bv.statements(spark, sf))).filter(~((k % 9 == 0) & (k % 4 == 3))), "ticker", "period_end", *_METRICS.split())
+    return tidy(fu.with_metrics(fu.line_items(bv.statements(spark, sf))), "ticker", "period_end", *_METRICS.split())
 
 
 def _latest(c: str) -> str:
@@ -48,7 +45,7 @@ _U5 = "revenue_growth eps_growth gross_margin operating_margin operating_income_
 
 
 @query("u5_compute_fundamentals", f"""
-WITH m AS (SELECT f.*, i.total_debt, CASE WHEN i.total_debt + equity - cash > 0 THEN operating_income * (1 - tax_rate) / (i.total_debt + equity - cash) END AS roic FROM fund_m f LEFT JOIN company_info i USING (ticker) WHERE NOT ({_FIX})),
+WITH m AS (SELECT f.*, i.total_debt, CASE WHEN i.total_debt + equity - cash > 0 THEN operating_income * (1 - tax_rate) / (i.total_debt + equity - cash) END AS roic FROM fund_m f LEFT JOIN company_info i USING (ticker)),
 g AS (SELECT ticker, {', '.join(_latest(c) for c in _U5.split())}, {_latest('roic')}, {_latest('fcf')}, max(period_end) AS observation_date, {_trend('revenue_growth', 'revenue_growth_trend')},
   {_trend('eps_growth', 'eps_growth_trend')}, {_trend('net_margin', 'net_margin_trend')}, {_trend('fcf_growth', 'fcf_trend')}, {_trend('cash', 'balance_sheet_trend')} FROM m GROUP BY 1)
 SELECT g.ticker, {rounded(_U5 + ' roic')}, round(g.fcf, 6) + 0.0 AS free_cash_flow, observation_date, revenue_growth_trend, eps_growth_trend, net_margin_trend, fcf_trend, balance_sheet_trend,
@@ -56,9 +53,7 @@ SELECT g.ticker, {rounded(_U5 + ' roic')}, round(g.fcf, 6) + 0.0 AS free_cash_fl
   CASE WHEN pe IS NULL OR forward_pe IS NULL OR pe <= 0 THEN 'INSUFFICIENT_DATA' WHEN (forward_pe - pe) / pe <= -0.05 THEN 'IMPROVING' WHEN (forward_pe - pe) / pe >= 0.05 THEN 'DETERIORATING' ELSE 'STABLE' END AS valuation_context
 FROM g LEFT JOIN company_info i USING (ticker)""")
 def u5(spark, sf):
-    k = F.expr("cast(substring(ticker, 2) as bigint)")
-    s = bv.statements(spark, sf).filter(~((k % 9 == 0) & (k % 4 == 3)))
-    x = fu.compute_fundamentals(s, bv.company_info(spark, sf)).withColumn("net_debt", F.round("net_debt", 4))
+    x = fu.compute_fundamentals(bv.statements(spark, sf), bv.company_info(spark, sf)).withColumn("net_debt", F.round("net_debt", 4))
     return tidy(x, "ticker", *_U5.split(), "roic", "free_cash_flow", "observation_date", "revenue_growth_trend", "eps_growth_trend", "net_margin_trend", "fcf_trend", "balance_sheet_trend",
                 "net_debt", "leverage", "fcf_yield", "valuation_context")
 
@@ -66,17 +61,16 @@ def u5(spark, sf):
 VIEWS["pit_fund"] = f"""
 WITH k AS (SELECT p.ticker, p.date, p.close, l.c AS price_now FROM panel p JOIN (SELECT ticker, arg_max(close, date) AS c FROM bars GROUP BY 1) l USING (ticker)),
 s AS (SELECT ticker, period_end + 90 AS known_on, {', '.join(f'last_value({c} IGNORE NULLS) OVER w AS {c}' for c in 'revenue_growth eps_growth net_margin roe fcf_margin fcf_growth fcf debt cash'.split())},
-  period_end AS fundamentals_period_end FROM fund_m WHERE NOT ({_FIX}) WINDOW w AS (PARTITION BY ticker ORDER BY period_end ROWS UNBOUNDED PRECEDING)),
+  period_end AS fundamentals_period_end FROM fund_m WINDOW w AS (PARTITION BY ticker ORDER BY period_end ROWS UNBOUNDED PRECEDING)),
 j AS (SELECT k.*, s.* EXCLUDE (ticker, known_on), i.market_cap * k.close / k.price_now AS market_cap FROM k ASOF LEFT JOIN s ON k.ticker = s.ticker AND k.date >= s.known_on LEFT JOIN company_info i ON i.ticker = k.ticker)
 SELECT *, fcf / market_cap AS fcf_yield, debt - cash AS net_debt FROM j"""
 _PIT = "revenue_growth eps_growth net_margin roe fcf_margin fcf_growth market_cap fcf_yield net_debt"
 
 
 def pit_fund(spark, sf):
-    k = F.expr("cast(substring(ticker, 2) as bigint)")
     now = bv.bars(spark, sf).groupBy("ticker").agg(F.max_by("close", "date").alias("price_now"))
     keys = bv.panel(spark, sf).select("ticker", "date", "close").join(now, "ticker")
-    return fu.pit_fundamentals(keys, bv.statements(spark, sf).filter(~((k % 9 == 0) & (k % 4 == 3))), bv.company_info(spark, sf))
+    return fu.pit_fundamentals(keys, bv.statements(spark, sf), bv.company_info(spark, sf))
 
 
 @query("u6_pit_fundamentals", f"SELECT ticker, date, fundamentals_period_end, {rounded(_PIT)} FROM pit_fund")
@@ -89,7 +83,7 @@ _OBS = {"revenue": "raw", "revenue_growth": "growth", "gross_margin": "margin",
 
 
 @query("u7_u8_observation_flags", f"""
-WITH o AS ({' UNION ALL '.join(f"SELECT ticker, period_end, '{m}' AS metric, '{k}' AS kind, {m} * CASE WHEN CAST(substr(ticker, 2) AS BIGINT) % 10 = 2 AND year(period_end) = 1998 THEN 30 ELSE 1 END AS value FROM fund_m WHERE {m} IS NOT NULL AND NOT ({_FIX})" for m, k in _OBS.items())}),
+WITH o AS ({' UNION ALL '.join(f"SELECT ticker, period_end, '{m}' AS metric, '{k}' AS kind, {m} * CASE WHEN CAST(substr(ticker, 2) AS BIGINT) % 10 = 2 AND year(period_end) = 1998 THEN 30 ELSE 1 END AS value FROM fund_m WHERE {m} IS NOT NULL" for m, k in _OBS.items())}),
 d AS (SELECT *, 'FY' || year(period_end) AS period FROM o UNION ALL SELECT *, 'FY' || year(period_end) FROM o WHERE CAST(substr(ticker, 2) AS BIGINT) % 10 = 4 AND year(period_end) = 1999),
 x AS (SELECT *, count(*) OVER (PARTITION BY ticker, metric, period) AS c, list_sort(list(abs(value)) OVER (PARTITION BY ticker, metric)) AS s FROM d)
 SELECT ticker, metric, kind, round(value, 6) + 0.0 AS value, period, period_end, concat_ws(',', CASE WHEN period_end - DATE '2000-06-30' > 3 THEN 'future_dated_period' END, CASE WHEN c > 1 THEN 'duplicate_period' END,
@@ -99,7 +93,7 @@ SELECT ticker, metric, kind, round(value, 6) + 0.0 AS value, period, period_end,
 def u7(spark, sf):
     """Observations with planted outliers and repeated periods."""
     k = F.expr("cast(substring(ticker, 2) as bigint)")
-    o = fu.to_observations(bv.statements(spark, sf).filter(~((k % 9 == 0) & (k % 4 == 3))))
+    o = fu.to_observations(bv.statements(spark, sf))
     o = o.withColumn("value", F.when((k % 10 == 2) & (F.year("period_end") == 1998), F.col("value") * 30).otherwise(F.col("value")))
     o = o.unionByName(o.filter((k % 10 == 4) & (F.year("period_end") == 1999)))
     v = fu.validate_observations(o, F.to_date(F.lit("2000-06-30")))

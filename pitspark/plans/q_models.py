@@ -104,7 +104,7 @@ def meta_candidates(spark, sf):
     """Breakdown-style candidates with levels, outcomes and geometry features."""
     c = _candidates(spark, sf)
     c = oc.grid_levels(c, F.lit(2.0), F.lit(1.5))
-    walked = oc.walk_barriers(c.join(oc.with_path(bv.grid(spark, sf), 8).select("ticker", "pos", "path"), ["ticker", "pos"]), "stop", "target", 8)
+    walked = oc.walk_barriers(c, bv.grid(spark, sf), "stop", "target", 8)
     return walked.select("date", "ticker", F.col("pos").alias("signal_pos"), "outcome", "exit_pos", "y", "r_multiple", ((F.col("close") - F.col("stop")) / F.col("close")).alias("stop_dist_pct"),
                          ((F.col("target") - F.col("close")) / F.col("close")).alias("target_dist_pct"), (F.col("atr_14d") / F.col("close")).alias("atr_pct"))
 
@@ -343,14 +343,25 @@ def s9(spark, sf):
     return tidy(sn.xbrl_facts(tags.select(F.to_json(doc).alias("json"))).drop("unit"), digits=2)
 
 
-@query("s10_statement_flatten", """
-SELECT 'S' || lpad(CAST(k AS VARCHAR), 9, '0') AS ticker, count(*) AS rows FROM (SELECT DISTINCT l_suppkey AS k, year(o_orderdate) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1""")
+_STATEMENT_ROWS = {"income_stmt": {"Total Revenue": ("k % 4 <> 3", "rev"), "TotalRevenue": ("k % 4 = 3 OR k % 9 = 0", "CASE WHEN k % 9 = 0 THEN rev * 2 ELSE rev END"), "Gross Profit": ("true", "rev * 0.4 - qty"),
+                                   "Operating Income": ("true", "rev * 0.2 - qty * 2"), "Net Income": ("true", "CASE WHEN (k + y) % 13 <> 0 THEN ni END"), "Basic EPS": ("k % 5 = 0", "ni / (1000 + k)"),
+                                   "Diluted EPS": ("k % 5 <> 0", "ni / (1000 + k)"), "Interest Expense": ("true", "-qty * 3"), "Tax Provision": ("true", "qty * 5"), "Pretax Income": ("true", "rev * 0.15")},
+                   "cashflow": {"Operating Cash Flow": ("true", "rev * (10 - tn) / 100"), "Capital Expenditure": ("true", "-qty * 100"), "Free Cash Flow": ("k % 3 = 0 AND y > 1996", "rev * 0.05")},
+                   "balance_sheet": {"Cash And Cash Equivalents": ("true", "qty * 500"), "Stockholders Equity": ("true", "rev * 0.5"), "Total Debt": ("k % 7 <> 0", "rev * 0.1")}}
+
+
+@query("s10_statement_flatten", " UNION ALL ".join(
+    f"SELECT ticker, '{stmt}' AS statement, '{item}' AS line_item, period_end, round({value}, 1) + 0.0 AS value FROM stm_q WHERE {where}" for stmt, items in _STATEMENT_ROWS.items() for item, (where, value) in items.items()))
 def s10(spark, sf):
-    """Nested statement maps of one line item, flattened to long rows."""
-    s = bv.statements(spark, sf).filter(F.col("line_item") == "Gross Profit")
-    nested = s.groupBy("ticker").agg(F.map_from_entries(F.collect_list(F.struct(F.col("period_end").cast("string"), "value"))).alias("p"))    # one entry per fiscal year
-    payload = F.map_from_arrays(F.array(F.lit("income_stmt")), F.array(F.map_from_arrays(F.array(F.lit("Gross Profit")), F.array(F.map_concat("p", F.create_map(F.lit("not a date"), F.lit(1.0)))))))
-    return sn.statement_rows(nested.select("ticker", payload.alias("payload"))).groupBy("ticker").agg(F.count(F.lit(1)).alias("rows"))
+    """All statements as nested maps per ticker, with a period that is no date in each item, flattened to long rows again."""
+    s = bv.statements(spark, sf)
+    # a map holds a period once: of two rows of one name the larger stays, as the readers of these rows take it
+    s = s.groupBy("ticker", "statement", "line_item", "period_end").agg(F.max("value").alias("value"))
+    entries = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
+    items = s.groupBy("ticker", "statement", "line_item").agg(entries(F.col("period_end").cast("string"), F.col("value")).alias("p"))    # one entry per fiscal year
+    odd = F.map_concat("p", F.create_map(F.lit("not a date"), F.lit(1.0)))
+    payload = items.withColumn("p", odd).groupBy("ticker", "statement").agg(entries("line_item", "p").alias("p")).groupBy("ticker").agg(entries("statement", "p").alias("payload"))
+    return tidy(sn.statement_rows(payload), "ticker", "statement", "line_item", "period_end", "value", digits=1)
 
 
 @query("s11_s12_section_and_chunk_scan", "SELECT ticker, count(*) AS chunks, sum(length(text)) AS chars FROM chunks GROUP BY 1")

@@ -364,13 +364,12 @@ def l1(spark, sf):
 
 
 @query("l2_next_open_returns", """
-WITH r AS (SELECT date, pos, lead(pos) OVER (ORDER BY pos) AS npos FROM cal WHERE pos >= 52 AND (pos - 52) % 4 = 0),
-k AS (SELECT g.ticker, r.date, r.pos + 1 AS a, r.npos + 1 AS b FROM grid g JOIN r ON g.pos = r.pos),
-x AS (SELECT k.ticker, k.date, e.open AS o0, z.open AS o1, k.a, k.b FROM k LEFT JOIN grid e ON e.ticker = k.ticker AND e.pos = k.a
-  LEFT JOIN grid z ON z.ticker = k.ticker AND z.pos = k.b),
-l AS (SELECT x.ticker, x.date, CASE WHEN g.pos >= x.a THEN g.close END AS lastc FROM x ASOF JOIN (SELECT ticker, pos, close FROM grid WHERE close IS NOT NULL) g ON g.ticker = x.ticker AND x.b >= g.pos)
-SELECT x.ticker, x.date, round(CASE WHEN b <= (SELECT max(pos) FROM cal) AND o0 > 0 THEN coalesce(o1, lastc) / o0 - 1 END, 6) + 0.0 AS next_return
-FROM x LEFT JOIN l ON x.ticker = l.ticker AND x.date = l.date""")
+WITH r AS MATERIALIZED (SELECT date, pos, lead(pos) OVER (ORDER BY pos) AS npos FROM cal WHERE pos >= 52 AND (pos - 52) % 4 = 0),
+f AS MATERIALIZED (SELECT ticker, date, pos, open, last_value(close IGNORE NULLS) OVER w AS lastc, last_value(CASE WHEN close IS NOT NULL THEN pos END IGNORE NULLS) OVER w AS lastp
+  FROM grid WINDOW w AS (PARTITION BY ticker ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT f.ticker, r.date, r.pos + 1 AS a, r.npos + 1 AS b FROM f JOIN r ON f.pos = r.pos)
+SELECT k.ticker, k.date, round(CASE WHEN e.open > 0 THEN coalesce(z.open, CASE WHEN z.lastp >= k.a THEN z.lastc END) / e.open - 1 END, 6) + 0.0 AS next_return
+FROM k LEFT JOIN f e ON e.ticker = k.ticker AND e.pos = k.a LEFT JOIN f z ON z.ticker = k.ticker AND z.pos = k.b""")
 def l2(spark, sf):
     b = bv.bars(spark, sf)
     at = asof.rebalance_dates(bv.calendar(spark, sf), 4, 52)
@@ -440,22 +439,21 @@ SELECT ticker, pos, outcome, CASE WHEN outcome <> 'skipped' THEN CAST(pos + 1 +
   CASE WHEN outcome <> 'skipped' THEN CASE WHEN outcome = 'target' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS y FROM tr""")
 def l6(spark, sf):
     b = bv.bars(spark, sf)
-    paths = oc.with_path(bv.grid(spark, sf), 10).select("ticker", "pos", "path")
     lv = _candidates(spark, sf, b).withColumn("stop", F.round(F.col("close") - 2 * F.col("atr_14d"), 6)) \
                                   .withColumn("target", F.round(F.col("close") + 4 * F.col("atr_14d"), 6))
-    walked = oc.walk_barriers(lv.join(paths, ["ticker", "pos"]), "stop", "target", 10)
+    walked = oc.walk_barriers(lv, bv.grid(spark, sf), "stop", "target", 10)
     return tidy(walked, "ticker", "pos", "outcome", "exit_pos", "exit_price", "days_held", "ret", "r_multiple", "y")
 
 
 @query("l7_walk_trailing_stop", f"""
-WITH {_SIG}, ent AS (SELECT s.*, s.close - 2 * atr AS stop0, g.open AS entry FROM cand s LEFT JOIN grid g ON g.ticker = s.ticker AND g.pos = s.pos + 1),
-bx AS (SELECT s.ticker, s.pos, b.pos - s.pos - 1 AS k, b.open AS o, b.low AS l, b.close AS c,
+WITH {_SIG}, gm AS MATERIALIZED (SELECT * FROM grid), ent AS MATERIALIZED (SELECT s.ticker, s.pos, s.atr, s.close - 2 * atr AS stop0, g.open AS entry FROM cand s LEFT JOIN gm g ON g.ticker = s.ticker AND g.pos = s.pos + 1),
+bx AS MATERIALIZED (SELECT s.ticker, s.pos, b.pos - s.pos - 1 AS k, b.open AS o, b.low AS l, b.close AS c,
   greatest(s.stop0, max(b.high) OVER (PARTITION BY s.ticker, s.pos ORDER BY b.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 2 * s.atr) AS st
-  FROM (SELECT *, pos + unnest(range(1, 13)) AS at_pos FROM ent) s JOIN grid b ON b.ticker = s.ticker AND b.pos = s.at_pos),
-ev AS (SELECT ticker, pos, min(k) FILTER ((k > 0 AND o <= st) OR l <= st) AS ks, coalesce(min(k) FILTER (c IS NULL), count(*)) AS km FROM bx GROUP BY 1, 2),
+  FROM (SELECT *, pos + unnest(range(1, 13)) AS at_pos FROM ent) s JOIN gm b ON b.ticker = s.ticker AND b.pos = s.at_pos),
+ev AS (SELECT ticker, pos, min(k) FILTER ((k > 0 AND o <= st + 1e-9) OR l <= st + 1e-9) AS ks, coalesce(min(k) FILTER (c IS NULL), count(*)) AS km FROM bx GROUP BY 1, 2),
 dec AS (SELECT a.*, ks, km, CASE WHEN NOT coalesce(stop0 > 0 AND entry > stop0, false) THEN 'skipped' WHEN ks < km THEN 'stop' WHEN km < 12 THEN 'data_end' ELSE 'time' END AS outcome
   FROM ent a LEFT JOIN ev b ON a.ticker = b.ticker AND a.pos = b.pos),
-fin AS (SELECT *, CASE outcome WHEN 'stop' THEN ks WHEN 'data_end' THEN greatest(km - 1, 0) WHEN 'time' THEN 11 END AS kk FROM dec),
+fin AS MATERIALIZED (SELECT *, CASE outcome WHEN 'stop' THEN ks WHEN 'data_end' THEN greatest(km - 1, 0) WHEN 'time' THEN 11 END AS kk FROM dec),
 px AS (SELECT f.*, CASE outcome WHEN 'stop' THEN CASE WHEN kk > 0 AND x.o <= x.st THEN x.o ELSE x.st END
   WHEN 'data_end' THEN CASE WHEN km = 0 THEN entry ELSE x.c END WHEN 'time' THEN x.c END AS exit_price
   FROM fin f LEFT JOIN bx x ON x.ticker = f.ticker AND x.pos = f.pos AND x.k = f.kk)
@@ -463,8 +461,7 @@ SELECT ticker, pos, outcome, CAST(kk + 1 AS INTEGER) AS days_held, round(exit_pr
   round(exit_price * (1 - 0.0015) / (entry * (1 + 0.0015)) - 1, 6) + 0.0 AS ret FROM px""")
 def l7(spark, sf):
     b = bv.bars(spark, sf)
-    paths = oc.with_path(bv.grid(spark, sf), 12).select("ticker", "pos", "path")
-    walked = oc.walk_trailing_stop(_candidates(spark, sf, b).join(paths, ["ticker", "pos"]), "atr_14d", 2.0, 12)
+    walked = oc.walk_trailing_stop(_candidates(spark, sf, b), bv.grid(spark, sf), "atr_14d", 2.0, 12)
     return tidy(walked, "ticker", "pos", "outcome", "days_held", "exit_price", "ret")
 
 
@@ -475,15 +472,26 @@ SELECT s AS stop_atr, t AS target_r, outcome, count(*) AS n, round(avg(ret), 6)
 def l9(spark, sf):
     """Nine stop x target cells at one holding period, summarised per outcome."""
     b = bv.bars(spark, sf)
-    paths = oc.with_path(bv.grid(spark, sf), 10).select("ticker", "pos", "path")
-    base = _candidates(spark, sf, b).join(paths, ["ticker", "pos"])
+    base = _candidates(spark, sf, b)
     cells = base.withColumn("_g", F.explode(oc.geometry_grid(holds=(10,)))).select(*base.columns, "_g.*")
     lv = oc.grid_levels(cells, F.col("stop_atr"), F.col("target_r")).withColumn("stop", F.round("stop", 6)).withColumn("target", F.round("target", 6))
-    walked = oc.walk_barriers(lv, "stop", "target", 10)
+    walked = oc.walk_barriers(lv, bv.grid(spark, sf), "stop", "target", 10)
     return tidy(walked.groupBy("stop_atr", "target_r", "outcome").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean_ret")))
 
 
-@query("l9_geometry_grid_27")
+@query("l9_geometry_grid_27", f"""
+WITH {_SIG}, gm AS MATERIALIZED (SELECT * FROM grid), lv AS MATERIALIZED (SELECT c.ticker, c.pos, s, t, c.close - s * atr AS stop, c.close + t * (c.close - (c.close - s * atr)) AS target, g.open AS entry FROM cand c
+  CROSS JOIN (VALUES (1.5::DOUBLE), (2.0::DOUBLE), (3.0::DOUBLE)) a(s) CROSS JOIN (VALUES (1.5::DOUBLE), (2.0::DOUBLE), (3.0::DOUBLE)) z(t) LEFT JOIN gm g ON g.ticker = c.ticker AND g.pos = c.pos + 1),
+bx AS (SELECT v.*, b.pos - v.pos - 1 AS k, b.open AS o, b.high AS h, b.low AS l, b.close AS c FROM (SELECT *, pos + unnest(range(1, 21)) AS at_pos FROM lv) v JOIN gm b ON b.ticker = v.ticker AND b.pos = v.at_pos),
+ev AS (SELECT ticker, pos, s, t, any_value(stop) AS stop, any_value(target) AS target, any_value(entry) AS entry, min(k) FILTER ((k > 0 AND o <= stop) OR l <= stop) AS ks, min(k) FILTER ((k > 0 AND o >= target) OR h >= target) AS kt,
+  coalesce(min(k) FILTER (c IS NULL), count(*)) AS km FROM bx GROUP BY 1, 2, 3, 4),
+dec AS (SELECT e.*, hold, CASE WHEN NOT coalesce(stop > 0 AND entry > stop AND entry < target, false) THEN 'skipped'
+  WHEN ks < least(km, hold) AND (kt IS NULL OR ks <= kt) THEN 'stop' WHEN kt < least(km, hold) AND (ks IS NULL OR kt < ks) THEN 'target' WHEN km < hold THEN 'data_end' ELSE 'time' END AS outcome FROM ev e CROSS JOIN (VALUES (5), (10), (20)) y(hold)),
+fin AS (SELECT *, CASE outcome WHEN 'stop' THEN ks WHEN 'target' THEN kt WHEN 'data_end' THEN greatest(km - 1, 0) WHEN 'time' THEN hold - 1 END AS k FROM dec),
+px AS (SELECT f.*, CASE outcome WHEN 'target' THEN target WHEN 'stop' THEN CASE WHEN k > 0 AND g.open <= stop THEN g.open ELSE stop END WHEN 'skipped' THEN NULL ELSE g.close END AS exit_price
+  FROM fin f LEFT JOIN gm g ON g.ticker = f.ticker AND g.pos = f.pos + 1 + f.k),
+r AS (SELECT s, t, hold, avg((exit_price * (1 - 0.0015) / (entry * (1 + 0.0015)) - 1) / ((entry - stop) / entry)) AS r FROM px GROUP BY 1, 2, 3)
+SELECT s AS stop_atr, t AS target_r, round(any_value(r) FILTER (hold = 5), 6) + 0.0 AS hold_5, round(any_value(r) FILTER (hold = 10), 6) + 0.0 AS hold_10, round(any_value(r) FILTER (hold = 20), 6) + 0.0 AS hold_20 FROM r GROUP BY 1, 2""")
 def l9_full(spark, sf):
     """The whole 27-cell grid (stop x target x hold), pivoted by holding period."""
     b = bv.bars(spark, sf)
@@ -554,10 +562,9 @@ SELECT CAST(year(date) AS INTEGER) AS year, outcome, count(*) AS trades, round(a
 def a0(spark, sf):
     """Breakout trades: two-ATR stop, two-R target, ten bars; outcome, net return and excess by year."""
     b = bv.bars(spark, sf)
-    paths = oc.with_path(bv.grid(spark, sf), 10).select("ticker", "pos", "path")
     lv = _breakouts(spark, sf, b).withColumn("stop", F.round(F.col("close") - 2 * F.col("atr_14d"), 6)) \
                                  .withColumn("target", F.round(F.col("close") + 4 * F.col("atr_14d"), 6))
-    walked = oc.walk_barriers(lv.join(paths, ["ticker", "pos"]), "stop", "target", 10)
+    walked = oc.walk_barriers(lv, bv.grid(spark, sf), "stop", "target", 10)
     bg = bv.bench_grid(spark, sf)
     x = (walked.join(bg.select(F.col("pos").alias("entry_pos"), F.col("open").alias("bo")), "entry_pos", "left")
          .join(bg.select(F.col("pos").alias("exit_pos"), F.col("close").alias("bc")), "exit_pos", "left")
@@ -576,8 +583,8 @@ trades AS (SELECT t.ticker, t.date AS signal_date, t.strength, t.pos, t.pos + 1
 
 def breakout_trades(spark, sf, b=None, hold=8):
     b = bv.bars(spark, sf) if b is None else b
-    table = oc.barrier_outcome_table(bv.grid(spark, sf), bv.bench_grid(spark, sf), hold)
-    return oc.build_trades(_breakouts(spark, sf, b).select("ticker", "signal_date", "pos", "strength"), table)
+    events = _breakouts(spark, sf, b).select("ticker", "signal_date", "pos", "strength")
+    return oc.build_trades(events, oc.barrier_outcome_table(bv.grid(spark, sf), bv.bench_grid(spark, sf), hold, entries=events))
 
 
 @query("l13_build_trades", f"WITH {_TRADES} SELECT ticker, signal_date, entry_date, exit_date, outcome, {rounded('strength ret bench_ret excess')} FROM trades")

@@ -9,7 +9,6 @@ from ..sources import bench as bv
 from . import studies as sd
 from .catalog import query, tidy
 from .oracle_views import VIEWS
-from .q_app import _FIX
 from .q_filings import _screen
 from .q_models import VARIANTS, variant_scores
 from .q_prices import _TECH_SQL, W, _candidates
@@ -26,15 +25,10 @@ def _pit_members(spark, sf, every=4):
     return hd.pit_universe(bv.universe_history(spark, sf), dates)
 
 
-def _clean_statements(spark, sf):
-    k = F.expr("cast(substring(ticker, 2) as bigint)")
-    return bv.statements(spark, sf).filter(~((k % 9 == 0) & (k % 4 == 3)))
-
-
 @bv.staged
 def study_panel(spark, sf):
     b = bv.bars(spark, sf)
-    return sd.build_panel(_pit_members(spark, sf), b, bv.benchmark_bars(b), bv.grid(spark, sf), bv.bench_grid(spark, sf), _clean_statements(spark, sf), bv.company_info(spark, sf), label_days=8)
+    return sd.build_panel(_pit_members(spark, sf), b, bv.benchmark_bars(b), bv.grid(spark, sf), bv.bench_grid(spark, sf), bv.statements(spark, sf), bv.company_info(spark, sf), label_days=8)
 
 
 VIEWS["members4"] = """
@@ -47,7 +41,7 @@ FROM uhist h JOIN l ON l.cik = h.cik AND l.accession = h.accession WHERE h.ticke
 @query("a1_build_panel", f"""
 WITH t AS (SELECT ticker, date AS bar_date, close, {_TECH_SQL} FROM bars_i {W}),
 x AS (SELECT m.*, t.* EXCLUDE (ticker) FROM members4 m ASOF JOIN t ON m.ticker = t.ticker AND m.date >= t.bar_date WHERE m.date - t.bar_date <= 7),
-s AS (SELECT ticker, period_end + 90 AS known_on, last_value(net_margin IGNORE NULLS) OVER w AS net_margin, last_value(fcf_margin IGNORE NULLS) OVER w AS fcf_margin FROM fund_m WHERE NOT ({_FIX})
+s AS (SELECT ticker, period_end + 90 AS known_on, last_value(net_margin IGNORE NULLS) OVER w AS net_margin, last_value(fcf_margin IGNORE NULLS) OVER w AS fcf_margin FROM fund_m
   WINDOW w AS (PARTITION BY ticker ORDER BY period_end ROWS UNBOUNDED PRECEDING))
 SELECT x.date, x.ticker, x.institution_count, inst + 0.0 AS institutional_direction_score, round(return_20d, 6) + 0.0 AS return_20d, round(return_60d, 6) + 0.0 AS return_60d, round(volatility_60d, 6) + 0.0 AS volatility_60d,
   round(s.net_margin, 6) + 0.0 AS net_margin, round(s.fcf_margin, 6) + 0.0 AS fcf_margin, round(f.fwd_excess, 6) + 0.0 AS fwd_excess

@@ -179,11 +179,11 @@ def is_it_luck(trades: DataFrame, random_returns: DataFrame, robust_share: float
 
 def exit_comparison(candidates: DataFrame, picks: DataFrame, grid: DataFrame, hold: int = 20, seeds: int = 20, k: int = 5, atr: str = "atr_14d") -> DataFrame:
     """Two trailing stops and one fixed geometry for the same picks, against random picks with the same exits."""
-    base = cut_lineage(candidates.join(oc.with_path(grid, hold).select("ticker", "pos", "path"), ["ticker", "pos"]))
+    base = cut_lineage(candidates)
     keep = ["date", "ticker", "outcome", "ret", "r_multiple"]
-    tables = [oc.walk_trailing_stop(base, atr, m, hold).select(*keep, F.lit(f"trail {m:g} ATR").alias("exit")) for m in (2.0, 3.0)]
+    tables = [oc.walk_trailing_stop(base, grid, atr, m, hold).select(*keep, F.lit(f"trail {m:g} ATR").alias("exit")) for m in (2.0, 3.0)]
     fixed = base.withColumns({"stop": F.col("close") - 1.5 * F.col(atr), "target": F.col("close") + 3.0 * F.col(atr)})
-    tables.append(oc.walk_barriers(fixed, "stop", "target", hold).select(*keep, F.lit("1.5 ATR stop, 2R target").alias("exit")))
+    tables.append(oc.walk_barriers(fixed, grid, "stop", "target", hold).select(*keep, F.lit("1.5 ATR stop, 2R target").alias("exit")))
     every = tables[0].unionByName(tables[1]).unionByName(tables[2]).filter((F.col("outcome") != "skipped") & F.col("ret").isNotNull())
     every = cut_lineage(every)
     own = cut_lineage(every.join(picks.select("date", "ticker"), ["date", "ticker"]).withColumnRenamed("date", "signal_date"))

@@ -62,8 +62,8 @@ def test_pit_technicals_drop_stale_keys(walk, spark):
 def path_case(spark, bars, stop, target, hold=4):
     rows = [("A", i, *b) for i, b in enumerate([(100.0, 100.0, 100.0, 100.0), *bars])]
     grid = spark.createDataFrame(rows, "ticker string, pos int, open double, high double, low double, close double")
-    df = oc.with_path(grid, hold).filter("pos = 0").withColumns({"stop": F.lit(stop), "target": F.lit(target)})
-    r = oc.walk_barriers(df, "stop", "target", hold, cost=0.0).first()
+    df = grid.filter("pos = 0").withColumns({"stop": F.lit(stop), "target": F.lit(target)})
+    r = oc.walk_barriers(df, grid, "stop", "target", hold, cost=0.0).first()
     return r["outcome"], r["exit_pos"], r["exit_price"]
 
 
@@ -90,7 +90,7 @@ def test_first_touch_cases(spark, name, bars, want):
 def test_trailing_stop_uses_completed_bars_only(spark):
     rows = [("A", 0, 100.0, 100.0, 100.0, 100.0, 5.0), ("A", 1, 100.0, 120.0, 99.0, 118.0, 5.0), ("A", 2, 118.0, 119.0, 109.0, 110.0, 5.0), ("A", 3, 108.0, 109.0, 100.0, 101.0, 5.0)]
     grid = spark.createDataFrame(rows, "ticker string, pos int, open double, high double, low double, close double, atr double")
-    r = oc.walk_trailing_stop(oc.with_path(grid, 3).filter("pos = 0"), "atr", 2.0, 3, cost=0.0).first()
+    r = oc.walk_trailing_stop(grid.filter("pos = 0"), grid, "atr", 2.0, 3, cost=0.0).first()
     # The high of bar 1 lifts the stop to 110 for bar 2, whose low of 109 touches it.
     assert (r["outcome"], r["exit_pos"], r["exit_price"]) == ("stop", 2, 110.0)
 
@@ -155,3 +155,90 @@ def test_quality_flags(spark):
     assert (day(3), "INVALID_DATA:dates:duplicate_date") in flags
     assert (day(30), "INVALID_DATA:ohlc:high_less_than_low") in flags and (day(30), "SUSPICIOUS_DATA:volume:zero_volume") in flags
     assert (day(31), "VALID_EXTREME_MARKET_MOVE:returns") in flags
+
+
+# --- first touch against a walk bar by bar ---------------------------------------------------------------
+
+def random_grid(seed, tickers=4, n=90):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for t in range(tickers):
+        c = 100.0
+        for i in range(n - int(rng.integers(0, 25))):
+            o = round(c * float(np.exp(rng.normal(0, 0.01))), 2)
+            c = round(o * float(np.exp(rng.normal(0, 0.03))), 2)
+            h, low = round(max(o, c) * (1 + abs(float(rng.normal(0, 0.01)))), 2), round(min(o, c) * (1 - abs(float(rng.normal(0, 0.01)))), 2)
+            gone = rng.random()
+            bar = (None,) * 4 if gone < 0.04 else (o, h, low, None) if gone < 0.05 else (o, h, low, c)
+            rows.append((f"T{t}", i, *bar, round(0.5 + 3 * float(rng.random()), 2)))
+    return rows
+
+
+def bar_by_bar(bars, stop, target, hold, hair=0.0):
+    """Outcome, bars to the exit and exit price; ``stop(i)`` is the stop on bar i."""
+    if not bars or bars[0][0] is None or not (stop(0) > 0 and stop(0) < bars[0][0] < target):
+        return "skipped", None, None
+    for i, (o, h, low, c) in enumerate(bars[:hold]):
+        if c is None:
+            return "data_end", max(i - 1, 0), bars[i - 1][3] if i else None
+        if i and o <= stop(i) + hair or low <= stop(i) + hair:
+            return "stop", i, o if i and o <= stop(i) else stop(i)
+        if i and o >= target or h >= target:
+            return "target", i, target
+    if len(bars) < hold:
+        return "data_end", len(bars) - 1, bars[-1][3]
+    return "time", hold - 1, bars[hold - 1][3]
+
+
+@pytest.mark.parametrize("hold", [1, 3, 4, 5, 16, 17, 70])
+def test_first_touch_equals_a_walk(spark, hold):
+    rows = random_grid(hold)
+    grid = spark.createDataFrame(rows, "ticker string, pos int, open double, high double, low double, close double, atr double")
+    entries = grid.filter("close IS NOT NULL").withColumns({"stop": F.round(F.col("close") - 2 * F.col("atr"), 2), "target": F.round(F.col("close") + 3 * F.col("atr"), 2)})
+    fixed = {(r["ticker"], r["pos"]): r for r in oc.walk_barriers(entries, grid, "stop", "target", hold).collect()}
+    trailing = {(r["ticker"], r["pos"]): r for r in oc.walk_trailing_stop(entries.drop("stop", "target"), grid, "atr", 2.0, hold).collect()}
+    bars = {}
+    for t, i, o, h, low, c, atr in rows:
+        bars.setdefault(t, []).append((o, h, low, c, atr))
+    n = 0
+    for t, all_ in bars.items():
+        for i, (_, _, _, c, atr) in enumerate(all_):
+            if c is None:
+                continue
+            n += 1
+            after = [b[:4] for b in all_[i + 1: i + 1 + hold]]
+            stop, target = round(c - 2 * atr, 2), round(c + 3 * atr, 2)
+            r = fixed[t, i]
+            got = r["outcome"], r["days_held"] and r["days_held"] - 1, r["exit_price"]
+            assert got == pytest.approx(bar_by_bar(after, lambda _: stop, target, hold)), (t, i)
+            top = lambda k: max([c - 2 * atr, *(b[1] - 2 * atr for b in after[:k] if b[1] is not None)])
+            r, want = trailing[t, i], bar_by_bar(after, top, float("inf"), hold, oc.HAIR)
+            want = (*want[:2], after[0][0] if want[0] == "data_end" and after[0][3] is None else want[2])
+            assert (r["outcome"], r["days_held"] and r["days_held"] - 1) == want[:2] and r["exit_price"] == pytest.approx(want[2], abs=1e-6), (t, i)
+    assert n == len(fixed) == len(trailing)
+
+
+def test_grid_of_geometries_equals_single_walks(spark):
+    grid = spark.createDataFrame(random_grid(2, 2, 60), "ticker string, pos int, open double, high double, low double, close double, atr_14d double")
+    cand = grid.filter("close IS NOT NULL")
+    cells = oc.grid_outcomes(cand, grid, (1.0, 2.0), (1.0,), (2, 9)).select("geometry", "ticker", "pos", "outcome", "exit_price")
+    for s, h in ((1.0, 2), (1.0, 9), (2.0, 9)):
+        one = oc.walk_barriers(oc.grid_levels(cand, F.lit(s), F.lit(1.0)), grid, "stop", "target", h).select("ticker", "pos", "outcome", "exit_price")
+        mine = cells.filter(F.col("geometry") == f"atr{s:g}_r1_hold{h}").drop("geometry")
+        assert mine.exceptAll(one).count() == one.exceptAll(mine).count() == 0
+
+
+def test_no_array_crosses_the_network(spark):
+    grid = spark.createDataFrame(random_grid(1, 1, 30), "ticker string, pos int, open double, high double, low double, close double, atr_14d double")
+    lv = oc.grid_levels(grid, F.lit(2.0), F.lit(2.0))
+    for df in (oc.walk_barriers(lv, grid, "stop", "target", 20), oc.walk_trailing_stop(grid, grid, "atr_14d", 2.0, 20), oc.grid_outcomes(grid, grid)):
+        exchanges = _exchanges(df._jdf.queryExecution().executedPlan().initialPlan())
+        assert exchanges and all("array" not in kinds for kinds in exchanges)
+
+
+def _exchanges(node):
+    """The column types of every exchange of a plan."""
+    out = [[node.output().apply(i).dataType().typeName() for i in range(node.output().length())]] if node.nodeName() == "Exchange" else []
+    for i in range(node.children().length()):
+        out += _exchanges(node.children().apply(i))
+    return out
