@@ -115,10 +115,10 @@ def month_ends(cal: DataFrame, start=None) -> DataFrame:
               .select("month", "d.date", "d.pos")
 
 
-def next_in_order(dates: DataFrame, date: str = "date", out: str = "next_date") -> DataFrame:
-    """Distinct dates with the one that follows (a calendar-sized window)."""
-    w = Window.orderBy(date)
-    return dates.select(date).distinct().withColumn(out, F.lead(date).over(w))
+def next_in_order(dates: DataFrame, date: str = "date", out: str = "next_date", by: Sequence[str] = ()) -> DataFrame:
+    """Distinct dates of every series ``by`` with the one that follows (a calendar-sized window)."""
+    w = Window.partitionBy(*by).orderBy(date)
+    return dates.select(*by, date).distinct().withColumn(out, F.lead(date).over(w))
 
 
 def eligible(signals: DataFrame, membership: DataFrame, date: str = "signal_date") -> DataFrame:

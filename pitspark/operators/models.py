@@ -207,30 +207,64 @@ def choose_threshold(scored: DataFrame, r: str = "r_multiple", p: str = "p_targe
     return level
 
 
-def walk_forward_probabilities(candidates: DataFrame, folds: DataFrame, features: Sequence[str], min_rows: int = 200, inner_share: float = 0.25) -> DataFrame:
+def training_trades(candidates: DataFrame, folds: DataFrame) -> DataFrame:
+    """``candidates`` with the ``fold`` they may be learnt from: entered trades that exited before the fold's first test signal."""
+    by_date = folds.join(candidates.select("date", "signal_pos"), "date").filter(F.col("role") == "test")
+    first = by_date.groupBy("fold").agg(F.min("signal_pos").alias("_first"))
+    rows = folds.filter(F.col("role") == "train").select("fold", "date").join(candidates, "date").join(first, "fold")
+    return rows.filter((F.col("outcome") != "skipped") & (F.col("exit_pos") < F.col("_first")) & F.col("y").isNotNull()).drop("_first")
+
+
+def inner_split(train: DataFrame, share: float = 0.25, embargo: int = 0) -> DataFrame:
+    """(fold, date, part): every fold's unique training dates, the last ``share`` to check a threshold on.
+
+    ``train``: (fold, date). The ``embargo`` dates before the first 'check' date are 'purged', the others 'fit' (one at
+    least). A window holds a fold's dates, which a calendar bounds.
+    """
+    w = Window.partitionBy("fold").orderBy("date")
+    d = train.select("fold", "date").distinct().withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("fold"))})
+    cut = F.floor(F.col("_n") * (1 - share))
+    part = F.when(F.col("_i") >= cut, "check").when(F.col("_i") < F.greatest(cut - embargo, F.lit(1)), "fit").otherwise("purged")
+    return d.select("fold", "date", part.alias("part"))
+
+
+class Leak(RuntimeError):
+    """A trade that a threshold's model learns from is still open when the threshold is checked."""
+
+
+def assert_purged(fit: DataFrame, check: DataFrame) -> None:
+    last, first = fit.agg(F.max("exit_pos").alias("m")).first()["m"], check.agg(F.min("signal_pos").alias("m")).first()["m"]
+    if last is not None and first is not None and last >= first:
+        raise Leak(f"a trade of the inner fit exits at {last}, the check begins at {first}; take a longer embargo")
+
+
+def walk_forward_probabilities(candidates: DataFrame, folds: DataFrame, features: Sequence[str], min_rows: int = 200, inner_share: float = 0.25, embargo: int = 0) -> DataFrame:
     """Out-of-fold P(target first) of every candidate and the fold's own cut-off.
 
     ``candidates``: date, ticker, signal_pos, outcome, exit_pos, y, r_multiple and the features. Training
     rows are entered trades that exited before the first test signal; every test candidate is scored,
-    because whether its entry gaps is next-day information. Without enough rows of both classes for a fold's model the
+    because whether its entry gaps is next-day information. The cut-off is chosen on the last ``inner_share`` of the
+    unique training dates by a model of the dates before them, less ``embargo`` dates; an embargo under which
+    a trade of that model overlaps the check is refused. Without enough rows of both classes for a fold's model the
     probabilities are null, and without enough for the inner fit or its check the cut-off is null; ``reason`` says so.
     """
     folds, c = cut_lineage(folds), cut_lineage(candidates)
+    trades = training_trades(c, folds)
+    trades = cut_lineage(trades.join(inner_split(trades, inner_share, embargo), ["fold", "date"]))
     out = None
     for fold in fold_numbers(folds):
-        train, test = _parts(c.withColumn("_one", F.lit(1)), folds, fold, "_one")
-        first = test.agg(F.min("signal_pos").alias("m")).first()["m"]
-        train = train.filter((F.col("outcome") != "skipped") & (F.col("exit_pos") < first) & F.col("y").isNotNull())
-        if first is None:
+        _, test = _parts(c.withColumn("_one", F.lit(1)), folds, fold, "_one")
+        if not test.limit(1).count():
             continue  # a fold without a test row
+        train = trades.filter(F.col("fold") == fold).drop("fold")
         enough = train.limit(min_rows).count() >= min_rows
         model = _classifier(train, features, "y") if enough else None
         if model is None:
             got = _unscored(test, fold, ["p_target", "threshold"], "training rows of one class" if enough else f"fewer than {min_rows} training rows")
             out = got if out is None else out.unionByName(got)
             continue
-        cut = train.agg(F.percentile(F.col("signal_pos").cast("double"), F.lit(1 - inner_share)).alias("q")).first()["q"]
-        inner_fit, inner_val = train.filter(F.col("exit_pos") < cut), train.filter(F.col("signal_pos") >= cut)
+        inner_fit, inner_val = train.filter(F.col("part") == "fit"), train.filter(F.col("part") == "check")
+        assert_purged(inner_fit, inner_val)
         level, reason = None, None
         if inner_fit.limit(min_rows).count() < min_rows:
             reason = f"no threshold: fewer than {min_rows} rows of the inner fit"

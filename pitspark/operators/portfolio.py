@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,38 +11,42 @@ from .asof import next_in_order
 from .ranks import row_position
 
 
-def top_fraction(panel: DataFrame, score: str, fraction: float) -> DataFrame:
-    """The best floor(n x fraction) names per date (at least one), ties by ticker; adds ``names``."""
+def top_fraction(panel: DataFrame, score: str, fraction: float, by: Sequence[str] = ()) -> DataFrame:
+    """The best floor(n x fraction) names per date (at least one) of every series ``by``, ties by ticker; adds ``names``."""
     rows = panel.filter(F.col(score).isNotNull()).withColumn("_neg", -F.col(score))
-    r = row_position(rows, ["date"], ["_neg", "ticker"], "_rn")
+    r = row_position(rows, [*by, "date"], ["_neg", "ticker"], "_rn")
     n = F.greatest(F.floor(F.col("_rn_n") * fraction), F.lit(1))
     return r.withColumn("names", n).filter(F.col("_rn") <= F.col("names")).drop("_neg", "_rn", "_rn_n")
 
 
-def monthly_portfolio(panel: DataFrame, score: str, ret: str = "next_return", top_quantile: float = 0.10, max_weight: float = 0.05, cost: float = 0.0030) -> DataFrame:
-    """Per date: gross return, turnover against the previous weights drifted by their returns, net return.
+def monthly_portfolio(panel: DataFrame, score: str, ret: str = "next_return", top_quantile: float = 0.10, max_weight: float = 0.05, cost: float = 0.0030, by: Sequence[str] = ()) -> DataFrame:
+    """Per series ``by`` and date: gross return, turnover against the previous weights drifted by their returns, net return.
 
-    The weights carried into a date depend on the previous date alone, so this is one self-join.
+    The weights carried into a date depend on the previous date alone, so this is one self-join, for any number of
+    series (variants of a score in long form) at once.
     """
-    top = top_fraction(panel.select("date", "ticker", score, ret), score, top_quantile)
+    by = list(by)
+    top = top_fraction(panel.select(*by, "date", "ticker", score, ret), score, top_quantile, by)
     w = F.least(1 / F.col("names"), F.lit(max_weight))
-    held = top.select("date", "ticker", "names", w.alias("w"), F.coalesce(F.when(~F.isnan(ret), F.col(ret)), F.lit(0.0)).alias("r"))
-    sums = held.groupBy("date").agg(F.sum("w").alias("_w"), F.sum(F.col("w") * (1 + F.col("r"))).alias("_grown"), F.sum(F.col("w") * F.col("r")).alias("gross"),
-                                    F.max("names").alias("names"))
-    steps = next_in_order(held, "date", "_next").filter(F.col("_next").isNotNull())
+    held = top.select(*by, "date", "ticker", "names", w.alias("w"), F.coalesce(F.when(~F.isnan(ret), F.col(ret)), F.lit(0.0)).alias("r"))
+    sums = held.groupBy(*by, "date").agg(F.sum("w").alias("_w"), F.sum(F.col("w") * (1 + F.col("r"))).alias("_grown"), F.sum(F.col("w") * F.col("r")).alias("gross"),
+                                         F.max("names").alias("names"))
+    steps = next_in_order(held, "date", "_next", by).filter(F.col("_next").isNotNull())
     grown = F.col("w") * (1 + F.col("r"))
-    drifted = held.join(sums.select("date", "_w", "_grown"), "date").join(steps, "date").select(
-        F.col("_next").alias("date"), "ticker", F.when(F.col("_grown") > 0, grown / F.col("_grown") * F.col("_w")).otherwise(grown).alias("_prev"))
-    turn = held.select("date", "ticker", "w").join(drifted, ["date", "ticker"], "full").groupBy("date").agg(
+    drifted = held.join(sums.select(*by, "date", "_w", "_grown"), [*by, "date"]).join(steps, [*by, "date"]).select(
+        *by, F.col("_next").alias("date"), "ticker", F.when(F.col("_grown") > 0, grown / F.col("_grown") * F.col("_w")).otherwise(grown).alias("_prev"))
+    turn = held.select(*by, "date", "ticker", "w").join(drifted, [*by, "date", "ticker"], "full").groupBy(*by, "date").agg(
         F.sum(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("_prev", F.lit(0.0)))).alias("turnover"))
-    return sums.join(turn, "date").select("date", "gross", "turnover", (F.col("gross") - F.col("turnover") * cost).alias("net"), "names")
+    return sums.join(turn, [*by, "date"]).select(*by, "date", "gross", "turnover", (F.col("gross") - F.col("turnover") * cost).alias("net"), "names")
 
 
-def decile_spread(panel: DataFrame, score: str, ret: str = "next_return", decile: float = 0.10, cost: float = 0.0015) -> DataFrame:
-    """Top minus bottom decile after the costs of both legs."""
-    top = monthly_portfolio(panel, score, ret, decile, 1.0, cost).select("date", F.col("net").alias("_top"))
-    low = monthly_portfolio(panel.withColumn("_flip", -F.col(score)), "_flip", ret, decile, 1.0, cost)
-    return top.join(low, "date").select("date", (F.col("_top") - F.col("gross") - F.col("turnover") * cost).alias("spread_net"))
+def decile_spread(panel: DataFrame, score: str, ret: str = "next_return", decile: float = 0.10, cost: float = 0.0015, by: Sequence[str] = ()) -> DataFrame:
+    """Top minus bottom decile after the costs of both legs, which are two series of one plan."""
+    sides = panel.select(*by, "date", "ticker", ret, F.explode(F.array(F.struct(F.lit(True).alias("_up"), F.col(score).alias("_s")), F.struct(F.lit(False).alias("_up"), (-F.col(score)).alias("_s")))).alias("_x"))
+    legs = monthly_portfolio(sides.select(*by, "date", "ticker", ret, "_x._up", "_x._s"), "_s", ret, decile, 1.0, cost, [*by, "_up"])
+    leg = lambda up, c: F.max(F.when(F.col("_up") == F.lit(up), c))
+    both = legs.groupBy(*by, "date").agg(leg(True, F.col("net")).alias("_top"), leg(False, F.col("gross") + F.col("turnover") * cost).alias("_low"))
+    return both.filter(F.col("_top").isNotNull() & F.col("_low").isNotNull()).select(*by, "date", (F.col("_top") - F.col("_low")).alias("spread_net"))
 
 
 def vol_targeted(net: DataFrame, cash: DataFrame, target: float = 0.15, cap: float = 1.5, window: int = 12, min_rows: int = 6) -> DataFrame:

@@ -1,7 +1,9 @@
 """Research protocol: holdout guard, append-only registry, promotion, one-look gates.
 
 Registry, promotions and looks are Parquet folders written in append mode, read back before any
-decision; a look is logged before its runner starts, so a crashed run still counts.
+decision; a look is logged before its runner starts, so a crashed run still counts. A run number and a look are
+claimed by creating a marker file that must not exist yet, which the file system lets one writer do; a run's
+trial row is written last and commits it, so returns without a trial are those of a crashed or running writer and do not count.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ import hashlib
 import json
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,11 +56,24 @@ class Registry:
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
 
+    def _claim(self, name: str) -> bool:
+        """Create the marker ``name``; false if another writer has it."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/claims/{hashlib.sha1(name.encode()).hexdigest()}")
+        try:
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, False).close()
+        except Py4JJavaError as e:
+            if "Exist" in type(e).__name__ + str(e.java_exception.getClass().getName()) or "exist" in str(e.java_exception.getMessage()):
+                return False
+            raise
+        return True
+
     def trials(self) -> DataFrame:
         return self._read("trials", REGISTRY)
 
     def returns(self) -> DataFrame:
-        return self._read("returns", "variant_id string, date date, ret double")
+        """Returns of the runs whose trial is written."""
+        return self._read("returns", "variant_id string, date date, ret double").join(self.trials().select("variant_id").distinct(), "variant_id", "left_semi")
 
     def promotions(self) -> DataFrame:
         return self._read("promotions", "candidate string, dsr double, pbo double, promoted boolean, timestamp timestamp")
@@ -66,10 +82,12 @@ class Registry:
         return self._read("looks", "test_id string, started timestamp, run int, forced boolean, state string, summary string")
 
     def register(self, family: str, description: str, params: dict, returns: DataFrame, mean_rank_ic: float | None = None, ic_tstat: float | None = None) -> str:
-        """Append one run; the same parameters again get the next run number."""
+        """Append one run; the same parameters again get the next run number that no writer has claimed."""
         r = assert_dev(returns.filter(F.col("ret").isNotNull()).select("date", "ret"), "date", self.holdout_start, "registered return")
         base = variant_base(family, params)
         run = self.trials().filter(F.col("variant_id").startswith(base + ":")).count()
+        while not self._claim(f"run {base}:{run}"):
+            run += 1
         vid = f"{base}:{run}"
         perf = monthly_perf(r).select("sharpe", "annualized")
         span = r.agg(F.min("date").alias("dev_start"), F.max("date").alias("dev_end"), F.count(F.lit(1)).alias("months"))
@@ -103,8 +121,10 @@ class Registry:
     def one_look(self, test_id: str, runner: Callable[[], dict], force: bool = False) -> dict:
         """Run a holdout test once. The look is logged before it runs; a second one needs ``force`` and is marked."""
         before = self.looks().filter((F.col("test_id") == test_id) & (F.col("state") == "started")).count()
-        if before and not force:
-            raise HoldoutViolation(f"{test_id} already had its one holdout look")
+        while (before and not force) or not self._claim(f"look {test_id}:{before}"):
+            if not force:
+                raise HoldoutViolation(f"{test_id} already had its one holdout look")
+            before += 1
         self._log(test_id, before + 1, bool(before), "started")
         result = runner()
         self._log(test_id, before + 1, bool(before), "finished", result.get("summary"))

@@ -2,55 +2,67 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .asof import asof_join, eligible, latest_per_key
 from .features import moving_average
+from .ranks import positions
+
+
+#: Children of a node of the tree over values, at most.
+FAN = 256
 
 
-def trailing_percentile(values: DataFrame, date: str, value: str, q: float, lookback_days: int, buckets: int = 256) -> DataFrame:
+def trailing_percentile(values: DataFrame, date: str, value: str, q: float, lookback_days: int, fan: int = FAN) -> DataFrame:
     """(date, n, threshold): linear quantile of all values dated in [date - lookback, date), for every date.
 
-    The window has no partition key, so it is answered in two exact steps. Values are cut into ordered
-    ranges; daily counts per range and their running sums say, for each date, which ranges hold the two
-    order statistics the quantile needs. Only the values of those ranges then meet the dates that asked
-    for them. ``buckets`` changes the work, not the answer.
+    The window has no partition key, so the order statistics are found by descending a tree over the values: a
+    value's code is its position among all values, a node is a range of codes, its children equal parts of it.
+    Per level, the daily counts of the children of the nodes that are asked for become window counts (a count
+    enters the day after and leaves after the lookback), every date reads its children's counts as of itself, and
+    goes on in the child that holds its position. What meets under one key are the days of one child, however
+    many values it has; ``fan`` changes the work, not the answer.
     """
-    v = values.select(F.col(date).alias("d"), F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & F.col("d").isNotNull())
-    cuts = v.filter(F.pmod(F.xxhash64("d", "v"), F.lit(8)) == 0).stat.approxQuantile("v", [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets))
-    edges = sorted(set(cuts))
-    b = F.size(F.filter(F.array(*[F.lit(c) for c in edges]).cast("array<double>"), lambda c: c < F.col("v"))) if edges else F.lit(0)
-    counts = v.withColumn("b", b).groupBy("d", "b", "v").agg(F.count(F.lit(1)).alias("n"))
-    daily = counts.groupBy("d", "b").agg(F.sum("n").alias("n"))
-    # Every date asks every range: a count enters on its day + 1 and leaves after the lookback.
-    day = F.unix_date("d")
-    moves = daily.select("b", (day + 1).alias("t"), F.col("n").alias("step")).unionByName(daily.select("b", (day + lookback_days + 1).alias("t"), (-F.col("n")).alias("step")))
-    steps = moves.groupBy("b", "t").agg(F.sum("step").alias("step"))
-    run = Window.partitionBy("b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    level = steps.withColumn("n", F.sum("step").over(run)).select("b", "t", "n")
-    asked = v.select(F.unix_date("d").alias("t")).distinct()
-    spans = level.withColumn("until", F.lead("t").over(Window.partitionBy("b").orderBy("t"))).filter((F.col("n") > 0) & F.col("until").isNotNull())
-    # A level holds from t to until; each asked date inside it becomes one (date, range) count.
-    days = asked.agg(F.array_sort(F.collect_list("t")).alias("_days"))
-    from .scalars import with_scalars
-
-    held = spans.transform(with_scalars, days).select("b", "n", F.explode(F.filter("_days", lambda t: (t >= F.col("t")) & (t < F.col("until")))).alias("t"))
-    up = Window.partitionBy("t").orderBy("b")
-    cum = held.withColumns({"before": F.coalesce(F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("n").over(Window.partitionBy("t"))})
+    v = values.select(F.unix_date(F.col(date)).alias("d"), F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & F.col("d").isNotNull())
+    counts = v.groupBy("d", "v").agg(F.count(F.lit(1)).alias("n"))
+    codes = positions(v.select("v"), [], ["v"]).select("v", F.col("lo").alias("code"))
+    coded = cut_lineage(counts.join(codes, "v").select("d", "v", "code", "n"))
+    rows = coded.agg(F.sum("n").alias("n")).first()["n"] or 1
+    depth = max(1, math.ceil(math.log(max(rows, 2)) / math.log(fan)))
+    fan = max(2, math.ceil(rows ** (1 / depth)))
+    while fan ** depth < rows:
+        fan += 1
+
+    def window_counts(daily: DataFrame) -> DataFrame:
+        """``node, t, n``: the count of a node in the window of day t, from the day it changes."""
+        moves = daily.select("node", (F.col("d") + 1).alias("t"), "n").unionByName(daily.select("node", (F.col("d") + lookback_days + 1).alias("t"), (-F.col("n")).alias("n")))
+        run = Window.partitionBy("node").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+        return moves.groupBy("node", "t").agg(F.sum("n").alias("n")).withColumn("n", F.sum("n").over(run))
+
+    def read(asks: DataFrame, daily: DataFrame) -> DataFrame:
+        """``asks`` with ``n``, the count of their node in their window."""
+        found = window_counts(daily).withColumnRenamed("t", "_at").withColumnRenamed("n", "_n")
+        return asof_join(asks, found, ["node"], "t", "_at", ["_n"]).withColumn("n", F.coalesce("_n", F.lit(0))).drop("_n", "_at")
+
+    asked = coded.select(F.col("d").alias("t"), F.lit(0).cast("long").alias("node")).distinct()
+    whole = read(asked, coded.groupBy("d").agg(F.sum("n").alias("n")).withColumn("node", F.lit(0).cast("long"))).filter("n > 0").withColumnRenamed("n", "total")
     h = (F.col("total") - 1) * F.lit(float(q))
-    wants = F.array_distinct(F.array(F.floor(h), F.ceil(h)))
-    hits = cum.withColumn("k", F.explode(wants)).filter((F.col("k") >= F.col("before")) & (F.col("k") < F.col("before") + F.col("n")))
-    # Open only the ranges that were hit, and walk them to the wanted position. Dates and values meet by range
-    # and by block of days as long as the lookback, so a range that every date asks for is split over time.
-    block = lambda t: F.floor(t / lookback_days)
-    need = hits.select("t", "b", "k", "before", "total", F.explode(F.array_distinct(F.array(block(F.col("t") - lookback_days), block(F.col("t") - 1)))).alias("block"))
-    opened = counts.select("b", F.unix_date("d").alias("vd"), block(F.unix_date("d")).alias("block"), "v", F.col("n").alias("c"))
-    inside = need.join(opened, ["b", "block"]).filter((F.col("vd") < F.col("t")) & (F.col("vd") >= F.col("t") - lookback_days))
-    per = inside.groupBy("t", "k", "before", "total", "v").agg(F.sum("c").alias("c"))
-    w = Window.partitionBy("t", "k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    at = per.withColumn("upto", F.col("before") + F.sum("c").over(w)).filter(F.col("upto") > F.col("k")) \
-            .groupBy("t", "k", "total").agg(F.min("v").alias("v"))
+    asks = whole.select("t", "total", "node", F.explode(F.array_distinct(F.array(F.floor(h), F.ceil(h)))).alias("k"), F.lit(0).cast("long").alias("before"))
+    for level in reversed(range(depth)):
+        part = fan ** level
+        daily = coded.withColumn("node", F.floor(F.col("code") / part)).groupBy("d", "node").agg(F.sum("n").alias("n"))
+        wanted = asks.select(F.col("node").alias("_parent")).distinct()
+        daily = daily.join(wanted, F.floor(daily["node"] / fan) == wanted["_parent"], "left_semi")
+        children = asks.select("t", "total", "k", "before", F.explode(F.sequence(F.col("node") * fan, F.col("node") * fan + fan - 1)).alias("node"))
+        up = Window.partitionBy("t", "k").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
+        upto = read(children, daily).filter("n > 0").withColumn("_upto", F.col("before") + F.sum("n").over(up))
+        asks = cut_lineage(upto.filter((F.col("k") < F.col("_upto")) & (F.col("k") >= F.col("_upto") - F.col("n")))
+                           .select("t", "total", "node", "k", (F.col("_upto") - F.col("n")).alias("before")))
+    at = asks.join(coded.select(F.col("code").alias("node"), "v").distinct(), "node")
     frac = (F.col("total") - 1) * F.lit(float(q)) - F.floor((F.col("total") - 1) * F.lit(float(q)))
     out = at.groupBy("t", "total").agg(F.min_by("v", "k").alias("lo"), F.max_by("v", "k").alias("hi"))
     return out.select(F.date_from_unix_date("t").alias(date), F.col("total").alias("n"), (F.col("lo") + (F.col("hi") - F.col("lo")) * frac).alias("threshold"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -309,12 +311,37 @@ def selection_stats(returns: DataFrame, registered: int | None = None) -> DataFr
 
 # --- survival scores -----------------------------------------------------------------------------------
 
+#: Ranges of positions that a group's predictions are cut into, and positions of the smallest range.
+BLOCKS, LEAST_BLOCK = 256, 20_000
+
+
+def _later_pairs(node: np.ndarray, tau: np.ndarray, deaths: np.ndarray, others: np.ndarray) -> int:
+    """Pairs of a death and another row of its node with a strictly later time."""
+    order = np.lexsort((-tau, node))
+    node, tau, deaths = node[order], tau[order], deaths[order]
+    before = np.concatenate(([0], np.cumsum(others[order])))
+    at = np.arange(len(node))
+    new_node = np.concatenate(([True], node[1:] != node[:-1]))
+    new_time = new_node | np.concatenate(([True], tau[1:] != tau[:-1]))
+    first = lambda new: np.maximum.accumulate(np.where(new, at, 0))
+    return int((deaths * (before[first(new_time)] - before[first(new_node)])).sum())
+
+
+def _block_pairs(rows: pd.DataFrame) -> tuple[int, int]:
+    """Well ordered and tied pairs inside one range of positions: two positions differ first at one binary digit."""
+    tau, c, d = (rows[n].to_numpy() for n in ("_tau", "_c", "_d"))
+    r = np.unique(rows["_r"].to_numpy(), return_inverse=True)[1]
+    good = sum(_later_pairs(r >> (level + 1), tau, np.where(r >> level & 1, 0, d), np.where(r >> level & 1, c, 0)) for level in range(int(r.max()).bit_length()))
+    return good, _later_pairs(r, tau, d, c)
+
+
 def concordance(df: DataFrame, duration: str, event: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
     """Share of comparable pairs the prediction orders correctly (ties one half), without forming pairs.
 
-    Predictions become dense positions. Two positions first differ at exactly one binary digit, so a pair
-    is counted once, in the node of that digit: rows with 0 there against later rows with 1. Nodes are
-    pre-aggregated per time, and a node's window holds one row per distinct duration.
+    Predictions become positions, cut into at most ``BLOCKS`` ranges a group. Pairs inside a range are counted by
+    its task; pairs of two ranges from the counts per range and time alone, going through the ranges from the top
+    with the later rows of those above. So every row is shuffled once, as a count per (position, time), and what
+    a group brings together is one number per range and distinct time.
     """
     by = list(by)
     src = df.filter(F.col(predicted).isNotNull())
@@ -323,26 +350,33 @@ def concordance(df: DataFrame, duration: str, event: str, predicted: str, by: Se
     # Deaths sort before censored rows of the same time, which are known to have lived longer.
     src = src.withColumn("_tau", 2 * F.col(duration).cast("long") + F.when(F.col(event) == 1, 0).otherwise(1))
     pos = positions(src, grp, [predicted]).select(*grp, predicted, F.col("lo").alias("_r"), F.col("total").alias("_n"))
-    small = src.join(pos, [*grp, predicted]).groupBy(*grp, "_r", "_n", "_tau").agg(F.count(F.lit(1)).alias("_c"), F.count_if(F.col(event) == 1).alias("_d"))
-
-    def later(part: Sequence[str]) -> Window:
-        return Window.partitionBy(*part).orderBy(F.col("_tau").desc()).rangeBetween(Window.unboundedPreceding, -1)
-
-    def pairs(rows: DataFrame, part: list[str], deaths: str, others: str, out: str) -> DataFrame:
-        t = rows.groupBy(*part, "_tau").agg(F.sum(deaths).alias("_dd"), F.sum(others).alias("_oo"))
-        # Descending frame: "preceding by at least one" means a strictly later time.
-        hit = t.withColumn("_after", F.coalesce(F.sum("_oo").over(later(part)), F.lit(0)))
-        return hit.groupBy(*grp).agg(F.sum(F.col("_dd") * F.col("_after")).alias(out))
-
-    levels = small.withColumn("_level", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("_n"))).cast("int"))))
-    levels = levels.withColumns({"_bit": F.getbit("_r", F.col("_level")), "_node": F.expr("shiftright(_r, _level + 1)")})
-    levels = levels.withColumns({"_d0": F.when(F.col("_bit") == 0, F.col("_d")).otherwise(0), "_c1": F.when(F.col("_bit") == 1, F.col("_c")).otherwise(0)})
-    good = pairs(levels, [*grp, "_level", "_node"], "_d0", "_c1", "_good")
-    tied = pairs(small, [*grp, "_r"], "_d", "_c", "_tied")
-    total = pairs(small, grp, "_d", "_c", "_total")
-    out = total.join(good, grp, "left").join(tied, grp, "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return out.select(*by, F.when(F.col("_total") > 0, (z("_good") + 0.5 * z("_tied")) / F.col("_total")).alias("concordance"), F.col("_total").alias("pairs"))
+    small = src.groupBy(*grp, predicted, "_tau").agg(F.count(F.lit(1)).alias("_c"), F.count_if(F.col(event) == 1).alias("_d"))
+    width = F.greatest(F.ceil(F.col("_n") / BLOCKS), F.lit(LEAST_BLOCK))
+    small = small.join(pos, [*grp, predicted]).withColumn("_block", F.floor(F.col("_r") / width)).select(*grp, "_block", "_r", "_tau", "_c", "_d")
+    keys = ", ".join(f"`{g}` {small.schema[g].dataType.simpleString()}" for g in grp)
+    out_schema = f"{keys}, _good long, _tied long, _total long"
+
+    def inside(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        good, tied = _block_pairs(rows)
+        return pd.DataFrame([(*key[:-1], good, tied, 0)], columns=[*grp, "_good", "_tied", "_total"])
+
+    def across(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        times, at = np.unique(rows["_tau"].to_numpy(), return_inverse=True)
+        above, good, total = np.zeros(len(times), np.int64), 0, 0
+        later = lambda n: np.cumsum(n[::-1])[::-1] - n  # noqa: E731  rows of strictly later times
+        c, d, block = (rows[n].to_numpy() for n in ("_c", "_d", "_block"))
+        order = np.argsort(-block, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+            good += int((d[part] * later(above)[at[part]]).sum())
+            above[at[part]] += c[part]
+        deaths = np.bincount(at, d, minlength=len(times)).astype(np.int64)
+        total = int((deaths * later(above)).sum())
+        return pd.DataFrame([(*key, good, 0, total)], columns=[*grp, "_good", "_tied", "_total"])
+
+    cells = small.groupBy(*grp, "_block", "_tau").agg(F.sum("_c").alias("_c"), F.sum("_d").alias("_d"))
+    pairs = small.groupBy(*grp, "_block").applyInPandas(inside, out_schema).unionByName(cells.groupBy(*grp).applyInPandas(across, out_schema))
+    out = pairs.groupBy(*grp).agg(*[F.sum(c).alias(c) for c in ("_good", "_tied", "_total")])
+    return out.select(*by, F.when(F.col("_total") > 0, (F.col("_good") + 0.5 * F.col("_tied")) / F.col("_total")).alias("concordance"), F.col("_total").alias("pairs"))
 
 
 def kaplan_meier(df: DataFrame, duration: str = "duration", event: str = "event", by: Sequence[str] = ()) -> DataFrame:
@@ -369,17 +403,34 @@ def integrated_brier(test: DataFrame, train: DataFrame, curve: DataFrame, grid:
 
     Rows are reduced to counts per (duration, event) before the grid multiplies them.
     """
+    times = curve_at(curve, _times(test, grid), "t_at", "_s")
+    rows = test.groupBy("duration", "event").agg(F.count(F.lit(1)).alias("_c")).withColumn("t_at", F.explode(F.array(*[F.lit(int(t)) for t in grid])))
+    return _brier(rows.join(times, "t_at"), train, grid)
+
+
+def model_brier(test: DataFrame, train: DataFrame, survival: str, grid: Sequence[int]) -> DataFrame:
+    """The same score of a model that gives every row a curve of its own: ``survival`` is an array of the row's
+    survival probabilities at the times of ``grid``. Rows of equal curve, duration and event count once."""
+    at = F.posexplode(F.zip_with(F.array(*[F.lit(int(t)) for t in grid]), survival, lambda t, s: F.struct(t.alias("t_at"), s.alias("_s"))))
+    same = test.groupBy("duration", "event", survival).agg(F.count(F.lit(1)).alias("_c"))
+    return _brier(same.select("duration", "event", "_c", at.alias("_", "_x")).select("duration", "event", "_c", "_x.*"), train, grid)
+
+
+def _times(df: DataFrame, grid: Sequence[int]) -> DataFrame:
+    return df.sparkSession.createDataFrame([(int(t),) for t in grid], "t_at int")
+
+
+def _brier(rows: DataFrame, train: DataFrame, grid: Sequence[int]) -> DataFrame:
+    """``rows``: duration, event, t_at, _s (survival at t_at), _c (how many). Each row is weighted by the censoring
+    curve of the training rows at its own time or at the time of the grid."""
     cens = kaplan_meier(train.withColumn("_ce", 1 - F.col("event")), "duration", "_ce")
-    rows = test.groupBy("duration", "event").agg(F.count(F.lit(1)).alias("_c"))
-    rows = curve_at(cens, rows, "duration", "_gd").withColumn("t_at", F.explode(F.array(*[F.lit(int(t)) for t in grid])))
-    times = rows.sparkSession.createDataFrame([(int(t),) for t in grid], "t_at int")
-    times = curve_at(cens, curve_at(curve, times, "t_at", "_s"), "t_at", "_gt")
-    x = rows.join(times, "t_at")
+    own = curve_at(cens, rows.select("duration").distinct(), "duration", "_gd")
+    x = rows.join(own, "duration").join(curve_at(cens, _times(rows, grid), "t_at", "_gt"), "t_at")
     floor = lambda c: F.greatest(F.col(c), F.lit(1e-3))
     died = (F.col("duration") <= F.col("t_at")) & (F.col("event") == 1)
     score = F.when(died, F.col("_s") * F.col("_s") / floor("_gd")).when(F.col("duration") > F.col("t_at"), (1 - F.col("_s")) * (1 - F.col("_s")) / floor("_gt")).otherwise(0.0)
     b = x.groupBy("t_at").agg((F.sum(score * F.col("_c")) / F.sum("_c")).alias("_b"))
-    w = Window.orderBy("t_at")
+    w = Window.orderBy("t_at")                                    # one row per time of the grid
     area = (F.lead("_b").over(w) + F.col("_b")) / 2 * (F.lead("t_at").over(w) - F.col("t_at"))
     return b.withColumn("_a", area).agg((F.sum("_a") / (F.max("t_at") - F.min("t_at"))).alias("integrated_brier"))
 

@@ -40,11 +40,17 @@ def build_universe(mentions: DataFrame, market: DataFrame | None = None) -> Data
     return out.orderBy(F.col("institution_count").desc(), F.col("institutional_mentions").desc(), "ticker")
 
 
+def theme_companies(mentions: DataFrame) -> DataFrame:
+    """(theme, ticker): the companies of every theme, a row each; a theme may name any number of them."""
+    return mentions.filter(filled("theme") & (F.col("ticker") != "")).select("theme", "ticker").distinct()
+
+
 def theme_summary(mentions: DataFrame) -> DataFrame:
+    """Per theme: institutions, mentions and companies, and the first company by name; ``theme_companies`` has all of them."""
     t = mentions.filter(filled("theme"))
-    return t.groupBy("theme").agg(
-        F.countDistinct("institution").alias("institution_count"), F.count(F.lit(1)).alias("mention_count"),
-        F.array_sort(F.collect_set(F.when(F.col("ticker") != "", F.col("ticker")))).alias("companies")) \
+    company = F.when(F.col("ticker") != "", F.col("ticker"))
+    return t.groupBy("theme").agg(F.countDistinct("institution").alias("institution_count"), F.count(F.lit(1)).alias("mention_count"),
+                                  F.countDistinct(company).alias("companies"), F.min(company).alias("first_company")) \
         .orderBy(F.col("institution_count").desc(), F.col("mention_count").desc(), "theme")
 
 

@@ -506,8 +506,12 @@ def g1(spark, sf):
 SELECT theme, count(DISTINCT institution) AS institution_count, count(*) AS mention_count, len(list(DISTINCT ticker) FILTER (ticker <> '')) AS companies,
   list_sort(list(DISTINCT ticker) FILTER (ticker <> ''))[1] AS first_company FROM mentions WHERE theme IS NOT NULL GROUP BY theme""")
 def g2(spark, sf):
-    x = un.theme_summary(bv.mentions(spark, sf))
-    return x.withColumn("first_company", F.get("companies", F.lit(0))).withColumn("companies", F.size("companies").cast("long"))
+    return un.theme_summary(bv.mentions(spark, sf))
+
+
+@query("g2_theme_companies", "SELECT DISTINCT theme, ticker FROM mentions WHERE theme IS NOT NULL AND ticker <> ''")
+def g2b(spark, sf):
+    return un.theme_companies(bv.mentions(spark, sf))
 
 
 @query("g3_why_in_universe", "SELECT institution, report_title, publication_date, theme, view_direction, chunk_id FROM mentions WHERE ticker = 'S000000007'")

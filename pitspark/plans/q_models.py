@@ -10,7 +10,7 @@ from ..sources import bench as bv, scans as sn
 from .catalog import query, rounded, tidy
 from .oracle_views import VIEWS
 from .q_filings import _screen
-from .q_prices import _candidates
+from .q_prices import _SIG, _candidates, _walk, roll
 from .q_stats import _AS_MODEL, avg_rank, model_panel, unit_rank_sql
 
 FEATS = list(_AS_MODEL)
@@ -61,6 +61,33 @@ def m14(spark, sf):
     return tidy(mo.top_features(tree_fits(spark, sf).filter("feature IS NOT NULL").withColumnRenamed("mean_gain", "gain")))
 
 
+_SCORED = """
+WITH t AS (SELECT fold, count(*) >= 200 AS fits FROM folds JOIN panel USING (date) WHERE role = 'train' AND fwd_excess IS NOT NULL GROUP BY 1)
+SELECT f.fold, count(*) AS rows, count(DISTINCT f.date) AS dates, CAST(sum(coalesce(fits, false)::INT) AS BIGINT) AS scored FROM folds f JOIN panel USING (date) LEFT JOIN t USING (fold) WHERE f.role = 'test' GROUP BY 1"""
+
+
+def _scored(p, score):
+    return p.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("date").alias("dates"), F.count(score).alias("scored"))
+
+
+@query("m2_scored_rows", _SCORED)
+def m2_rows(spark, sf):
+    """Every test row is there once, scored wherever its fold could be fitted."""
+    return _scored(predictions(spark, sf), "score_ml")
+
+
+@query("m4_scored_rows", _SCORED)
+def m4_rows(spark, sf):
+    return _scored(rank_predictions(spark, sf), "score_rank_model")
+
+
+@query("m14_importance_total", f"SELECT {len(FEATS)} AS features, 1.0::DOUBLE AS total, count(*) > 0 AS fitted FROM (SELECT fold FROM folds JOIN panel USING (date) WHERE role = 'train' AND fwd_excess IS NOT NULL GROUP BY 1 HAVING count(*) >= 200)")
+def m14_total(spark, sf):
+    """Mean gains of all features, whose shares add up to one."""
+    g = tree_fits(spark, sf).filter("feature IS NOT NULL")
+    return g.agg(F.countDistinct("feature").cast("int").alias("features"), (F.round(F.sum("mean_gain"), 6) + 0.0).alias("total"), (F.count(F.lit(1)) > 0).alias("fitted"))
+
+
 @query("m3_ridge_normal_equations", f"""
 WITH x AS (SELECT p.ticker, p.date, {', '.join(f'coalesce({unit_rank_sql(s)}, 0.5) AS {n}' for n, s in _AS_MODEL.items())}, {unit_rank_sql('fwd_excess')} AS y FROM panel p)
 SELECT f.fold, count(*) AS rows, round(avg(y), 6) + 0.0 AS mean_y, round(covar_pop(momentum_12_1, y), 6) + 0.0 AS cov_momentum, round(avg(momentum_12_1), 6) + 0.0 AS mean_momentum, 0.0::DOUBLE AS worst_gradient
@@ -109,11 +136,52 @@ def meta_candidates(spark, sf):
                          ((F.col("target") - F.col("close")) / F.col("close")).alias("target_dist_pct"), (F.col("atr_14d") / F.col("close")).alias("atr_pct"))
 
 
+_META_EMB = st.embargo_dates(8, 4)
+
+
+def _meta_folds(spark, sf):
+    return mo.walk_forward_splits(meta_candidates(spark, sf), 24, 26, _META_EMB)
+
+
+@bv.staged
+def meta_probabilities(spark, sf):
+    return mo.walk_forward_probabilities(meta_candidates(spark, sf), _meta_folds(spark, sf), META, embargo=_META_EMB)
+
+
 @query("m6_m7_meta_labels")
 def m6(spark, sf):
-    c = meta_candidates(spark, sf)
-    folds = mo.walk_forward_splits(c, 24, 26, st.embargo_dates(8, 4))
-    return tidy(mo.walk_forward_probabilities(c, folds, META))
+    return tidy(meta_probabilities(spark, sf))
+
+
+VIEWS["meta"] = f"""
+WITH {_SIG}, lv AS (SELECT *, close - 2 * atr AS stop, close + 1.5::DOUBLE * (close - (close - 2 * atr)) AS target FROM cand), {_walk(8)}
+SELECT ticker, date, pos, outcome, CASE WHEN outcome <> 'skipped' THEN pos + 1 + k END AS exit_pos, CASE WHEN outcome <> 'skipped' THEN CAST(outcome = 'target' AS INTEGER) END AS y FROM tr"""
+VIEWS["meta_folds"] = f"""
+WITH d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM meta)),
+f AS (SELECT range AS fold, {24 + _META_EMB} + range * 26 AS s FROM range(1000) WHERE {24 + _META_EMB} + range * 26 < (SELECT max(n) FROM d))
+SELECT CAST(fold AS INTEGER) AS fold, date, 'train' AS role FROM f JOIN d ON d.i < s - {_META_EMB} UNION ALL SELECT CAST(fold AS INTEGER), date, 'test' FROM f JOIN d ON d.i >= s AND d.i < s + 26"""
+VIEWS["meta_train"] = """
+WITH t AS (SELECT f.fold, min(m.pos) AS first, count(*) AS rows FROM meta_folds f JOIN meta m USING (date) WHERE f.role = 'test' GROUP BY 1)
+SELECT f.fold, m.date, m.pos, m.exit_pos, m.y, t.rows FROM meta_folds f JOIN meta m USING (date) JOIN t USING (fold) WHERE f.role = 'train' AND m.outcome <> 'skipped' AND m.exit_pos < t.first"""
+
+
+@query("m7_inner_split", f"""
+WITH n AS (SELECT fold, date, count(*) AS trades FROM meta_train GROUP BY 1, 2), i AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY date) - 1 AS i, floor(count(*) OVER (PARTITION BY fold) * 0.75::DOUBLE) AS cut FROM n)
+SELECT fold, date, CASE WHEN i >= cut THEN 'check' WHEN i < greatest(cut - {_META_EMB}, 1) THEN 'fit' ELSE 'purged' END AS part, trades FROM i""")
+def m7(spark, sf):
+    """Which training dates of every fold a threshold's model learns from, and which it is checked on."""
+    trades = mo.training_trades(meta_candidates(spark, sf), _meta_folds(spark, sf))
+    per_date = trades.groupBy("fold", "date").agg(F.count(F.lit(1)).alias("trades"))
+    return per_date.join(mo.inner_split(trades, 0.25, _META_EMB), ["fold", "date"]).select("fold", "date", "part", "trades")
+
+
+@query("m6_scored_rows", """
+WITH t AS (SELECT fold, count(*) >= 200 AND count(DISTINCT y) = 2 AS fits FROM meta_train GROUP BY 1)
+SELECT f.fold, count(*) AS rows, CAST(sum(coalesce(fits, false)::INT) AS BIGINT) AS probabilities FROM meta_folds f JOIN meta m USING (date) LEFT JOIN t USING (fold) WHERE f.role = 'test' GROUP BY 1""")
+def m6_rows(spark, sf):
+    """Every test candidate is there once, with a probability wherever its fold could be fitted."""
+    p = meta_probabilities(spark, sf)
+    return p.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("p_target").between(0, 1)).alias("probabilities"))
 
 
 @bv.staged
@@ -127,11 +195,14 @@ def survival_panel(spark, sf):
 
 
 @query("m10_survival_design", f"""
-WITH b AS (SELECT ticker, date, close / lag(close, 12) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret12 FROM bars), s AS (SELECT ticker, signal_date AS date FROM surv),
-j AS (SELECT s.*, round(b.ret12, 8) AS r FROM s JOIN b USING (ticker, date)) SELECT ticker, date, round(coalesce({unit_rank_sql('r')}, 0.5), 6) + 0.0 AS ret12 FROM j""")
+WITH b AS (SELECT ticker, date, close / lag(close, 12) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret12, CASE WHEN mh > 0 THEN 1 - close / mh END AS dd FROM (SELECT *, {roll('max', 'high', 52)} AS mh FROM bars_i)),
+s AS (SELECT ticker, signal_date AS date FROM surv), n AS (SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS ticker, s_nationkey % 3 AS k FROM supplier),
+j AS (SELECT s.*, round(b.ret12, 8) AS r, dd, k FROM s JOIN b USING (ticker, date) JOIN n USING (ticker))
+SELECT ticker, date, round(coalesce({unit_rank_sql('r')}, 0.5), 6) + 0.0 AS ret12, round(coalesce(dd, 0.25), 6) + 0.0 AS drawdown_depth, 0.5::DOUBLE AS valuation_level, (dd IS NULL)::INT::DOUBLE AS price_only_flag,
+  {', '.join(f"({dict(finance='k = 0', retail='k = 1').get(s, 'false')})::INT::DOUBLE AS sector_{s}" for s in mo.SECTORS)} FROM j""")
 def m10(spark, sf):
-    x, _ = mo.survival_design(survival_panel(spark, sf).withColumn("ret12", F.round("ret12", 8)), ["ret12"])
-    return tidy(x, "ticker", "date", "ret12")
+    x, cols = mo.survival_design(survival_panel(spark, sf).withColumn("ret12", F.round("ret12", 8)), ["ret12"])
+    return tidy(x, "ticker", "date", *cols)
 
 
 @query("m9_m11_survival_forecast")
@@ -177,6 +248,17 @@ def m12(spark, sf):
     return tidy(st.evaluate_signals(variant_scores(spark, sf), VARIANTS, bv.LABEL, EVERY))
 
 
+@query("m12_variant_rows", """
+WITH t AS (SELECT fold FROM folds JOIN panel USING (date) WHERE role = 'train' AND fwd_excess IS NOT NULL GROUP BY 1 HAVING count(*) >= 200)
+SELECT v.variant, count(*) AS rows, count(DISTINCT f.date) AS dates, true AS whole FROM folds f JOIN t USING (fold) JOIN panel p USING (date) CROSS JOIN (VALUES ('score_ml'), ('score_linear'), ('score_rank_model'), ('score_ensemble'), ('momentum')) v(variant) WHERE f.role = 'test' GROUP BY 1""")
+def m12_rows(spark, sf):
+    """Every variant is compared on the same rows: those of the folds that could be fitted."""
+    x = variant_scores(spark, sf)
+    long = x.select("date", "ticker", "fwd_excess", *[F.col(v).cast("double").alias(v) for v in VARIANTS]).unpivot(["date", "ticker", "fwd_excess"], VARIANTS, "variant", "score")
+    known = F.col("score").isNotNull() | (F.col("variant") == "momentum")
+    return long.groupBy("variant").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("date").alias("dates"), F.min(known).alias("whole"))
+
+
 @query("m13_feature_check", "SELECT column_name AS feature, column_name IN ('fwd_return', 'fwd_excess', 'label', 'date', 'ticker', 'target') OR starts_with(column_name, 'fwd_') OR starts_with(column_name, 'score_') AS forbidden, n AS known_rows "
        "FROM (UNPIVOT (SELECT count(date) AS date, count(ticker) AS ticker, count(fwd_excess) AS fwd_excess, count(momentum) AS momentum, count(volume_ratio) AS volume_ratio FROM panel) ON date, ticker, fwd_excess, momentum, volume_ratio INTO NAME column_name VALUE n)")
 def m13(spark, sf):
@@ -502,6 +584,14 @@ def k7(spark, sf):
     return sk.load_ranking(spark, f"{path}/cache", 91, "2024-01-05", "u1")
 
 
+@query("k7_json_export", f"SELECT ticker, date, {rounded('close momentum score fwd_excess', 8)} FROM panel")
+def k7_json(spark, sf):
+    """The panel exported as JSON lines, read back by its schema; a missing value stays missing."""
+    p = bv.panel(spark, sf).select("ticker", "date", "close", "momentum", "score", "fwd_excess")
+    path = _written(spark, sf, "panel json", lambda at: sk.export_json(p, at))
+    return tidy(spark.read.schema(p.schema).json(path), "ticker", "date", "close", "momentum", "score", "fwd_excess", digits=8)
+
+
 # --- Z ---------------------------------------------------------------------------------------------------------------
 
 @query("z2_common_dates", "SELECT variant_id, date, round(ret, 6) + 0.0 AS ret FROM reg WHERE date IN (SELECT date FROM reg GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT variant_id) FROM reg))")
@@ -511,23 +601,58 @@ def z2(spark, sf):
     return tidy(st.common_dates(registry_returns(spark, sf)))
 
 
-@query("z1_z3_z4_protocol_run")
-def z3(spark, sf):
-    """Register two variants, promote, take the one look; the second look and a holdout date are refused."""
+_RUN = """
+WITH t AS (SELECT * FROM reg WHERE variant_id IN ('nation:1', 'nation:2')), p AS (SELECT variant_id AS name, count(*) AS months, avg(ret) AS m, stddev_samp(ret) AS sd, pow(product(1 + ret), 12 / count(*)) - 1 AS annualized FROM t GROUP BY 1)"""
+
+
+def _protocol(spark, sf):
+    """A registry with two variants, a promotion and looks; and what was refused, by name."""
     from .q_stats import registry_returns
 
     root = _written(spark, sf, "registry", lambda p: None)
     reg = pr.Registry(spark, root, "2002-01-01")
-    if reg.trials().limit(1).count() == 0:
-        r = registry_returns(spark, sf)
-        for name in ("nation:1", "nation:2"):
-            reg.register("nation", f"mean return of {name}", {"nation": name}, r.filter(F.col("variant_id") == name).select("date", "ret"))
+    if (root, "outcomes") not in _PATHS:
+        def refused(step) -> bool:
+            try:
+                step()
+            except pr.HoldoutViolation:
+                return True
+            return False
+
+        r = registry_returns(spark, sf).filter(F.col("date") < "2002-01-01")
+        own = lambda name: r.filter(F.col("variant_id") == name).select("date", "ret")
+        ids = [reg.register("nation", f"mean return of {name}", {"nation": name}, own(name)) for name in ("nation:1", "nation:2")]
+        late = own("nation:1").withColumn("date", F.lit("2002-01-01").cast("date")).limit(1)
+        found = {"a return of the holdout is refused": refused(lambda: reg.register("nation", "late", {"nation": "late"}, late))}
+        found["a test before the promotion is refused"] = refused(lambda: reg.final_test(ids[0], dict))
+        for vid in ids:
+            reg.promote(vid)
+        # the final test of the best variant runs if and only if it was promoted
+        promoted = {row["candidate"]: row["promoted"] for row in reg.promotions().collect()}      # one row a variant
+        found["the final test follows the promotion"] = all(refused(lambda v=v: reg.final_test(v, lambda: {"summary": {}})) != promoted[v] for v in ids)
         reg.one_look("addendum", lambda: {"summary": {"rows": 2}})
-        try:
-            reg.one_look("addendum", lambda: {})
-            refused = False
-        except pr.HoldoutViolation:
-            refused = True
-        if not refused:
-            raise AssertionError("a second look was allowed")
+        found["a second look is refused"] = refused(lambda: reg.one_look("addendum", dict))
+        found["a forced look is marked"] = reg.one_look("addendum", lambda: {"summary": {}}, force=True)["looks"] == 2
+        _PATHS[root, "outcomes"] = found
+    return reg, _PATHS[root, "outcomes"]
+
+
+@query("z1_z3_z4_protocol_run", _RUN + """
+SELECT 'nation:' || substr(sha1('{"nation": "' || name || '"}'), 1, 10) || ':0' AS variant_id, 'nation' AS family, months, round(m / sd * sqrt(12.0::DOUBLE), 6) + 0.0 AS sharpe, round(annualized, 6) + 0.0 AS annualized FROM p""")
+def z3(spark, sf):
+    """Register two variants, promote, test; the registered trials."""
+    reg, _ = _protocol(spark, sf)
     return tidy(reg.trials().select("variant_id", "family", "months", "sharpe", "annualized"))
+
+
+@query("z3_z4_decisions", _RUN + """
+SELECT step, true AS ok FROM (VALUES ('a return of the holdout is refused'), ('a test before the promotion is refused'), ('the final test follows the promotion'), ('a second look is refused'), ('a forced look is marked')) v(step)
+UNION ALL SELECT 'decisions recorded', count(*) = 2 FROM p UNION ALL SELECT 'looks of the addendum', true""")
+def z4(spark, sf):
+    """What the protocol decided and refused, as rows."""
+    reg, found = _protocol(spark, sf)
+    steps = spark.createDataFrame(list(found.items()), "step string, ok boolean")
+    bars = F.coalesce((F.col("dsr") > pr.MIN_DSR) & (F.col("pbo") < pr.MAX_PBO), F.lit(False))
+    decided = reg.promotions().agg((F.countDistinct("candidate") == 2).alias("a"), F.min(F.col("promoted") == bars).alias("b")).select(F.lit("decisions recorded").alias("step"), (F.col("a") & F.col("b")).alias("ok"))
+    looks = reg.looks().filter("test_id = 'addendum' AND state = 'started'").agg((F.sort_array(F.collect_list("forced")) == F.array(F.lit(False), F.lit(True))).alias("ok")).select(F.lit("looks of the addendum").alias("step"), "ok")
+    return steps.unionByName(decided).unionByName(looks)

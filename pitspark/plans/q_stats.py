@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import asof, outcomes as oc, portfolio as pf, resample as rs, stats as st, xsection as xs
 from ..operators.ranks import equal_count_bucket, percent_rank_average
 from ..sources import bench as bv
-from .catalog import query, rounded, tidy
+from .catalog import ORACLES, query, rounded, tidy
 from .oracle_views import VIEWS
 from .q_prices import _TARGETS, _TRADES, _target_outcomes, breakout_trades
 
@@ -35,6 +35,12 @@ def phi(z: str) -> str:
             f"list_sum(list_transform(range(0, 160), lambda k: exp((2 * k + 1) * ln(greatest(abs({z}), 1e-12)) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())))) END")
 
 
+def ppf(p: str) -> str:
+    """Normal quantile by halving [-8, 8] sixty times."""
+    half = "(a[1] + a[2]) / 2"
+    return f"list_reduce(list_prepend([-8.0::DOUBLE, 8.0::DOUBLE], list_transform(range(0, 60), lambda i: [0.0::DOUBLE, 0.0::DOUBLE])), lambda a, b: CASE WHEN {phi(half)} < {p} THEN [{half}, a[2]] ELSE [a[1], {half}] END)[1]"
+
+
 # --- Q ------------------------------------------------------------------------------------------------------
 
 @query("q1_cross_sectional_rank", "SELECT ticker, date, " + ", ".join(f"round({unit_rank_sql(c)}, 6) + 0.0 AS {c}" for c in PANEL_FEATURES) + " FROM panel")
@@ -329,9 +335,16 @@ def v18(spark, sf):
     return tidy(x.withColumn("skew", F.round("skew", 5)).withColumn("kurtosis", F.round("kurtosis", 5)))
 
 
-@query("v18_deflated_sharpe")
+_DEFLATED = f"""
+WITH m AS (SELECT variant_id, count(*) AS months, avg(ret) / stddev_samp(ret) AS sharpe, skewness(ret) AS skew, kurtosis(ret) + 3 AS kurtosis FROM reg GROUP BY 1), l AS (SELECT count(*) AS k, var_samp(sharpe) AS v FROM m),
+q AS (SELECT k, v, 1 - 1 / k AS p1, 1 - 1 / (k * exp(1)) AS p2 FROM l), b AS (SELECT k, sqrt(v) * ((1 - {st.EULER_GAMMA!r}::DOUBLE) * {ppf('p1')} + {st.EULER_GAMMA!r}::DOUBLE * {ppf('p2')}) AS bench FROM q),
+z AS (SELECT *, (sharpe - bench) * sqrt(months - 1) / sqrt(greatest(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe, 1e-12)) AS z FROM m, b)
+SELECT variant_id, months, round(sharpe, 5) + 0.0 AS sharpe, round(skew, 5) + 0.0 AS skew, round(kurtosis, 5) + 0.0 AS kurtosis, round(bench, 5) + 0.0 AS benchmark_sharpe, round({phi('z')}, 5) + 0.0 AS dsr, CAST(k AS BIGINT) AS n_trials FROM z"""
+
+
+@query("v18_deflated_sharpe", _DEFLATED)
 def v18b(spark, sf):
-    return tidy(st.deflated_sharpe(registry_returns(spark, sf)))
+    return tidy(st.deflated_sharpe(registry_returns(spark, sf)), digits=5)
 
 
 @query("v19_pbo_cscv", """
@@ -351,9 +364,10 @@ def v19(spark, sf):
     return tidy(st.pbo_cscv(registry_returns(spark, sf)))
 
 
-@query("v20_selection_stats")
+@query("v20_selection_stats", f"SELECT d.*, p.* REPLACE (round(p.pbo, 5) + 0.0 AS pbo, round(p.median_logit, 5) + 0.0 AS median_logit, round(p.p_oos_best_negative, 5) + 0.0 AS p_oos_best_negative) FROM ({_DEFLATED}) d, ({ORACLES['v19_pbo_cscv']}) p")
 def v20(spark, sf):
-    return tidy(st.selection_stats(registry_returns(spark, sf)))
+    x = st.selection_stats(registry_returns(spark, sf))
+    return tidy(x.withColumns({c: F.round(c, 6) for c in ("pbo", "median_logit", "p_oos_best_negative")}), digits=5)
 
 
 VIEWS["km_t"] = "SELECT duration AS t, count(*) FILTER (event = 1) AS d, count(*) AS c FROM surv GROUP BY 1"
@@ -380,6 +394,21 @@ def v21(spark, sf):
     return tidy(st.integrated_brier(s, s, st.kaplan_meier(s), [4, 8, 12, 20, 28, 36]))
 
 
+@query("v21_model_brier", """
+WITH cg AS (SELECT duration AS t, count(*) FILTER (event = 0) AS d, count(*) AS c FROM surv GROUP BY 1),
+ck AS (SELECT t, product(1 - d / ar) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, sum(c) OVER (ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS ar FROM cg)),
+tt AS (SELECT x.ta, coalesce(c.g, 1) AS g FROM (VALUES (4), (8), (12), (20), (28), (36)) x(ta) ASOF LEFT JOIN ck c ON x.ta >= c.t),
+r AS (SELECT s.duration, s.event, s.p, coalesce(c.g, 1) AS gd FROM surv s ASOF LEFT JOIN ck c ON s.duration >= c.t),
+x AS (SELECT r.*, ta, g, exp(-pow(ta / (10 + 30 * p), 1.2::DOUBLE)) AS s FROM r CROSS JOIN tt),
+b AS (SELECT ta, avg(CASE WHEN duration <= ta AND event = 1 THEN s * s / greatest(gd, 1e-3) WHEN duration > ta THEN (1 - s) * (1 - s) / greatest(g, 1e-3) ELSE 0 END) AS b FROM x GROUP BY 1)
+SELECT round(sum((b + nb) / 2 * (nt - ta)) / 32, 6) + 0.0 AS integrated_brier FROM (SELECT ta, b, lead(b) OVER (ORDER BY ta) AS nb, lead(ta) OVER (ORDER BY ta) AS nt FROM b)""")
+def v21b(spark, sf):
+    """A Weibull curve for every row, its scale from the row's prediction."""
+    s, times = survival_rows(spark, sf), [4, 8, 12, 20, 28, 36]
+    curve = F.transform(F.array(*[F.lit(float(t)) for t in times]), lambda t: F.exp(-F.pow(t / (10 + 30 * F.col("p")), F.lit(1.2))))
+    return tidy(st.model_brier(s.withColumn("curve", curve), s, "curve", times))
+
+
 @query("v22_concordance", """
 WITH c AS (SELECT year(signal_date) AS g, 2 * duration + (1 - event) AS tau, event, p FROM surv),
 a AS (SELECT g, tau, event, p, count(*) AS n FROM c GROUP BY 1, 2, 3, 4)
@@ -526,8 +555,8 @@ def b5(spark, sf):
 
 # --- P ------------------------------------------------------------------------------------------------------
 
-def _port_sql(name: str, score: str, frac: float, cap: float, cost: float) -> str:
-    return f"""{name}_t AS (SELECT date, ticker, coalesce(fwd_return, 0) AS r, row_number() OVER (PARTITION BY date ORDER BY {score} DESC, ticker) AS rn, count(*) OVER (PARTITION BY date) AS n FROM panel WHERE {score} IS NOT NULL),
+def _port_sql(name: str, score: str, frac: float, cap: float, cost: float, ret: str = "fwd_return") -> str:
+    return f"""{name}_t AS (SELECT date, ticker, coalesce({ret}, 0) AS r, row_number() OVER (PARTITION BY date ORDER BY {score} DESC, ticker) AS rn, count(*) OVER (PARTITION BY date) AS n FROM panel WHERE {score} IS NOT NULL),
 {name}_h AS (SELECT *, least(1 / greatest(floor(n * {frac}), 1), {cap}) AS w, greatest(floor(n * {frac}), 1) AS names FROM {name}_t WHERE rn <= greatest(floor(n * {frac}), 1)),
 {name}_s AS (SELECT date, sum(w) AS sw, sum(w * (1 + r)) AS g, sum(w * r) AS gross, CAST(max(names) AS BIGINT) AS names FROM {name}_h GROUP BY 1),
 {name}_d AS (SELECT date, lead(date) OVER (ORDER BY date) AS nd FROM {name}_s),

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from ..operators import asof, facts as fx, insider as ins, portfolio as pf, protocol as pr, ranking as rk
 from ..sources import bench as bv
 from . import studies as sd
-from .catalog import query, tidy
+from .catalog import ORACLES, query, tidy
 from .oracle_views import VIEWS
 from .q_filings import _screen
 from .q_models import VARIANTS, variant_scores
 from .q_prices import _TECH_SQL, W, _candidates
-from .q_stats import SIGNALS, _port_sql, outcome_table
+from .q_stats import SIGNALS, _port_sql, nw_sql, outcome_table
 
 PERIODS = ("1996-01-01", "1999-12-31", "2000-01-01")
 
@@ -79,12 +79,30 @@ def a3(spark, sf):
                 "date", "ticker", "momentum", "sue", "days_since_filing", "sim_tfidf_rf", "momentum_ind", "momentum_chg3m", "next_return")
 
 
-@query("a4_weekly_panel")
-def a4(spark, sf):
+@bv.staged
+def weekly_panel(spark, sf):
     """The panel on every second week, scored at the two-week horizon."""
     b = bv.bars(spark, sf)
-    x = sd.build_panel(_pit_members(spark, sf, 2), b, bv.benchmark_bars(b), bv.grid(spark, sf), bv.bench_grid(spark, sf), None, None, horizon_days=14, label_days=2)
-    return tidy(x, "date", "ticker", "return_20d", "score_full", "score_rank", "fwd_excess")
+    return sd.build_panel(_pit_members(spark, sf, 2), b, bv.benchmark_bars(b), bv.grid(spark, sf), bv.bench_grid(spark, sf), None, None, horizon_days=14, label_days=2)
+
+
+@query("a4_weekly_panel")
+def a4(spark, sf):
+    return tidy(weekly_panel(spark, sf), "date", "ticker", "return_20d", "score_full", "score_rank", "fwd_excess")
+
+
+VIEWS["members2"] = VIEWS["members4"].replace("(pos - 60) % 4 = 0", "(pos - 60) % 2 = 0")
+VIEWS["fwd2"] = VIEWS["fwd8"].replace("lead(close_filled, 9)", "lead(close_filled, 3)").replace("lead(close, 9)", "lead(close, 3)")
+
+
+@query("a4_weekly_inputs", f"""
+WITH t AS (SELECT ticker, date AS bar_date, close, {_TECH_SQL} FROM bars_i {W}),
+x AS (SELECT m.*, t.* EXCLUDE (ticker) FROM members2 m ASOF JOIN t ON m.ticker = t.ticker AND m.date >= t.bar_date WHERE m.date - t.bar_date <= 7)
+SELECT x.date, x.ticker, x.institution_count, inst + 0.0 AS institutional_direction_score, round(return_20d, 6) + 0.0 AS return_20d, round(return_60d, 6) + 0.0 AS return_60d, round(volatility_60d, 6) + 0.0 AS volatility_60d,
+  round(-volatility_60d, 6) + 0.0 AS low_volatility, round(f.fwd_return, 6) + 0.0 AS fwd_return, round(f.fwd_excess, 6) + 0.0 AS fwd_excess FROM x LEFT JOIN fwd2 f ON f.ticker = x.ticker AND f.date = x.date""")
+def a4b(spark, sf):
+    """What the weekly scores are made of: members, technicals, labels."""
+    return tidy(weekly_panel(spark, sf), "date", "ticker", "institution_count", "institutional_direction_score", "return_20d", "return_60d", "volatility_60d", "low_volatility", "fwd_return", "fwd_excess")
 
 
 @query("a5_report_tables")
@@ -93,6 +111,29 @@ def a5(spark, sf):
     return sd.report_rows(sd.backtest_report(p, SIGNALS, "score", bv.LABEL, bv.EVERY))
 
 
+#: Of each table of the report, the query with its SQL and the columns that name a row.
+_REPORT = {"signals": ("v3_evaluate_signals", ["signal"]), "buckets": ("v4_label_buckets", ["bucket"]), "quintiles": ("v9_score_quintiles", ["quintile"]),
+           "by_year": ("v5_ic_by_year", ["signal", "year"]), "drift": ("v10_universe_drift", ["year"])}
+
+
+@query("a5_report_measures", " UNION ALL ".join(
+    f"SELECT '{section}' AS section, concat_ws(' ', {', '.join(key)}) AS key, measure, round(value, 4) + 0.0 AS value "
+    f"FROM (UNPIVOT (SELECT {', '.join(key)}, CAST(COLUMNS(* EXCLUDE ({', '.join(key)})) AS DOUBLE) FROM ({ORACLES[name]})) ON COLUMNS(* EXCLUDE ({', '.join(key)})) INTO NAME measure VALUE value)" for section, (name, key) in _REPORT.items()))
+def a5c(spark, sf):
+    """All five tables of the report, a row per measure."""
+    tables = sd.backtest_report(bv.panel(spark, sf), SIGNALS, "score", bv.LABEL, bv.EVERY)
+    out = None
+    for section, (_, key) in _REPORT.items():
+        df = tables[section]
+        measures = [c for c in df.columns if c not in key]
+        rows = df.select(F.lit(section).alias("section"), F.concat_ws(" ", *[F.col(k).cast("string") for k in key]).alias("key"), *[F.col(c).cast("double").alias(c) for c in measures])
+        rows = rows.unpivot(["section", "key"], measures, "measure", "value").filter(F.col("value").isNotNull())
+        # as the queries of the single tables round them
+        rows = rows.withColumn("value", F.when(F.col("measure").contains("tstat"), F.round("value", 5)).when(F.col("measure").contains("median"), F.round("value", 9)).otherwise(F.round("value", 6)))
+        out = rows if out is None else out.unionByName(rows)
+    return tidy(out, digits=4)
+
+
 @query("a5_report_drift_and_ic", """
 SELECT 'drift' AS section, CAST(year(date) AS INTEGER) AS year, count(*) AS dates, round(avg(m), 6) + 0.0 AS value FROM (SELECT date, avg(fwd_excess) AS m FROM panel WHERE fwd_excess IS NOT NULL GROUP BY 1) GROUP BY 2
 UNION ALL SELECT 'ic ' || signal, CAST(year(date) AS INTEGER), count(*), round(avg(rank_ic), 6) + 0.0 FROM per_date GROUP BY signal, 2""")
@@ -131,15 +172,20 @@ def survival_candidates(spark, sf):
     return s.join(sec, "ticker").join(bv.calendar(spark, sf), "date")
 
 
-def _survival(spark, sf):
+def _survival(spark, sf, target=0.1):
     brk = fx.thesis_break_dates(bv.company_facts(spark, sf)).select(bv.ticker_of("cik").alias("ticker"), "break_date")
-    return sd.value_survival(survival_candidates(spark, sf), bv.grid(spark, sf), bv.calendar(spark, sf), brk, bv.bench_grid(spark, sf), "1999-06-30", 0.1, 40, ["net_margin", "fcf_yield", "revenue_growth"])
+    return sd.value_survival(survival_candidates(spark, sf), bv.grid(spark, sf), bv.calendar(spark, sf), brk, bv.bench_grid(spark, sf), "1999-06-30", target, 40, ["net_margin", "fcf_yield", "revenue_growth"])
 
 
 @query("a8_value_survival")
 def a8(spark, sf):
-    r = _survival(spark, sf)
-    return tidy(r["scores"]).withColumn("checks", r["verdict"].agg(F.count_if("ok").alias("n")).scalar())
+    """Scores and verdict of the study at three targets."""
+    out = None
+    for target in (0.05, 0.1, 0.2):
+        r = _survival(spark, sf, target)
+        row = tidy(r["scores"]).withColumn("checks", r["verdict"].agg(F.count_if("ok").alias("n")).scalar()).withColumn("target", F.lit(target))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("a9_addendum")
@@ -147,6 +193,20 @@ def a9(spark, sf):
     return tidy(sd.addendum(variant_scores(spark, sf), VARIANTS), "variant", "months", "mean_rank_ic", "ic_t", "holm_p", "spread_mean", "top_decile_annualized", "passed")
 
 
+@query("a9_addendum_signals", f"""
+WITH {', '.join(f"{_port_sql(f'u_{s}', s, 0.1, 1.0, 0.0015, 'fwd_excess')}, {_port_sql(f'd_{s}', f'(-{s})', 0.1, 1.0, 0.0015, 'fwd_excess')}" for s in SIGNALS)},
+spread AS ({' UNION ALL '.join(f"SELECT '{s}' AS variant, avg(u.net - d.gross - d.turnover * 0.0015) AS sm FROM u_{s} u JOIN d_{s} d USING (date)" for s in SIGNALS)}),
+perf AS ({' UNION ALL '.join(f"SELECT '{s}' AS variant, pow(product(1 + net), 12 / count(*)) - 1 AS ann FROM u_{s}" for s in SIGNALS)}),
+ic AS ({nw_sql('per_date', 'signal', 'date', 'rank_ic', 1)})
+SELECT variant, ic.n AS months, round(mean, 6) + 0.0 AS mean_rank_ic, round(ic.t, 5) + 0.0 AS ic_t, round(holm_p, 4) + 0.0 AS holm_p, round(sm, 6) + 0.0 AS spread_mean, round(ann, 6) + 0.0 AS top_decile_annualized,
+  coalesce(h.ic_t > 0 AND holm_p < 0.0455002638963584, false) AND mean > 0 AND sm > 0 AS passed
+FROM holm h JOIN ic ON ic.signal = h.variant JOIN spread USING (variant) JOIN perf USING (variant)""")
+def a9b(spark, sf):
+    """The addendum over the panel's own signals, all in one plan."""
+    x = sd.addendum(bv.panel(spark, sf), SIGNALS, "fwd_excess").withColumns({"ic_t": F.round("ic_t", 5), "holm_p": F.round("holm_p", 4)})
+    return tidy(x, "variant", "months", "mean_rank_ic", "ic_t", "holm_p", "spread_mean", "top_decile_annualized", "passed")
+
+
 @query("a10_result_tables")
 def a10(spark, sf):
     """Result rows of the event and exit studies under one shape."""
@@ -166,7 +226,11 @@ def a11(spark, sf):
     return tidy(saved.agg(F.count(F.lit(1)).alias("rows"), F.sum("ret").alias("total")).withColumn("differing", bad.scalar()))
 
 
-@query("a12_evaluate_and_register")
+@query("a12_evaluate_and_register", f"""
+WITH {', '.join(_port_sql(f'u_{s}', s, 0.1, 1.0, 0.0015).replace('FROM panel', "FROM (SELECT * FROM panel WHERE date < DATE '2001-01-01')") for s in ('score', 'momentum'))},
+n AS (SELECT 'score' AS s, net FROM u_score UNION ALL SELECT 'momentum', net FROM u_momentum), ic AS (SELECT signal AS s, avg(rank_ic) AS ic FROM per_date WHERE date < DATE '2001-01-01' GROUP BY 1)
+SELECT 'signal:' || substr(sha1('{{"score": "' || s || '"}}'), 1, 10) || ':0' AS variant_id, 'signal' AS family, count(*) AS months, round(any_value(ic), 6) + 0.0 AS mean_rank_ic,
+  round(avg(net) / stddev_samp(net) * sqrt(12.0::DOUBLE), 6) + 0.0 AS sharpe, round(pow(product(1 + net), 12 / count(*)) - 1, 6) + 0.0 AS annualized FROM n JOIN ic USING (s) GROUP BY s""")
 def a12(spark, sf):
     """Two scores evaluated and registered, one promoted or not, the holdout looked at once."""
     from .q_models import _written

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import text as tx
 from ..session import cut_lineage
 from ..sources import bench as bv
-from .catalog import query, tidy
+from .catalog import query, rounded, tidy
 from .oracle_views import VIEWS
 
 # --- D1-D9: parsing ---------------------------------------------------------------------------------------------
@@ -179,13 +179,16 @@ def d10(spark, sf):
 # The stop list is Spark's own; the SQL side receives the same list.
 STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "which", "les", "des", "der", "die", "und", "que", "los", "las")
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
-VIEWS["tok"] = rf"""
-SELECT accession, term, count(*) AS tf FROM (SELECT accession, unnest(regexp_extract_all(lower(risk_factors), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM sections) WHERE term NOT IN ({_STOP}) GROUP BY 1, 2"""
-VIEWS["idf"] = """
-WITH r AS (SELECT accession FROM sections WHERE filing_date < DATE '2014-01-01'), n AS (SELECT count(*) AS n FROM r)
-SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf, count(*) AS df FROM tok JOIN r USING (accession), n GROUP BY term, n HAVING count(*) >= 5 AND count(*) <= 0.9 * n"""
-VIEWS["tfidf"] = """
-SELECT accession, term, w / sqrt(sum(w * w) OVER (PARTITION BY accession)) AS weight FROM (SELECT accession, term, (1 + ln(tf)) * idf AS w FROM tok JOIN idf USING (term))"""
+#: Suffix of the views of a section, and its column.
+_SECTIONS = {"": "risk_factors", "_md": "mdna"}
+for _x, _column in _SECTIONS.items():
+    VIEWS[f"tok{_x}"] = rf"""
+SELECT accession, term, count(*) AS tf FROM (SELECT accession, unnest(regexp_extract_all(lower({_column}), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM sections) WHERE term NOT IN ({_STOP}) GROUP BY 1, 2"""
+    VIEWS[f"idf{_x}"] = f"""
+WITH r AS (SELECT accession FROM sections WHERE filing_date < DATE '2014-01-01' AND coalesce({_column}, '') <> ''), n AS (SELECT count(*) AS n FROM r)
+SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf, count(*) AS df FROM tok{_x} JOIN r USING (accession), n GROUP BY term, n HAVING count(*) >= 5 AND count(*) <= 0.9 * n"""
+    VIEWS[f"tfidf{_x}"] = f"""
+SELECT accession, term, w / sqrt(sum(w * w) OVER (PARTITION BY accession)) AS weight FROM (SELECT accession, term, (1 + ln(tf)) * idf AS w FROM tok{_x} JOIN idf{_x} USING (term))"""
 
 
 @bv.staged
@@ -211,10 +214,21 @@ WITH c AS (SELECT a.accession, b.accession AS p, b.filing_date AS pf, CASE WHEN
   FROM sections a JOIN sections b ON a.cik = b.cik AND a.form = b.form AND b.filing_date < a.filing_date),
 x AS (SELECT accession, arg_max(p, (pf, p)) FILTER (ann) AS a, arg_max(p, (pf, p)) FILTER (per) AS q, arg_max(p, (pf, p)) FILTER (fil) AS f FROM c GROUP BY 1)
 SELECT s.cik, s.accession, s.form, s.filing_date, CASE WHEN s.form = '10-K' THEN a ELSE coalesce(q, f) END AS prior_accession FROM sections s JOIN x USING (accession) WHERE CASE WHEN s.form = '10-K' THEN a ELSE coalesce(q, f) END IS NOT NULL"""
-VIEWS["sims"] = """
-SELECT p.cik, p.accession, p.form, p.filing_date, p.prior_accession, CASE WHEN p.accession IN (SELECT accession FROM tfidf) AND p.prior_accession IN (SELECT accession FROM tfidf) THEN coalesce(d.s, 0) END AS sim,
-  ln(length(a.risk_factors) / length(b.risk_factors)) AS len_chg FROM paired p JOIN sections a ON a.accession = p.accession JOIN sections b ON b.accession = p.prior_accession
-LEFT JOIN (SELECT p.accession, sum(x.weight * y.weight) AS s FROM paired p JOIN tfidf x ON x.accession = p.accession JOIN tfidf y ON y.accession = p.prior_accession AND y.term = x.term GROUP BY 1) d ON d.accession = p.accession"""
+for _x, _column in _SECTIONS.items():
+    VIEWS[f"sims{_x}"] = f"""
+SELECT p.cik, p.accession, p.form, p.filing_date, p.prior_accession, CASE WHEN p.accession IN (SELECT accession FROM tfidf{_x}) AND p.prior_accession IN (SELECT accession FROM tfidf{_x}) THEN coalesce(d.s, 0) END AS sim,
+  CASE WHEN length(a.{_column}) > 0 AND length(b.{_column}) > 0 THEN ln(length(a.{_column}) / length(b.{_column})) END AS len_chg FROM paired p JOIN sections a ON a.accession = p.accession JOIN sections b ON b.accession = p.prior_accession
+LEFT JOIN (SELECT p.accession, sum(x.weight * y.weight) AS s FROM paired p JOIN tfidf{_x} x ON x.accession = p.accession JOIN tfidf{_x} y ON y.accession = p.prior_accession AND y.term = x.term GROUP BY 1) d ON d.accession = p.accession"""
+VIEWS["pooled"] = """
+WITH e AS (SELECT vec_id % 50 AS key, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT key, i, avg(v::DOUBLE) AS m FROM e GROUP BY 1, 2)
+SELECT key, list(m ORDER BY i) AS v FROM m GROUP BY 1"""
+VIEWS["filing_feat"] = """
+WITH s AS (SELECT p.*, CASE WHEN p.form = '10-K' AND coalesce(x.risk_factors, '') <> '' AND coalesce(y.risk_factors, '') <> '' THEN list_cosine_similarity(a.v, b.v) END AS emb_rf, CASE WHEN p.form = '10-K' AND coalesce(x.mdna, '') <> '' AND coalesce(y.mdna, '') <> '' THEN list_cosine_similarity(a.v, b.v) END AS emb_md
+  FROM paired p JOIN sections x ON x.accession = p.accession JOIN sections y ON y.accession = p.prior_accession
+  LEFT JOIN pooled a ON a.key = CAST(substr(p.accession, 2) AS BIGINT) % 50 LEFT JOIN pooled b ON b.key = CAST(substr(p.prior_accession, 2) AS BIGINT) % 50)
+SELECT s.cik, s.accession, s.form, s.filing_date, s.prior_accession, r.sim AS sim_tfidf_rf, emb_rf AS sim_emb_rf, r.sim - lag(r.sim) OVER w AS dsim_tfidf_rf, r.len_chg AS len_chg_rf,
+  m.sim AS sim_tfidf_mdna, emb_md AS sim_emb_mdna, m.sim - lag(m.sim) OVER w AS dsim_tfidf_mdna, m.len_chg AS len_chg_mdna
+FROM s JOIN sims r USING (accession) JOIN sims_md m USING (accession) WINDOW w AS (PARTITION BY s.cik, s.form ORDER BY s.filing_date, s.accession)"""
 
 
 @query("d12_cosine_pairs", "SELECT accession, prior_accession, round(sim, 6) + 0.0 AS sim FROM sims")
@@ -223,25 +237,25 @@ def d12(spark, sf):
     ref = s.filter(F.col("filing_date") < "2014-01-01").select("accession")
     idf = tx.fit_idf(counts.join(ref, "accession", "left_semi"), ref, "accession")
     pairs = tx.year_ago_filing(s.select("cik", "accession", "form", "filing_date", "report_date")).filter(F.col("prior_accession").isNotNull()).select("accession", "prior_accession")
-    weights = cut_lineage(tx.tfidf_weights(counts, idf, "accession"))
-    return tidy(tx.cosine_pairs(pairs, weights, "accession", "prior_accession", "accession", "sim"))
+    return tidy(tx.cosine_pairs(pairs, cut_lineage(tx.packed_vectors(counts, idf, "accession")), "accession", "prior_accession", "accession", "sim"))
 
 
-@bv.staged
-def filing_feature_table(spark, sf):
+def _filing_features(spark, sf):
     """Similarity features; the pooled vectors stand in for both sections."""
-    pooled = _pooled(spark, sf)
     s = bv.sections(spark, sf)
-    ids = s.select("accession", (F.expr("cast(substring(accession, 2) as bigint)") % 50).alias("key")).join(pooled, "key")
+    ids = s.select("accession", (F.expr("cast(substring(accession, 2) as bigint)") % 50).alias("key")).join(_pooled(spark, sf), "key")
     vec = ids.select("accession", F.explode(F.array(F.lit("risk_factors"), F.lit("mdna"))).alias("section"), "vec")
     return tx.filing_features(s, "2014-01-01", STOP_WORDS, vec)
 
 
-@query("d13_filing_features", """
-SELECT cik, accession, form, filing_date, prior_accession, round(sim, 6) + 0.0 AS sim_tfidf_rf, round(len_chg, 6) + 0.0 AS len_chg_rf,
-  round(sim - lag(sim) OVER (PARTITION BY cik, form ORDER BY filing_date, accession), 6) + 0.0 AS dsim_tfidf_rf FROM sims""")
+@bv.staged
+def filing_feature_table(spark, sf):
+    return _filing_features(spark, sf)
+
+
+@query("d13_filing_features", f"SELECT cik, accession, form, filing_date, prior_accession, {rounded(tx.SIMILARITY_FEATURES)} FROM filing_feat")
 def d13(spark, sf):
-    return tidy(tx.filing_features(bv.sections(spark, sf), "2014-01-01", STOP_WORDS), "cik", "accession", "form", "filing_date", "prior_accession", "sim_tfidf_rf", "len_chg_rf", "dsim_tfidf_rf")
+    return tidy(_filing_features(spark, sf), "cik", "accession", "form", "filing_date", "prior_accession", *tx.SIMILARITY_FEATURES)
 
 
 _SPACED = """
@@ -276,15 +290,17 @@ def d15(spark, sf):
     return tidy(_pooled(spark, sf).select("key", F.posexplode("vec").alias("dim", "value")))
 
 
-@query("t2_monthly_text_features", """
-WITH k AS (SELECT DISTINCT date, CAST(substr(ticker, 2) AS BIGINT) % 20 AS cik, ticker FROM panel), f AS (SELECT DISTINCT cik, filing_date - 4500 AS fd FROM paired)
-SELECT k.date, k.ticker, CASE WHEN k.date - f.fd <= 200 THEN f.fd END AS filing_date FROM k ASOF LEFT JOIN f ON k.cik = f.cik AND k.date >= f.fd""")
+@query("t2_monthly_text_features", f"""
+WITH k AS (SELECT DISTINCT date, CAST(substr(ticker, 2) AS BIGINT) % 20 AS cik, ticker FROM panel),
+f AS (SELECT *, filing_date - 4500 AS fd FROM filing_feat QUALIFY row_number() OVER (PARTITION BY cik, filing_date ORDER BY accession DESC) = 1)
+SELECT k.date, k.ticker, CASE WHEN k.date - f.fd <= 200 THEN f.fd END AS filing_date, {', '.join(f'round(CASE WHEN k.date - f.fd <= 200 THEN {c} END, 6) + 0.0 AS {c}' for c in tx.SIMILARITY_FEATURES)}
+FROM k ASOF LEFT JOIN f ON k.cik = f.cik AND k.date >= f.fd""")
 def t2m(spark, sf):
     """Text features shifted onto the price history and aligned to it, null when stale."""
     ff = filing_feature_table(spark, sf).withColumn("filing_date", F.date_sub("filing_date", 4500))
     keys = bv.panel(spark, sf).select("date", "ticker")
     who = keys.select("ticker").distinct().withColumn("cik", F.expr("cast(substring(ticker, 2) as bigint)") % 20)
-    return tx.monthly_text_features(ff, keys, who).select("date", "ticker", "filing_date")
+    return tidy(tx.monthly_text_features(ff, keys, who), "date", "ticker", "filing_date", *tx.SIMILARITY_FEATURES)
 
 
 # --- D16-D18: extraction inputs -------------------------------------------------------------------------------------

@@ -132,7 +132,9 @@ def value_survival(candidates: DataFrame, grid: DataFrame, cal: DataFrame, break
     forecast = cut_lineage(mo.expected_annualized_return(mo.aft_curve_params(model, test, used), target, float(failed), cap=cap, step=max(1, cap // 40)))
     km = st.kaplan_meier(train)
     grid_points = list(range(max(1, cap // 10), cap, max(1, cap // 10)))
-    scores = st.concordance(forecast, "duration", "event", "scale").transform(with_scalars, st.integrated_brier(test, train, km, grid_points))
+    curve = F.transform(F.array(*[F.lit(float(g)) for g in grid_points]), lambda g: F.exp(-F.pow(g / F.col("scale"), F.col("shape"))))
+    brier = st.model_brier(forecast.select("duration", "event", curve.alias("_curve")), train, "_curve", grid_points).withColumnRenamed("integrated_brier", "model_brier")
+    scores = st.concordance(forecast, "duration", "event", "scale").transform(with_scalars, st.integrated_brier(test, train, km, grid_points)).transform(with_scalars, brier)
     from ..operators.ranking import top_per_date
 
     picks = top_per_date(forecast, [F.col("expected_annualized_return").desc(), F.col("ticker")], per_month)
@@ -195,17 +197,15 @@ def exit_comparison(candidates: DataFrame, picks: DataFrame, grid: DataFrame, ho
 def addendum(scores: DataFrame, variants: Sequence[str], label: str = "fwd_return", cost: float = 0.0015) -> DataFrame:
     """Holdout statistics and Holm verdict of every variant, with the top decile's annual return.
 
-    Variants are ranked and evaluated together; only the two decile portfolios run per variant.
+    The variant is a key of the long table throughout, so the plan is the same for any number of them.
     """
     per_date = cut_lineage(st.per_date_metrics(scores, variants, label))
     tests = st.newey_west(per_date, ["signal"], "date", "rank_ic", 1).select(F.col("signal").alias("variant"), F.col("n").alias("months"), F.col("mean").alias("mean_rank_ic"), F.col("t").alias("ic_t"))
-    spread = None
-    for v in variants:
-        s = pf.decile_spread(scores, v, label, 0.10, cost).agg(F.avg("spread_net").alias("spread_mean")).withColumn("variant", F.lit(v))
-        top = st.monthly_perf(pf.monthly_portfolio(scores, v, label, 0.10, 1.0, cost).select("date", F.col("net").alias("ret"))).select("annualized")
-        s = s.withColumn("top_decile_annualized", top.scalar())
-        spread = s if spread is None else spread.unionByName(s)
-    return st.variant_verdicts(tests.join(spread, "variant"))
+    long = scores.select("date", "ticker", label, *[F.col(v).cast("double").alias(v) for v in variants]).unpivot(["date", "ticker", label], list(variants), "variant", "_score")
+    spread = pf.decile_spread(long, "_score", label, 0.10, cost, ["variant"]).groupBy("variant").agg(F.avg("spread_net").alias("spread_mean"))
+    net = pf.monthly_portfolio(long, "_score", label, 0.10, 1.0, cost, ["variant"]).select("variant", "date", F.col("net").alias("ret"))
+    top = st.monthly_perf(net, ["variant"]).select("variant", F.col("annualized").alias("top_decile_annualized"))
+    return st.variant_verdicts(tests.join(spread, "variant").join(top, "variant", "left"))
 
 
 def evaluate_and_register(registry, scores: DataFrame, score: str, family: str, description: str, params: dict, label: str = "fwd_return") -> str:

@@ -79,6 +79,59 @@ def test_registry_is_append_only_and_gives_one_look(spark, tmp_path):
     assert reg.one_look("t", lambda: {"summary": {}}, force=True)["looks"] == 2
 
 
+def test_two_writers_never_share_a_run_or_a_look(spark, tmp_path, monkeypatch):
+    """Both read the registry before either writes: the count they see is the same."""
+    root = str(tmp_path / "reg")
+    a, b = (pr.Registry(spark, root, "2020-01-01") for _ in range(2))
+    r = spark.createDataFrame([(day(30 * i), 0.01 * (i % 5)) for i in range(10)], "date date, ret double")
+    seen = a.trials()
+    monkeypatch.setattr(b, "trials", lambda: seen.limit(0))
+    no_looks = spark.createDataFrame([], a.looks().schema)
+    monkeypatch.setattr(b, "looks", lambda: no_looks)
+    ids = [w.register("fam", "d", {"x": 1}, r) for w in (a, b, a, b)]
+    assert sorted(i[-2:] for i in ids) == [":0", ":1", ":2", ":3"] and a.trials().count() == 4 and a.returns().count() == 40
+    a.one_look("t", lambda: {})
+    with pytest.raises(pr.HoldoutViolation):
+        b.one_look("t", lambda: {})
+    assert b.one_look("t", lambda: {}, force=True)["looks"] == 2
+
+
+def test_a_run_without_its_trial_does_not_count(spark, tmp_path):
+    reg = pr.Registry(spark, str(tmp_path / "reg"), "2020-01-01")
+    r = spark.createDataFrame([(day(30 * i), 0.01 * (i % 5)) for i in range(10)], "date date, ret double")
+    reg._claim(f"run {pr.variant_base('fam', {'x': 1})}:0")          # a writer that crashed after its returns
+    r.selectExpr("'fam:crashed:0' AS variant_id", "date", "ret").write.parquet(f"{reg.root}/returns")
+    assert reg.register("fam", "d", {"x": 1}, r).endswith(":1") and reg.returns().select("variant_id").distinct().count() == 1
+
+
+def test_inner_split_is_purged_and_a_leak_is_refused(spark):
+    dates = [(0, day(i)) for i in range(20)] + [(0, day(3))] + [(1, day(i)) for i in range(4)]
+    got = {(r["fold"], r["date"]): r["part"] for r in mo.inner_split(spark.createDataFrame(dates, "fold int, date date"), 0.25, 3).collect()}
+    assert [got[0, day(i)] for i in range(20)] == ["fit"] * 12 + ["purged"] * 3 + ["check"] * 5
+    assert [got[1, day(i)] for i in range(4)] == ["fit", "purged", "purged", "check"]
+    fit, check = (spark.createDataFrame([(a, b)], "signal_pos int, exit_pos int") for a, b in ((1, 9), (9, 12)))
+    with pytest.raises(mo.Leak):
+        mo.assert_purged(fit, check)
+    mo.assert_purged(fit.withColumn("exit_pos", F.lit(8)), check)
+
+
+def test_brier_of_a_model_with_a_curve_per_row(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    n, grid = 300, [2, 5, 9, 14]
+    dur, ev, scale = rng.integers(1, 20, n), rng.integers(0, 2, n), rng.uniform(3, 20, n)
+    curve = np.exp(-np.array(grid)[None, :] / scale[:, None])
+    order = np.unique(dur)
+    at_risk = np.array([(dur >= t).sum() for t in order])
+    g = np.cumprod(1 - np.array([((dur == t) & (ev == 0)).sum() for t in order]) / at_risk)
+    cens = lambda t: max(g[order <= t][-1], 1e-3) if (order <= t).any() else 1.0
+    want = [np.mean([s * s / cens(d) if d <= t and e else (1 - s) ** 2 / cens(t) if d > t else 0 for d, e, s in zip(dur, ev, curve[:, i])]) for i, t in enumerate(grid)]
+    df = spark.createDataFrame([(int(a), int(b), [float(x) for x in c]) for a, b, c in zip(dur, ev, curve)], "duration int, event int, curve array<double>")
+    got = st.model_brier(df, df, "curve", grid).first()["integrated_brier"]
+    assert got == pytest.approx(np.trapezoid(want, grid) / (grid[-1] - grid[0]))
+
+
 def test_threshold_takes_all_unless_a_cut_is_better(spark):
     rows = [(float(i) / 200, 1.0 if i > 150 else -0.5) for i in range(200)]
     df = spark.createDataFrame(rows, "p_target double, r_multiple double")

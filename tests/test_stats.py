@@ -57,6 +57,19 @@ def test_concordance_counts_pairs_without_forming_them(spark, n):
     assert got["pairs"] == pairs and got["concordance"] == pytest.approx(want)
 
 
+def test_concordance_across_ranges_of_positions(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.randint(1, 30), rng.randint(0, 1), 0.5 if rng.random() < 0.3 else round(rng.random(), 2), g) for g in ("a", "b") for _ in range(400)]
+    df = spark.createDataFrame(rows, "t int, e int, p double, g string")
+    monkeypatch.setattr(st, "LEAST_BLOCK", 7)
+    got = {r["g"]: r for r in st.concordance(df, "t", "e", "p", ["g"]).collect()}
+    for g in ("a", "b"):
+        want, pairs = brute_concordance([r[:3] for r in rows if r[3] == g])
+        assert got[g]["pairs"] == pairs and got[g]["concordance"] == pytest.approx(want)
+
+
 def test_auc_with_ties(spark):
     rows = [(1, 0.9), (1, 0.5), (0, 0.5), (0, 0.1)]
     assert st.auc(spark.createDataFrame(rows, "y int, p double"), "y", "p").first()["auc"] == pytest.approx(0.875)
