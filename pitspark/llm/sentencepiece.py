@@ -6,7 +6,7 @@ no piece can cross such a place, so the best segmentation of a text is that of i
 
 * its substrings of at most the longest piece's length are exploded and equi-joined with the piece table;
 * a character that is no piece is an edge of its byte pieces, ten below the lowest score;
-* edges know their word by 128 bits; they are grouped by word, and a fold over them in the order of their ends
+* edges know their word by 96 bits; they are grouped by word, and a fold over them in the order of their ends
   (``aggregate``) keeps the best score and last edge of every place, from which a second fold reads the best path.
   Of equal scores the one whose last piece is longer wins.
 
@@ -14,7 +14,7 @@ A run of more than ``BLOCK`` characters without a cut (spaces of a table, a rule
 and is folded block by block. A piece may cross a border, so what passes from block to block are the scores of
 the first places of the next one. Equal blocks are one: their edges are joined and folded once for every place
 they can be entered at, which gives a small matrix from entries to exits; a fold over a word's matrices gives the
-scores that every block is entered with. With these each block is folded again, keeping the path of every exit,
+scores that every block is entered with. With these a block is folded again, once for all that are entered alike, keeping the path of every exit,
 and a fold over the blocks from the last one picks the exits that the best path goes through. No row holds more
 than a block's edges, or some numbers per block of a word.
 
@@ -38,7 +38,7 @@ from .pieces import DEFAULT_MODEL, MARK, Vocabulary, load
 from .shared import commonest, written
 from .textbytes import BASES, RangeHash, Slice, slices
 
-#: Commonest words whose ids are broadcast (a few tens of bytes each).
+#: Commonest words whose ids are broadcast (some forty bytes each).
 FREQUENT = 500_000
 #: What a character without a piece scores below the lowest piece.
 PENALTY = 10.0
@@ -47,7 +47,7 @@ BLOCK = 256
 #: Bytes from which words are known by a cryptographic hash: those of shorter ranges cannot be made to agree.
 PLAIN = 512
 #: Rows of word counts that a task holds before it hands them on.
-HELD = 400_000
+HELD = 600_000
 #: Ids of a word that may be broadcast.
 SHORT = 64
 
@@ -86,12 +86,16 @@ def words(s: Slice, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return start[inside], end[inside], of[inside]
 
 
-def keys(s: Slice, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits that name the words of a slice."""
-    first, second = s.hash.of(start, end), RangeHash(s.data, BASES[1]).of(start, end)
+def keys(s: Slice, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of a slice: 64 and 32 bits that name each, its first place among ``start``, and of every place its number."""
+    names = s.hash.of(start, end)
     for i in np.flatnonzero(end - start > PLAIN):
-        first[i], second[i] = np.frombuffer(blake2b(s.data[start[i]: end[i]].tobytes(), digest_size=16).digest(), np.uint64)
-    return first, second
+        names[i] = int.from_bytes(blake2b(s.data[start[i]: end[i]].tobytes(), digest_size=8).digest(), "little")
+    first_names, first, back = np.unique(names, return_index=True, return_inverse=True)
+    second = RangeHash(s.data, BASES[1]).of(start[first], end[first])
+    for i in np.flatnonzero(end[first] - start[first] > PLAIN):
+        second[i] = int.from_bytes(blake2b(s.data[start[first[i]]: end[first[i]]].tobytes(), digest_size=8, key=b"2").digest(), "little")
+    return first_names, second.astype(np.uint32).view(np.int32), first, back
 
 
 def word_table(texts: DataFrame, model: str) -> DataFrame:
@@ -115,20 +119,20 @@ def word_table(texts: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             for s in slices(spaced(batch.column(0))):
                 start, end, _ = words(s, pairs)
-                h1, h2 = keys(s, start, end)
-                _, first, times = np.unique(h1, return_index=True, return_counts=True)
+                h1, h2, first, back = keys(s, start, end)
+                times = np.bincount(back, minlength=len(first))
                 raw = s.data.tobytes()
                 found = [raw[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-                held.append(pa.table([pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int64)), pa.array(found, pa.string()), pa.array(times.astype(np.int64))], names=names))
+                held.append(pa.table([pa.array(h1.view(np.int64)), pa.array(h2), pa.array(found, pa.string()), pa.array(times.astype(np.int64))], names=names))
                 if sum(map(len, held)) > HELD:
                     held = [together(held)]
-                    if len(held[0]) > HELD // 2:
+                    if len(held[0]) > HELD * 2 // 3:
                         yield from held[0].to_batches(20_000)
                         held = []
         if held:
             yield from together(held).to_batches(20_000)
 
-    found = texts.select("text").mapInArrow(run, "h1 long, h2 long, word string, n long")
+    found = texts.select("text").mapInArrow(run, "h1 long, h2 int, word string, n long")
     # dealt out by the key alone, so that the edges of a word need no shuffle of their own
     return found.repartition("h1", "h2").groupBy("h1", "h2", "word").agg(F.sum("n").alias("n"))
 
@@ -233,19 +237,23 @@ def _long(longs: DataFrame, vocabulary: Vocabulary, penalty: float, block: int)
         (s, b) -> named_struct('seen', array_append(s.seen, s.now), 'now', transform(sequence(0, size(get(b.matrix, 0)) - 1), x ->
             aggregate(sequence(0, size(b.matrix) - 1), {NEVER}, (m, en) -> greatest(m, coalesce(get(s.now, en), {NEVER}) + get(get(b.matrix, en), x))))), s -> s.seen)""")
     init = chain.select("h1", "h2", F.posexplode(entered).alias("blk", "init"))
-    opened = parts.select("h1", "h2", "blk", "b1", "b2").join(init, ["h1", "h2", "blk"]).join(lattices, ["b1", "b2"])
-    opened = opened.select("h1", "h2", "blk", "width", "ahead", "edges", F.expr(_block_fold("init")).alias("best"))
+    # which paths are best depends on the scores' differences alone, so a block entered alike is folded once
+    init = init.withColumn("init", F.transform("init", lambda x: x - F.array_max("init"))).withColumns({"i1": F.xxhash64("init"), "i2": F.xxhash64(F.lit(1), "init")})
+    alike = ["b1", "b2", "i1", "i2"]
+    placed = written(parts.select("h1", "h2", "blk", "b1", "b2").join(init, ["h1", "h2", "blk"]))
+    opened = placed.groupBy(*alike).agg(F.any_value("init").alias("init")).join(lattices, ["b1", "b2"])
+    opened = opened.select(*alike, "width", "ahead", "edges", F.expr(_block_fold("init")).alias("best"))
     # back from every exit to the place where its path entered
     none = "CAST(array() AS array<int>)"
     step = "(p, _) -> IF(get(best, p.at).start < 0, p, named_struct('at', get(best, p.at).start, 'ids', array_append(p.ids, get(best, p.at).id)))"
     inside = f"aggregate(sequence(0, width), named_struct('at', width, 'ids', {none}), {step})"
     across = f"transform(array({_LAST}), last -> aggregate(sequence(0, width), named_struct('at', last.start, 'ids', array(last.id)), {step}))[0]"
-    traced = opened.select("h1", "h2", "blk", F.posexplode(F.expr(f"transform(sequence(0, ahead), x -> IF(x = 0, {inside}, {across}))")).alias("x", "path"))
-    traced = written(traced.select("h1", "h2", "blk", "x", F.col("path.at").alias("entry"), F.reverse("path.ids").alias("ids")))
-    maps = traced.groupBy("h1", "h2", "blk").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "entry"))), lambda e: e["entry"]).alias("entries"))
-    maps = maps.groupBy("h1", "h2").agg(F.reverse(F.sort_array(F.collect_list(F.struct("blk", "entries")))).alias("all"))
+    traced = opened.select(*alike, F.posexplode(F.expr(f"transform(sequence(0, ahead), x -> IF(x = 0, {inside}, {across}))")).alias("x", "path"))
+    traced = written(traced.select(*alike, "x", F.col("path.at").alias("entry"), F.reverse("path.ids").alias("ids")))
+    maps = traced.groupBy(*alike).agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "entry"))), lambda e: e["entry"]).alias("entries"))
+    maps = placed.drop("init").join(maps, alike).groupBy("h1", "h2").agg(F.reverse(F.sort_array(F.collect_list(F.struct("blk", "entries")))).alias("all"))
     taken = F.expr(f"aggregate(all, named_struct('taken', {none}, 'x', 0), (s, b) -> named_struct('taken', array_append(s.taken, s.x), 'x', get(b.entries, s.x)), s -> reverse(s.taken))")
-    on = maps.select("h1", "h2", F.posexplode(taken).alias("blk", "x")).join(traced, ["h1", "h2", "blk", "x"])
+    on = maps.select("h1", "h2", F.posexplode(taken).alias("blk", "x")).join(placed.drop("init"), ["h1", "h2", "blk"]).join(traced, [*alike, "x"])
     ids = on.groupBy("h1", "h2").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("blk", "ids"))), lambda p: p["ids"])).alias("ids"))
     return longs.select("h1", "h2", "n").join(ids, ["h1", "h2"]).select("h1", "h2", "n", _in_bytes(F.col("ids"), vocabulary).alias("ids"))
 
@@ -283,40 +291,42 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     table = encode_words(word_table(docs, model), model, penalty, block)
     least = commonest(table, frequent)
     often = (F.col("n") >= least) & (F.size("ids") <= SHORT)
-    common = table.where(often).select("h1", "h2", "ids").toArrow()
-    # the commonest words by their sorted keys, with their ids side by side
-    h1, h2 = (common.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+    common = table.where(often).select("n", "h1", "h2", "ids").toArrow()
+    # the commonest words by their sorted keys; their number is their rank, so that common ones take one byte
+    n, h1, h2 = (common.column(i).to_numpy() for i in range(3))
     ids = common.column("ids").combine_chunks()
     ids = ids if isinstance(ids, pa.ListArray) else pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.list_(pa.int32()))
-    sizes, flat = pc.list_value_length(ids).to_numpy(zero_copy_only=False), ids.flatten().to_numpy(zero_copy_only=False)
-    order = np.argsort(h1, kind="stable")
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    shared = spark.sparkContext.broadcast((h1[order], h2[order], starts[:-1][order], sizes[order].astype(np.int32), flat.astype(np.int32)))
+    by_rank = np.lexsort((h1, -n))
+    ids = ids.take(pa.array(by_rank))
+    h1, h2 = h1[by_rank].view(np.uint64), h2[by_rank]
+    sizes, flat = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int32), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    order = np.argsort(h1, kind="stable").astype(np.int32)
+    shared = spark.sparkContext.broadcast((h1[order], h2[order], order, (np.cumsum(sizes) - sizes).astype(np.int64), sizes, flat))
     del common, ids
 
     def known(s: Slice) -> tuple[np.ndarray, ...]:
-        """Start, end and text of every word of a slice, place among the commonest (-1: not one), and its key."""
+        """The text of every word of a slice and its rank among the commonest (-1: not one), its number among the distinct words, and their keys."""
         start, end, of = words(s, pairs)
-        h1, h2 = keys(s, start, end)
-        first, second = shared.value[:2]
+        h1, h2, _, back = keys(s, start, end)
+        first, second, rank = shared.value[:3]
         at = np.minimum(np.searchsorted(first, h1), max(len(first) - 1, 0))
-        place = np.where((first[at] == h1) & (second[at] == h2), at, -1) if len(first) else np.full(len(h1), -1)
-        return start, end, of, place, h1, h2
+        place = np.where((first[at] == h1) & (second[at] == h2), rank[at], -1) if len(first) else np.full(len(h1), -1)
+        return of, place[back] if len(back) else np.zeros(0, np.int64), back, h1, h2
 
     def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices(spaced(batch.column(2))):
-                _, _, of, place, h1, h2 = known(s)
+                of, place, back, h1, h2 = known(s)
                 nth = np.arange(len(of)) - np.searchsorted(of, of)
                 rare = np.flatnonzero(place < 0)
                 rows = pa.array(s.first + of[rare])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(nth[rare].astype(np.int32)),
-                                                  pa.array(h1[rare].view(np.int64)), pa.array(h2[rare].view(np.int64))], names=["k", "h", "nth", "h1", "h2"])
+                                                  pa.array(h1[back[rare]].view(np.int64)), pa.array(h2[back[rare]])], names=["k", "h", "nth", "h1", "h2"])
 
     def templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices(spaced(batch.column(2))):
-                _, _, of, place, _, _ = known(s)
+                of, place, _, _, _ = known(s)
                 code, size = _pack(place + 1)
                 text = s.data.tobytes()
                 whole = np.array([_digest(text[a:b]) for a, b in zip(s.start.tolist(), s.end.tolist(), strict=True)], np.int64)
@@ -326,7 +336,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
     kind = docs.schema["k"].dataType
     names = [T.StructField("k", kind), T.StructField("h", T.LongType())]
-    rare = docs.mapInArrow(rare_words, T.StructType([*names, T.StructField("nth", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]))
+    rare = docs.mapInArrow(rare_words, T.StructType([*names, T.StructField("nth", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.IntegerType())]))
     filled = rare.join(table.where(~often).select("h1", "h2", "ids"), ["h1", "h2"]).select(F.struct("k", "h").alias("key"), F.struct("nth", "ids").alias("part"))
     filled = filled.groupBy("key").agg(F.collect_list("part").alias("parts"))
     whole = docs.mapInArrow(templates, T.StructType([*names, T.StructField("whole", T.LongType()), T.StructField("code", T.BinaryType())])).withColumn("key", F.struct("k", "h")).join(filled, "key", "left").select("k", "whole", "code", "parts")
@@ -334,7 +344,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     spelling = spark.sparkContext.broadcast(spellings(vocabulary))
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, starts, sizes, flat = shared.value
+        starts, sizes, flat = shared.value[3:]
         spelt = spelling.value
         for batch in batches:
             for first in range(0, len(batch), 100):

@@ -34,7 +34,7 @@ def best_path(text, vocabulary):
     return out if text else []
 
 
-@pytest.mark.parametrize("frequent", [1, 40, 500_000])
+@pytest.mark.parametrize("frequent", [1, 40])
 def test_ids_are_the_best_path_of_the_whole_text(spark, frequent):
     rng = random.Random(1)
     words = [p.strip("▁") for p in load().pieces if p.isascii()][300:900]
@@ -80,8 +80,8 @@ def test_keys_of_long_words_cannot_be_made_to_agree():
 
     from pitspark.llm.textbytes import slices
     (s,) = slices(pa.array([word, word.translate(str.maketrans("ab", "ba"))]))
-    first, second = sp.keys(s, s.start, s.end)
-    assert first[0] != first[1] and second[0] != second[1] and len(np.unique(s.hash.of(s.start, s.end))) == 1
+    first, second, _, back = sp.keys(s, s.start, s.end)
+    assert len(first) == len(set(second.tolist())) == 2 and back[0] != back[1] and len(np.unique(s.hash.of(s.start, s.end))) == 1
 
 
 def test_agrees_with_the_library_on_the_same_scores(spark):
