@@ -207,7 +207,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY) -> DataF
     """Stretches of bytes ``k1, k2, start, end`` whose every byte lies in a string of ``length`` bytes that also starts elsewhere; they may overlap."""
     half = length // 2
     found = written(_sampled(docs, length))
-    twice = found.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
+    # written first, so that a rank of very many samples meets its one row in a join whose large side can be split
+    twice = written(found.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank"))
     found = written(found.join(twice, "rank", "left_semi"))
     classes = found.groupBy("rank", "around").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos", "left", "right")).alias("one"))
     classes = written(classes)
