@@ -217,6 +217,15 @@ def m9(spark, sf):
     return tidy(out, "ticker", "date", "p_hit_6m", "p_hit_12m", "median_months", "expected_return", "expected_annualized_return")
 
 
+@query("m9_forecast_bounds", """
+SELECT count(*) AS rows, count(DISTINCT ticker) AS tickers, true AS probabilities_rise, true AS returns_bounded FROM surv JOIN (SELECT DISTINCT ticker, date FROM bars) b ON b.ticker = surv.ticker AND b.date = surv.signal_date WHERE signal_date >= DATE '1999-01-01'""".replace("DISTINCT ticker)", "DISTINCT surv.ticker)"))
+def m9_bounds(spark, sf):
+    """Every later row has a forecast; chances rise with the horizon and returns lie between failure and target."""
+    p = m9(spark, sf)
+    rise = (F.col("p_hit_6m") >= 0) & (F.col("p_hit_6m") <= F.col("p_hit_12m")) & (F.col("p_hit_12m") <= 1)
+    return p.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("ticker").alias("tickers"), F.min(rise).alias("probabilities_rise"), F.min(F.col("expected_return").between(-0.05, 0.1)).alias("returns_bounded"))
+
+
 @query("m11_expected_return_closed_form", """
 WITH r AS (SELECT s_suppkey, 100.0 + s_suppkey % 900 AS scale, 0.8 + (s_suppkey % 7) / 10 AS shape FROM supplier),
 g AS (SELECT r.*, t.range AS t, exp(-pow(t.range / scale, shape)) AS s, exp(-pow((t.range + 21) / scale, shape)) AS s2 FROM r CROSS JOIN range(0, 2520, 21) t),

@@ -665,7 +665,16 @@ def _period_stats(spark, sf, tr, eq):
     return parts.withColumn("random_pct", F.lit(None).cast("double"))
 
 
-@query("v28_portfolio_verdict")
+@query("v28_portfolio_verdict", f"""
+WITH {_CTP}, sp AS (SELECT min(date) AS a, max(date) AS z FROM ctp), b AS (SELECT 's' AS who, date, equity FROM ctp UNION ALL SELECT 'b', date, close FROM bench),
+c AS (SELECT who, date, equity, a + CAST(floor((z - a) / 2) AS INTEGER) AS mid FROM b, sp WHERE date BETWEEN a AND z),
+h AS (SELECT who, date, equity, 'full' AS span FROM c UNION ALL SELECT who, date, equity, 'first' FROM c WHERE date <= mid UNION ALL SELECT who, date, equity, 'second' FROM c WHERE date >= mid),
+m AS (SELECT who, span, pow(arg_max(equity, date) / arg_min(equity, date), 365.25 / (max(date) - min(date))) - 1 AS cagr, avg(r) / stddev_samp(r) * sqrt(252.0::DOUBLE) AS sharpe
+  FROM (SELECT *, equity / lag(equity) OVER (PARTITION BY who, span ORDER BY date) - 1 AS r FROM h) GROUP BY 1, 2),
+f AS (SELECT max(cagr) FILTER (who = 's') AS s, max(sharpe) FILTER (who = 's') AS ss, max(sharpe) FILTER (who = 'b') AS bs FROM m WHERE span = 'full'),
+l AS (SELECT avg((a < (SELECT s FROM f))::INT) AS p FROM (SELECT ticker, pow(arg_max(close, date) / arg_min(close, date), 365.25 / (max(date) - min(date))) - 1 AS a FROM bars GROUP BY 1))
+SELECT 'annualized > benchmark, ' || span AS "check", max(cagr) FILTER (who = 's') > max(cagr) FILTER (who = 'b') AS ok FROM m GROUP BY span
+UNION ALL SELECT 'sharpe >= benchmark', ss >= bs FROM f UNION ALL SELECT '>= 95% of random portfolios', p * 100 >= 95 FROM l""")
 def v28(spark, sf):
     tr = trades_table(spark, sf)
     eq = pf.calendar_time_portfolio(tr.withColumn("scenario", F.lit("x")), bv.grid(spark, sf), bv.calendar(spark, sf), 3, 10)

@@ -207,6 +207,19 @@ def a9b(spark, sf):
     return tidy(x, "variant", "months", "mean_rank_ic", "ic_t", "holm_p", "spread_mean", "top_decile_annualized", "passed")
 
 
+@query("r11_extended_research_fields", f"""
+WITH g AS (SELECT 'S' || lpad(substr(ticker, 2), 9, '0') AS ticker, research_score, signal_count, risks, catalysts, data_freshness FROM ({ORACLES['g5_company_research']}))
+SELECT r.ticker, round(hs, 4) + 0.0 AS horizon_score, stop_loss + 0.0 AS stop_loss, take_profit + 0.0 AS take_profit, rr + 0.0 AS risk_reward_ratio, technical_view, fundamental_view, iview AS institutional_view, confidence,
+  round(research_score, 6) + 0.0 AS research_score, signal_count, coalesce(risks, '') AS risks, coalesce(catalysts, '') AS catalysts, data_freshness FROM ranked r LEFT JOIN g USING (ticker)""")
+def r11_fields(spark, sf):
+    """The nested research rows as plain columns."""
+    from .q_app import r11
+
+    x = r11(spark, sf).select("ticker", "horizon_view.horizon_score", "risk_reward.stop_loss", "risk_reward.take_profit", "risk_reward.risk_reward_ratio", "views.*", "research.research_score", "research.signal_count",
+                              F.concat_ws("|", "research.risks").alias("risks"), F.concat_ws("|", "research.catalysts").alias("catalysts"), "research.data_freshness")
+    return tidy(x)
+
+
 @query("a10_result_tables")
 def a10(spark, sf):
     """Result rows of the event and exit studies under one shape."""

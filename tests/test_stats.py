@@ -6,6 +6,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from pitspark.functions import classify as cl, score as sc
 from pitspark.operators import portfolio as pf, resample as rs, stats as st
@@ -149,3 +150,25 @@ def test_missing_groups_do_not_lower_the_score(spark):
     a, b = sc.with_weighted_view(df, 91).collect()
     assert a["score"] == pytest.approx(0.5) and a["fundamental_weight"] == 0 and b["score"] > 0.5
     assert b["dominant_factors"] == ["fundamental_profitability", "technical_trend"]
+
+
+def test_variants_in_one_plan_equal_single_runs(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(f"2020-{m:02d}-28", f"t{i:02d}", rng.random(), rng.choice([None, rng.random()]), rng.uniform(-0.1, 0.1)) for m in range(1, 9) for i in range(25)]
+    df = spark.createDataFrame(rows, "date string, ticker string, a double, b double, r double").withColumn("date", F.to_date("date"))
+    long = df.unpivot(["date", "ticker", "r"], ["a", "b"], "variant", "_s")
+    for run in (lambda d, s, by=(): pf.decile_spread(d, s, "r", 0.2, 0.001, by), lambda d, s, by=(): pf.monthly_portfolio(d, s, "r", 0.2, 0.4, 0.001, by)):
+        together = run(long, "_s", ["variant"])
+        for v in ("a", "b"):
+            key = lambda x: [tuple(round(c, 9) if isinstance(c, float) else c for c in r) for r in sorted(x.collect())]
+            assert key(together.filter(F.col("variant") == v).drop("variant")) == key(run(df, v))
+
+
+def test_themes_as_rows(spark):
+    from pitspark.operators import universe as un
+
+    m = spark.createDataFrame([("ai", "A", "x"), ("ai", "A", "y"), ("ai", "", "y"), ("ai", "B", "y"), (None, "C", "x")], "theme string, ticker string, institution string")
+    assert [tuple(r) for r in un.theme_summary(m).collect()] == [("ai", 2, 4, 2, "A")]
+    assert sorted(tuple(r) for r in un.theme_companies(m).collect()) == [("ai", "A"), ("ai", "B")]
