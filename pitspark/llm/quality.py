@@ -24,6 +24,8 @@ THRESHOLD = 0.5
 MAX_ROWS = 4_000
 BUCKETS = 1 << 16
 SCALE = 30.0
+#: Features that a step of the fit works on at once.
+PART = 1 << 19
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -113,9 +115,9 @@ def _sparse(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             n = np.bincount(text, minlength=s.count)
             key, times = np.unique(text * (3 * BUCKETS) + bucket, return_counts=True)
             row = key // (3 * BUCKETS)
-            rows.append(row + base)
-            buckets.append(key % (3 * BUCKETS))
-            values.append(SCALE * times / n[row])
+            rows.append((row + base).astype(np.int32))
+            buckets.append((key % (3 * BUCKETS)).astype(np.int32))
+            values.append((SCALE * times / n[row]).astype(np.float32))
         base += s.count
     return np.concatenate(rows), np.concatenate(buckets), np.concatenate(values)
 
@@ -136,15 +138,20 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 60, rate: float = 0.
         held = np.zeros(len(y), bool)
     share = np.where(held, 0.0, np.where(y > 0, 0.5 / max(1, (y[~held] > 0).sum()), 0.5 / max(1, (y[~held] <= 0).sum())))
     m, v, mb, vb = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0
+    # a part of the features at a time, so that what a step makes anew stays small beside them
+    parts = [slice(i, i + PART) for i in range(0, len(row), PART)]
+
+    def margins() -> np.ndarray:
+        return sum((np.bincount(row[p], value[p] * weights[bucket[p]], minlength=len(y)) for p in parts), np.zeros(len(y))) + bias
+
     for step in range(1, epochs + 1):
-        z = np.bincount(row, value * weights[bucket], minlength=len(y)) + bias
-        gap = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * share
-        slope = np.bincount(bucket, value * gap[row], minlength=len(weights)) + decay * weights
+        gap = (1 / (1 + np.exp(-np.clip(margins(), -50, 50))) - y) * share
+        slope = sum((np.bincount(bucket[p], value[p] * gap[row[p]], minlength=len(weights)) for p in parts), decay * weights)
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         mb, vb = 0.9 * mb + 0.1 * gap.sum(), 0.99 * vb + 0.01 * gap.sum() ** 2
         weights -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
         bias -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-10)
-    z = np.bincount(row, value * weights[bucket], minlength=len(y)) + bias
+    z = margins()
     return QualityModel(weights, bias, *_platt(z[held] if held.any() else z, y[held] if held.any() else y))
 
 
