@@ -39,7 +39,7 @@ from .shared import commonest, written
 from .textbytes import BASES, RangeHash, Slice, slices
 
 #: Commonest words whose ids are broadcast (some forty bytes each).
-FREQUENT = 500_000
+FREQUENT = 600_000
 #: What a character without a piece scores below the lowest piece.
 PENALTY = 10.0
 #: Characters of a word that are folded at once.
@@ -151,16 +151,16 @@ def _edges(parts: DataFrame, names: list[str], text: str, width: Column, vocabul
     """``names, edges``: the lattice over the first ``width`` characters of ``text``, ordered by end and start; edges may end behind them.
 
     ``names`` are unique and ``parts`` is dealt out by the first two of them. A character without a piece has the
-    number -1 less its code point.
+    number -1 less its code point. Where ``width`` is null there are no edges.
     """
     lowest, longest = float(vocabulary.scores.min() - penalty), vocabulary.longest
     pieces = F.broadcast(piece_table(parts.sparkSession, vocabulary))
-    starts = parts.select(*names, F.col(text).alias("_text"), F.length(text).alias("_size"), F.explode(F.sequence(F.lit(0), width - 1)).alias("start"))
-    ends = F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + longest, F.col("_size"))))
+    starts = parts.select(*names, F.col(text).alias("_text"), F.length(text).alias("_size"), F.explode_outer(F.sequence(F.lit(0), width - 1)).alias("start"))
+    ends = F.explode_outer(F.sequence(F.col("start") + 1, F.least(F.col("start") + longest, F.col("_size"))))
     cut = starts.select(*names, "_text", "start", ends.alias("end")).select(*names, "start", "end", F.substring("_text", F.col("start") + 1, F.col("end") - F.col("start")).alias("piece"))
-    edges = cut.join(pieces, "piece", "left").where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
+    edges = cut.join(pieces, "piece", "left").where(F.col("id").isNotNull() | F.col("start").isNull() | (F.col("end") == F.col("start") + 1))
     edge = F.struct("end", "start", F.coalesce("score", F.lit(lowest)).alias("score"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"))
-    return edges.select(*names, edge.alias("edge")).groupBy(*names).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    return edges.select(*names, F.when(F.col("start").isNotNull(), edge).alias("edge")).groupBy(*names).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
 def _in_bytes(ids: Column, vocabulary: Vocabulary) -> Column:
@@ -179,9 +179,14 @@ def _in_bytes(ids: Column, vocabulary: Vocabulary) -> Column:
     return F.when(F.exists(ids, lambda x: x < 0), in_bytes).otherwise(ids)
 
 
-def _short(parts: DataFrame, vocabulary: Vocabulary, penalty: float) -> DataFrame:
-    """``h1, h2, n, ids`` of words of at most a block."""
-    grouped = _edges(parts, ["h1", "h2", "n"], "word", F.length("word"), vocabulary, penalty)
+def _short(parts: DataFrame, vocabulary: Vocabulary, penalty: float, block: int) -> DataFrame:
+    """``h1, h2, n, ids, word``: the ids of words of at most a block, or the text of a longer word.
+
+    Both come from one pass; a filter for either would reach below the count of words and run it twice.
+    """
+    fits = F.length("word") <= block
+    parts = parts.withColumn("long", F.when(~fits, F.col("word")))
+    grouped = _edges(parts, ["h1", "h2", "n", "long"], "word", F.when(fits, F.length("word")), vocabulary, penalty)
     better = "e.score + get(s.done, e.start).score"
     folded = F.expr(f"""aggregate(edges,
         named_struct('done', CAST(array() AS array<{NODE}>), 'at', 0, 'now', {EDGE.format(score='0D', start='-1', id='0')}),
@@ -192,7 +197,8 @@ def _short(parts: DataFrame, vocabulary: Vocabulary, penalty: float) -> DataFram
         s -> array_append(s.done, s.now))""")
     path = F.expr("""aggregate(sequence(1, size(best)), named_struct('at', size(best) - 1, 'ids', CAST(array() AS array<int>)),
         (p, _) -> IF(p.at <= 0, p, named_struct('at', get(best, p.at).start, 'ids', array_append(p.ids, get(best, p.at).id))), p -> reverse(p.ids))""")
-    return grouped.select("h1", "h2", "n", folded.alias("best")).select("h1", "h2", "n", _in_bytes(path, vocabulary).alias("ids"))
+    found = grouped.select("h1", "h2", "n", "long", folded.alias("best")).select("h1", "h2", "n", "long", path.alias("ids"))
+    return found.select("h1", "h2", "n", F.when(F.col("long").isNull(), _in_bytes(F.col("ids"), vocabulary)).alias("ids"), F.col("long").alias("word"))
 
 
 def _block_fold(init: str) -> str:
@@ -262,16 +268,17 @@ def encode_words(table: DataFrame, model: str = DEFAULT_MODEL, penalty: float =
     """``h1, h2, n, ids`` of a table of distinct words (``h1, h2, word, n``, dealt out by its key), written."""
     vocabulary = load(model)
     spark = table.sparkSession
-    fits = F.length("word") <= block
-    longs = table.where(~fits).select("h1", "h2", "n", F.lit(None).cast("array<int>").alias("ids"), "word")
-    # grouped by sorting: edges of a word stand together, and a hash table of lists would be sorted and spilled twice
-    name = "spark.sql.execution.useObjectHashAggregateExec"
-    before = spark.conf.get(name, "true")
-    spark.conf.set(name, "false")
+    # grouped by sorting: edges of a word stand together, and a hash table of lists would be sorted and spilled twice;
+    # the shuffled words are not needed once the table is written
+    settings = {"spark.sql.execution.useObjectHashAggregateExec": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
-        found = written(_short(table.where(fits), vocabulary, penalty).withColumn("word", F.lit(None).cast("string")).union(longs))
+        found = written(_short(table, vocabulary, penalty, block))
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     short = found.where("word IS NULL").drop("word")
     longs = found.where("word IS NOT NULL").drop("ids")
     if not longs.limit(1).count():
@@ -341,19 +348,25 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     filled = filled.groupBy("key").agg(F.collect_list("part").alias("parts"))
     whole = docs.mapInArrow(templates, T.StructType([*names, T.StructField("whole", T.LongType()), T.StructField("code", T.BinaryType())])).withColumn("key", F.struct("k", "h")).join(filled, "key", "left").select("k", "whole", "code", "parts")
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_pieces", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())])
-    spelling = spark.sparkContext.broadcast(spellings(vocabulary))
+    spelt = spellings(vocabulary)
+    lengths = np.array([len(b) for b in spelt], np.int64)
+    spelling = spark.sparkContext.broadcast((np.frombuffer(b"".join(spelt), np.uint8), np.cumsum(lengths) - lengths, lengths))
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, sizes, flat = shared.value[3:]
-        spelt = spelling.value
+        flat_bytes, byte_at, byte_n = spelling.value
         for batch in batches:
             for first in range(0, len(batch), 100):
                 part = batch.slice(first, 100)
                 rows = [_ids(code.as_py(), *rare, starts, sizes, flat) for code, rare in zip(part.column(2), _rare_parts(part.column(3)), strict=True)]
                 n = np.array([len(r) for r in rows], np.int64)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
-                again = np.array([_digest(spell(r, spelt)) for r in rows], np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows).astype(np.int32))), pa.array(again == part.column(1).to_numpy())], names=schema.names)
+                ids = np.concatenate(rows).astype(np.int32)
+                size = byte_n[ids]
+                spelt = flat_bytes[np.repeat(byte_at[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes()
+                ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(n)))].tolist()
+                again = np.array([_digest(spelt[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(again == part.column(1).to_numpy())], names=schema.names)
 
     return whole.mapInArrow(put_together, schema)
 
