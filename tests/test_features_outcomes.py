@@ -157,6 +157,12 @@ def test_quality_flags(spark):
     assert (day(31), "VALID_EXTREME_MARKET_MOVE:returns") in flags
 
 
+def test_a_close_of_zero_does_not_stop_the_quality_flags(spark):
+    rows = [("A", day(i), 10.0, 0.0, 0.0 if i in (22, 23) else 9.5, 100.0) for i in range(26)]
+    b = spark.createDataFrame(rows, "ticker string, date date, high double, low double, close double, volume double")
+    assert {(r["date"], r["flag"]) for r in ft.ohlcv_flags(b).collect()} == {(day(i), "SUSPICIOUS_DATA:returns") for i in (22, 23, 24)}
+
+
 # --- first touch against a walk bar by bar ---------------------------------------------------------------
 
 def random_grid(seed, tickers=4, n=90):
