@@ -180,3 +180,21 @@ def test_importances_are_those_of_the_registered_model(spark, sf, monkeypatch):
     assert [tuple(r) for r in qm.m14(spark, where).collect()] == [("b", 0.75), ("a", 0.25)]
     assert [r["score_ml"] for r in qm.m2(spark, where).collect()] == [0.5]
     assert fits == [{}]
+
+
+def test_cut_tables_show_the_planner_their_size(spark):
+    from pitspark.session import cut_lineage
+
+    few = cut_lineage(spark.range(10 ** 7).filter("id < 3"))
+    assert few.count() == 3 and few._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10 ** 6
+
+
+def test_rows_of_a_fold_and_contrasts_do_not_move(spark):
+    from pitspark.session import cut_lineage
+
+    x = cut_lineage(spark.range(2000).selectExpr("date_add(date'2020-01-01', int(id % 20)) AS date", "concat('T', id) AS ticker", "rand(1) AS f", "(id % 100) / 100D AS target_rank"))
+    folds = cut_lineage(mo.walk_forward_splits(x, 5, 3, 1))
+    train, test = mo._parts(x, folds, 0, "target_rank")
+    for df in (train, test, mo.grade_contrasts(train, ["f"])):
+        df.count()
+        assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
