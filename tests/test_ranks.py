@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from pitspark.operators import ranks, xsection
 
@@ -67,3 +68,11 @@ def test_forbidden_features_are_refused():
     with pytest.raises(ValueError):
         xsection.check_features(["momentum_12_1", "fwd_return"])
     assert xsection.check_features(["roe"]) == ["roe"] and len(xsection.FEATURES) == 28
+
+
+def test_range_of_a_key_by_halving(spark):
+    for n in (0, 1, 5, 511, 700):
+        points = [2 * i for i in range(n)]
+        df = spark.range(-1, 2 * n + 2).select("id", F.array(*[F.lit(p) for p in points]).cast("array<bigint>").alias("c"))
+        got = {r["id"]: r["at"] for r in df.select("id", ranks._below(F.col("c"), F.col("id"), 512).alias("at")).collect()}
+        assert got == {k: sum(p < k for p in points) for k in got}
