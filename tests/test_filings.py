@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from pitspark.operators import facts as fx, holdings as hd, insider as ins, rules as ru, sinks as sk, universe as un
 
@@ -131,3 +132,10 @@ def test_candidate_pick_prefers_the_composite(spark):
     got = {r["identifier"]: (r["ticker"], r["exch_code"], r["confidence"]) for r in un.pick_candidate(c).collect()}
     assert got == {"i": ("BRK-B", "US", "high"), "j": ("x", "LN", "best_effort")}
     assert [r["identifier"] for r in un.pick_candidate(c, us_only=True).collect()] == ["i"]
+
+
+def test_fall_halfway_between_two_roundings(spark):
+    from pitspark.plans.q_filings import _fall
+
+    got = spark.createDataFrame([(408.65, 640.0), (640.0, 640.0), (None, 1.0)], "c double, h double").select(F.round(_fall(F.col("c"), F.col("h")), 8).alias("d")).collect()
+    assert [r["d"] for r in got] == [0.36148438, 0.0, None]
