@@ -339,13 +339,15 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
                 whole = np.array([_digest(text[a:b]) for a, b in zip(s.start.tolist(), s.end.tolist(), strict=True)], np.int64)
                 ends = np.cumsum(np.bincount(of, size, minlength=s.count).astype(np.int64))
                 raw = code.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.count), batch.column(1).slice(s.first, s.count), pa.array(whole), pa.array([raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], pa.binary())], names=["k", "h", "whole", "code"])
+                codes = [_squeezed(raw[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.count), batch.column(1).slice(s.first, s.count), pa.array(whole), pa.array(codes, pa.binary())], names=["k", "h", "whole", "code"])
 
     kind = docs.schema["k"].dataType
     names = [T.StructField("k", kind), T.StructField("h", T.LongType())]
     rare = docs.mapInArrow(rare_words, T.StructType([*names, T.StructField("nth", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.IntegerType())]))
-    filled = rare.join(table.where(~often).select("h1", "h2", "ids"), ["h1", "h2"]).select(F.struct("k", "h").alias("key"), F.struct("nth", "ids").alias("part"))
-    filled = filled.groupBy("key").agg(F.collect_list("part").alias("parts"))
+    filled = rare.join(table.where(~often).select("h1", "h2", "ids"), ["h1", "h2"]).select("k", "h", "nth", "ids")
+    # dealt out before they are put into lists: a list per task would have one entry as a rule and cost more than the entry
+    filled = filled.repartition(F.struct("k", "h")).groupBy(F.struct("k", "h").alias("key")).agg(F.collect_list(F.struct("nth", "ids")).alias("parts"))
     whole = docs.mapInArrow(templates, T.StructType([*names, T.StructField("whole", T.LongType()), T.StructField("code", T.BinaryType())])).withColumn("key", F.struct("k", "h")).join(filled, "key", "left").select("k", "whole", "code", "parts")
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_pieces", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())])
     spelt = spellings(vocabulary)
@@ -358,7 +360,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
         for batch in batches:
             for first in range(0, len(batch), 100):
                 part = batch.slice(first, 100)
-                rows = [_ids(code.as_py(), *rare, starts, sizes, flat) for code, rare in zip(part.column(2), _rare_parts(part.column(3)), strict=True)]
+                rows = [_ids(_expanded(code.as_py()), *rare, starts, sizes, flat) for code, rare in zip(part.column(2), _rare_parts(part.column(3)), strict=True)]
                 n = np.array([len(r) for r in rows], np.int64)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
                 ids = np.concatenate(rows).astype(np.int32)
@@ -410,6 +412,15 @@ def _unpack(code: bytes) -> np.ndarray:
     return out
 
 
+def _squeezed(code: bytes) -> bytes:
+    """A template for the shuffle, whose own compression does not weigh bytes by how often they occur."""
+    return len(code).to_bytes(4, "little") + pa.compress(code, codec="zstd", asbytes=True) if code else b""
+
+
+def _expanded(squeezed: bytes) -> bytes:
+    return pa.decompress(squeezed[4:], int.from_bytes(squeezed[:4], "little"), codec="zstd", asbytes=True) if squeezed else b""
+
+
 def _ids(code: bytes, nth: np.ndarray, size: np.ndarray, rare: np.ndarray, starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """The ids of a text from its template and its rare words."""
     place = _unpack(code) - 1

@@ -120,3 +120,12 @@ def test_packing():
     numbers = np.array([0, 1, 127, 128, 16_383, 16_384, 2_097_151, 2_097_152, (1 << 28) - 1] * 3)
     code, size = sp._pack(numbers)
     assert sp._unpack(code.tobytes()).tolist() == numbers.tolist() and size.sum() == len(code)
+
+
+def test_templates_are_smaller_in_the_shuffle():
+    import numpy as np
+    rng = random.Random(5)
+    codes = [sp._pack(np.array([int(rng.paretovariate(0.6)) % (1 << 20) for _ in range(n)], np.int64))[0].tobytes() for n in (0, 1, 2, 400, 5000)]
+    squeezed = [sp._squeezed(c) for c in codes]
+    assert [sp._expanded(c) for c in squeezed] == codes
+    assert len(squeezed[-1]) < 0.95 * len(codes[-1])
