@@ -1,8 +1,9 @@
 """Quality rules: exact counts per text, and a logistic regression over hashed word and character n-grams.
 
-The regression is fitted with numpy on a bounded sample of labelled rows (``max_rows``), its margin is
+The regression is fitted on a bounded sample of labelled rows (``max_rows``): their features are written once, every
+step sums the slope over them in Spark, and the driver holds the weights alone. Its margin is
 turned into a probability on rows held back from the fit, and all texts are scored in Arrow batches
-against a fixed threshold. Texts stay where they are read; nothing is shuffled but the labels of the sample.
+against a fixed threshold. Texts stay where they are read; nothing is shuffled but the labels of the sample and the parts of a slope.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .fitting import Slices
+from .shared import written
 from .textbytes import BASES, SPACE, Slice, mix, slices
 
 #: Probability of label 1 from which a document is kept.
@@ -24,8 +27,6 @@ THRESHOLD = 0.5
 MAX_ROWS = 4_000
 BUCKETS = 1 << 16
 SCALE = 30.0
-#: Features that a step of the fit works on at once.
-PART = 1 << 19
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -107,52 +108,93 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(s) + self.shift, -50, 50)))
 
 
-def _sparse(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, bucket and averaged value of every non-zero feature."""
-    rows, buckets, values, base = [], [], [], 0
-    for s in slices(pa.array(texts, pa.large_string())):
-        for bucket, text in grams(s):
-            n = np.bincount(text, minlength=s.count)
-            key, times = np.unique(text * (3 * BUCKETS) + bucket, return_counts=True)
-            row = key // (3 * BUCKETS)
-            rows.append((row + base).astype(np.int32))
-            buckets.append((key % (3 * BUCKETS)).astype(np.int32))
-            values.append((SCALE * times / n[row]).astype(np.float32))
-        base += s.count
-    return np.concatenate(rows), np.concatenate(buckets), np.concatenate(values)
+#: Cells of a slice of the training set: a text's label and whether it is held back; text, bucket and averaged value of every feature.
+CELLS = ["label", "held", "row", "bucket", "value"]
+
+
+def _sparse(s: Slice, labels: np.ndarray, held: np.ndarray) -> tuple[bytes, ...]:
+    rows, buckets, values = [], [], []
+    for bucket, text in grams(s):
+        n = np.bincount(text, minlength=s.count)
+        key, times = np.unique(text * (3 * BUCKETS) + bucket, return_counts=True)
+        row = key // (3 * BUCKETS)
+        rows.append(row.astype(np.int32))
+        buckets.append((key % (3 * BUCKETS)).astype(np.int32))
+        values.append((SCALE * times / n[row]).astype(np.float32))
+    return tuple(x.tobytes() for x in (labels.astype(np.int8), held.astype(bool), np.concatenate(rows), np.concatenate(buckets), np.concatenate(values)))
+
+
+def _read(label: bytes, held: bytes, row: bytes, bucket: bytes, value: bytes) -> tuple[np.ndarray, ...]:
+    return tuple(np.frombuffer(x, t) for x, t in ((label, np.int8), (held, bool), (row, np.int32), (bucket, np.int32), (value, np.float32)))
+
+
+def _tally(_):
+    """Rows by label and whether they are held back."""
+    def one(*cells: bytes) -> np.ndarray:
+        y, held = _read(*cells)[:2]
+        return np.bincount((y > 0) + 2 * held, minlength=4).astype(float)
+    return one
+
+
+def _slope(state):
+    """The slope of the loss: by weight, by bias."""
+    weights, bias, share, hold = state
+
+    def one(*cells: bytes) -> np.ndarray:
+        y, held, row, bucket, value = _read(*cells)
+        z = np.bincount(row, value * weights[bucket], minlength=len(y)) + bias
+        gap = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - (y > 0)) * share[(y > 0).astype(int)]
+        gap[held & hold] = 0
+        return np.append(np.bincount(bucket, value * gap[row], minlength=len(weights)), gap.sum())
+    return one
+
+
+def _margins(state):
+    weights, bias = state
+
+    def one(*cells: bytes) -> tuple[bytes, ...]:
+        y, held, row, bucket, value = _read(*cells)
+        return (np.bincount(row, value * weights[bucket], minlength=len(y)) + bias).tobytes(), cells[0], cells[1]
+    return one
 
 
 def fit(texts: list[str], labels: np.ndarray, epochs: int = 60, rate: float = 0.05, decay: float = 1e-6) -> QualityModel:
-    """Full-batch Adam on four fifths of the rows, then Platt's scaling on the rest.
+    """The model of a list of texts; one row in five is held back for the calibration."""
+    y, parts = np.asarray(labels, np.float64), []
+    for s in slices(pa.array(texts, pa.large_string())):
+        at = np.arange(s.first, s.first + s.count)
+        parts.append(_sparse(s, y[at] > 0, at % 5 == 4))
+    return fit_slices(Slices(parts), epochs, rate, decay)
+
+
+def fit_slices(rows: Slices, epochs: int = 60, rate: float = 0.05, decay: float = 1e-6) -> QualityModel:
+    """Full-batch Adam on the rows that are not held back, then Platt's scaling on those that are.
 
     Without rows of both labels nothing can be learnt, and the model gives every text the share of label 1
     (1 without any row).
     """
-    y = np.asarray(labels, np.float64)
     weights, bias = np.zeros(3 * BUCKETS), 0.0
-    if len(np.unique(y)) < 2:
-        return QualityModel(weights, 0.0, 1.0, 50.0 if not len(y) or y[0] else -50.0)
-    row, bucket, value = _sparse(texts)
-    held = np.arange(len(y)) % 5 == 4
-    if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
-        held = np.zeros(len(y), bool)
-    share = np.where(held, 0.0, np.where(y > 0, 0.5 / max(1, (y[~held] > 0).sum()), 0.5 / max(1, (y[~held] <= 0).sum())))
+    n = rows.total(_tally, None, 4)
+    bad, good = n[0] + n[2], n[1] + n[3]
+    if not (bad and good):
+        return QualityModel(weights, 0.0, 1.0, -50.0 if bad else 50.0)
+    hold = bool(n.all())
+    share = np.array([0.5 / n[0], 0.5 / n[1]]) if hold else np.array([0.5 / bad, 0.5 / good])
     m, v, mb, vb = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0
-    # a part of the features at a time, so that what a step makes anew stays small beside them
-    parts = [slice(i, i + PART) for i in range(0, len(row), PART)]
-
-    def margins() -> np.ndarray:
-        return sum((np.bincount(row[p], value[p] * weights[bucket[p]], minlength=len(y)) for p in parts), np.zeros(len(y))) + bias
-
     for step in range(1, epochs + 1):
-        gap = (1 / (1 + np.exp(-np.clip(margins(), -50, 50))) - y) * share
-        slope = sum((np.bincount(bucket[p], value[p] * gap[row[p]], minlength=len(weights)) for p in parts), decay * weights)
+        slope = rows.total(_slope, (weights, bias, share, hold), len(weights) + 1)
+        slope, bias_slope = slope[:-1] + decay * weights, slope[-1]
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
-        mb, vb = 0.9 * mb + 0.1 * gap.sum(), 0.99 * vb + 0.01 * gap.sum() ** 2
-        weights -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
+        mb, vb = 0.9 * mb + 0.1 * bias_slope, 0.99 * vb + 0.01 * bias_slope**2
+        weights = weights - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
         bias -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-10)
-    z = margins()
-    return QualityModel(weights, bias, *_platt(z[held] if held.any() else z, y[held] if held.any() else y))
+    # a number a row, and the rows are bounded
+    found = rows.map(_margins, (weights, bias), ["z", "label", "held"]).rows
+    found = found if isinstance(found, list) else [tuple(r) for r in found.collect()]
+    z, y, held = (np.frombuffer(b"".join(bytes(r[i]) for r in found), t) for i, t in enumerate((np.float64, np.int8, bool)))
+    order = np.lexsort((y, z))  # the slices come in any order
+    order = order[held[order]] if hold else order
+    return QualityModel(weights, bias, *_platt(z[order], y[order].astype(np.float64)))
 
 
 def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -169,12 +211,23 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """Fit on at most ``max_rows`` labelled documents, those with the smallest hash of their id; rows without label or text are left out."""
+    """Fit on at most ``max_rows`` labelled documents, those with the smallest hash of their id; rows without label or text are left out.
+
+    The features stay in the executors; the driver holds one number a feature. Of repeated ids every row is used.
+    """
     wanted = labels.where("quality IS NOT NULL").select(F.col(id_col), F.col("quality").cast("int").alias("quality"))
     wanted = wanted.withColumn("_h", F.xxhash64(F.col(id_col))).orderBy("_h", id_col, "quality").limit(max_rows)
-    rows = documents.select(id_col, F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(wanted), id_col).toPandas()
-    rows = rows.sort_values(["_h", id_col, "quality", "text"], kind="stable").head(max_rows)
-    return fit(rows["text"].tolist(), rows["quality"].to_numpy())
+    rows = documents.select(id_col, F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(wanted), id_col)
+    rows = rows.select("text", "quality", (F.pmod(F.xxhash64(F.col(id_col), F.lit("held")), F.lit(5)) == 4).alias("held"))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, held = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            for s in slices(batch.column(0)):
+                at = slice(s.first, s.first + s.count)
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in _sparse(s, y[at] > 0, held[at])], names=CELLS)
+
+    return fit_slices(Slices(written(rows.mapInArrow(features, ", ".join(f"{c} binary" for c in CELLS)))))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

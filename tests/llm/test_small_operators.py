@@ -319,3 +319,12 @@ def test_schedule_is_even_at_every_moment(spark):
         seen[r["key"]] += 1
         assert all(abs(seen[k] - i * share[k] / n) < 8 for k in share)
     assert max(share.values()) / min(share.values()) == pytest.approx(3, rel=0.05)
+
+
+def test_fits_leave_their_rows_in_the_executors(spark, sf, monkeypatch):
+    """No row of a training set comes to the driver, and where the slices stand does not matter."""
+    documents, labels = labelled(spark, sf.replace("sf0.001", "sf0.01"))
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toPandas", lambda self: pytest.fail("a table was taken to the driver"))
+    one, other = (quality.train(d, labels, max_rows=150) for d in (documents, documents.repartition(7)))
+    assert np.abs(one.weights - other.weights).max() < 1e-6 and one.slope == pytest.approx(other.slope)
+    assert one.weights.any()
