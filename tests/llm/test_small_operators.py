@@ -328,3 +328,31 @@ def test_fits_leave_their_rows_in_the_executors(spark, sf, monkeypatch):
     one, other = (quality.train(d, labels, max_rows=150) for d in (documents, documents.repartition(7)))
     assert np.abs(one.weights - other.weights).max() < 1e-6 and one.slope == pytest.approx(other.slope)
     assert one.weights.any()
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Every row that may be learnt from is in the fit, and a word that a few of many toxic rows hold is learnt."""
+    rows = [(i, f"good day number {i % 97} of a year", "en", 0) for i in range(9000)] + [(i, f"you brute {i % 89}", "en", 1) for i in range(9000, 13000)]
+    few = [(20000 + i, f"zorble {i}", "de", 1) for i in range(400)]
+    rows = [r for r in rows + few if zlib.crc32(str(r[0]).encode()) % 5]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    taken, values = [], toxicity.fit_slices
+    toxicity.fit_slices = lambda parts: (taken.append(parts.total(toxicity._tally, None, 4, 1.0).sum()), values(parts))[1]
+    try:
+        model = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic"))
+    finally:
+        toxicity.fit_slices = values
+    assert taken == [len(rows)]
+    new = spark.createDataFrame([(1, "zorble", "en"), (2, "good day", "en"), (3, "brute", "en")], "doc_id long, text string, lang string")
+    assert [r["predicted"] for r in toxicity.score(new, model).orderBy("doc_id").collect()] == [1, 0, 1]
+
+
+def test_thresholds_are_the_best_of_all_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(["en", "de", "fr", None][i % 4], float(p), int(rng.random() < p) if i % 4 != 2 else 0) for i, p in enumerate(np.round(rng.random(2000), 2) + 0.00005)]
+    got = toxicity.best_thresholds(spark.createDataFrame(rows, "lang string, score double, toxic int"))
+    assert set(got) == {"en", "de"}
+    for lang, at in got.items():
+        p, y = np.array([r[1] for r in rows if r[0] == lang]), np.array([r[2] for r in rows if r[0] == lang])
+        f1 = lambda t: 2 * y[p >= t].sum() / ((p >= t).sum() + y.sum())
+        assert f1(at) == pytest.approx(max(f1(t) for t in p))
