@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPLIT_ABOVE = 500_000   # distinct keys one task may rank
 CUTS_PER_GROUP = 512    # ranges a larger group is cut into (about)
@@ -56,9 +57,37 @@ def _below(cut_points: Column, key: Column, cuts: int) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(cut_points, at + s - 1) < key, at + s).otherwise(at))
 
 
-def _attach(df: DataFrame, by: Sequence[str], order: Sequence[str], where: Column | None = None, **kw) -> DataFrame:
+def fits_tasks(df: DataFrame, by: Sequence[str], split_above: int = SPLIT_ABOVE) -> bool:
+    """No group of ``df`` has more rows than one task may rank; counted map-side."""
+    rows = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_d"))
+    return not rows.filter(F.col("_d") > split_above).limit(1).count()
+
+
+def _attach(df: DataFrame, by: Sequence[str], order: Sequence[str], where: Column | None = None, split_above: int = SPLIT_ABOVE, **kw) -> DataFrame:
+    """``df`` with ``n``, ``lo`` and ``total`` of every row's key, null where a key column is null (or, as for ``dropna``, NaN).
+
+    Groups that fit a task are ranked where one shuffle brings their rows; keys are only set apart, cut into
+    ranges and joined back when a group is larger than that.
+    """
+    by, order = list(by), list(order)
+    known = F.lit(True)
+    real = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    for c in [*by, *order]:
+        known = known & F.col(c).isNotNull()
+        if c in order and c in real:
+            known = known & ~F.isnan(c)
+    if where is None and by:
+        marked = df.withColumn("_known", known)
+        if fits_tasks(marked, [*by, "_known"], split_above):
+            group = Window.partitionBy(*by, "_known")
+            run = group.orderBy(*order)
+            out = marked.withColumn("lo", (F.rank().over(run) - 1).cast("long")) \
+                        .withColumn("n", F.count(F.lit(1)).over(run.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("lo")) \
+                        .withColumn("total", F.count(F.lit(1)).over(group))
+            keys = [*by, *order]
+            return out.select(*keys, *[c for c in df.columns if c not in keys], *[F.when(F.col("_known"), F.col(c)).alias(c) for c in ("n", "lo", "total")])
     src = df if where is None else df.filter(where)
-    pos = positions(src.dropna(subset=list(order)), by, order, **kw)
+    pos = positions(src.dropna(subset=order), by, order, split_above=split_above, **kw)
     return df.join(pos, [*by, *order], "left")
 
 
