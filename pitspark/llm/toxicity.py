@@ -19,6 +19,7 @@ import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ FILTERS = 4
 EPOCHS = 12
 #: Prior occurrences that shrink the log odds of a bucket.
 SHRINK = 4.0
+#: Labels that are broadcast at once.
+BROADCAST_LABELS = 1_000_000
 
 
 @dataclass
@@ -317,14 +320,27 @@ def best_thresholds(scored: DataFrame) -> dict[str, float]:
     return {r["lang"]: r["at"] for r in best.collect()}
 
 
+def labelled(documents: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = BROADCAST_LABELS) -> DataFrame:
+    """``text, lang, toxic``: every text with each of its labels among those ``learn`` marks.
+
+    The labels go to the texts, which are read once and stay where they are. More than ``most`` labels are dealt out by
+    their ids in as many parts as keep a broadcast within it, one pass over the texts each.
+    """
+    marked = labels.where(F.col("toxic").isin(0, 1)).where(learn).select(F.col(id_col), F.col("toxic").cast("int").alias("toxic"))
+    texts = documents.select(id_col, F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL")
+    parts = max(1, -(-marked.count() // most))
+    part = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(parts))
+    found = [texts.where(part == i).join(F.broadcast(marked.where(part == i)), id_col) if parts > 1 else texts.join(F.broadcast(marked), id_col) for i in range(parts)]
+    return reduce(DataFrame.unionAll, found).select("text", "lang", "toxic")
+
+
 def train(documents: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on all labelled documents among those ``learn`` marks (by default those whose crc32 of the id as text is not divisible by 5).
 
     Rows without a label or a text are left out.
     """
     learn = ~held_out(F.col(id_col), 5) if learn is None else learn
-    marked = labels.where(F.col("toxic").isin(0, 1)).where(learn).select(F.col(id_col), F.col("toxic").cast("int").alias("toxic"))
-    texts = documents.select(id_col, F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL").join(marked, id_col).select("text", "lang", "toxic")
+    texts = labelled(documents, labels, learn, id_col, text_col, lang_col)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

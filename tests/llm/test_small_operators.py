@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pitspark.llm import lattice, lm_scoring, mixing, quality, token_counts, toxicity
 from pitspark.llm.pieces import MARK, Vocabulary, load
@@ -356,3 +357,23 @@ def test_thresholds_are_the_best_of_all_rows(spark):
         p, y = np.array([r[1] for r in rows if r[0] == lang]), np.array([r[2] for r in rows if r[0] == lang])
         f1 = lambda t: 2 * y[p >= t].sum() / ((p >= t).sum() + y.sum())
         assert f1(at) == pytest.approx(max(f1(t) for t in p))
+
+
+def test_labels_go_to_the_texts(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"good day number {i}" if i % 2 else f"you vile brute {i}", "en", 1 - i % 2) for i in range(60)], "doc_id long, text string, lang string, toxic int")
+    labels = df.select("doc_id", "toxic").union(spark.createDataFrame([(4, 0), (500, 1), (None, 1), (5, None), (6, 7)], "doc_id long, toxic int"))
+    plans, kept = [], toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda x: (plans.append(x._jdf.queryExecution().executedPlan().toString()), kept(x))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        toxicity.train(df.drop("toxic"), labels)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans and "SortMergeJoin" not in plans[0] and "hashpartitioning" not in plans[0]
+
+
+def test_labels_in_several_parts(spark):
+    df = spark.createDataFrame([(i, f"text {i}" if i else None, "en") for i in range(40)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i % 30, i % 2) for i in range(50)] + [(None, 1)], "doc_id int, toxic int")
+    rows = [sorted(toxicity.labelled(df, labels, F.col("doc_id") != 7, most=most).collect()) for most in (1_000, 9, 1)]
+    assert rows[0] == rows[1] == rows[2] == sorted((f"text {i % 30}", "en", i % 2) for i in range(50) if i % 30 not in (0, 7))
