@@ -50,6 +50,10 @@ PLAIN = 512
 HELD = 600_000
 #: Ids of a word that may be broadcast.
 SHORT = 64
+#: Texts that a task counts the words of at once.
+TEXTS = 1_000
+#: Size of the parts that words are dealt out in before they become edges, some thirty times as large.
+PART = "1m"
 
 
 def source_pieces(vocabulary: Vocabulary) -> list[str]:
@@ -116,8 +120,8 @@ def word_table(texts: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        for batch in batches:
-            for s in slices(spaced(batch.column(0))):
+        for column in (batch.column(0).slice(at, TEXTS) for batch in batches for at in range(0, len(batch), TEXTS)):
+            for s in slices(spaced(column)):
                 start, end, _ = words(s, pairs)
                 h1, h2, first, back = keys(s, start, end)
                 times = np.bincount(back, minlength=len(first))
@@ -131,6 +135,8 @@ def word_table(texts: DataFrame, model: str) -> DataFrame:
                         held = []
         if held:
             yield from together(held).to_batches(20_000)
+        held = []
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task beside the JVM
 
     found = texts.select("text").mapInArrow(run, "h1 long, h2 int, word string, n long")
     # dealt out by the key alone, so that the edges of a word need no shuffle of their own
@@ -269,8 +275,9 @@ def encode_words(table: DataFrame, model: str = DEFAULT_MODEL, penalty: float =
     vocabulary = load(model)
     spark = table.sparkSession
     # grouped by sorting: edges of a word stand together, and a hash table of lists would be sorted and spilled twice;
-    # the shuffled words are not needed once the table is written
-    settings = {"spark.sql.execution.useObjectHashAggregateExec": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    # the shuffled words are not needed once the table is written; parts are small, as a task sorts the edges of all its words
+    settings = {"spark.sql.execution.useObjectHashAggregateExec": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": PART}
     before = {name: spark.conf.get(name, None) for name in settings}
     for name, value in settings.items():
         spark.conf.set(name, value)

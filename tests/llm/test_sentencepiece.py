@@ -129,3 +129,15 @@ def test_templates_are_smaller_in_the_shuffle():
     squeezed = [sp._squeezed(c) for c in codes]
     assert [sp._expanded(c) for c in squeezed] == codes
     assert len(squeezed[-1]) < 0.95 * len(codes[-1])
+
+
+def test_words_become_edges_in_small_parts(spark, monkeypatch):
+    name, seen, kept = "spark.sql.adaptive.advisoryPartitionSizeInBytes", [], sp.written
+    monkeypatch.setattr(sp, "written", lambda df: (seen.append(spark.conf.get(name)), kept(df))[1])
+    before = spark.conf.get(name)
+    monkeypatch.setattr(sp, "TEXTS", 3)
+    df = spark.createDataFrame([(i, f"word {i % 7} and number {i}") for i in range(20)], "doc_id long, text string")
+    counted = {r["word"]: r["n"] for r in sp.word_table(df, sp.DEFAULT_MODEL).collect()}
+    assert counted[" word"] == counted[" number"] == 20
+    assert sp.encode_words(sp.word_table(df, sp.DEFAULT_MODEL)).count() == len(counted)
+    assert seen and seen[0] == sp.PART and spark.conf.get(name) == before
